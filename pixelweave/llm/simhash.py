@@ -34,6 +34,8 @@ from pixelweave.llm.graph import connected_components
 
 BITS = 64
 SEED = 42
+#: A probe is a shuffled row; a candidate is a comparison inside a join.
+PROBE_COST = 4.0
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -141,9 +143,9 @@ def allocate(costs: list[np.ndarray], total: int) -> tuple[float, list[int]]:
 def plan_partitions(nodes: DataFrame, radius: int, most: int = 6) -> list[tuple[int, list[int]]]:
     """``(bit mask, probe masks)`` of each partition that is used.
 
-    The cost of a threshold is the number of probes plus the expected
+    The cost of a threshold is that of its probes plus the expected
     candidates: the number of nodes times the chance of two being that close,
-    raised to what the partition's real population shows at distance 0.
+    and what the partition's real population shows above that at distance 0.
     """
     n, p, correlation = bit_statistics(nodes)
     options = {m: group_bits(correlation, m) for m in range(2, min(most, radius + 1) + 1)}
@@ -157,9 +159,9 @@ def plan_partitions(nodes: DataFrame, radius: int, most: int = 6) -> list[tuple[
         for i, bits in enumerate(parts):
             share = close_share(p[bits], radius)
             real = met.get(f"{m}.{i}", n) / max(n, 1) - 1
-            expected = np.maximum(n * share, 0) * max(1.0, min(real / max(n * share[0], 1e-9), 1e3) if real > 1 else 1.0)
+            crowd = max(0.0, real - n * share[0])
             balls = np.cumsum([math.comb(len(bits), d) for d in range(radius + 1)]).astype(float)
-            costs.append(balls + expected)
+            costs.append(PROBE_COST * balls + n * share + crowd)
         plans.append((*allocate(costs, radius - m + 1), m))
     _, thresholds, m = min(plans)
     used = []
@@ -214,7 +216,11 @@ def links(nodes: DataFrame, radius: int = 4, heavy: int = 256, block: int = 1024
     crowded = materialize(crowded.select("part", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "heavy")
     light = index.join(crowded, ["part", "key"], "left_anti").join(probes, ["part", "key"]).filter((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)).select(F.col("fp").alias("u"), F.col("other").alias("v"))
 
-    met = probes.join(crowded, ["part", "key"])
+    # The probes that meet a crowded value come from the ball around that value, so the others are not made again.
+    flips = F.array(*[F.array(*map(F.lit, f)).cast("array<long>") for _, f in parts])
+    around = crowded.select("part", "key", "blocks", F.explode(F.get(flips, F.col("part"))).alias("flip")).withColumn("at", F.col("key").bitwiseXOR(F.col("flip")))
+    met = index.select(F.col("part").alias("in_part"), F.col("key").alias("value"), F.col("fp").alias("other")).join(around, (F.col("in_part") == F.col("part")) & (F.col("value") == F.col("at")))
+    met = materialize(met.select("part", "key", "blocks", "other"), "met")
     sizes = met.groupBy("part", "key", "blocks").agg(F.ceil(F.count("*") / block).cast("int").alias("others"))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
