@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelweave.llm import language_id, license_scan, mixing, quality, secret_scan, simhash
+from pixelweave.llm import language_id, license_scan, mixing, quality, secret_scan, simhash, token_store
 from pixelweave.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_verify(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -34,6 +38,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_secret_scan, op6_license_scan, op9_source_mixing, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_secret_scan, op4_token_store, op6_license_scan, op9_source_mixing, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {}
