@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelweave.llm import language_id, license_scan, mixing, quality, secret_scan, simhash, token_store
+from pixelweave.llm import decontaminate, language_id, license_scan, line_dedup, mixing, quality, secret_scan, simhash, token_store, warc
 from pixelweave.llm.common import table
 
 
@@ -26,10 +26,22 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_verify(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_index(table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), window=3)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8).drop("mark")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,6 +50,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_secret_scan, op4_token_store, op6_license_scan, op9_source_mixing, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_secret_scan, op4_token_store, op5_warc, op6_license_scan, op7_line_dedup, op8_decontamination, op9_source_mixing, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {}

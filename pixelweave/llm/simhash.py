@@ -181,7 +181,7 @@ def plan_partitions(nodes: DataFrame, radius: int, most: int = 6) -> list[tuple[
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between two blocks of fingerprints."""
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+    near = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= radius
     open_a, open_b = np.ones(len(a), bool), np.ones(len(b), bool)
     us, vs = [], []
     for start in np.flatnonzero(near.any(axis=1)):
