@@ -8,8 +8,9 @@
    fingerprints within ``radius`` differ by at most ``t_i`` bits in some
    partition ``i``. Its costs are candidate counts estimated from the bit
    statistics and the partition populations of all fingerprints.
-4. Each node is indexed once per partition and probes the ball of radius
-   ``t_i`` around its own value; candidates are verified over all 64 bits.
+4. Each node is indexed once per partition, meets the nodes of its own value
+   there, and probes the rest of the ball of radius ``t_i`` around it;
+   candidates are verified over all 64 bits.
 5. Links form components (large-star / small-star).
 
 A partition value that very many nodes share (``heavy``) is not joined row by
@@ -211,10 +212,18 @@ def links(nodes: DataFrame, radius: int = 4, heavy: int = 256, block: int = 1024
         key = F.col("fp").bitwiseAND(F.lit(mask))
         return F.transform(F.array(*map(F.lit, flips)), lambda f: F.struct(F.lit(i).alias("part"), key.bitwiseXOR(f.cast("long")).alias("key")))
 
-    probes = nodes.select("fp", F.explode(F.flatten(F.array(*[ball(i, *p) for i, p in enumerate(parts)]))).alias("x")).select("x.part", "x.key", F.col("fp").alias("other"))
     crowded = index.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > heavy)
     crowded = materialize(crowded.select("part", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "heavy")
-    light = index.join(crowded, ["part", "key"], "left_anti").join(probes, ["part", "key"]).filter((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    calm = index.join(crowded, ["part", "key"], "left_anti")
+
+    def near(probes: DataFrame) -> DataFrame:
+        pairs = calm.join(probes, ["part", "key"])
+        return pairs.filter((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+
+    light = near(calm.withColumnRenamed("fp", "other"))  # equal values: nothing but the index is needed
+    flipped = [ball(i, mask, [f for f in flips if f]) for i, (mask, flips) in enumerate(parts) if len(flips) > 1]
+    if flipped:
+        light = light.unionByName(near(nodes.select("fp", F.explode(F.flatten(F.array(*flipped))).alias("x")).select("x.part", "x.key", F.col("fp").alias("other"))))
 
     # The probes that meet a crowded value come from the ball around that value, so the others are not made again.
     flips = F.array(*[F.array(*map(F.lit, f)).cast("array<long>") for _, f in parts])
