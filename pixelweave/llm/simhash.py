@@ -265,12 +265,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """The documents that stay when each near-duplicate group keeps its smallest id.
+def one_per_group(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, with all their columns, that stay when each near-duplicate group keeps its smallest id.
 
-    Rows with a null id, which no group can name, stay only where their whole
-    group has none. Of repeated rows with the kept id one stays.
+    Of rows that share an id one stays. A row with a null id goes if its group
+    has a row with an id; a group without any id keeps one row of each
+    fingerprint.
     """
-    groups = near_duplicates(docs, shingle, radius, id_col)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates([id_col])
+    groups = materialize(near_duplicates(docs, shingle, radius, id_col, text), "groups")
+    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
+    alone = groups.filter(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("_alone")).distinct()
+    nameless = docs.filter(F.col(id_col).isNull()).withColumn("_text", F.col(text))
+    nameless = fingerprints(nameless, shingle, "_text").join(alone, F.col("fp") == F.col("_alone"), "left_semi").dropDuplicates(["fp"])
+    return named.unionByName(nameless.select(*docs.columns))
