@@ -1,4 +1,4 @@
-"""The registered queries of the corpus operators, and DuckDB SQL where it can express them."""
+"""The registered queries of the corpus operators; ``ORACLE`` has DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pixelweave.llm import decontaminate, language_id, license_scan, line_dedup, mixing, quality, secret_scan, simhash, token_store, warc
 from pixelweave.llm.common import table
+from pixelweave.llm.oracles import ORACLE  # noqa: F401  (read by the driver's entry)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,5 +52,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_secret_scan, op4_token_store, op5_warc, op6_license_scan, op7_line_dedup, op8_decontamination, op9_source_mixing, op10_quality_rules)}
-
-ORACLE: dict[str, str] = {}
