@@ -21,6 +21,8 @@ FEATURES = 4096
 SAMPLE = 1500
 CENTROIDS = 3
 ROUNDS = 8
+#: A text may be so much farther than nearly all texts of the fit before it is rejected.
+SLACK = 0.02
 #: Languages that get centroids, the most frequent first.
 MOST_LANGUAGES = 200
 
@@ -110,7 +112,7 @@ class Model:
         score = np.clip(cosine[np.arange(len(rows)), best], 0, 1).astype(float)
         langs = np.array(self.langs, object)[best]
         langs[blank], score[blank] = "und", 0.0
-        return pd.DataFrame({"lang_pred": langs, "score": score, "rejected": blank | (1 - score > self.reach[best])})
+        return pd.DataFrame({"lang_pred": langs, "score": score, "rejected": blank | (1 - score > self.reach[best] + SLACK)})
 
 
 def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model:
