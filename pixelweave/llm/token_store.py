@@ -24,7 +24,9 @@ in one task for it. :func:`read_ids` gives the ids themselves.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -36,7 +38,8 @@ from pixelweave.llm.common import blank, fresh_path, materialize, remove_path, s
 
 END_ID = 2
 WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 1024
-CACHE = 600_000
+#: Words that a Python worker remembers; the bound of its memory, not of what it encodes.
+CACHE = 1_200_000
 LOWER_AZ = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -46,71 +49,119 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Latin-1 letters in lower case, then ASCII marks other than the apostrophe: two pieces of the tokenizer.
+PLAIN_WORD = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level spelling: printable bytes are themselves, the others follow from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
+
+
 class WordEncoder:
     """Ids of a text by way of its words.
 
     For a tokenizer whose pieces never span white space a text's ids are those
-    of its words in turn, so a word is encoded once and remembered. Words that
-    are new are encoded together, with a digit between them that marks where
-    each ends. :meth:`fits` checks that the tokenizer works this way.
+    of its words in turn, so a word is encoded once and remembered. A new word
+    of Latin letters goes straight to the model, the marks behind it are a
+    piece of their own; other new words are encoded together, with a digit
+    between them that marks where each ends. :meth:`fits` checks on samples
+    that the tokenizer works this way; otherwise whole texts are encoded.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 65536 else "<u4")
         self.known: dict[bytes, bytes] = {}
-        mark = self.encode("0")
-        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.marks: dict[str, bytes] = {"": b""}
+        self.spelling = byte_letters()
+        digit = self.encode("0")
+        self.mark = int(digit[0]) if len(digit) == 1 else None
         self.by_word = self.fits()
 
     def encode(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def fits(self) -> bool:
-        probe = "The  quick\nbrown-fox's 12 JUMPS, Été.\tend"
-        return self.mark is not None and self.encode(probe) == [i for w in probe.split() for i in self.encode(w.lower())]
+    def packed(self, ids) -> bytes:
+        width = self.dtype.itemsize
+        return b"".join([i.to_bytes(width, "little") for i in ids])
 
-    def learn(self, fresh: list[bytes]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        plain, rest = [], []
+    def fits(self) -> bool:
+        probe = "The  quick\nbrown-fox's 12 JUMPS, Été.\tend naïveté!! übergrößen: ÿ x_y (mañana) straße;"
+        if self.mark is None or self.encode(probe) != [i for w in probe.split() for i in self.encode(w)]:
+            return False
+        plain = [m for m in map(PLAIN_WORD.fullmatch, probe.lower().split()) if m]
+        return all(self.plain(m) == self.packed(self.encode(m[0])) for m in plain)
+
+    def plain(self, word: re.Match) -> bytes:
+        stem, tail = word[1], word[2]
+        if tail and (known := self.known.get(stem.encode())) is not None:
+            return known + self.tail(tail)
+        spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.spelling)
+        ids = self.packed([t.id for t in self.model.tokenize(spelled)])
+        if not tail:
+            return ids
+        self.known[stem.encode()] = ids
+        return ids + self.tail(tail)
+
+    def tail(self, tail: str) -> bytes:
+        if tail not in self.marks:
+            self.marks[tail] = self.packed(self.encode(tail))
+        return self.marks[tail]
+
+    def learn(self, fresh) -> None:
+        """Remember the ids of new words."""
+        if len(self.marks) > CACHE:
+            self.marks = {"": b""}
+        joined, alone = [], []
         for w in fresh:
             text = w.decode("utf-8", "surrogatepass")
-            (rest if not w.isascii() and any(c.isnumeric() for c in text) or w.translate(None, b"0123456789") != w else plain).append((w, text))
-        for k in range(0, len(plain), 4000):
-            part = plain[k : k + 4000]
-            ids = np.array(self.whole.encode_batch_fast([" 0 ".join(t for _, t in part)], add_special_tokens=False)[0].ids, self.dtype)
+            word = PLAIN_WORD.fullmatch(text if w.isascii() else text.lower())
+            if word:
+                self.known[w] = self.plain(word)
+            elif any(c.isnumeric() for c in text):
+                alone.append((w, text))
+            else:
+                joined.append((w, text))
+        for k in range(0, len(joined), 500):
+            part = joined[k : k + 500]
+            ids = np.array(self.encode(" 0 ".join(t for _, t in part)), self.dtype)
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
             if len(ends) != len(part):
-                rest += part
+                alone += part
                 continue
             begin = 0
             for (w, _), end in zip(part, ends.tolist()):
                 self.known[w] = ids[begin:end].tobytes()
                 begin = end + 1
-        for w, text in rest:
-            self.known[w] = np.array(self.encode(text), self.dtype).tobytes()
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned integers."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        split: dict[int, list[bytes]] = {}
-        for i, text in enumerate(texts):
-            if not self.by_word or "<|" in text:  # a special token's own spelling
-                out[i] = np.array(self.encode(text), self.dtype)
-            else:
-                split[i] = text.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
-        fresh = set().union(*split.values()) - self.known.keys() if split else set()
-        if fresh:
-            self.learn(sorted(fresh))
-            gone = set().union(*split.values()) - self.known.keys()
-            if gone:
-                self.learn(sorted(gone))
-        for i, words in split.items():
-            out[i] = np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.dtype)
-        return out
+        for w, text in alone:
+            self.known[w] = self.packed(self.encode(text))
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a text, as unsigned integers."""
+        if not self.by_word or "<|" in text:  # a special token's own spelling
+            return np.array(self.encode(text), self.dtype)
+        words = text.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
+        found = list(map(self.known.get, words))
+        if None in found:
+            missing = {w for w, x in zip(words, found) if x is None}
+            if len(self.known) + len(missing) > CACHE:  # memory is bounded: begin anew with this text's words
+                self.known.clear()
+                missing = set(words)
+            self.learn(missing)
+            found = map(self.known.__getitem__, words)
+        return np.frombuffer(b"".join(found), self.dtype)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder per Python worker, which keeps its words from task to task."""
+    return WordEncoder(path)
 
 
 def gear(width: int = 1 << 16) -> np.ndarray:
@@ -188,11 +239,11 @@ def encoded_rows(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> Dat
     schema = f"kind string, k binary, n int, payload binary, doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, names binary, lengths array<int>"
 
     def rows(batches):
-        encoder, seen = WordEncoder(tokenizer), set()
+        encoder, seen = encoder_for(tokenizer), set()
         for pdf in batches:
             chunks, recipes = [], []
-            for text_ids in encoder.batch(pdf["text"].tolist()):
-                ids = np.append(text_ids, np.array([END_ID], encoder.dtype))
+            for text in pdf["text"]:
+                ids = np.append(encoder.ids(text), np.array([END_ID], encoder.dtype))
                 ends = cuts(ids)
                 names = []
                 for begin, end in zip([0, *ends[:-1]], ends):
@@ -221,7 +272,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     small_batches(spark, 1000)
     path = path or fresh_path(spark, "token-store")
     rows = encoded_rows(docs, tokenizer or default_tokenizer(), id_col, text)
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.coalesce(F.xxhash64("k"), F.xxhash64("doc_id", "names"))).sortWithinPartitions("k")
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.when(F.col("k").isNull(), F.xxhash64("doc_id", "names")).otherwise(F.xxhash64("k"))).sortWithinPartitions("k")
 
     def once(batches):
         last = None
@@ -262,7 +313,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
         pdf = pdf.sort_values("slot")
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n_docs": [len(pdf)], "n_tokens": [pdf["n_tokens"].sum()], "root": [merkle(pdf["root"].tolist())], "width": [width]})
 
-    width = WordEncoder(tokenizer or default_tokenizer()).dtype.itemsize
+    width = encoder_for(tokenizer or default_tokenizer()).dtype.itemsize
     local.select("part", "slot", "n_tokens", "root").groupBy("part").applyInPandas(rooted, "part int, n_docs long, n_tokens long, root binary, width int").write.parquet(f"{path}/manifest")
     remove_path(spark, f"{path}/local")
     return path
@@ -295,15 +346,15 @@ def recipe_rows(spark: SparkSession, path: str) -> DataFrame:
 
     def rows(batches):
         for pdf in batches:
-            out = []
-            for part, slot, names, lengths, root in zip(pdf["part"], pdf["slot"], pdf["names"], pdf["lengths"], pdf["root"]):
-                each = [names[i : i + 16] for i in range(0, len(names), 16)]
-                if merkle(each) != root:
+            each = [[names[i : i + 16] for i in range(0, len(names), 16)] for names in pdf["names"]]
+            for part, slot, names, root in zip(pdf["part"], pdf["slot"], each, pdf["root"]):
+                if merkle(names) != root:
                     raise ValueError(f"recipe {part}/{slot} of {path} does not match its root")
-                behind = 4 * (np.sum(lengths) - np.cumsum(lengths))
-                out.append(pd.DataFrame({"part": part, "slot": slot, "seq": np.arange(len(each)), "name": each, "n": lengths, "behind": behind}))
-            if out:
-                yield pd.concat(out)
+            count = np.array([len(x) for x in each])
+            n = np.concatenate([np.asarray(x, np.int64) for x in pdf["lengths"]]) if len(each) else np.zeros(0, np.int64)
+            ends, total = np.cumsum(n), np.add.reduceat(n, np.cumsum(count) - count) if len(n) else n
+            done = np.repeat(np.cumsum(total), count)
+            yield pd.DataFrame({"part": np.repeat(pdf["part"].to_numpy(), count), "slot": np.repeat(pdf["slot"].to_numpy(), count), "seq": np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count), "name": [x for names in each for x in names], "n": n, "behind": 4 * (done - ends)})
 
     return spark.read.parquet(f"{path}/recipes").select("part", "slot", "names", "lengths", "root").mapInPandas(rows, "part int, slot long, seq int, name binary, n int, behind long")
 
