@@ -29,7 +29,7 @@ CRLF = "\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "url_key string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
-#: Captures without a time of their own begin here, a second a page.
+#: Captures have no time of their own; theirs begins here, a second a page id (ids modulo 10^9).
 EPOCH = datetime.datetime(2024, 1, 1)
 
 
@@ -59,7 +59,7 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     both = own.withColumn("digest", base32_sha1(F.col("html"))).join(by_page, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("payload_digest")))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     revisit = F.col("refers_to").isNotNull()
-    when = F.date_format(F.lit(EPOCH.isoformat(" ")).cast("timestamp_ntz") + F.make_dt_interval(secs=F.coalesce("page_id", F.lit(0)).cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.date_format(F.lit(EPOCH.isoformat(" ")).cast("timestamp_ntz") + F.make_dt_interval(secs=F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)).cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     n_bytes = F.octet_length("html")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), n_bytes.cast("string"), F.lit(CRLF * 2))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
