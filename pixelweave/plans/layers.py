@@ -126,6 +126,13 @@ def reorder(model: Model, layer_id: str, up: bool) -> Model:
     return Model(shapes, layers)
 
 
+def preview(model: Model, hidden: list[str] = (), only: str | None = None) -> Model:
+    """What a preview shows: layers whose colour is not hidden, or those of one colour only."""
+    color = F.col("color")
+    shown = color == only if only is not None else ~color.isin([*hidden]) if hidden else F.lit(True)
+    return Model(model.shapes, model.layers.withColumn("visible", F.col("visible") & shown))
+
+
 def listing(layers: DataFrame, text: str = "", by_count: bool = True, limit: int = PAGE) -> DataFrame:
     """The list's first rows per SVG for a hex search, with ``matched`` and ``hidden`` counts."""
     found = layers.filter(F.contains("color", F.lit(text.strip().lower())))

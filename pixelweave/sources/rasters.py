@@ -52,6 +52,12 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.xxhash64("origin").alias("image_id"), F.element_at(F.split("origin", "/"), -1).alias("name"), "width", "height", data.alias("data"))
 
 
+def image_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """``(name, width, height)`` of encoded images; the bytes are pruned from the result."""
+    rows = spark.read.format("image").option("dropInvalid", True).load(path)
+    return rows.select(F.element_at(F.split("image.origin", "/"), -1).alias("name"), "image.width", "image.height")
+
+
 def fitted_size(width, height, longest: int = LONGEST_EDGE):
     """Sides after the longest is brought down to the limit."""
     ratio = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))

@@ -225,10 +225,23 @@ def test_encoded_images(spark, tmp_path):
 
     data = bytes(range(24)) + bytes([200, 100, 50, 255] * 0)
     png(tmp_path / "pic.v1.png", data, 3, 2)
+    assert tuple(rasters.image_sizes(spark, str(tmp_path)).first()) == ("pic.v1.png", 3, 2)
     got = rasters.read_images(spark, str(tmp_path)).select("*", svg_text.base_name(F.col("name")).alias("base")).first()
     assert (bytes(got["data"]), got["width"], got["height"], got["base"]) == (data, 3, 2, "pic.v1")
 
 
+def test_stream_traces_every_image_once(spark, tmp_path):
+    from pixelweave.streaming import ingest
+
+    rows = rasters.collect_rasters(pixels(spark, three_band(1), three_band(2)))
+    rows.filter("image_id = 1").write.mode("append").parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        ingest.trace_stream(ingest.raster_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        rows.filter("image_id = 2").write.mode("append").parquet(f"{tmp_path}/in")
+    got = spark.read.parquet(f"{tmp_path}/out").select("image_id", "stats.path_count").collect()
+    assert sorted(map(tuple, got)) == [(1, 3), (2, 3)]
+
+
 def test_options():
     assert params.Options.from_json("{}") == params.DEFAULT
     assert params.Options.from_json('{"k": 4, "lock_palette": [[1,2,3]], "other": 1}').lock_palette == ((1, 2, 3),)
@@ -296,6 +309,9 @@ def test_history_and_edits(spark):
     down = layers.reorder(model, "layer-0", up=False)
     assert [r["d"] for r in down.shapes.orderBy("seq").collect()] == ["M2", "M0", "M3"]
     assert layers.merge(model, "layer-0", "nope").shapes.filter("layer_id = 'layer-0'").count() == 2
+    assert [r["visible"] for r in layers.preview(model, hidden=["#ff0000"]).layers.orderBy("pos").collect()] == [False, True]
+    assert [r["visible"] for r in layers.preview(model, only="#ff0000").layers.orderBy("pos").collect()] == [True, False]
+    assert all(r["visible"] for r in layers.preview(model).layers.collect())
     text = layers.serialize_layers(layers.solo(model, "layer-1"), layers.svg_size(svgs)).first()["svg"]
     assert text.count("<path") == 1 and 'viewBox="0 0 5 6"' in text
 
