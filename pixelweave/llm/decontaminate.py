@@ -16,6 +16,8 @@ finds fit.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -35,15 +37,21 @@ PLACES = np.array([0x8CB92BA72F3D8DD7, 0xD1342543DE82EF95, 0xA24BAED4963EE407, 0
 
 
 class WordHashes(dict):
-    """XXH64 of every word met, remembered."""
+    """XXH64 of the words met, remembered within a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 1_000_000:
             self.clear()
         made = self[word] = xxhash.xxh64_intdigest(word)
         return made
 
 
+@functools.lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One memory per Python worker."""
+    return WordHashes()
+
+
 def shingle_hashes(text: str | None, size: int, known: WordHashes) -> np.ndarray:
     """Hashes of a text's shingles of ``size`` words, in order, repeats included; none if it has fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
@@ -77,21 +85,48 @@ def item_keys(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate([keyed((shingles * m).min(keepdims=True), size, j) for j, m in enumerate(MULTIPLIERS)])
 
 
-def window_keys(shingles: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Keys of all windows of a document, for the partitions that items are in."""
-    out = [keyed(shingles, 1, 0)] if 1 in sizes else []
-    larger = [s for s in sizes if s > 1]
-    if larger and len(shingles):
-        starts = np.arange(0, len(shingles), min(larger))
+def batch_hits(each: list[np.ndarray], sizes: list[int], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(document number, key)`` of the windows of a batch of documents, if the table has the key's slot.
+
+    All documents of the batch go through each hash together. Blocks start
+    anew with each document, and two adjacent blocks of one document are a
+    window; a document of one block is a window by itself.
+    """
+    lengths = np.array([len(x) for x in each], np.int64)
+    flat = np.concatenate(each) if len(each) else np.zeros(0, np.uint64)
+    docs, found = np.repeat(np.arange(len(each)), lengths), []
+
+    def keep(of: np.ndarray, keys: np.ndarray) -> None:
+        hit = table[slots(keys)]
+        found.append((of[hit], keys[hit]))
+
+    if 1 in sizes:
+        keep(docs, keyed(flat, 1, 0))
+    larger = [x for x in sizes if x > 1]
+    if larger and len(flat):
+        size = min(larger)
+        blocks = -(-lengths // size)
+        number = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        starts = np.repeat(np.cumsum(lengths) - lengths, blocks) + size * number
+        levels = []  # block size, where the blocks begin in the level below, windows, their documents
+        while True:
+            of = np.repeat(np.arange(len(each)), blocks)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            follows = np.flatnonzero(of[1:] == of[:-1])
+            alone = np.flatnonzero(np.repeat(blocks, blocks) == 1)
+            levels.append((size, starts, np.concatenate([follows, alone]), np.concatenate([follows + 1, alone]), of))
+            if size >= max(larger):
+                break
+            starts, blocks, size = np.flatnonzero(number % 2 == 0), -(-blocks // 2), size * 2
         for j, m in enumerate(MULTIPLIERS):
-            least, at = np.minimum.reduceat(shingles * m, starts), min(larger)
-            while True:
-                if at in larger:
-                    out.append(keyed(np.minimum(least[:-1], least[1:]) if len(least) > 1 else least, at, j))
-                if at >= max(larger):
-                    break
-                least, at = np.minimum.reduceat(least, np.arange(0, len(least), 2)), at * 2
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            least = flat * m
+            for size, starts, first, second, of in levels:
+                least = np.minimum.reduceat(least, starts)
+                if size in larger:
+                    keep(of[first], keyed(np.minimum(least[first], least[second]), size, j))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def slots(keys: np.ndarray) -> np.ndarray:
@@ -144,22 +179,19 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def hits(batches):
-        known = WordHashes()
+        known = word_hashes()
         for pdf in batches:
-            at, what, value = [], [], []
-            for i, t in enumerate(pdf["text"]):
-                found = shingle_hashes(t, shingle, known)
-                k = window_keys(found, sizes)
-                k = k[key_slots.value[slots(k)]]
-                if len(k):  # without a key there is no candidate to verify
-                    s = np.unique(found)
-                    s = s[shingle_slots.value[slots(s)]]
-                    at.append(np.full(len(k) + len(s), i))
-                    what.append(np.repeat([0, 1], [len(k), len(s)]))
-                    value.append(np.concatenate([k, s]).view(np.int64))
-            if at:
-                at = np.concatenate(at)
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "mark": pdf["mark"].to_numpy()[at], "what": np.concatenate(what), "value": np.concatenate(value)})
+            each = [shingle_hashes(t, shingle, known) for t in pdf["text"]]
+            at, keys = batch_hits(each, sizes, key_slots.value)
+            rows = pd.DataFrame({"at": at, "value": keys.view(np.int64)}).drop_duplicates()
+            out = [rows.assign(what=0)]
+            for i in np.unique(at):  # without a key there is no candidate to verify
+                found = np.unique(each[i])
+                out.append(pd.DataFrame({"at": i, "value": found[shingle_slots.value[slots(found)]].view(np.int64), "what": 1}))
+            out = pd.concat(out)
+            if len(out):
+                place = out["at"].to_numpy()
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[place], "mark": pdf["mark"].to_numpy()[place], "what": out["what"].to_numpy(), "value": out["value"].to_numpy()})
 
     met = materialize(own.mapInPandas(hits, f"id {kind}, mark long, what int, value long"), "window-hits")
     candidates = met.filter("what = 0").join(keys, F.col("value") == F.col("key")).select("id", "mark", "item").distinct()
