@@ -438,7 +438,7 @@ def ensure_view_box(spark, sf_dir):
     return rasters.table(spark, sf_dir, "customer").select("c_custkey", text.ensure_view_box(svg, F.lit(10), F.col("c_custkey")).alias("svg"))
 
 
-@query("SELECT c_custkey, replace(replace(replace(c_name || '&<\"x\">', '&', '&amp;'), '\"', '&quot;'), '<', '&lt;') AS escaped, CASE WHEN c_custkey * 7 < 1024 THEN c_custkey * 7 || ' B' ELSE printf('%.1f', c_custkey * 7 / 1024) || ' KB' END AS size, coalesce(nullif(regexp_replace(CASE c_custkey % 3 WHEN 0 THEN '.png' WHEN 1 THEN c_name || '.tar.gz' ELSE c_name END, '\\.[^.]+$', ''), ''), 'image') AS base, 'data:image/svg+xml;charset=utf-8,%3Csvg%20id%3D%22' || c_custkey || '%22%3E!~*''()%3C%2Fsvg%3E' AS url FROM customer")
+@query("SELECT c_custkey, replace(replace(replace(c_name || '&<\"x\">', '&', '&amp;'), '\"', '&quot;'), '<', '&lt;') AS escaped, CASE WHEN c_custkey * 7 < 1024 THEN c_custkey * 7 || ' B' ELSE printf('%.1f', round(c_custkey * 7 / 1024, 1)) || ' KB' END AS size, coalesce(nullif(regexp_replace(CASE c_custkey % 3 WHEN 0 THEN '.png' WHEN 1 THEN c_name || '.tar.gz' ELSE c_name END, '\\.[^.]+$', ''), ''), 'image') AS base, 'data:image/svg+xml;charset=utf-8,%3Csvg%20id%3D%22' || c_custkey || '%22%3E!~*''()%3C%2Fsvg%3E' AS url FROM customer")
 def text_functions(spark, sf_dir):
     key, name = F.col("c_custkey"), F.col("c_name")
     file = F.when(key % 3 == 0, ".png").when(key % 3 == 1, F.concat(name, F.lit(".tar.gz"))).otherwise(name)
