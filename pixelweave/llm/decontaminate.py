@@ -16,8 +16,6 @@ finds fit.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -37,21 +35,15 @@ PLACES = np.array([0x8CB92BA72F3D8DD7, 0xD1342543DE82EF95, 0xA24BAED4963EE407, 0
 
 
 class WordHashes(dict):
-    """XXH64 of the words met, remembered within a bound."""
+    """XXH64 of the words met, remembered within a bound while a task runs."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         made = self[word] = xxhash.xxh64_intdigest(word)
         return made
 
 
-@functools.lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    """One memory per Python worker."""
-    return WordHashes()
-
-
 def shingle_hashes(text: str | None, size: int, known: WordHashes) -> np.ndarray:
     """Hashes of a text's shingles of ``size`` words, in order, repeats included; none if it has fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
@@ -179,7 +171,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def hits(batches):
-        known = word_hashes()
+        known = WordHashes()
         for pdf in batches:
             each = [shingle_hashes(t, shingle, known) for t in pdf["text"]]
             at, keys = batch_hits(each, sizes, key_slots.value)

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -38,8 +39,8 @@ from pixelweave.llm.common import blank, fresh_path, materialize, remove_path, s
 
 END_ID = 2
 WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 1024
-#: Words that a Python worker remembers; the bound of its memory, not of what it encodes.
-CACHE = 1_200_000
+#: Words that a Python worker remembers during a task, and from task to task: a bound on memory, not on what is encoded.
+CACHE, KEPT = 600_000, 250_000
 LOWER_AZ = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -91,6 +92,11 @@ class WordEncoder:
         width = self.dtype.itemsize
         return b"".join([i.to_bytes(width, "little") for i in ids])
 
+    def trim(self) -> None:
+        """Forget all but the words met first, which are the frequent ones."""
+        if len(self.known) > KEPT:
+            self.known = dict(itertools.islice(self.known.items(), KEPT))
+
     def fits(self) -> bool:
         probe = "The  quick\nbrown-fox's 12 JUMPS, Été.\tend naïveté!! übergrößen: ÿ x_y (mañana) straße;"
         if self.mark is None or self.encode(probe) != [i for w in probe.split() for i in self.encode(w)]:
@@ -150,9 +156,9 @@ class WordEncoder:
         found = list(map(self.known.get, words))
         if None in found:
             missing = {w for w, x in zip(words, found) if x is None}
-            if len(self.known) + len(missing) > CACHE:  # memory is bounded: begin anew with this text's words
-                self.known.clear()
-                missing = set(words)
+            if len(self.known) + len(missing) > CACHE:
+                self.trim()
+                missing = set(words) - self.known.keys()
             self.learn(missing)
             found = map(self.known.__getitem__, words)
         return np.frombuffer(b"".join(found), self.dtype)
@@ -262,6 +268,7 @@ def encoded_rows(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> Dat
             if recipes:
                 n, names, lengths = zip(*recipes)
                 yield pd.DataFrame({"kind": "recipe", "k": None, "n": 0, "payload": None, "doc_id": pdf["doc_id"].to_numpy(), "n_tokens": n, "names": names, "lengths": lengths})
+        encoder.trim()
 
     return docs.select(F.col(id_col).alias("doc_id"), blank(F.col(text)).alias("text")).mapInPandas(rows, schema)
 
