@@ -48,6 +48,16 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Functions that hold memory from task to task in a Python worker; each has ``cache_clear``.
+HELD: list = []
+
+
+def forget() -> None:
+    """Called where a task of another operator begins: let go of what earlier ones hold in this worker."""
+    for held in HELD:
+        held.cache_clear()
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the rows, and so the text, that one Arrow batch holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import blank, materialize, small_batches
+from pixelweave.llm.common import blank, forget, materialize, small_batches
 
 HASHES = 32
 SLOT_BITS = 22
@@ -171,6 +171,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def hits(batches):
+        forget()
         known = WordHashes()
         for pdf in batches:
             each = [shingle_hashes(t, shingle, known) for t in pdf["text"]]

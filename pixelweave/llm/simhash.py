@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import LOWER_AZ, fresh_path, materialize, small_batches
+from pixelweave.llm.common import LOWER_AZ, forget, fresh_path, materialize, small_batches
 from pixelweave.llm.graph import connected_components
 
 BITS = 64
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text") -> DataF
 
     @F.pandas_udf("long")
     def hashed(texts: pd.Series) -> pd.Series:
+        forget()
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
     return docs.withColumn("fp", hashed(F.col(text))).drop(text)

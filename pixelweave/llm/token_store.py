@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import blank, fresh_path, materialize, remove_path, small_batches
+from pixelweave.llm.common import HELD, blank, fresh_path, materialize, remove_path, small_batches
 
 END_ID = 2
 WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 1024
@@ -170,6 +170,9 @@ def encoder_for(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+HELD.append(encoder_for)
+
+
 def gear(width: int = 1 << 16) -> np.ndarray:
     """A 64-bit number per id, by a mixing rule."""
     x = np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -320,7 +323,8 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
         pdf = pdf.sort_values("slot")
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n_docs": [len(pdf)], "n_tokens": [pdf["n_tokens"].sum()], "root": [merkle(pdf["root"].tolist())], "width": [width]})
 
-    width = encoder_for(tokenizer or default_tokenizer()).dtype.itemsize
+    one = store_chunks(spark, path).select((F.length("payload") / F.col("n")).cast("int").alias("width")).first()
+    width = one["width"] if one else 2
     local.select("part", "slot", "n_tokens", "root").groupBy("part").applyInPandas(rooted, "part int, n_docs long, n_tokens long, root binary, width int").write.parquet(f"{path}/manifest")
     remove_path(spark, f"{path}/local")
     return path
