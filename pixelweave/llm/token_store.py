@@ -40,7 +40,7 @@ from pixelweave.llm.common import HELD, blank, fresh_path, materialize, remove_p
 END_ID = 2
 WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 1024
 #: Words that a Python worker remembers during a task, and from task to task: a bound on memory, not on what is encoded.
-CACHE, KEPT = 600_000, 250_000
+CACHE, KEPT = 1_200_000, 1_000_000
 LOWER_AZ = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -154,13 +154,16 @@ class WordEncoder:
             return np.array(self.encode(text), self.dtype)
         words = text.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
         found = list(map(self.known.get, words))
-        if None in found:
-            missing = {w for w, x in zip(words, found) if x is None}
+        gaps, at = [], -1
+        for _ in range(found.count(None)):
+            gaps.append(at := found.index(None, at + 1))
+        if gaps:
+            missing = {words[i] for i in gaps}
             if len(self.known) + len(missing) > CACHE:
                 self.trim()
-                missing = set(words) - self.known.keys()
             self.learn(missing)
-            found = map(self.known.__getitem__, words)
+            for i in gaps:
+                found[i] = self.known[words[i]]
         return np.frombuffer(b"".join(found), self.dtype)
 
 
