@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +60,21 @@ def forget() -> None:
     """Called where a task of another operator begins: let go of what earlier ones hold in this worker."""
     for held in HELD:
         held.cache_clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that this worker's allocators keep but do not use, so that it is not added up over tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the rows, and so the text, that one Arrow batch holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def spread(df: DataFrame, *keys) -> DataFrame:

@@ -23,6 +23,7 @@ rows stay linear in a group's size.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,9 +66,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text") -> DataF
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
-    def hashed(texts: pd.Series) -> pd.Series:
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         forget()
-        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+        for texts in batches:
+            yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
     return docs.withColumn("fp", hashed(F.col(text))).drop(text)
 

@@ -35,12 +35,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import HELD, blank, fresh_path, materialize, remove_path, small_batches
+from pixelweave.llm.common import HELD, blank, forget, fresh_path, give_back, materialize, remove_path, small_batches
 
 END_ID = 2
 WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 1024
 #: Words that a Python worker remembers during a task, and from task to task: a bound on memory, not on what is encoded.
-CACHE, KEPT = 1_200_000, 1_000_000
+CACHE, KEPT = 1_000_000, 750_000
 LOWER_AZ = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -251,6 +251,7 @@ def encoded_rows(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> Dat
     schema = f"kind string, k binary, n int, payload binary, doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, names binary, lengths array<int>"
 
     def rows(batches):
+        give_back()
         encoder, seen = encoder_for(tokenizer), set()
         for pdf in batches:
             chunks, recipes = [], []
@@ -288,6 +289,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.when(F.col("k").isNull(), F.xxhash64("doc_id", "names")).otherwise(F.xxhash64("k"))).sortWithinPartitions("k")
 
     def once(batches):
+        forget()  # the words are not needed from here on
         last = None
         for pdf in batches:  # equal names are neighbours; recipes have none
             k = pdf["k"]
