@@ -260,7 +260,8 @@ def judge(docs: DataFrame, width: float = 8.0, least_width: float = 0.35, carrie
 
     ``base_failed``: fewer than 20 words, or more than 30 % of the words in
     repeated 8-word windows. ``kept``: neither that nor a perplexity outside
-    the language's band. A null text counts as empty (and so fails), a null
+    the language's band; a language without a model, so without a band, is
+    judged by the base rules alone. A null text counts as empty (and so fails), a null
     language is judged by the pooled model. Repeated rows get a row each, an
     empty table an empty table. Of other columns only ``carried`` is kept.
     """
@@ -273,7 +274,7 @@ def judge(docs: DataFrame, width: float = 8.0, least_width: float = 0.35, carrie
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = materialize(measured.withColumn("base_failed", failed), "quality")
     allowed = bands(measured, width, least_width)  # a row per language, MOST_LANGUAGES at most
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return measured.join(F.broadcast(allowed), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside).select(carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.exp("log_perplexity").alias("perplexity"), "lang")
 
 
