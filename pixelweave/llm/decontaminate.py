@@ -7,7 +7,9 @@ of an item turns into a Jaccard similarity that does not fall with the
 document's length. Items and windows that share a MinHash value (one row per
 band, ``HASHES`` bands) are candidates; the smallest items, for which a hash
 could miss, are keyed by all their shingles. Candidates are verified by the
-exact share of the item's shingles that stand in the whole document.
+exact share of the item's shingles that stand in the whole document. An item of
+fewer words than a shingle is one shingle, its whole word sequence, and is
+looked for among the document's sequences of that many words.
 
 Values that no item has are dropped in the task that reads the text, by a bit
 table of fixed size; what remains is joined by shuffle or broadcast as Spark
@@ -16,6 +18,9 @@ finds fit.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -30,6 +35,11 @@ SLOT_BITS = 22
 TINY = 8
 #: Bytes of a word stay, with A-Z lowered; all other ASCII parts words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Letters of scripts that part no words: Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo and Chinese characters.
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3021-\u302f\u3031-\u303c\u3041-\u30fa\u30fc-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+UNSPACED_RUN = re.compile(f"[0-9A-Za-z\x80-\U0010ffff]*[{UNSPACED}][0-9A-Za-z\x80-\U0010ffff]*")
+UNSPACED_LETTER = re.compile(f"([{UNSPACED}])")
+HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
 MULTIPLIERS = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
 PLACES = np.array([0x8CB92BA72F3D8DD7, 0xD1342543DE82EF95, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -44,9 +54,20 @@ class WordHashes(dict):
         return made
 
 
-def shingle_hashes(text: str | None, size: int, known: WordHashes) -> np.ndarray:
-    """Hashes of a text's shingles of ``size`` words, in order, repeats included; none if it has fewer words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
+def parted(run: re.Match) -> str:
+    """A run with letters of unspaced scripts: each of these a word of its own, non-ASCII marks and spaces parting words."""
+    return UNSPACED_LETTER.sub(r" \1 ", "".join(" " if c > "\x7f" and unicodedata.category(c)[0] in "PSZ" else c for c in run[0]))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    text = text or ""
+    if not text.isascii() and HAS_UNSPACED.search(text):
+        text = UNSPACED_RUN.sub(parted, text)
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
+
+
+def shingle_hashes(words: list[bytes], size: int, known: WordHashes) -> np.ndarray:
+    """Hashes of the shingles of ``size`` words, in order, repeats included; none if there are fewer words."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -134,28 +155,31 @@ def bit_table(spark_rows: DataFrame, column: str) -> np.ndarray:
 
 
 def item_shingles(items: DataFrame, shingle: int, item_col: str, text: str) -> DataFrame:
-    """``(item, n, shingles, keys)`` of every item with at least one shingle; distinct shingles."""
+    """``(item, words, n, shingles, keys)`` of every item with a word; distinct shingles of ``words`` words."""
 
     def rows(batches):
         known = WordHashes()
         for pdf in batches:
-            each = [np.unique(shingle_hashes(t, shingle, known)) for t in pdf["text"]]
+            words = [words_of(t) for t in pdf["text"]]
+            each = [np.unique(shingle_hashes(w, min(shingle, max(len(w), 1)), known)) for w in words]
+            pdf["words"] = [min(shingle, len(w)) for w in words]
             pdf["n"] = [len(x) for x in each]
             pdf["shingles"] = [x.view(np.int64) for x in each]
             pdf["keys"] = [np.unique(item_keys(x)).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in each]
-            yield pdf.loc[pdf["n"] > 0, ["item", "n", "shingles", "keys"]]
+            yield pdf.loc[pdf["n"] > 0, ["item", "words", "n", "shingles", "keys"]]
 
     kind = items.schema[item_col].dataType.simpleString()
-    return items.select(F.col(item_col).alias("item"), F.col(text).alias("text")).mapInPandas(rows, f"item {kind}, n int, shingles array<long>, keys array<long>")
+    return items.select(F.col(item_col).alias("item"), F.col(text).alias("text")).mapInPandas(rows, f"item {kind}, words int, n int, shingles array<long>, keys array<long>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text") -> DataFrame:
     """``(id, mark, item_id, containment)`` of every document and item with a containment of ``threshold`` or more.
 
-    Words are runs of a-z, 0-9 and non-ASCII after lowering A-Z; the measure is
-    the share of the item's distinct shingles that stand anywhere in the
-    document. Items or documents of fewer than ``shingle`` words (so null and
-    empty texts too) have no shingles and match nothing. Texts of one id are
+    Words are runs of a-z, 0-9 and non-ASCII after lowering A-Z, but letters of
+    scripts without spaces (:data:`UNSPACED`) are words each. The measure is the
+    share of the item's distinct shingles that stand anywhere in the document.
+    An item of fewer than ``shingle`` words has one shingle, all its words.
+    Texts without a word (so null and empty ones) match nothing. Texts of one id are
     told apart by ``mark``; repeated rows count once. An empty table on either
     side gives an empty table. Other columns are not read.
     """
@@ -163,6 +187,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold:
     small_batches(spark, 1000)
     known_items = materialize(item_shingles(items, shingle, item_col, text), "items")
     sizes = sorted({block_size(r["n"]) for r in known_items.select("n").distinct().collect()})  # a row per item length
+    short = [r["words"] for r in known_items.filter(F.col("words") < shingle).select("words").distinct().orderBy("words").collect()]
     keys = known_items.select("item", F.explode("keys").alias("key"))
     shares = known_items.select("item", "n", F.explode("shingles").alias("shingle"))
     key_slots = spark.sparkContext.broadcast(bit_table(keys, "key"))
@@ -174,8 +199,14 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold:
         forget()
         known = WordHashes()
         for pdf in batches:
-            each = [shingle_hashes(t, shingle, known) for t in pdf["text"]]
+            words = [words_of(t) for t in pdf["text"]]
+            each = [shingle_hashes(w, shingle, known) for w in words]
             at, keys = batch_hits(each, sizes, key_slots.value)
+            for size in short:  # sequences as long as an item that is shorter than a shingle
+                brief = [np.unique(shingle_hashes(w, size, known)) for w in words]
+                met_at, met = batch_hits(brief, [1], key_slots.value)
+                at, keys = np.concatenate([at, met_at]), np.concatenate([keys, met])
+                each = [np.concatenate(x) for x in zip(each, brief)]
             rows = pd.DataFrame({"at": at, "value": keys.view(np.int64)}).drop_duplicates()
             out = [rows.assign(what=0)]
             for i in np.unique(at):  # without a key there is no candidate to verify
