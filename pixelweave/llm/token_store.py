@@ -12,7 +12,7 @@ The files below a store's path, all Parquet:
 
 - ``parts/kind=chunk``: ``name`` (16 bytes), ``n`` (ids), ``payload`` (ids as
   little-endian unsigned integers of ``width`` bytes)
-- ``recipes``: ``doc_id``, ``start``, ``n_tokens``, ``names``, ``lengths``,
+- ``recipes``: ``doc_id``, ``start``, ``n_tokens``, ``names`` (16 bytes each), ``lengths`` (4 bytes each),
   ``root``, and the recipe file ``part`` with the document's ``slot`` in it
 - ``manifest``: ``part``, ``n_docs``, ``n_tokens``, ``root``, ``width``
 
@@ -32,7 +32,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import HELD, blank, forget, fresh_path, give_back, materialize, remove_path, small_batches
@@ -41,6 +42,8 @@ END_ID = 2
 WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 1024
 #: Words that a Python worker remembers during a task, and from task to task: a bound on memory, not on what is encoded.
 CACHE, KEPT = 1_000_000, 750_000
+#: Texts of each task on which the way by words is held to the tokenizer.
+SAMPLES = 4
 LOWER_AZ = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -76,8 +79,8 @@ class WordEncoder:
     of its words in turn, so a word is encoded once and remembered. A new word
     of Latin letters goes straight to the model, the marks behind it are a
     piece of their own; other new words are encoded together, with a digit
-    between them that marks where each ends. :meth:`fits` checks on samples
-    that the tokenizer works this way; otherwise whole texts are encoded.
+    between them that marks where each ends. :meth:`fits` and :meth:`check`
+    hold this to the tokenizer on samples; where they differ, whole texts are encoded.
     Words that differ in the case of A-Z share their ids, except where a
     combining mark may compose with a letter of one case only.
     """
@@ -115,6 +118,12 @@ class WordEncoder:
         plain = [m for m in map(PLAIN_WORD.fullmatch, probe.lower().split()) if m]
         return all(self.plain(m) == self.packed(self.encode(m[0])) for m in plain)
 
+    def check(self, texts: list[str]) -> None:
+        """Hold the way by words to the tokenizer on real texts; where they differ, whole texts are encoded from here on."""
+        for text in [t for t in texts if len(t) <= 5000][:SAMPLES]:
+            if self.by_word and self.ids(text).tolist() != self.encode(text):
+                self.by_word = False
+
     def plain(self, word: re.Match) -> bytes:
         stem, tail = word[1], word[2]
         if tail and (known := self.known.get(stem.encode())) is not None:
@@ -197,24 +206,24 @@ def gear(width: int = 1 << 16) -> np.ndarray:
 GEAR = gear()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: where the rolling hash says so, ``LEAST`` to ``MOST`` ids long."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    mixed = GEAR[ids.astype(np.uint32) & np.uint32(0xFFFF)]
-    rolled = mixed.copy()
+def cut_marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the rolling hash allows a cut; texts may stand one behind the other, as ``LEAST`` exceeds ``WINDOW``."""
+    rolled = GEAR[ids if ids.dtype.itemsize == 2 else ids & np.uint32(0xFFFF)]
     span = 1
     while span < WINDOW:  # after each step the sum spans twice as many ids
-        rolled[span:] += rolled[:-span] << np.uint64(span) if span < 64 else np.uint64(0)
+        rolled[span:] += rolled[:-span] << np.uint64(span)
         span *= 2
-    marks = np.flatnonzero((rolled >> np.uint64(20)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1
-    out, last = [], 0
-    for m in [*marks.tolist(), n]:
+    return np.flatnonzero((rolled >> np.uint64(20)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1
+
+
+def chunk_ends(marks: list[int], begin: int, end: int) -> list[int]:
+    """Ends of the chunks of the ids from ``begin`` to ``end``: at marks, ``LEAST`` to ``MOST`` ids long."""
+    out, last = [], begin
+    for m in [*marks, end]:
         while m - last > MOST:
             last += MOST
             out.append(last)
-        if m - last >= LEAST or (m == n and m > last):
+        if m - last >= LEAST or (m == end and m > last):
             last = m
             out.append(m)
     return out
@@ -242,53 +251,86 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=8)
+def powers(level: int) -> np.ndarray:
+    """``x^(8 k 256^level)`` for ``k`` from 0 to 255."""
+    base = np.array([1 << 23], np.uint32)  # x^8
+    for _ in range(8 * level):
+        base = times(base, base)
+    out = [np.array([1 << 31], np.uint32)]  # 1
+    for _ in range(255):
+        out.append(times(out[-1], base))
+    return np.concatenate(out)
+
+
 def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     """What each checksum adds to that of a stream with ``n_bytes`` more bytes behind it."""
-    out, left, power = crc.astype(np.uint32), n_bytes.astype(np.int64).copy(), np.array([1 << 23], np.uint32)  # x^8
-    while left.any():
-        odd = np.flatnonzero(left & 1)
-        if len(odd):
-            out[odd] = times(np.repeat(power, len(odd)), out[odd])
-        power = times(power, power)
-        left >>= 1
-    return out
+    lengths, place = np.unique(n_bytes.astype(np.int64), return_inverse=True)
+    power = np.full(len(lengths), 1 << 31, np.uint32)
+    for level in range(8):
+        digit = (lengths >> (8 * level)) & 255
+        if digit.any():
+            power = times(power, powers(level)[digit])
+    return times(power[place], crc.astype(np.uint32))
 
 
 # --- writing ---
 
+FIELDS = ["kind", "k", "n", "payload", "doc_id", "n_tokens", "names", "lengths"]
+
 
 def encoded_rows(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> DataFrame:
     """Chunk rows, a chunk once per task at most, and a recipe row per document."""
-    schema = f"kind string, k binary, n int, payload binary, doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, names binary, lengths array<int>"
+    own = docs.select(F.col(id_col).alias("doc_id"), blank(F.col(text)).alias("text"))
+    schema = f"kind string, k binary, n int, payload binary, doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, names binary, lengths binary"
 
     def rows(batches):
         give_back()
         encoder, seen = encoder_for(tokenizer), set()
-        for pdf in batches:
-            chunks, recipes = [], []
-            for text in pdf["text"]:
-                ids = np.append(encoder.ids(text), np.array([END_ID], encoder.dtype))
-                ends = cuts(ids)
-                names = []
-                for begin, end in zip([0, *ends[:-1]], ends):
-                    payload = ids[begin:end].tobytes()
-                    name = hashlib.blake2b(payload, digest_size=16).digest()
-                    names.append(name)
+        end_id, width = np.array([END_ID], encoder.dtype), encoder.dtype.itemsize
+        digest = hashlib.blake2b
+        for batch in batches:
+            streams, texts = [], batch.column("text").to_pylist()
+            if not seen:
+                encoder.check(texts)
+            for text in texts:
+                streams += encoder.ids(text), end_id
+            if not streams:
+                continue
+            lengths = np.fromiter(map(len, streams), np.int64, len(streams))
+            bounds = np.concatenate([[0], np.cumsum(lengths[::2] + 1)])
+            ids = np.concatenate(streams)
+            marks = cut_marks(ids)
+            at = np.searchsorted(marks, bounds, "right").tolist()
+            marks, bounds, data = marks.tolist(), bounds.tolist(), memoryview(ids.tobytes())
+            keys, sizes, payloads, names, parts = [], [], [], [], []
+            for begin, end, low, high in zip(bounds, bounds[1:], at, at[1:]):
+                own_names, own_parts, last = [], [], begin
+                for place in chunk_ends(marks[low:high], begin, end):
+                    payload = data[last * width : place * width]
+                    name = digest(payload, digest_size=16).digest()
+                    own_names.append(name)
+                    own_parts.append(place - last)
                     if name not in seen:
                         seen.add(name)
-                        chunks.append((name, end - begin, payload))
-                recipes.append((len(ids), b"".join(names), np.diff([0, *ends]).tolist()))
+                        keys.append(name)
+                        sizes.append(place - last)
+                        payloads.append(payload)
+                    last = place
+                names.append(b"".join(own_names))
+                parts.append(np.array(own_parts, "<u4").tobytes())
             if len(seen) > 1_000_000:
                 seen.clear()
-            if chunks:
-                k, n, payload = zip(*chunks)
-                yield pd.DataFrame({"kind": "chunk", "k": k, "n": n, "payload": payload, "doc_id": None, "n_tokens": 0, "names": None, "lengths": None})
-            if recipes:
-                n, names, lengths = zip(*recipes)
-                yield pd.DataFrame({"kind": "recipe", "k": None, "n": 0, "payload": None, "doc_id": pdf["doc_id"].to_numpy(), "n_tokens": n, "names": names, "lengths": lengths})
+            ids_type = batch.schema.field("doc_id").type
+            m, k = len(names), len(keys)
+            if k:
+                none = pa.nulls(k, pa.binary())
+                yield pa.record_batch([pa.array(["chunk"] * k), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(payloads, pa.binary()), pa.nulls(k, ids_type), pa.array(np.zeros(k, np.int64)), none, none], FIELDS)
+            none = pa.nulls(m, pa.binary())
+            yield pa.record_batch([pa.array(["recipe"] * m), none, pa.array(np.zeros(m, np.int32)), none, batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(names, pa.binary()), pa.array(parts, pa.binary())], FIELDS)
         encoder.trim()
 
-    return docs.select(F.col(id_col).alias("doc_id"), blank(F.col(text)).alias("text")).mapInPandas(rows, schema)
+    return own.mapInArrow(rows, schema)
 
 
 def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text") -> str:
@@ -297,25 +339,17 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     small_batches(spark, 1000)
     path = path or fresh_path(spark, "token-store")
     rows = encoded_rows(docs, tokenizer or default_tokenizer(), id_col, text)
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.when(F.col("k").isNull(), F.xxhash64("doc_id", "names")).otherwise(F.xxhash64("k"))).sortWithinPartitions("k")
-
-    def once(batches):
-        forget()  # the words are not needed from here on
-        last = None
-        for pdf in batches:  # equal names are neighbours; recipes have none
-            k = pdf["k"]
-            before = k.shift(1)
-            if len(k):
-                before.iloc[0] = last
-                last = k.iloc[-1]
-            yield pdf[k.isna() | (k != before)]
-
-    dealt.mapInPandas(once, rows.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
+    bucket = F.when(F.col("k").isNull(), F.xxhash64("doc_id", "names")).otherwise(F.xxhash64("k"))
+    before = F.lag("k").over(Window.partitionBy("kind", "bucket").orderBy("k"))  # equal names are neighbours; recipes have none
+    dealt = rows.withColumn("bucket", bucket).withColumn("before", before).filter("k is null or before is null or k <> before").drop("bucket", "before")
+    dealt.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
+    small_batches(spark, 20_000)
     recipes = spark.read.schema(rows.schema).parquet(f"{path}/parts").filter("kind = 'recipe'").select("doc_id", "n_tokens", "names", "lengths")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("names")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "names").withColumn("part", F.spark_partition_id())
 
     def placed(batches):
+        forget()  # words are not needed from here on
         start, slot = 0, 0
         for pdf in batches:
             n_tokens = pdf["n_tokens"].to_numpy(np.int64)
@@ -325,15 +359,12 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
             start, slot = start + int(n_tokens.sum()), slot + len(pdf)
             yield pdf
 
-    local = materialize(ordered.mapInPandas(placed, "doc_id " + ordered.schema["doc_id"].dataType.simpleString() + ", n_tokens long, names binary, lengths array<int>, part int, start long, slot long, root binary"), "recipes", f"{path}/local")
+    local = materialize(ordered.mapInPandas(placed, "doc_id " + ordered.schema["doc_id"].dataType.simpleString() + ", n_tokens long, names binary, lengths binary, part int, start long, slot long, root binary"), "recipes", f"{path}/local")
     sums = local.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"))
     totals = sorted(sums.collect(), key=lambda r: r["part"])  # one row per recipe file
-    before, offsets = 0, []
-    for r in totals:
-        offsets.append((r["part"], before))
-        before += r["n_tokens"]
-    at = F.element_at(F.create_map(*[F.lit(int(v)) for x in offsets for v in x]).cast("map<int,bigint>"), F.col("part")) if offsets else F.lit(0).cast("long")
-    local.withColumn("start", F.col("start") + at).select("doc_id", "start", "n_tokens", "names", "lengths", "root", "part", "slot").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    ends = np.cumsum([0, *(r["n_tokens"] for r in totals)]).tolist()
+    offsets = F.broadcast(spark.createDataFrame([(r["part"], before) for r, before in zip(totals, ends)], "part int, before long"))
+    local.join(offsets, "part").withColumn("start", F.col("start") + F.col("before")).select("doc_id", "start", "n_tokens", "names", "lengths", "root", "part", "slot").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     def rooted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("slot")
@@ -358,32 +389,35 @@ def checked_chunks(spark: SparkSession, path: str) -> DataFrame:
     width = (spark.read.parquet(f"{path}/manifest").first() or {"width": 2})["width"]
 
     def rows(batches):
-        for pdf in batches:
-            for name, payload, n in zip(pdf["k"], pdf["payload"], pdf["n"]):
+        for batch in batches:
+            payloads, lengths, crc = batch.column("payload"), batch.column("n").to_pylist(), []
+            for name, payload, n in zip(batch.column("k").to_pylist(), payloads.to_pylist(), lengths):
                 if hashlib.blake2b(payload, digest_size=16).digest() != name or len(payload) != n * width:
                     raise ValueError(f"damaged chunk {name.hex()} in {path}")
-            crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in pdf["payload"]]
-            yield pd.DataFrame({"name": pdf["k"], "length": pdf["n"], "crc": np.array(crc, np.int64)})
+                crc.append(zlib.crc32(payload if width == 4 else np.frombuffer(payload, "<u2").astype("<u4")))
+            yield pa.record_batch([batch.column("k"), batch.column("n"), pa.array(crc, pa.int64())], ["name", "length", "crc"])
 
-    return store_chunks(spark, path).mapInPandas(rows, "name binary, length int, crc long")
+    return store_chunks(spark, path).mapInArrow(rows, "name binary, length int, crc long")
 
 
 def recipe_rows(spark: SparkSession, path: str) -> DataFrame:
     """``(part, slot, name, n, behind)`` per chunk of each document; ``behind``: bytes after it, at 4 an id."""
 
     def rows(batches):
-        for pdf in batches:
-            each = [[names[i : i + 16] for i in range(0, len(names), 16)] for names in pdf["names"]]
-            for part, slot, names, root in zip(pdf["part"], pdf["slot"], each, pdf["root"]):
-                if merkle(names) != root:
-                    raise ValueError(f"recipe {part}/{slot} of {path} does not match its root")
-            count = np.array([len(x) for x in each])
-            n = np.concatenate([np.asarray(x, np.int64) for x in pdf["lengths"]]) if len(each) else np.zeros(0, np.int64)
-            ends, total = np.cumsum(n), np.add.reduceat(n, np.cumsum(count) - count) if len(n) else n
-            done = np.repeat(np.cumsum(total), count)
-            yield pd.DataFrame({"part": np.repeat(pdf["part"].to_numpy(), count), "slot": np.repeat(pdf["slot"].to_numpy(), count), "seq": np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count), "name": [x for names in each for x in names], "n": n, "behind": 4 * (done - ends)})
-
-    return spark.read.parquet(f"{path}/recipes").select("part", "slot", "names", "lengths", "root").mapInPandas(rows, "part int, slot long, seq int, name binary, n int, behind long")
+        for batch in batches:
+            names = batch.column("names").to_pylist()
+            for place, (joined, root) in enumerate(zip(names, batch.column("root").to_pylist())):
+                if merkle([joined[i : i + 16] for i in range(0, len(joined), 16)]) != root:
+                    raise ValueError(f"recipe {batch.column('part')[place]}/{batch.column('slot')[place]} of {path} does not match its root")
+            count = np.fromiter(map(len, names), np.int64, len(names)) // 16
+            n = np.frombuffer(b"".join(batch.column("lengths").to_pylist()), "<u4").astype(np.int64)
+            first = np.cumsum(count) - count
+            ends = np.cumsum(n)
+            done = np.repeat(np.concatenate([[0], ends])[first + count], count)
+            of = np.repeat(np.arange(len(names)), count)
+            yield pa.record_batch([batch.column("part").take(pa.array(of)), batch.column("slot").take(pa.array(of)), pa.array((np.arange(len(n)) - first[of]).astype(np.int32)), pa.array([x[i : i + 16] for x in names for i in range(0, len(x), 16)], pa.binary()), pa.array(n.astype(np.int32)), pa.array(4 * (done - ends))], ["part", "slot", "seq", "name", "n", "behind"])
+
+    return spark.read.parquet(f"{path}/recipes").select("part", "slot", "names", "lengths", "root").mapInArrow(rows, "part int, slot long, seq int, name binary, n int, behind long")
 
 
 def verify_store(spark: SparkSession, path: str, checked: bool = True) -> DataFrame:
