@@ -151,7 +151,7 @@ def test_quality_features_match_brute_force(spark):
 
 
 def brute_kneser_ney(counts):
-    """Interpolated modified Kneser-Ney over tuples of classes, straight from the formulas."""
+    """Interpolated modified Kneser-Ney over tuples of units, straight from the formulas."""
     tables = {4: dict(counts)}
     for order in (3, 2, 1):
         tables[order] = Counter(k[1:] for k in tables[order + 1])
@@ -165,7 +165,7 @@ def brute_kneser_ney(counts):
 
     def p(key):
         if not key:
-            return 1 / 32
+            return 1 / 65536
         rows = {k: v for k, v in tables[len(key)].items() if k[:-1] == key[:-1]}
         if not rows:
             return p(key[1:])
@@ -177,17 +177,72 @@ def brute_kneser_ney(counts):
     return p
 
 
-def test_language_model_matches_the_formulas(spark):
-    texts = ["the cat sat on the mat and the dog sat on the log while it was raining over the hills again today.\n" * 2, "a completely different text about numbers 1 2 3 and words that go on, and on, for twenty words or more than that I think."]
-    model = quality.fit(frame(spark, [(i, t, "en") for i, t in enumerate(texts)]).select("lang", "text"))["en"]
-    split = lambda key: tuple(int(key) >> (5 * k) & 31 for k in (3, 2, 1, 0))
-    counts = Counter(split(k) for t in texts for k in quality.ngram_keys(t))
-    p = brute_kneser_ney(counts)
-    keys = np.array(sorted({int(k) for k in quality.ngram_keys(texts[0])}) + [0, 12345, 999_999, 31 << 15])
-    got = model.log_probability(keys)
-    assert np.allclose(got, [math.log(p(split(k))) for k in keys], atol=2e-4)
-    some = [(7 << 5) | 4 for _ in range(1)][0]
-    assert abs(sum(math.exp(x) for x in model.log_probability(np.array([((19 << 10 | some) << 5) | c for c in range(32)]))) - 1) < 1e-3
+def brute_grams(text):
+    units = [int.from_bytes(x, "little") for x in zip(*[iter(("\n\n\n" + text).encode("utf-16-le"))] * 2)]
+    units = [48 if 48 <= u <= 57 else u for u in units]
+    return [tuple(units[i : i + 4]) for i in range(len(units) - 3)]
+
+
+QUALITY_TEXTS = [
+    ("en", "the cat sat on the mat and the dog sat on the log while it was raining over the hills again today.\n" * 2), ("en", "a completely different text about numbers 1 2 3 and words that go on, and on, for twenty words or more than that I think."),
+    ("en", "x#$ y## the *** cat&& sat"), ("ru", "съешь ещё этих мягких французских булок, да выпей же чаю " * 3), (None, "short \U00010330\U00010331 text"), ("fr", ""),
+]
+
+
+def brute_perplexity(rows):
+    """Per row the perplexity under its language's two estimates; None for an empty text."""
+    out = []
+    for lang, text in rows:
+        every = Counter(g for of, t in rows if of == lang for g in brute_grams(t))
+        known = Counter(g for of, t in rows if of == lang and quality.reference(t) for g in brute_grams(t))
+        one, two = brute_kneser_ney(every), brute_kneser_ney(known)
+        trust = quality.TRUST if known else 0
+        grams = brute_grams(text)
+        out.append(math.exp(-sum(math.log((1 - trust) * one(g) + (trust * two(g) if trust else 0)) for g in grams) / len(grams)) if grams else None)
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [quality.SHARD_ROWS, 60])
+def test_perplexity_matches_the_formulas(spark, shard_rows):
+    rows = frame(spark, [(i, t, lang) for i, (lang, t) in enumerate(QUALITY_TEXTS)])
+    got = {x["doc_id"]: x for x in quality.judge(rows, shard_rows=shard_rows).collect()}
+    for i, want in enumerate(brute_perplexity(QUALITY_TEXTS)):
+        assert math.isnan(got[i]["perplexity"]) if want is None else math.isclose(got[i]["perplexity"], want, rel_tol=2e-5), i
+        assert got[i]["lang"] == QUALITY_TEXTS[i][0]
+
+
+def test_kept_follows_from_the_bands(spark):
+    from statistics import median_low
+
+    docs = [(x["doc_id"], x["text"], x["lang"]) for x in documents()]
+    rows = quality.judge(frame(spark, docs)).collect()
+    assert sorted(x["doc_id"] for x in rows) == sorted(x[0] for x in docs)
+    for lang in {x["lang"] for x in rows}:
+        mine = [x for x in rows if x["lang"] == lang]
+        sound = [math.log(x["perplexity"]) for x in mine if not x["base_failed"]]
+        mid = median_low(sound)
+        reach = max(0.2, 8 * 1.4826 * median_low(abs(x - mid) for x in sound))
+        for x in mine:
+            off = abs(math.log(x["perplexity"]) - mid) if not math.isnan(x["perplexity"]) else 0
+            assert abs(off - reach) < 1e-3 or x["kept"] == (not x["base_failed"] and off <= reach)
+
+
+def test_the_model_grows_with_scripts_and_texts(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("абвгдежзиклмнопрст") for _ in range(r.randrange(2, 9))) for _ in range(300)]
+    prose = [" ".join(r.choice(words) for _ in range(120)) for _ in range(60)]
+    salad = " ".join("".join(r.choice("юяэъыщшчцхфё") for _ in range(6)) for _ in range(120))
+    got = quality.judge(frame(spark, [(i, t, "ru") for i, t in enumerate([*prose, salad])])).collect()
+    assert {x["doc_id"] for x in got if x["kept"]} == set(range(60))
+    few, many = (quality.count_ngrams(frame(spark, [(i, t, "ru") for i, t in enumerate(texts)]).selectExpr("lang of", "text")).count() for texts in (prose[:5], prose))
+    assert many > 1.5 * few
+
+
+def test_quality_of_an_empty_table_and_a_very_long_text(spark):
+    assert quality.judge(frame(spark, [])).count() == 0 and quality.keep_good(frame(spark, [])).count() == 0
+    long = " ".join(str(i) + "word" for i in range(300_000))
+    got = {x["doc_id"]: x for x in quality.judge(frame(spark, [(1, long, "en"), (2, "a b " * 30, "en"), (2, "a b " * 30, "en")])).collect()}
+    assert got[1]["n_words"] == 300_000 and got[1]["word_chars"] == len(long) - 299_999 and not got[1]["base_failed"] and got[2]["base_failed"]
 
 
 def test_quality_rejects_noise_and_keeps_prose(spark):
