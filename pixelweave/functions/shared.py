@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset a temporary folder, remembered in the session."""
+    """``spark.checkpoint.dir``; only where it is unset and all runs on one machine a temporary folder, remembered in the session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pixelweave.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pixelweave-")
         spark.conf.set("pixelweave.shared.dir", found)
     return found.rstrip("/")
@@ -22,3 +28,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/pixelweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(table: DataFrame, rows: int = 2000) -> DataFrame:
+    """Broadcast hint for a written table of few rows, behind a count; above it Spark's own join choice holds."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``kernel`` on the rows of each group, sorted by ``order``.
+
+    The groups of a partition stream through one call, so many small groups do
+    not cost a call each; what is in memory is one group and one batch.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+
+        def done(pdf: pd.DataFrame, bounds: list[int]) -> Iterator[pd.DataFrame]:
+            out = [kernel(pdf.iloc[a:b].reset_index(drop=True)) for a, b in zip(bounds, bounds[1:])]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if rest and (pdf[keys].iloc[-1] == rest[0][keys].iloc[0]).all():  # the open group goes on to the end
+                rest.append(pdf)
+                continue
+            pdf = pd.concat([*rest, pdf], ignore_index=True)
+            held = pdf[keys].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1)])).tolist()
+            yield from done(pdf, starts)
+            rest = [pdf.iloc[starts[-1] :]]
+        if rest:
+            pdf = pd.concat(rest, ignore_index=True)
+            yield from done(pdf, [0, len(pdf)])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(rows, schema)

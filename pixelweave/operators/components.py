@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.functions.shared import materialize
+from pixelweave.functions.shared import by_group, materialize, small
 
 STRIP = 256
 SIMILAR = 0.045
@@ -83,15 +83,13 @@ def components(cells: DataFrame, values: list[str], limit: float | None = None)
     Four-neighbours belong together if all ``values`` are equal, or, given a
     ``limit``, if their squared distance is under it.
     """
-    own = cells.select("image_id", "i", "x", "y", *values)
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", ignore_index=True)
         roots = label_edges(len(pdf), *touching(pdf, values, limit))
-        return pdf.assign(local=pdf["i"].to_numpy()[roots])
+        return pdf.drop(columns="strip").assign(local=pdf["i"].to_numpy()[roots])
 
-    schema = own.schema.add("local", "long")
-    local = materialize(own.withColumn("strip", F.floor(F.col("y") / STRIP)).groupBy("image_id", "strip").applyInPandas(lambda pdf: label(pdf.drop(columns="strip")), schema), "strips")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema) + ", local long"
+    local = materialize(by_group(cells.withColumn("strip", F.floor(F.col("y") / STRIP)), ["image_id", "strip"], ["i"], label, schema), "strips")
     last = local.filter(F.col("y") % STRIP == STRIP - 1).select("image_id", "x", (F.col("y") + 1).alias("y"), F.col("local").alias("v"), *[F.col(c).alias(f"_{c}") for c in values])
     first = local.filter(F.col("y") % STRIP == 0).select("image_id", "x", "y", F.col("local").alias("u"), *values)
     if limit is None:
@@ -101,8 +99,8 @@ def components(cells: DataFrame, values: list[str], limit: float | None = None)
     else:
         alike = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in values), F.lit(0.0)) < limit
     roots = star_components(first.join(last, ["image_id", "x", "y"]).filter(alike).select("image_id", "u", "v"))
-    joined = local.join(roots.withColumnRenamed("node", "local"), ["image_id", "local"], "left").select("image_id", "i", F.coalesce("root", "local").alias("comp"))
-    return cells.join(joined, ["image_id", "i"])
+    roots = small(materialize(roots.withColumnRenamed("node", "local"), "roots"), 100_000)
+    return local.join(roots, ["image_id", "local"], "left").withColumn("comp", F.coalesce("root", "local")).select(*cells.columns, "comp")
 
 
 def segment(pixels: DataFrame) -> DataFrame:
@@ -158,14 +156,18 @@ def despeckle(cells: DataFrame, min_region: int) -> DataFrame:
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         now: dict[int, int] = {}
-        for comp, near in pdf.sort_values("comp").groupby("comp", sort=True):
-            tally: dict[int, int] = {}
-            for beside, color, n in zip(near["beside"], near["color"], near["n"]):
-                color = now.get(beside, color)
-                tally[color] = tally.get(color, 0) + n
-            now[comp] = min(tally, key=lambda c: (-tally[c], c))
+        tally: dict[int, int] = {}
+        last = None
+        for comp, beside, color, n in zip(*(pdf[c].tolist() for c in ("comp", "beside", "color", "n"))):
+            if comp != last and last is not None:
+                now[last] = min(tally, key=lambda c: (-tally[c], c))  # noqa: B023
+                tally = {}
+            last = comp
+            color = now.get(beside, color)
+            tally[color] = tally.get(color, 0) + n
+        now[last] = min(tally, key=lambda c: (-tally[c], c))
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "comp": list(now), "painted": list(now.values())})
 
-    painted = grouped.select("image_id", "island", "comp", "beside", "color", "n").groupBy("image_id", "island").applyInPandas(resolve, "image_id long, comp long, painted int")
+    painted = by_group(grouped.select("image_id", "island", "comp", "beside", "color", "n"), ["image_id", "island"], ["comp"], resolve, "image_id long, comp long, painted int")
     out = labelled.join(painted, ["image_id", "comp"], "left").withColumn("pid", F.coalesce("painted", "pid"))
     return out.select("image_id", "i", "x", "y", "pid")

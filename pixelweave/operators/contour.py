@@ -14,41 +14,55 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.functions.shared import by_group
+
 EPSILON, STRAIGHT = 0.75, 1e-3
 RING = "array<struct<x:double,y:double>>"
 
 
-def border_edges(cells: set[tuple[int, int]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """Directed border edges as start corner -> end corners."""
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x, y in cells:
-        sides = (((x, y - 1), (x, y), (x + 1, y)), ((x + 1, y), (x + 1, y), (x + 1, y + 1)), ((x, y + 1), (x + 1, y + 1), (x, y + 1)), ((x - 1, y), (x, y + 1), (x, y)))
-        for beyond, a, b in sides:
-            if beyond not in cells:
-                out.setdefault(a, []).append(b)
-    return out
-
-
-def link_rings(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Closed corner rings, each from its topmost, then leftmost corner."""
-    edges = border_edges(cells)
-    rings = []
-    for start in sorted(edges, key=lambda c: (c[1], c[0])):
-        while edges[start]:
-            at, came, ring = start, None, []
-            while True:
-                ends = edges[at]
-                if len(ends) > 1 and came is not None:
-                    right = (at[0] - came[1], at[1] + came[0])
-                    end = right if right in ends else ends[0]
-                else:
-                    end = min(ends, key=lambda c: (c[1] - at[1], -(c[0] - at[0])))
-                ends.remove(end)
+#: Steps of an edge in directions 0 to 3: right, down, left, up; the set cell lies to the right of each.
+STEPS = np.array([[1, 0], [0, 1], [-1, 0], [0, -1]])
+
+
+def border_edges(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start corner ``(x, y)`` and direction of every border edge of the cells, by corner (rows first), then direction."""
+    width = int(x.max() - x.min()) + 3
+    own = np.sort((y - y.min() + 1) * width + x - x.min() + 1)
+    cx, cy = own % width + x.min() - 1, own // width + y.min() - 1
+    starts, ways = [], []
+    for way, (beyond, dx, dy) in enumerate(((-width, 0, 0), (1, 1, 0), (width, 1, 1), (-1, 0, 1))):
+        at = np.minimum(np.searchsorted(own, own + beyond), len(own) - 1)
+        open_ = own[at] != own + beyond
+        starts.append(np.stack([cx[open_] + dx, cy[open_] + dy], axis=1))
+        ways.append(np.full(int(open_.sum()), way))
+    starts, ways = np.concatenate(starts), np.concatenate(ways)
+    order = np.lexsort((ways, starts[:, 0], starts[:, 1]))
+    return starts[order], ways[order]
+
+
+def link_rings(cells) -> list[np.ndarray]:
+    """Closed corner rings of a set or array of ``(x, y)`` cells, each from its topmost, then leftmost corner, in the order of these."""
+    cells = np.array(list(cells) if isinstance(cells, set) else cells, np.int64).reshape(-1, 2)
+    if not len(cells):
+        return []
+    starts, ways = border_edges(cells[:, 0], cells[:, 1])
+    width = int(starts[:, 0].max() - starts[:, 0].min()) + 2
+    name = lambda at, way: ((at[:, 1] - starts[:, 1].min()) * width + at[:, 0] - starts[:, 0].min()) * 4 + way
+    names, ends = name(starts, ways), starts + STEPS[ways]
+    follows = np.full(len(names), -1)
+    for turn in (3, 0, 1):  # left and straight on first: where a right turn is possible it wins
+        at = np.minimum(np.searchsorted(names, name(ends, (ways + turn) % 4)), len(names) - 1)
+        hit = names[at] == name(ends, (ways + turn) % 4)
+        follows[hit] = at[hit]
+    rings, follows, seen = [], follows.tolist(), bytearray(len(names))
+    for first in range(len(names)):
+        if not seen[first]:
+            ring, at = [], first
+            while not seen[at]:
+                seen[at] = 1
                 ring.append(at)
-                came, at = (end[0] - at[0], end[1] - at[1]), end
-                if at == start:
-                    break
-            rings.append(ring)
+                at = follows[at]
+            rings.append(starts[ring])
     return rings
 
 
@@ -109,8 +123,8 @@ def simplify_ring(ring, epsilon: float = EPSILON) -> np.ndarray:
     return out if len(out) >= 3 else p
 
 
-def mask_rings(cells: set[tuple[int, int]], epsilon: float = EPSILON) -> list[tuple[bool, np.ndarray]]:
-    """``(is hole, ring)`` of a mask, outer rings first, straight corners dropped and simplified."""
+def mask_rings(cells, epsilon: float = EPSILON) -> list[tuple[bool, np.ndarray]]:
+    """``(is hole, ring)`` of a mask's cells, outer rings first, straight corners dropped and simplified."""
     found = []
     for ring in link_rings(cells):
         hole = signed_area(ring) < 0
@@ -120,23 +134,17 @@ def mask_rings(cells: set[tuple[int, int]], epsilon: float = EPSILON) -> list[tu
     return sorted(found, key=lambda r: r[0])
 
 
-def trace_rings(mask: DataFrame, keys: list[str], epsilon: float = EPSILON, slots: int = 64) -> DataFrame:
-    """``(keys, ring_id, is_hole, pts)`` of each mask ``(keys, x, y)``; a mask is one region of one image.
-
-    Regions are dealt out to ``slots`` kernel calls an image, so that many small
-    ones do not cost a call each.
-    """
+def trace_rings(mask: DataFrame, keys: list[str], epsilon: float = EPSILON) -> DataFrame:
+    """``(keys, ring_id, is_hole, pts)`` of each mask ``(keys, x, y)``; a mask is one region of one image."""
     schema = ", ".join(f"{k} {mask.schema[k].dataType.simpleString()}" for k in keys)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for own, cells in pdf.groupby(keys, sort=True):
-            for k, (hole, points) in enumerate(mask_rings(set(zip(cells["x"].tolist(), cells["y"].tolist())), epsilon)):
-                out.append((*own, k, hole, [{"x": float(x), "y": float(y)} for x, y in points]))
-        return pd.DataFrame(out, columns=[*keys, "ring_id", "is_hole", "pts"])
+    def kernel(cells: pd.DataFrame) -> pd.DataFrame:
+        own = tuple(cells[keys].iloc[0])
+        rings = mask_rings(cells[["x", "y"]].to_numpy(), epsilon)
+        rows = [(*own, k, hole, [{"x": a, "y": b} for a, b in points.tolist()]) for k, (hole, points) in enumerate(rings)]
+        return pd.DataFrame(rows, columns=[*keys, "ring_id", "is_hole", "pts"])
 
-    dealt = mask.select(*keys, "x", "y").withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(slots)))
-    return dealt.groupBy(keys[0], "slot").applyInPandas(kernel, f"{schema}, ring_id int, is_hole boolean, pts {RING}")
+    return by_group(mask.select(*keys, "x", "y"), keys, [], kernel, f"{schema}, ring_id int, is_hole boolean, pts {RING}")
 
 
 def simplify_rings(rings: DataFrame, epsilon: float = EPSILON) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions.color import hex_color, oklab, oklab_to_bytes, squared_distance, with_oklab
+from pixelweave.functions.shared import materialize, small
 
 SAMPLE, ROUNDS = 20_000, 8
 LAB = ("l", "oa", "ob")
@@ -45,11 +46,23 @@ def median_cut_step(colors: DataFrame) -> DataFrame:
     return ranked.withColumn("half", F.when(F.col("rank") <= F.floor(F.col("n") / 2), 0).otherwise(1)).drop("axis", "n", "rank")
 
 
+def with_nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:
+    """``colors`` with the ``pid`` of the closest palette entry, the lowest of ties.
+
+    A palette has 256 rows at most and becomes one array per image, so the
+    colours are read once and not multiplied by the palette. Colours of images
+    without a palette are dropped.
+    """
+    entries = palette.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("pid", *LAB))).alias("entries"))
+    entries = small(materialize(entries, "palettes"))
+    d = lambda e: squared_distance([F.col(c) for c in LAB], [e[c] for c in LAB])
+    least = F.array_min(F.transform("entries", lambda e: F.struct(d(e).alias("d"), e["pid"].alias("pid"))))
+    return colors.join(entries, "image_id").withColumn("pid", least["pid"]).drop("entries")
+
+
 def nearest(colors: DataFrame, palette: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and ``pid`` of the closest palette entry; the lowest of ties. Palettes have 256 rows at most."""
-    other = palette.select("image_id", "pid", *[F.col(c).alias(f"p_{c}") for c in LAB])
-    d = squared_distance([F.col(c) for c in LAB], [F.col(f"p_{c}") for c in LAB])
-    return colors.join(other, "image_id").groupBy(*keys).agg(F.min_by("pid", F.struct(d.alias("d"), F.col("pid").alias("p"))).alias("pid"))
+    """``keys`` and ``pid`` of the closest palette entry."""
+    return with_nearest(colors, palette).select(*keys, "pid")
 
 
 def assign(pixels: DataFrame, palette: DataFrame) -> DataFrame:
@@ -78,14 +91,13 @@ def order_by_area(assigned: DataFrame, palette: DataFrame) -> DataFrame:
 
 def lloyd_round(colors: DataFrame, palette: DataFrame) -> DataFrame:
     """One refinement: means of the members, an empty entry keeps its place."""
-    near = colors.join(nearest(colors, palette, ["image_id", "i"]), ["image_id", "i"])
-    means = near.groupBy("image_id", "pid").agg(*[F.avg(c).alias(f"m_{c}") for c in LAB])
+    means = with_nearest(colors, palette).groupBy("image_id", "pid").agg(*[F.avg(c).alias(f"m_{c}") for c in LAB])
     return palette.join(means, ["image_id", "pid"], "left").select("image_id", "pid", *[F.coalesce(f"m_{c}", c).alias(c) for c in LAB])
 
 
 def lloyd(colors: DataFrame, palette: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
-        palette = lloyd_round(colors, palette)
+        palette = materialize(lloyd_round(colors, palette), "lloyd")  # a round must not be computed again in the next
     return palette
 
 

@@ -111,14 +111,21 @@ def merge(model: Model, source: str, target: str) -> Model:
 def reorder(model: Model, layer_id: str, up: bool) -> Model:
     """Swap a layer with its neighbour in the list and move its shapes as one block.
 
-    Upwards (towards the list's start) the block goes before the neighbour's
-    first shape, downwards behind its last. At the list's ends nothing changes.
+    Neighbours are next to each other in the list's order, whatever gaps
+    earlier edits left in ``pos``. Upwards (towards the list's start) the block
+    goes before the neighbour's first shape, downwards behind its last; beside
+    a layer without shapes it goes to the start or end of all shapes. At the
+    list's ends nothing changes.
     """
     step = -1 if up else 1
-    own = model.layers.filter(F.col("layer_id") == layer_id).select("svg_id", F.col("pos").alias("own_pos"))
-    swap = own.join(model.layers.select("svg_id", F.col("pos").alias("other_pos"), F.col("layer_id").alias("other")), (own["svg_id"] == model.layers["svg_id"]) & (F.col("other_pos") == F.col("own_pos") + step)).select(own["svg_id"], "own_pos", "other_pos", "other")
+    by_pos = Window.partitionBy("svg_id").orderBy("pos")
+    beside = F.lag if up else F.lead
+    listed = model.layers.select("svg_id", "layer_id", F.col("pos").alias("own_pos"), beside("pos").over(by_pos).alias("other_pos"), beside("layer_id").over(by_pos).alias("other"))
+    swap = listed.filter((F.col("layer_id") == layer_id) & F.col("other").isNotNull()).drop("layer_id")
     layers = model.layers.join(swap, "svg_id", "left").withColumn("pos", F.when(F.col("layer_id") == layer_id, F.coalesce("other_pos", "pos")).when(F.col("layer_id") == F.col("other"), F.col("own_pos")).otherwise(F.col("pos"))).select(*model.layers.columns)
-    edge = model.shapes.join(swap.select("svg_id", "other"), "svg_id").filter(F.col("layer_id") == F.col("other")).groupBy("svg_id").agg((F.min("seq") if up else F.max("seq")).alias("edge"))
+    place = F.when(F.col("layer_id") == F.col("other"), F.col("seq"))
+    at = (F.min if up else F.max)
+    edge = model.shapes.join(swap.select("svg_id", "other"), "svg_id").groupBy("svg_id").agg(F.coalesce(at(place), at("seq")).alias("edge"))
     joined = model.shapes.join(edge, "svg_id", "left")
     mine = (F.col("layer_id") == layer_id) & F.col("edge").isNotNull()
     key = F.when(mine, F.struct(F.col("edge").alias("k"), F.lit(step).alias("o"), F.col("seq").alias("s"))).otherwise(F.struct(F.col("seq").alias("k"), F.lit(0).alias("o"), F.col("seq").alias("s")))

@@ -10,6 +10,7 @@ from pixelweave.functions.color import hex_color, luma, oklab_to_bytes, reduce_b
 from pixelweave.functions.shared import materialize
 from pixelweave.operators import classify, components, contour, gradient, palette, stencil
 from pixelweave.plans.layers import layers_from_svg
+from pixelweave.sources import rasters
 
 RESULT = "image_id long, svg string, stats struct<path_count:int,path_count_distinct:int,palette:array<string>,classified_as:string,est_bytes:long>"
 
@@ -98,13 +99,25 @@ def locked_palettes(spark: SparkSession, images: DataFrame, options: params.Opti
     return images.select("image_id", F.inline(entries))
 
 
+def bounded(pixels: DataFrame, longest: int = rasters.LONGEST_EDGE) -> DataFrame:
+    """``pixels`` with images beyond the longest edge brought down to it; the others are left alone."""
+    over = stencil.image_sizes(pixels).filter(F.greatest("w", "h") > longest).select("image_id")
+    over = materialize(over, "oversized")
+    if over.isEmpty():
+        return pixels
+    large = rasters.downsample(pixels.join(over, "image_id", "left_semi"), longest)
+    return materialize(pixels.join(over, "image_id", "left_anti").unionByName(large), "bounded")
+
+
 def trace(pixels: DataFrame, options: params.Options = params.DEFAULT) -> DataFrame:
     """``(image_id, svg, stats)`` of every image of the pixel relation.
 
+    Images beyond ``LONGEST_EDGE`` are brought down to it first.
     With an empty ``lock_palette`` nothing is quantized: every pixel keeps its
     colour. Images without an opaque pixel give an SVG without a path.
     """
     spark = pixels.sparkSession
+    pixels = bounded(pixels)
     if options.bw_mode:
         return trace_bw(pixels)
     detail = min(max(options.detail, 0.0), 1.0)
@@ -170,18 +183,29 @@ def variation_specs(base: params.Options = params.EDITOR) -> list[tuple[str, dic
 
 
 def sweep(pixels: DataFrame, options: params.Options = params.EDITOR, variations=None) -> DataFrame:
-    """Traces under every variation: ``(variant, name, image_id, svg, stats)``. Invalid patches are left out; if all are, an error."""
+    """Traces under every variation: ``(variant, name, image_id, svg, stats, error)``.
+
+    Every image has a row per variation. A patch that does not fit gives rows
+    with its ``error`` and no SVG; if all are such, it is raised. Pixels are
+    read, bounded and classified once for all variations.
+    """
     from dataclasses import replace
 
-    out, wrong = None, []
-    for n, (name, patch) in enumerate(variations or variation_specs(options)):
+    changed, wrong = {}, {}
+    named = list(variations or variation_specs(options))
+    for n, (name, patch) in enumerate(named):
         try:
-            changed = replace(options, **patch)
+            changed[n] = replace(options, **patch)
         except (TypeError, ValueError) as e:
-            wrong.append(str(e))
-            continue
-        rows = trace(pixels, changed).select(F.lit(n).alias("variant"), F.lit(name).alias("name"), "image_id", "svg", "stats")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("; ".join(wrong))
-    return out
+            wrong[n] = str(e)
+    if not changed:
+        raise ValueError("; ".join(wrong.values()))
+    shared = materialize(bounded(pixels), "sweep-pixels")
+    images = shared.select("image_id").distinct()
+    rows = [trace(shared, o).select(F.lit(n).alias("variant"), "image_id", "svg", "stats", F.lit(None).cast("string").alias("error")) for n, o in changed.items()]
+    empty = RESULT.split("stats ")[1]
+    rows += [images.select(F.lit(n).alias("variant"), "image_id", F.lit(None).cast("string").alias("svg"), F.lit(None).cast(empty).alias("stats"), F.lit(e).alias("error")) for n, e in wrong.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("name", F.element_at(F.array(*[F.lit(name) for name, _ in named]), F.col("variant") + 1)).select("variant", "name", "image_id", "svg", "stats", "error")

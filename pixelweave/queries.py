@@ -347,9 +347,9 @@ def gradient_axis(spark, sf_dir):
     return axis.select("image_id", *rounded("cx", "cy"), F.round("ux", 5).alias("ux"), F.abs(F.round("uy", 5)).alias("uy"))
 
 
-@query(f"WITH {REGIONS}, {BINNED} SELECT image_id, bin, n, round(l, 6) AS l, round(oa, 6) AS oa, round(ob, 6) AS ob FROM pf WHERE image_id = 0")
+@query(f"WITH {REGIONS}, {BINNED} SELECT image_id, bin, n, round(l, 6) AS l, round(oa, 6) AS oa, round(ob, 6) AS ob FROM pf")
 def gradient_profile(spark, sf_dir):
-    return gradient.profile(two_binned(spark, sf_dir)).filter("image_id = 0").select("image_id", "bin", "n", *rounded("l", "oa", "ob"))
+    return gradient.profile(two_binned(spark, sf_dir)).select("image_id", "bin", "n", *rounded("l", "oa", "ob"))
 
 
 @query(
@@ -538,6 +538,36 @@ def reorder_layers(spark, sf_dir):
     return layers.reorder(model(spark, sf_dir), "layer-2", up=True).shapes.select("svg_id", "seq", "d", "layer_id")
 
 
+EDITED = """n AS (SELECT svg_id, row_number() OVER (PARTITION BY svg_id ORDER BY seq) - 1 AS seq, d, layer_id, color FROM sh WHERE layer_id NOT IN ('layer-2')),
+    e AS (SELECT svg_id, min(seq) AS k FROM n WHERE layer_id = 'layer-1' GROUP BY 1),
+    up AS (SELECT svg_id, row_number() OVER (PARTITION BY svg_id ORDER BY CASE WHEN layer_id = 'layer-3' AND k IS NOT NULL THEN k - 0.5 ELSE seq END, seq) - 1 AS seq, d, layer_id, color FROM n LEFT JOIN e USING (svg_id)),
+    ls AS (SELECT svg_id, row_number() OVER (PARTITION BY svg_id ORDER BY CASE layer_id WHEN 'layer-3' THEN 1 WHEN 'layer-1' THEN 3 ELSE pos END) AS place, layer_id FROM ly WHERE layer_id <> 'layer-2'),
+    nx AS (SELECT a.svg_id, b.layer_id AS other FROM ls a JOIN ls b ON a.svg_id = b.svg_id AND b.place = a.place + 1 WHERE a.layer_id = 'layer-1'),
+    f AS (SELECT svg_id, max(seq) AS k FROM up JOIN nx USING (svg_id) WHERE layer_id = other GROUP BY 1),
+    dn AS (SELECT svg_id, CAST(row_number() OVER (PARTITION BY svg_id ORDER BY CASE WHEN layer_id = 'layer-1' AND k IS NOT NULL THEN k + 0.5 ELSE seq END, seq) - 1 AS INT) AS seq, d, layer_id FROM up LEFT JOIN f USING (svg_id))"""
+
+
+@query(f"WITH {SHAPES}, {EDITED} SELECT * FROM dn")
+def edits_in_sequence(spark, sf_dir):
+    """A removal, then a layer moved up over the gap, then one moved down."""
+    edited = layers.reorder(layers.reorder(layers.remove(model(spark, sf_dir), "layer-2"), "layer-3", up=True), "layer-1", up=False)
+    return edited.shapes.select("svg_id", "seq", "d", "layer_id")
+
+
+@query(f"WITH {SHAPES} SELECT svg_id, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"640\" height=\"480\" viewBox=\"0 0 640 480\">' || string_agg({MARKUP}, '' ORDER BY seq) || '</svg>' AS svg FROM sh WHERE layer_id <> 'layer-2' GROUP BY 1")
+def serialize_hidden_layer(spark, sf_dir):
+    """Shapes of a hidden layer are not painted."""
+    return layers.serialize_layers(layers.set_visible(model(spark, sf_dir), "layer-2", False), layers.svg_size(svg_texts(spark, sf_dir)))
+
+
+@query(f"WITH {SHAPES} SELECT svg_id, layer_id, color LIKE '#00%' AS visible FROM ly")
+def preview_one_color(spark, sf_dir):
+    """A preview of the colours that are not hidden: here of the first colour alone."""
+    m = model(spark, sf_dir)
+    others = [f"#{k * 20:02x}00{s:02x}" for k in range(1, 11) for s in range(7)]
+    return layers.preview(m, hidden=others).layers.select("svg_id", "layer_id", "visible")
+
+
 @query(f"WITH {SHAPES}, r AS (SELECT *, row_number() OVER (PARTITION BY svg_id ORDER BY count DESC, pos) AS rank, count(*) OVER (PARTITION BY svg_id) AS matched FROM ly WHERE contains(color, '00')) SELECT svg_id, layer_id, count, CAST(rank AS INT) AS rank, matched, greatest(matched - 3, 0) AS hidden FROM r WHERE rank <= 3")
 def layer_list_topk(spark, sf_dir):
     return layers.listing(model(spark, sf_dir).layers, " 00", True, 3).select("svg_id", "layer_id", "count", "rank", "matched", "hidden")
@@ -573,6 +603,29 @@ def trace_gradients(spark, sf_dir):
     return trace.trace(rasters.ramp_pixels(spark, sf_dir), params.Options(gradients=True))
 
 
+LOCKED = ((40, 40, 40), (200, 200, 200))
+
+
+@query(
+    f"""WITH e AS ({EMB}), c AS (SELECT DISTINCT r FROM e), {lab_ctes("(SELECT r, r AS g, r AS b FROM c)", "cl")}, {lab_ctes("(SELECT * FROM (VALUES (0, 40, 40, 40), (1, 200, 200, 200)) v(pid, r, g, b))", "pl")},
+    n AS (SELECT cl.r, arg_min(pl.pid, pow(cl.l - pl.l, 2) + pow(cl.oa - pl.oa, 2) + pow(cl.ob - pl.ob, 2)) AS pid FROM cl, pl GROUP BY 1)
+    SELECT image_id, pid, count(*) AS area FROM e JOIN n USING (r) GROUP BY 1, 2"""
+)
+def lock_palette_areas(spark, sf_dir):
+    """Area of each colour of a locked palette in every tile."""
+    tiles = rasters.embedding_pixels(spark, sf_dir)
+    locked = trace.locked_palettes(spark, tiles.select("image_id").distinct(), params.Options(lock_palette=LOCKED))
+    return palette.assign(tiles, locked).groupBy("image_id", "pid").agg(F.count("*").alias("area"))
+
+
+@query("SELECT CAST(n - 1 AS INT) AS variant, name, image_id, name = 'wrong' AS failed FROM (SELECT * FROM (VALUES (1, 'four'), (2, 'wrong'), (3, 'logo')) v(n, name)), (SELECT vec_id AS image_id FROM embeddings)")
+def sweep_rows(spark, sf_dir):
+    """A sweep over all tiles: a row per image and variation, also where a patch does not fit."""
+    specs = [("four", {"detail": 0.3, "k": 4}), ("wrong", {"no_such_option": 1}), ("logo", {"class_override": "Logo", "k": None})]
+    out = trace.sweep(rasters.embedding_pixels(spark, sf_dir), variations=specs)
+    return out.select("variant", "name", "image_id", (F.col("svg").isNull() & F.col("error").isNotNull()).alias("failed"))
+
+
 @query()
 def trace_black_white(spark, sf_dir):
     return trace.trace(rasters.embedding_pixels(spark, sf_dir), params.Options(bw_mode=True))

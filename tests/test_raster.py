@@ -316,6 +316,85 @@ def test_history_and_edits(spark):
     assert text.count("<path") == 1 and 'viewBox="0 0 5 6"' in text
 
 
+def test_edits_in_sequence(spark):
+    paths = "".join(f'<path d="M{k}" fill="#0000{k:02x}"/>' for k in range(5))
+    model = layers.parse_layers(spark.createDataFrame([(0, f'<svg width="5" height="6">{paths}</svg>')], "svg_id long, svg string"))
+    order = lambda m: ([r["d"] for r in m.shapes.orderBy("seq").collect()], [r["layer_id"] for r in m.layers.orderBy("pos").collect()])
+    removed = layers.remove(model, "layer-2")
+    assert order(layers.reorder(removed, "layer-3", up=True)) == (["M0", "M3", "M1", "M4"], ["layer-0", "layer-3", "layer-1", "layer-4"])
+    merged = layers.merge(model, "layer-1", "layer-0")
+    assert order(layers.reorder(merged, "layer-2", up=True)) == (["M2", "M0", "M1", "M3", "M4"], ["layer-2", "layer-0", "layer-3", "layer-4"])
+    hollow = layers.Model(model.shapes.filter("layer_id <> 'layer-1'"), model.layers)
+    assert order(layers.reorder(hollow, "layer-2", up=True))[0] == ["M2", "M0", "M3", "M4"]
+    assert order(layers.reorder(hollow, "layer-0", up=False)) == (["M2", "M3", "M4", "M0"], ["layer-1", "layer-0", "layer-2", "layer-3", "layer-4"])
+    assert order(layers.reorder(model, "layer-0", up=True)) == order(model) and order(layers.reorder(model, "layer-4", up=False)) == order(model)
+
+
+def test_images_beyond_the_longest_edge_are_brought_down(spark):
+    wide = pixels(spark, image(64, 8, lambda x, y: (220, 30, 30) if x < 32 else (30, 40, 200)))
+    small = pixels(spark, three_band()).withColumn("image_id", F.lit(1).cast("long"))
+    both = trace.bounded(wide.unionByName(small), 32)
+    assert {r["image_id"]: (r["w"], r["h"]) for r in stencil.image_sizes(both).collect()} == {0: (32, 4), 1: (32, 32)}
+    assert trace.bounded(small, 32) is small
+
+
+def brute_islands(grid, most):
+    """Small components in scan order, each painted in the colour that is most frequent around it by then."""
+    h, w = len(grid), len(grid[0])
+    comp = [[-1] * w for _ in range(h)]
+    members = []
+    for y in range(h):
+        for x in range(w):
+            if comp[y][x] < 0:
+                stack, own = [(x, y)], []
+                comp[y][x] = len(members)
+                while stack:
+                    a, b = stack.pop()
+                    own.append((a, b))
+                    for c, d in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
+                        if 0 <= c < w and 0 <= d < h and comp[d][c] < 0 and grid[d][c] == grid[y][x]:
+                            comp[d][c] = len(members)
+                            stack.append((c, d))
+                members.append(own)
+    out = [list(row) for row in grid]
+    for k, own in enumerate(members):
+        if len(own) <= most:
+            tally = {}
+            for a, b in own:
+                for c, d in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
+                    if 0 <= c < w and 0 <= d < h and comp[d][c] != k:
+                        tally[out[d][c]] = tally.get(out[d][c], 0) + 1
+            if tally:
+                paint = min(tally, key=lambda c: (-tally[c], c))
+                for a, b in own:
+                    out[b][a] = paint
+    return out
+
+
+def test_islands_are_resolved_in_scan_order(spark):
+    rng = random.Random(6)
+    grids = [[[rng.randrange(4) for _ in range(9)] for _ in range(7)] for _ in range(30)] + [[[rng.randrange(3) for _ in range(40)] for _ in range(30)]]
+    rows = [(k, y * len(g[0]) + x, x, y, g[y][x]) for k, g in enumerate(grids) for y in range(len(g)) for x in range(len(g[0]))]
+    cells = spark.createDataFrame(rows, "image_id long, i long, x int, y int, pid int")
+    got = {(r["image_id"], r["x"], r["y"]): r["pid"] for r in components.despeckle(cells, 3).collect()}
+    for k, g in enumerate(grids):
+        want = brute_islands(g, 3)
+        assert all(got[k, x, y] == want[y][x] for y in range(len(g)) for x in range(len(g[0])))
+
+
+def test_groups_stream_through_batches(spark):
+    from pixelweave.functions.shared import by_group
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(500).selectExpr("id % 3 a", "id div 100 b", "id")
+        got = by_group(df, ["a", "b"], ["id"], lambda p: p.groupby(["a", "b"], as_index=False).agg(n=("id", "size"), first=("id", "first"), last=("id", "last")), "a long, b long, n long, first long, last long").collect()
+        want = df.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_results_are_written(spark, tmp_path):
     rows = trace.trace(pixels(spark, three_band()))
     rasters.write_results(rows, f"{tmp_path}/json")
@@ -328,6 +407,7 @@ def test_results_are_written(spark, tmp_path):
 def test_sweep_runs_every_valid_variation(spark):
     specs = [("two", {"k": 2}), ("bad", {"detail": 0.5, "photo_mode": "x"}), ("bw", {"bw_mode": True})]
     rows = trace.sweep(pixels(spark, three_band()), variations=specs).collect()
-    assert sorted(r["name"] for r in rows) == ["bw", "two"]
+    assert sorted(r["name"] for r in rows if r["error"] is None) == ["bw", "two"]
+    assert [(r["variant"], r["name"], r["svg"]) for r in rows if r["error"]] == [(1, "bad", None)]
     with pytest.raises(ValueError):
         trace.sweep(pixels(spark, three_band()), variations=specs[1:2])
