@@ -1,23 +1,26 @@
 """Licence scans through a positional rare-token index, with DataFrame functions only.
 
-The index has one row per template and indexed word: the word's offset in the
-template. Which words are indexed follows from the corpus: document frequencies
-of all template words are counted over every document, and each template is
-indexed under the words of its key phrase with the highest IDF. A file's
-occurrences of those words are looked up, the postings of the template's other
-rare words are intersected by relative position, and what aligns is verified
-word by word over the mandatory key phrase.
+Every text is cut into words once; what is kept of it is a small number per
+word, 0 for all words that no template has. Document frequencies of the
+template words are counted over every document. The index holds a template's
+postings (word, offset) under the key-phrase word of the highest IDF, which a
+file with that phrase cannot lack. A file's own licence words are looked up in
+it; a file that lacks a word of the key phrase is out at once. Of the others the
+places of the rarest word are intersected with those of the next rare words by
+relative position, and what aligns is verified word by word over the mandatory
+key phrase. All this happens within a file's array of numbers.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import blank
+from pixelweave.llm.common import blank, materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -37,29 +40,37 @@ TEMPLATES = (
     Template("mit", "under the mit license", "under the mit license", True),
     Template("apache-2", "apache license version 2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", "cc by nc", True),
-    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "you may not use this file except in compliance with the license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("gpl", "under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "you may not use this file except in compliance with the license"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission is hereby granted free of charge"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistribution and use in source and binary forms"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license"),
     Template("cc-by-sa", "licensed under the creative commons attribution sharealike license", "creative commons attribution sharealike"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute this software"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software"),
+    Template("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "permission is granted to anyone to use this software for any purpose"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free and unencumbered software released into the public domain"),
 )
 
 
 def words(text) -> F.Column:
-    """The words in order. Only A-Z of a notice's letters can change by ``lower``, so matches are those of A-Z lower-casing."""
-    return F.regexp_extract_all(F.lower(blank(text)), F.lit(WORD), F.lit(0))
+    """The words in order. But for the Kelvin sign, put aside first, ``lower`` makes a notice's letters of A-Z alone."""
+    return F.regexp_extract_all(F.lower(F.replace(blank(text), F.lit("\u212a"), F.lit("\u0138"))), F.lit(WORD), F.lit(0))
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> tuple[int, dict[str, int]]:
-    """Number of documents, and of those that hold each template word, over all documents."""
+def numbered(docs: DataFrame, vocabulary: list[str], id_col: str, text: str) -> DataFrame:
+    """``(id, mark, n_words, known, numbers)``: each word's place in the vocabulary, from 1, and the distinct ones of them."""
     known = F.array(*[F.lit(w) for w in vocabulary])
-    rows = docs.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(words(F.col(text)), known))).alias("word")).groupBy("word").count().collect()  # a row per template word
-    found = {r["word"]: r["count"] for r in rows}
-    return found.pop("", 0), found
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"), words(F.col(text)).alias("words"))
+    number = lambda w: F.when(w.isin(vocabulary), F.array_position(known, w)).otherwise(0).cast("short")
+    rows = own.select("id", "mark", F.size("words").cast("long").alias("n_words"), F.transform("words", number).alias("numbers"))
+    return materialize(rows.select("id", "mark", "n_words", F.array_remove(F.array_distinct("numbers"), F.lit(0).cast("short")).alias("known"), "numbers"), "licence-words")
+
+
+def document_frequencies(rows: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+    """Number of documents, and of those that hold each template word, over all documents."""
+    found = {r["word"]: r["count"] for r in rows.select(F.explode(F.concat(F.array(F.lit(0).cast("short")), "known")).alias("word")).groupBy("word").count().collect()}  # a row per template word
+    return found.pop(0, 0), {vocabulary[k - 1]: n for k, n in found.items()}
 
 
 def rare_words(template: Template, n_docs: int, frequency: dict[str, int], most: int) -> list[tuple[str, int]]:
@@ -71,36 +82,49 @@ def rare_words(template: Template, n_docs: int, frequency: dict[str, int], most:
     return [(w, at + first[w]) for w in sorted(first, key=lambda w: (-idf(w), w))[:most]]
 
 
+def postings(templates, vocabulary: list[str], n_docs: int, frequency: dict[str, int], rare: int) -> list[tuple]:
+    """The index: rows of :data:`POSTINGS`, a row per template."""
+    number, rows = {w: k for k, w in enumerate(vocabulary, 1)}, []
+    for k, t in enumerate(templates):
+        notice, key = [number[w] for w in t.notice.split()], [number[w] for w in t.key.split()]
+        (word, offset), *others = rare_words(t, n_docs, frequency, rare)
+        begin = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+        rows.append((number[word], k, offset, notice, sorted(set(key)), begin, begin + len(key), [(number[w], o) for w, o in others]))
+    return rows
+
+
+POSTINGS = "rare short, template int, offset int, notice array<short>, needed array<short>, begin int, end int, others array<struct<word:short,offset:int>>"
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, rare: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, n_words, hits)`` of every document; a hit is ``struct<at, template, verified, share>``.
 
     ``at`` is where the notice begins (words from 0), ``share`` the part of its
     words that stand in place. Hits that fail their key phrase stay with
-    ``verified`` false. A null text is empty and has no words. Repeated rows
-    get a row each: hits belong to an id and its text. An empty table gives an
-    empty table. Other columns are not read.
+    ``verified`` false. A null text is empty and has no words; a very long text
+    is one row of two bytes a word. Repeated rows get a row each: hits belong to
+    an id and its text. An empty table gives an empty table. Other columns are
+    not read.
     """
-    n_docs, frequency = document_frequencies(docs, sorted({w for t in templates for w in t.notice.split()}), text)
-    rows = []
-    for k, t in enumerate(templates):
-        notice, key = t.notice.split(), t.key.split()
-        (word, offset), *others = rare_words(t, n_docs, frequency, rare)
-        begin = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
-        rows.append(F.struct(F.lit(word).alias("rare"), F.lit(k).alias("template"), F.lit(offset).alias("offset"), F.array(*[F.lit(w) for w in notice]).alias("notice"), F.lit(begin).alias("begin"), F.lit(begin + len(key)).alias("end"), F.array(*[F.struct(F.lit(w).alias("word"), F.lit(o).alias("offset")) for w, o in others]).cast("array<struct<word:string,offset:int>>").alias("others")))
-    index = docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
-    lookup = sorted({rare_words(t, n_docs, frequency, 1)[0][0] for t in templates})
-    own = docs.select(F.col(id_col).alias("id"), blank(F.col(text)).alias("text")).withColumn("mark", F.xxhash64("text"))
-    placed = own.select("id", "mark", words(F.col("text")).alias("words")).select("id", "mark", "words", F.posexplode("words").alias("pos", "rare")).filter(F.col("rare").isin(lookup))
-    met = placed.join(F.broadcast(index), "rare").withColumn("at", F.col("pos") - F.col("offset"))  # the index is fixed by TEMPLATES
-    word_at = lambda i: F.get("words", F.col("at") + i)
-    aligned = met.filter(F.forall("others", lambda o: F.coalesce(word_at(o["offset"]) == o["word"], F.lit(False))))
-    same = lambda i: F.coalesce(word_at(i) == F.get("notice", i), F.lit(False))
-    verified = F.forall(F.sequence("begin", F.col("end") - 1), same)
-    share = F.size(F.filter(F.sequence(F.lit(0), F.size("notice") - 1), same)) / F.size("notice")
-    hits = aligned.select("id", "mark", F.struct("at", "template", verified.alias("verified"), share.alias("share")).alias("hit"))
-    per_doc = hits.groupBy(F.col("id").alias("of"), F.col("mark").alias("text_mark")).agg(F.array_sort(F.array_distinct(F.collect_list("hit"))).alias("hits"))
-    counted = own.select("id", "mark", F.regexp_count("text", F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))).cast("long").alias("n_words"))
-    both = counted.join(per_doc, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("text_mark")), "left")
+    often = Counter(w for t in templates for w in t.notice.split())
+    vocabulary = sorted(often, key=lambda w: (-often[w], w))  # the usual words first: numbers are found in this order
+    rows = numbered(docs, vocabulary, id_col, text)
+    listed = postings(templates, vocabulary, *document_frequencies(rows, vocabulary), rare)
+    index = docs.sparkSession.createDataFrame(listed, POSTINGS)
+    anchors = F.array(*[F.lit(k) for k in sorted({x[0] for x in listed})]).cast("array<short>")
+    looked_up = rows.select("id", "mark", "known", "numbers", F.explode(F.array_intersect("known", anchors)).alias("rare"))
+    met = looked_up.join(F.broadcast(index), "rare").filter(F.size(F.array_except("needed", "known")) == 0)  # the index is fixed by TEMPLATES
+    word_at = lambda i: F.when(i >= 0, F.get("numbers", i))
+    places = F.filter(F.sequence(F.lit(0), F.size("numbers") - 1), lambda i: F.get("numbers", i) == F.col("rare"))
+    starts = F.transform(places, lambda p: p - F.col("offset"))
+    aligned = F.filter(starts, lambda at: F.forall("others", lambda o: F.coalesce(word_at(at + o["offset"]) == o["word"], F.lit(False))))
+    same = lambda at, i: F.coalesce(word_at(at + i) == F.get("notice", i), F.lit(False))
+    verified = lambda at: F.forall(F.sequence("begin", F.col("end") - 1), lambda i: same(at, i))
+    share = lambda at: F.size(F.filter(F.sequence(F.lit(0), F.size("notice") - 1), lambda i: same(at, i))) / F.size("notice")
+    found = met.select("id", "mark", "template", "begin", "end", "notice", "numbers", aligned.alias("aligned")).filter(F.size("aligned") > 0)
+    hits = found.select("id", "mark", F.transform("aligned", lambda at: F.struct(at.alias("at"), F.col("template"), verified(at).alias("verified"), share(at).alias("share"))).alias("hits"))
+    per_doc = hits.groupBy(F.col("id").alias("of"), F.col("mark").alias("of_mark")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+    both = rows.select("id", "mark", "n_words").join(per_doc, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
     return both.select("id", "n_words", F.coalesce("hits", F.array().cast("array<struct<at:int,template:int,verified:boolean,share:double>>")).alias("hits"))
 
 
