@@ -23,13 +23,13 @@ CENTROIDS = 3
 ROUNDS = 8
 #: A text may be so much farther than nearly all texts of the fit before it is rejected.
 SLACK = 0.02
-#: Languages that get centroids, the most frequent first.
-MOST_LANGUAGES = 200
+#: Centroids that a text is compared with at a time.
+BLOCK = 1024
 
 
 def letter_table() -> np.ndarray:
-    """True for every code point of the basic plane that is a letter."""
-    return np.fromiter((chr(c).isalpha() for c in range(65536)), bool, 65536)
+    """True for every code point that is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 LETTERS = letter_table()
@@ -38,7 +38,7 @@ LETTERS = letter_table()
 def feature_ids(text: str | None) -> np.ndarray:
     """Hashed n-grams of a text's letters; other characters are one gap. Empty without a letter."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points = np.where(LETTERS[np.minimum(points, 65535)], points, 0)
+    points = np.where(LETTERS[points], points, 0)
     if not points.any():
         return np.zeros(0, np.int64)
     points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
@@ -107,25 +107,32 @@ class Model:
         blank = ~rows.any(axis=1)
         if not len(self.langs):
             return pd.DataFrame({"lang_pred": ["und"] * len(rows), "score": 0.0, "rejected": True})
-        cosine = rows @ self.centers.T
-        best = cosine.argmax(axis=1)
-        score = np.clip(cosine[np.arange(len(rows)), best], 0, 1).astype(float)
+        best, score = np.zeros(len(rows), np.int64), np.full(len(rows), -1.0)
+        for k in range(0, len(self.centers), BLOCK):
+            cosine = rows @ self.centers[k : k + BLOCK].T
+            at = cosine.argmax(axis=1)
+            found = cosine[np.arange(len(rows)), at]
+            better = found > score
+            best[better], score[better] = at[better] + k, found[better]
+        score = np.clip(score, 0, 1)
         langs = np.array(self.langs, object)[best]
         langs[blank], score[blank] = "und", 0.0
         return pd.DataFrame({"lang_pred": langs, "score": score, "rejected": blank | (1 - score > self.reach[best] + SLACK)})
 
 
 def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model:
-    """Learn from ``training(key, text, lang)``; rows with a null language teach nothing."""
+    """Learn from ``training(key, text, lang)``; rows with a null language teach nothing.
+
+    Every language gets up to ``centroids`` centroids, 16 kB each on the driver
+    and in the broadcast. Each language's fit draws ``sample`` texts in the mean
+    by the hash of the key and takes twice that at most.
+    """
     spark = training.sparkSession
     training = training.filter("lang is not null")
     idf = inverse_frequencies(training)
-    known = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not known:
-        return Model(idf, np.zeros((0, FEATURES), np.float32), [], np.zeros(0))
-    share = F.element_at(F.create_map(*[F.lit(v) for r in known for v in (r["lang"], sample / r["count"])]), F.col("lang"))
+    shares = training.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    picked = training.filter(F.col("lang").isin([r["lang"] for r in known])).filter(draw < share)
+    picked = training.join(shares, "lang").filter(draw < F.col("share"))
 
     def clustered(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "text"], na_position="last").head(2 * sample)  # the draw has `sample` in the mean
@@ -141,11 +148,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
     """``(id, lang_pred, score, rejected)`` of every document, from its text alone.
 
     ``und`` (score 0, rejected) where the text is null or has no letter, or if
-    nothing was learned. Repeated rows get a row each, an empty table an empty
-    table. Other columns are not read.
+    nothing was learned; of centroids that are equally near the first language
+    by name wins. A very long text is read whole. Repeated rows get a row each,
+    an empty table an empty table. Other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark, 500)
     shared = spark.sparkContext.broadcast(model)
 
     def rows(batches):
@@ -162,7 +170,13 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Fit on the documents that are not held out and predict all of them."""
+    """Fit on the documents that are not held out and predict all of them.
+
+    ``(id, held_out, lang_pred, score, rejected)``. A null id counts as empty
+    text for :func:`held_out`; rows with null text or null language teach
+    nothing but are predicted. See :func:`predict` for texts without letters,
+    ties, repeated rows and empty tables.
+    """
     small_batches(docs.sparkSession, 1000)
     model = fit(docs.filter(~held_out(id_col)).select(F.col(id_col).alias("key"), "text", "lang"))
     return predict(docs, model, id_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score", "rejected")
