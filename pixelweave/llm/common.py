@@ -20,11 +20,14 @@ LOWER_AZ = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made, and remembered in the session.
+    Only where the session names none and all runs on one machine (tests) a
+    temporary folder is made, and remembered in the session; on a cluster a
+    session without that setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pixelweave.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pixelweave-")
         spark.conf.set("pixelweave.shared.dir", found)
     return found.rstrip("/")
@@ -52,6 +55,30 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def limited(small: DataFrame, most: int = 50_000, values: str = "1") -> DataFrame:
+    """Broadcast hint for a written table that holds ``most`` values at most (rows, if nothing else is said); above it Spark's own join choice holds."""
+    held = small.agg(F.sum(F.expr(values))).first()[0] or 0
+    return F.broadcast(small) if held <= most else small
+
+
+def rows_kept(docs: DataFrame, groups: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The documents, with all their columns, that stay when each group keeps one: that with the smallest id.
+
+    ``groups(id, mark, group)`` has a row per document, ``mark`` being
+    ``xxhash64`` of its text. Null ids come last; of one id's texts in a group
+    the smallest mark stays. Rows that share their id in different groups are
+    different documents. Of rows that share id and text the one with the
+    smallest hash over all columns stays.
+    """
+    counted = groups.groupBy("group", "id", "mark").agg(F.count("*").alias("n"))
+    first = counted.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "mark", "n")).alias("first"))
+    kept = limited(materialize(first.select(F.col("first.id").alias("of"), F.col("first.mark").alias("of_mark"), F.col("first.n").alias("n")), "kept"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"))
+    met = own.join(kept, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
+    repeated = met.filter("n > 1").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return met.filter("n = 1").select("row.*").unionByName(repeated.select("row.*"))
+
+
 #: Functions that hold memory from task to task in a Python worker; each has ``cache_clear``.
 HELD: list = []
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import blank, forget, materialize, small_batches
+from pixelweave.llm.common import blank, forget, limited, materialize, small_batches
 
 HASHES = 32
 SLOT_BITS = 22
@@ -227,6 +227,12 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents, with all their columns, that contain no item."""
-    bad = contaminated(docs, items, id_col=id_col, text=text, **how).select(F.col(id_col).alias("_of"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_of")) & (F.xxhash64(blank(F.col(text))) == F.col("_mark")), "left_anti")
+    """The documents, with all their columns, that contain no item.
+
+    Of rows that share an id only those go whose own text contains one;
+    repeated rows stay or go together. Null and empty texts stay, and null ids
+    are told apart by their texts. Any other column names may be in use.
+    """
+    bad = contaminated(docs, items, id_col=id_col, text=text, **how).select(F.col(id_col).alias("of"), F.col("mark").alias("of_mark")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"))
+    return own.join(limited(materialize(bad, "leaks")), F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left_anti").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import materialize, remove_path, fresh_path
+from pixelweave.llm.common import fresh_path, limited, materialize, remove_path
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -38,3 +38,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = materialize(small, "edges", path)
         remove_path(spark, last)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def component_names(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(node, root, component_id)`` from ``nodes(node, least)`` and ``roots(node, root)`` of the nodes that have an edge.
+
+    ``component_id`` is the smallest ``least`` of the component. The least of
+    a component is aggregated and written on its own, so that its join with
+    the members of a very large component can be dealt out by adaptive
+    execution.
+    """
+    found = materialize(nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    rooted = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    return rooted.join(limited(found), "root", "left").select("node", "root", F.coalesce("component_id", "least").alias("component_id"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import blank
+from pixelweave.llm.common import blank, limited, materialize
 
 
 def line_windows(docs: DataFrame, window: int, id_col: str, text: str) -> DataFrame:
@@ -41,15 +41,18 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text:
     Null ids come first. A null text stays null (one line, none removed), a
     text of fewer lines than a window is left alone, and so are windows
     without a word. Rows that share their id and text are one place and are
-    treated alike. An empty table gives an empty table; columns named like the
-    two new ones are replaced.
+    treated alike. A very long text is one row like any other. An empty table
+    gives an empty table; columns named like the two new ones are replaced, any
+    other name may be in use.
     """
-    later = later_places(docs, window, id_col, text).withColumnsRenamed({"id": "_of", "mark": "_mark"})
+    later = limited(materialize(later_places(docs, window, id_col, text).withColumnsRenamed({"id": "of", "mark": "of_mark"}), "later-lines"), 500_000, "1 + size(starts)")
     kept = docs.drop("n_lines", "n_removed")
-    lines = F.split(blank(F.col(text)), "\n", -1)
-    joined = kept.join(later, F.col(id_col).eqNullSafe(F.col("_of")) & (F.xxhash64(blank(F.col(text))) == F.col("_mark")), "left")
+    own = kept.select(F.struct(*kept.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"))
+    joined = own.join(later, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
+    whole = F.col("row").getField(text)
+    lines = F.split(blank(whole), "\n", -1)
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (window - 1)))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
     shorter = F.transform(F.array(lines), lambda own: F.array_join(F.transform(left, lambda i: F.get(own, i)), "\n"))[0]
-    out = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size(covered), F.lit(0)).cast("long"), text: F.when(F.col("starts").isNull(), F.col(text)).otherwise(shorter)})
-    return out.select(*kept.columns, "n_lines", "n_removed")
+    columns = [F.when(F.col("starts").isNull(), whole).otherwise(shorter).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept.columns]
+    return joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_removed"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import materialize
+from pixelweave.llm.common import limited, materialize
 
 SEEDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,11 +48,6 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     return first.select("source", "source_size", done.alias("target"))
 
 
-def limited(small: DataFrame, rows: int = 50_000) -> DataFrame:
-    """Broadcast hint for a per-source table, behind a count; above it Spark's own join choice holds."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
-
-
 def rates(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seeds: int = SEEDS) -> DataFrame:
     """One row per source of ``sized(key, source, size)``: its target, whole and fractional rate, and seed."""
     per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import forget, materialize, small_batches
+from pixelweave.llm.common import forget, limited, materialize, small_batches
 
 ORDER, UNIT_BITS = 4, 16
 #: Weight of the estimate from reference texts.
@@ -311,9 +311,9 @@ def bands(measured: DataFrame, width: float, least_width: float) -> DataFrame:
     """``(of, low, high)`` of the log perplexity: median and robust deviation over all sound documents."""
     sound = measured.filter(~F.col("base_failed") & ~F.isnan("log_perplexity"))
     mid = sound.groupBy("of").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))
-    off = sound.join(mid, "of").groupBy("of").agg(F.first("mid").alias("mid"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("mid")), 0.5, 10000).alias("off"))
+    off = sound.join(limited(materialize(mid, "medians")), "of").groupBy("of").agg(F.first("mid").alias("mid"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("mid")), 0.5, 10000).alias("off"))
     reach = F.greatest(F.col("off") * (1.4826 * width), F.lit(least_width))
-    return off.select("of", (F.col("mid") - reach).alias("low"), (F.col("mid") + reach).alias("high"))
+    return limited(materialize(off.select("of", (F.col("mid") - reach).alias("low"), (F.col("mid") + reach).alias("high")), "bands"))
 
 
 def judge(docs: DataFrame, width: float = 8.0, least_width: float = 0.2, carried: str = "doc_id", lang: str = "lang", text: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:

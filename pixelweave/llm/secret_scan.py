@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import blank
+from pixelweave.llm.common import blank, limited, materialize
 
 
 @dataclass(frozen=True)
@@ -149,10 +149,12 @@ def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text: str = "text
 
     A null or empty text has no spans. Repeated rows get a row each; rows that
     share an id (or a null id) share candidate rules, which only adds texts to
-    verify. An empty table gives an empty table. Other columns are not read.
+    verify. Of matches that begin at one place the rule's order decides. A very
+    long text is scanned whole. An empty table gives an empty table. Other
+    columns are not read.
     """
     own = docs.select(F.col(id_col).alias("id"), blank(F.col(text)).alias("text"))
-    hits = candidates(docs, rules, id_col, text).withColumnRenamed("id", "of")
+    hits = limited(materialize(candidates(docs, rules, id_col, text).withColumnRenamed("id", "of"), "secret-candidates"))
     both = own.join(hits, F.col("id").eqNullSafe(F.col("of")), "left")
     none = F.expr("cast(array() as array<struct<at:int,kind_no:int,until:int,kind:string>>)")
     each = [F.when((F.array_contains("rules", r.kind) if trigram_query(r.pattern) else F.lit(True)) & F.col("text").rlike(r.pattern), spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)]

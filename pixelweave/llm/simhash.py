@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import LOWER_AZ, forget, fresh_path, materialize, small_batches
-from pixelweave.llm.graph import connected_components
+from pixelweave.llm.common import LOWER_AZ, blank, forget, materialize, rows_kept, small_batches
+from pixelweave.llm.graph import component_names, connected_components
 
 BITS = 64
 SEED = 42
@@ -249,36 +249,35 @@ def links(nodes: DataFrame, radius: int = 4, heavy: int = 256, block: int = 1024
     return light.unionByName(dense)
 
 
+def grouped(docs: DataFrame, shingle: int, radius: int, id_col: str, text: str) -> DataFrame:
+    """``(id, mark, fp, root, component_id)`` of every row; ``mark`` tells the texts of one id apart."""
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"), F.col(text).alias("text"))
+    prints = materialize(fingerprints(own, shingle), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    roots = connected_components(links(nodes.select("fp"), radius))
+    named = component_names(nodes.withColumnRenamed("fp", "node"), roots)
+    return prints.join(named.withColumnRenamed("node", "fp"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's fingerprint and component: ``(id, fingerprint, component_id)``.
 
     The component is the smallest id reachable over links of ``radius`` bits
     or fewer. A null or empty text, or one without a word, has fingerprint
-    zero and is linked like any other. Repeated rows each get a row. A null id
-    takes part, but is named as a component only where no other id is in it
-    (then null). An empty table gives an empty table. Other columns of
-    ``docs`` are not read.
+    zero and is linked like any other; a very long text is read whole, in
+    blocks. Repeated rows each get a row. A null id takes part, but is named as
+    a component only where no other id is in it (then null). An empty table
+    gives an empty table. Other columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
-    prints = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), shingle), "fingerprints", fresh_path(spark, "fingerprints"))
-    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = connected_components(links(nodes.select("fp"), radius))
-    rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = grouped(docs, shingle, radius, id_col, text)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, with all their columns, that stay when each near-duplicate group keeps its smallest id.
 
-    Of rows that share an id one stays. A row with a null id goes if its group
-    has a row with an id; a group without any id keeps one row of each
-    fingerprint.
+    :func:`~pixelweave.llm.common.rows_kept` says which row stays where ids are
+    null or shared. Any column names may be in use.
     """
-    groups = materialize(near_duplicates(docs, shingle, radius, id_col, text), "groups")
-    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    alone = groups.filter(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("_alone")).distinct()
-    nameless = docs.filter(F.col(id_col).isNull()).withColumn("_text", F.col(text))
-    nameless = fingerprints(nameless, shingle, "_text").join(alone, F.col("fp") == F.col("_alone"), "left_semi").dropDuplicates(["fp"])
-    return named.unionByName(nameless.select(*docs.columns))
+    groups = materialize(grouped(docs, shingle, radius, id_col, text).select("id", "mark", F.col("root").alias("group")), "groups")
+    return rows_kept(docs, groups, id_col, text)

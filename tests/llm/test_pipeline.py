@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from pixelweave.llm import mixing, quality, simhash
+from pixelweave.llm import mixing, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,21 +45,27 @@ def test_quality_stage(spark, stages):
 
 
 def test_near_duplicate_stage(stages):
+    """A near duplicate is a pair of five-word Jaccard similarity 0.8 or more, over words between white space."""
     _, before, after = stages[1]
-    prints = [(x["doc_id"], simhash.fingerprint(x["text"]) & (1 << 64) - 1) for x in before]
-    parent = {i: i for i, _ in prints}
+
+    def shingles(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [(x["doc_id"], shingles(x["text"])) for x in before]
+    parent = {i: i for i, _ in sets}
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for k, (i, p) in enumerate(prints):
-        for j, q in prints[:k]:
-            if (p ^ q).bit_count() <= 4:
+    for k, (i, p) in enumerate(sets):
+        for j, q in sets[:k]:
+            if len(p & q) >= 0.8 * len(p | q):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    assert sorted(x["doc_id"] for x in after) == sorted({find(i) for i, _ in prints})
+    assert sorted(x["doc_id"] for x in after) == sorted({find(i) for i, _ in sets})
 
 
 def test_decontamination_stage(spark, stages):

@@ -399,6 +399,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_and_index(pages.filter("false")).count() == 0
 
 
+def test_external_merge_in_several_passes(monkeypatch):
+    monkeypatch.setattr(warc, "FAN_IN", 3)
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 4)
+    r = random.Random(2)
+    store = warc.RunFile()
+    runs = [sorted([("k%d" % r.randrange(9), "t", r.randrange(99), 0, "", "", None, f"f{j}", n) for n in range(r.randrange(1, 20))], key=warc.order_of) for j in range(31)]
+    assert list(store.merged([store.write(run) for run in runs])) == sorted([x for run in runs for x in run], key=warc.order_of)
+    assert list(store.merged([])) == []
+
+
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200_000)
+    rows = [(k, f"http://e.org/{k}", str(k) * (2_000_000 if k == 7 else 5_000)) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = warc.write_archives(pages, f"file://{tmp_path}/w")
+    assert len(list((tmp_path / "w").glob("part-*.gz"))) > 10
+    assert sorted((x["page_id"], x["payload_bytes"]) for x in warc.capture_index(spark, path).collect()) == [(i, len(h)) for i, _, h in rows]
+
+
 def test_loser_tree_merges_runs():
     r = random.Random(1)
     for k in range(7):
