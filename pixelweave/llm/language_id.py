@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import small_batches
+from pixelweave.llm.common import limited, materialize, small_batches
 
 FEATURES = 4096
 #: Bound on the training texts a language gives to the centroid fit. IDF and counts use all texts.
@@ -132,7 +132,7 @@ def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -
     idf = inverse_frequencies(training)
     shares = training.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    picked = training.join(shares, "lang").filter(draw < F.col("share"))
+    picked = training.join(limited(materialize(shares, "language-shares")), "lang").filter(draw < F.col("share"))
 
     def clustered(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "text"], na_position="last").head(2 * sample)  # the draw has `sample` in the mean
