@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,19 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[
             yield from done(pdf, [0, len(pdf)])
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(rows, schema)
+
+
+def numbered(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place ``name`` (from 0) of each row within its ``key``, and the key's number of rows ``n``.
+
+    Rows are dealt out by ranges of key and order and numbered within a range;
+    a key's earlier ranges are added. So a key may hold any share of the rows.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(n, key, *order).withColumn("range_no", F.spark_partition_id()), "ranges")
+    held = dealt.groupBy(key, "range_no").agg(F.count("*").alias("held"))
+    own = Window.partitionBy(key)
+    before = F.coalesce(F.sum("held").over(own.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = small(materialize(held.select(key, "range_no", before.alias("before"), F.sum("held").over(own).alias("n")), "offsets"), 100_000)
+    local = F.row_number().over(Window.partitionBy(key, "range_no").orderBy(*order)) - 1
+    return dealt.withColumn("local", local).join(offsets, [key, "range_no"]).withColumn(name, F.col("before") + F.col("local")).drop("range_no", "before", "local")

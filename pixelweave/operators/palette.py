@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions.color import hex_color, oklab, oklab_to_bytes, squared_distance, with_oklab
-from pixelweave.functions.shared import materialize, small
+from pixelweave.functions.shared import materialize, numbered, small
 
 SAMPLE, ROUNDS = 20_000, 8
 LAB = ("l", "oa", "ob")
@@ -22,8 +22,7 @@ def locked(spark: SparkSession, colors, image_id: int = 0) -> DataFrame:
 
 def stride_sample(colors: DataFrame, cap: int = SAMPLE) -> DataFrame:
     """Every ``n div cap``-th opaque pixel of an image in index order, all of them up to twice the cap."""
-    order = Window.partitionBy("image_id").orderBy("i")
-    counted = colors.withColumns({"ordinal": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("image_id"))})
+    counted = numbered(colors, "image_id", ["i"], "ordinal")
     stride = F.greatest(F.floor(F.col("n") / cap), F.lit(1))
     return counted.filter(F.col("ordinal") % stride == 0).drop("ordinal", "n")
 
@@ -40,10 +39,10 @@ def box_statistics(colors: DataFrame, keys: list[str]) -> DataFrame:
 
 def median_cut_step(colors: DataFrame) -> DataFrame:
     """``colors(image_id, i, l, oa, ob)`` with ``half``: 0 below the median of the widest axis, else 1."""
-    axis = box_statistics(colors, ["image_id"]).select("image_id", "axis", "n")
+    axis = box_statistics(colors, ["image_id"]).select("image_id", "axis")
     value = F.when(F.col("axis") == "l", F.col("l")).when(F.col("axis") == "oa", F.col("oa")).otherwise(F.col("ob"))
-    ranked = colors.join(axis, "image_id").withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(value, "i")))
-    return ranked.withColumn("half", F.when(F.col("rank") <= F.floor(F.col("n") / 2), 0).otherwise(1)).drop("axis", "n", "rank")
+    ranked = numbered(colors.join(axis, "image_id").withColumn("value", value), "image_id", ["value", "i"], "rank")
+    return ranked.withColumn("half", F.when(F.col("rank") < F.floor(F.col("n") / 2), 0).otherwise(1)).drop("axis", "n", "rank", "value")
 
 
 def with_nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:

@@ -459,7 +459,8 @@ def raster_round_trip(spark, sf_dir):
 
 # --- the layer model ---
 
-SHAPES = "sh AS (SELECT CAST(o_orderkey % 7 AS BIGINT) AS svg_id, o_orderkey // 7 AS seq, 'M0 0L' || o_orderkey || ' 9Z' AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'translate(1,2)' ELSE '' END AS transform, printf('#%02x%02x%02x', o_orderkey * 5 % 11 * 20, 0, o_orderkey % 7) AS color, 'layer-' || (dense_rank() OVER (PARTITION BY svg_id ORDER BY f) - 1) AS layer_id, dense_rank() OVER (PARTITION BY svg_id ORDER BY f) - 1 AS pos FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_orderkey % 7, o_orderkey * 5 % 11) AS f FROM orders)), ly AS (SELECT svg_id, pos, layer_id, color, true AS visible, count(*) AS count FROM sh GROUP BY ALL)"
+#: Seven SVGs for every 700 orders, so that none grows with the table.
+SHAPES = "sh AS (SELECT CAST(o_orderkey // 700 * 7 + o_orderkey % 7 AS BIGINT) AS svg_id, o_orderkey // 7 AS seq, 'M0 0L' || o_orderkey || ' 9Z' AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'translate(1,2)' ELSE '' END AS transform, printf('#%02x%02x%02x', o_orderkey * 5 % 11 * 20, 0, o_orderkey % 7) AS color, 'layer-' || (dense_rank() OVER (PARTITION BY svg_id ORDER BY f) - 1) AS layer_id, dense_rank() OVER (PARTITION BY svg_id ORDER BY f) - 1 AS pos FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_orderkey // 700, o_orderkey % 7, o_orderkey * 5 % 11) AS f FROM orders)), ly AS (SELECT svg_id, pos, layer_id, color, true AS visible, count(*) AS count FROM sh GROUP BY ALL)"
 MARKUP = "'<path d=\"' || d || '\" fill=\"' || color || '\"' || CASE WHEN transform = '' THEN '' ELSE ' transform=\"' || transform || '\"' END || '/>'"
 
 
@@ -467,7 +468,7 @@ def svg_texts(spark, sf_dir):
     key = F.col("o_orderkey")
     hexed = F.format_string("#%02x%02x%02x", key * 5 % 11 * 20, F.lit(0), key % 7)
     markup = text.shape_markup(F.concat(F.lit("M0 0L"), key.cast("string"), F.lit(" 9Z")), F.when(key % 2 == 0, "translate(1,2)").otherwise(""), hexed)
-    parts = rasters.table(spark, sf_dir, "orders").groupBy((key % 7).cast("long").alias("svg_id")).agg(F.array_sort(F.collect_list(F.struct(key, markup.alias("m")))).alias("p"))
+    parts = rasters.table(spark, sf_dir, "orders").groupBy((F.floor(key / 700) * 7 + key % 7).cast("long").alias("svg_id")).agg(F.array_sort(F.collect_list(F.struct(key, markup.alias("m")))).alias("p"))
     return parts.select("svg_id", F.concat(F.lit('<svg width="640" height="480"><path d="M1 1Z" fill="url(#g0)"/>'), F.array_join(F.transform("p", lambda p: p["m"]), ""), F.lit("</svg>")).alias("svg"))
 
 
@@ -487,7 +488,7 @@ def layers_from_svg(spark, sf_dir):
     return layers.layers_from_svg(svg_texts(spark, sf_dir))
 
 
-@query("SELECT CAST(o_orderkey % 7 AS BIGINT) AS svg_id, CAST(count(*) + 1 AS INT) AS paths, count(DISTINCT o_orderkey * 5 % 11) AS colors FROM orders GROUP BY 1")
+@query("SELECT CAST(o_orderkey // 700 * 7 + o_orderkey % 7 AS BIGINT) AS svg_id, CAST(count(*) + 1 AS INT) AS paths, count(DISTINCT o_orderkey * 5 % 11) AS colors FROM orders GROUP BY 1")
 def count_paths(spark, sf_dir):
     svgs = svg_texts(spark, sf_dir)
     colors = layers.layers_from_svg(svgs).groupBy("svg_id").agg(F.countDistinct("color").alias("colors"))
