@@ -44,6 +44,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
 )
 MOST_LITERALS = 64
+#: Matches of one rule in a text that are gathered at a time.
+BLOCK = 256
 
 
 def trigrams(literal: str) -> frozenset[str]:
@@ -133,7 +135,8 @@ def spans(text, rule: Rule, order: int) -> F.Column:
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     found = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("before"), whole.alias("whole"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<at:int,kind_no:int,until:int,kind:string>>)").alias("out"))
+    kind = "array<struct<at:int,kind_no:int,until:int,kind:string>>"
+    none = f"cast(array() as {kind})"
 
     def step(acc, m):
         at = acc["at"] + F.length(m["before"])
@@ -141,7 +144,14 @@ def spans(text, rule: Rule, order: int) -> F.Column:
         one = F.struct(at.alias("at"), F.lit(order).alias("kind_no"), until.alias("until"), F.lit(rule.kind).alias("kind"))
         return F.struct(until.alias("at"), F.when(F.length(m["value"]) >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+    def block(acc, part):  # arrays are copied as they grow, so they grow a block at a time
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), F.expr(none).alias("out")), step)
+        return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))[0]
+
+    parts = lambda each: F.transform(F.sequence(F.lit(0), F.floor((F.size(each) - 1) / BLOCK).cast("int")), lambda k: F.slice(each, k * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+    whole_list = lambda each: F.when(F.size(each) > 0, F.aggregate(parts(each), start, block, lambda acc: F.flatten(acc["out"]))).otherwise(F.expr(none))
+    return F.transform(F.array(found), whole_list)[0]
 
 
 def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
