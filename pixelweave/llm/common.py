@@ -73,9 +73,9 @@ def rows_kept(docs: DataFrame, groups: DataFrame, id_col: str, text: str) -> Dat
     counted = groups.groupBy("group", "id", "mark").agg(F.count("*").alias("n"))
     first = counted.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "mark", "n")).alias("first"))
     kept = limited(materialize(first.select(F.col("first.id").alias("of"), F.col("first.mark").alias("of_mark"), F.col("first.n").alias("n")), "kept"))
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"))
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"))
     met = own.join(kept, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
-    repeated = met.filter("n > 1").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    repeated = met.filter("n > 1").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return met.filter("n = 1").select("row.*").unionByName(repeated.select("row.*"))
 
 

@@ -234,5 +234,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     are told apart by their texts. Any other column names may be in use.
     """
     bad = contaminated(docs, items, id_col=id_col, text=text, **how).select(F.col(id_col).alias("of"), F.col("mark").alias("of_mark")).distinct()
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"))
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"))
     return own.join(limited(materialize(bad, "leaks")), F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left_anti").select("row.*")

@@ -47,7 +47,7 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text:
     """
     later = limited(materialize(later_places(docs, window, id_col, text).withColumnsRenamed({"id": "of", "mark": "of_mark"}), "later-lines"), 500_000, "1 + size(starts)")
     kept = docs.drop("n_lines", "n_removed")
-    own = kept.select(F.struct(*kept.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"))
+    own = kept.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"))
     joined = own.join(later, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
     whole = F.col("row").getField(text)
     lines = F.split(blank(whole), "\n", -1)

@@ -89,6 +89,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The mix itself: every document as often as :func:`mix` says, with the columns of ``docs``."""
     sized = materialize(measured(docs.select(id_col, "source", "text"), id_col).drop("text"), "sizes")
-    own = docs.select(F.struct(*docs.columns).alias("row"), "source", "text", F.col(id_col).alias("id"))
+    own = docs.select(F.struct("*").alias("row"), "source", "text", F.col(id_col).alias("id"))
     out = drawn(measured(own, "id").drop("text", "id"), rates(sized, **how)).filter("copies > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pixelweave.llm.common import forget, limited, materialize, small_batches
 
@@ -270,7 +271,8 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def measure(docs: DataFrame, model: DataFrame, carried: str) -> DataFrame:
     """Base features and log perplexity of every ``docs(<carried>, of, text)`` row; NaN for an empty text."""
-    spark, kind = docs.sparkSession, docs.schema[carried].dataType.simpleString()
+    spark = docs.sparkSession
+    schema = lambda more: StructType([docs.schema[carried], *StructType.fromDDL(more)])
 
     def loaded(shard: int):
         row = model.filter(F.col("shard") == shard).first()
@@ -294,10 +296,10 @@ def measure(docs: DataFrame, model: DataFrame, carried: str) -> DataFrame:
     shards = model.agg(F.max("shard")).first()[0] or 0
     kinds = ", ".join(f"{c} long" for c in FEATURES)
     if not shards:
-        found = docs.select(carried, "of", "text").mapInArrow(passed([carried, "of"], loaded(0), True), f"{carried} {kind}, of string, {kinds}, logp double, met long, n_grams long")
+        found = docs.select(carried, "of", "text").mapInArrow(passed([carried, "of"], loaded(0), True), schema(f"of string, {kinds}, logp double, met long, n_grams long"))
     else:
         numbered = materialize(docs.select(carried, "of", "text").withColumn("row_no", F.monotonically_increasing_id()), "numbered-texts")
-        found = materialize(numbered.mapInArrow(passed([carried, "of", "row_no"], loaded(0), True), f"{carried} {kind}, of string, row_no long, {kinds}, logp double, met long, n_grams long"), "measured-0")
+        found = materialize(numbered.mapInArrow(passed([carried, "of", "row_no"], loaded(0), True), schema(f"of string, row_no long, {kinds}, logp double, met long, n_grams long")), "measured-0")
         sums = found.select("row_no", "logp", "met")
         for k in range(1, shards + 1):
             part = numbered.select("row_no", "of", "text").mapInArrow(passed(["row_no"], loaded(k), False), "row_no long, logp double, met long, n_grams long")
@@ -340,5 +342,5 @@ def judge(docs: DataFrame, width: float = 8.0, least_width: float = 0.2, carried
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:
     """The documents, with all their columns, that :func:`judge` keeps."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), "lang", "text")
+    row = docs.select(F.struct("*").alias("row"), "lang", "text")
     return judge(row, carried="row", **how).filter("kept").select("row.*")

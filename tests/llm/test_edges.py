@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelweave.llm import decontaminate, language_id, license_scan, line_dedup, mixing, near_copies, quality, secret_scan, simhash
 
@@ -38,6 +39,7 @@ def test_columns_of_any_name_come_through(spark, name):
     items = spark.createDataFrame([(1, prose(3, 20))], "item_id long, text string")
     for k, c in enumerate(CLASHING):
         docs = docs.withColumn(c, docs["n_chars"] + k)
+    docs = docs.withColumn("a.b", docs["n_chars"]).withColumn("tags", F.create_map(F.lit("k"), F.col("n_chars")))
     out = STAGES[name](docs, items)
     assert out.columns == docs.columns
     got = out.collect()
