@@ -52,7 +52,15 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     path = path or fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables once everything that is read from them has been written itself."""
+    for t in tables:
+        remove_path(t.sparkSession, t.written_to)
 
 
 def limited(small: DataFrame, most: int = 50_000, values: str = "1") -> DataFrame:

@@ -183,9 +183,8 @@ def plan_partitions(nodes: DataFrame, radius: int, most: int = 6) -> list[tuple[
 # --- probing ---
 
 
-def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two blocks of fingerprints."""
-    near = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= radius
+def spanning_forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links ``near[i, j]`` between nodes ``a[i]`` and ``b[j]``."""
     open_a, open_b = np.ones(len(a), bool), np.ones(len(b), bool)
     us, vs = [], []
     for start in np.flatnonzero(near.any(axis=1)):
@@ -206,6 +205,11 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
+def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two blocks of fingerprints."""
+    return spanning_forest(np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= radius, a, b)
+
+
 def links(nodes: DataFrame, radius: int = 4, heavy: int = 256, block: int = 1024) -> DataFrame:
     """Edges ``(u, v)`` whose components are those of all links within ``radius`` bits."""
     parts = plan_partitions(nodes, radius)
