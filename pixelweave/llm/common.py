@@ -80,11 +80,15 @@ def rows_kept(docs: DataFrame, groups: DataFrame, id_col: str, text: str) -> Dat
     """
     counted = groups.groupBy("group", "id", "mark").agg(F.count("*").alias("n"))
     first = counted.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "mark", "n")).alias("first"))
-    kept = limited(materialize(first.select(F.col("first.id").alias("of"), F.col("first.mark").alias("of_mark"), F.col("first.n").alias("n")), "kept"))
+    kept = materialize(first.select(F.col("first.id").alias("of"), F.col("first.mark").alias("of_mark"), F.col("first.n").alias("n")), "kept")
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))
+    # What goes, and what stays once of several rows, is less than what stays: the texts meet these two tables only.
+    gone = materialize(counted.select("id", "mark").join(kept, same, "left_anti").withColumnsRenamed({"id": "of", "mark": "of_mark"}), "gone")
+    several = materialize(kept.filter("n > 1").drop("n"), "several")
     own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(blank(F.col(text))).alias("mark"))
-    met = own.join(kept, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
-    repeated = met.filter("n > 1").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    return met.filter("n = 1").select("row.*").unionByName(repeated.select("row.*"))
+    alone = own.join(limited(gone.unionByName(several), 300_000), same, "left_anti").select("row.*")
+    once = own.join(limited(several, 300_000), same, "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return alone.unionByName(once.select("row.*"))
 
 
 #: Functions that hold memory from task to task in a Python worker; each has ``cache_clear``.
