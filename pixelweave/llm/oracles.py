@@ -74,10 +74,46 @@ def mixing() -> str:
     SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN {uniform('seed')} < part THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM j JOIN s ON j.source IS NOT DISTINCT FROM s.source"""
 
 
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOWER} AS t FROM documents),
+    w AS (SELECT doc, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS df FROM w GROUP BY ALL),
+    k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(df) >= 30),
+    v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY ALL),
+    g AS (SELECT lang, source, coalesce(sum(k.n * 0 + c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN k USING (lang, term) GROUP BY ALL),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (g.n + 5 * v.v) AS BIGINT) AS p, CAST(1 + CAST(1000000000 AS HUGEINT) * (k.n + 5) // (v.n + 5 * v.v) AS BIGINT) AS q
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+    r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM r QUALIFY part = 'pair' OR rank <= 50"""
+
+
+#: CRC-32 has no function in SQL: one step per byte, the 256 table entries made by eight steps each.
+CRC = "CAST(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(g))), lambda k: CAST('0x' || substr(hex(encode(g)), 2 * k + 1, 2) AS BIGINT))), lambda acc, b: xor(acc >> 8, t.entry[xor(acc & 255, b) + 1])) AS BIGINT)"
+WORDS = f"regexp_extract_all({LOWER}, '{OWN_WORD}')"
+
+
+def features(table: str, key: str) -> str:
+    return f"SELECT {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS g FROM (SELECT {key}, {WORDS} AS w FROM {table})"
+
+
+RESAMPLING = f"""WITH t AS (SELECT list(list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS entry FROM range(256) r(b)),
+    fd AS ({features('documents', 'doc_id')}), fb AS ({features('benchmark', 'item_id')}), u AS (SELECT DISTINCT g FROM (SELECT g FROM fd UNION ALL SELECT g FROM fb)),
+    h AS (SELECT g, xor({CRC}, 4294967295) % 10000 AS bucket FROM u, t),
+    s AS (SELECT bucket, count(*) AS s FROM fd JOIN h USING (g) GROUP BY 1), b AS (SELECT bucket, count(*) AS t FROM fb JOIN h USING (g) GROUP BY 1), n AS (SELECT (SELECT count(*) FROM fd) AS big, (SELECT count(*) FROM fb) AS want),
+    gn AS (SELECT r.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * (big + 10000) / CAST((coalesce(s, 0) + 1) * (want + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN b USING (bucket), n),
+    w AS (SELECT doc_id, CAST(floor(sum(gain) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS weight, count(*) AS n_features FROM fd JOIN h USING (g) JOIN gn USING (bucket) GROUP BY 1),
+    x AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM documents LEFT JOIN w USING (doc_id)),
+    o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS held FROM x WHERE n_features >= 39)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * held // 100 THEN place END AS rank FROM x LEFT JOIN o USING (doc_id)"""
+
+
 ORACLE = {
     "op3_secret_scan": secret_scan(),
     "op5_warc": WARC,
     "op7_line_dedup": LINES,
     "op8_decontamination": LEAKS,
     "op9_source_mixing": mixing(),
+    "op11_source_divergence": DIVERGENCE,
+    "op13_importance_resampling": RESAMPLING,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelweave.llm import decontaminate, language_id, license_scan, line_dedup, mixing, quality, secret_scan, simhash, token_store, warc
+from pixelweave.llm import decontaminate, divergence, language_id, license_scan, line_dedup, mixing, packing, quality, resampling, secret_scan, simhash, token_store, warc
 from pixelweave.llm.common import table
 from pixelweave.llm.oracles import ORACLE  # noqa: F401  (read by the driver's entry)
 
@@ -51,4 +51,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_secret_scan, op4_token_store, op5_warc, op6_license_scan, op7_line_dedup, op8_decontamination, op9_source_mixing, op10_quality_rules)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), space=1024)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, least_words=20, percent=25, seed=7)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_secret_scan, op4_token_store, op5_warc, op6_license_scan, op7_line_dedup, op8_decontamination, op9_source_mixing, op10_quality_rules, op11_source_divergence, op12_best_fit_packing, op13_importance_resampling)}
