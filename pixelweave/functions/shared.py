@@ -27,7 +27,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/pixelweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def small(table: DataFrame, rows: int = 2000) -> DataFrame:
@@ -35,37 +37,61 @@ def small(table: DataFrame, rows: int = 2000) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def by_group(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``kernel`` on the rows of each group, sorted by ``order``.
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote, once everything read from them has been written itself."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def changes(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Places of the first rows of the groups of a sorted frame."""
+    held = pdf[keys].to_numpy()
+    return np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1)]))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of a sorted partition again, cut only where a group ends."""
+    rest: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        if rest and (pdf[keys].iloc[-1] == rest[0][keys].iloc[0]).all():  # the open group goes on to the end
+            rest.append(pdf)
+            continue
+        pdf = pd.concat([*rest, pdf], ignore_index=True)
+        last = int(changes(pdf, keys)[-1])
+        if last:
+            yield pdf.iloc[:last]
+        rest = [pdf.iloc[last:].reset_index(drop=True)]
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
+def by_batch(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``kernel`` on frames of many whole groups each, sorted by ``keys`` and ``order``.
 
-    The groups of a partition stream through one call, so many small groups do
-    not cost a call each; what is in memory is one group and one batch.
+    Groups are dealt out over all shuffle partitions, so that a CPU-bound
+    kernel is not run in one task because its bytes are few. What is in memory
+    is an Arrow batch, or one group where that is larger.
     """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
-
-        def done(pdf: pd.DataFrame, bounds: list[int]) -> Iterator[pd.DataFrame]:
-            out = [kernel(pdf.iloc[a:b].reset_index(drop=True)) for a, b in zip(bounds, bounds[1:])]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if rest and (pdf[keys].iloc[-1] == rest[0][keys].iloc[0]).all():  # the open group goes on to the end
-                rest.append(pdf)
-                continue
-            pdf = pd.concat([*rest, pdf], ignore_index=True)
-            held = pdf[keys].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1)])).tolist()
-            yield from done(pdf, starts)
-            rest = [pdf.iloc[starts[-1] :]]
-        if rest:
-            pdf = pd.concat(rest, ignore_index=True)
-            yield from done(pdf, [0, len(pdf)])
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(rows, schema)
+        for pdf in whole_groups(batches, keys):
+            yield kernel(pdf)
+
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInPandas(rows, schema)
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``kernel`` on the rows of one group at a time, as :func:`by_batch` deals them out."""
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        bounds = [*changes(pdf, keys).tolist(), len(pdf)]
+        return pd.concat([kernel(pdf.iloc[a:b].reset_index(drop=True)) for a, b in zip(bounds, bounds[1:])], ignore_index=True)
+
+    return by_batch(df, keys, order, each, schema)
 
 
 def numbered(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.functions.shared import by_group, materialize, small
+from pixelweave.functions.shared import by_batch, changes, discard, materialize, small
 
 STRIP = 256
 SIMILAR = 0.045
@@ -59,18 +59,19 @@ def label_edges(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def touching(cells: pd.DataFrame, values: list[str], limit: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions that are four-neighbours and alike: equal values, or squared distance under ``limit``."""
-    x, y = cells["x"].to_numpy(np.int64), cells["y"].to_numpy(np.int64)
+    """Pairs of positions that are four-neighbours of one strip and alike: equal values, or squared distance under ``limit``."""
+    starts = changes(cells, ["image_id", "strip"])
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(cells))))
+    x, y = cells["x"].to_numpy(np.int64), cells["y"].to_numpy(np.int64) % STRIP
     width = int(x.max()) + 2
-    key = (y - y.min()) * width + x
-    place = np.full(int(key.max()) + width + 2, -1)
-    place[key] = np.arange(len(key))
-    held = cells[values].to_numpy()
+    key = (group * (STRIP + 1) + y) * width + x
+    order = np.argsort(key, kind="stable")
+    ordered, held = key[order], cells[values].to_numpy()
     us, vs = [], []
     for step in (1, width):
-        other = place[key + step]
-        own = np.flatnonzero(other >= 0)
-        other = other[own]
+        at = np.minimum(np.searchsorted(ordered, key + step), len(key) - 1)
+        own = np.flatnonzero(ordered[at] == key + step)
+        other = order[at[own]]
         alike = (held[own] == held[other]).all(axis=1) if limit is None else ((held[own] - held[other]) ** 2).sum(axis=1) < limit
         us.append(own[alike])
         vs.append(other[alike])
@@ -89,7 +90,7 @@ def components(cells: DataFrame, values: list[str], limit: float | None = None)
         return pdf.drop(columns="strip").assign(local=pdf["i"].to_numpy()[roots])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema) + ", local long"
-    local = materialize(by_group(cells.withColumn("strip", F.floor(F.col("y") / STRIP)), ["image_id", "strip"], ["i"], label, schema), "strips")
+    local = materialize(by_batch(cells.withColumn("strip", F.floor(F.col("y") / STRIP)), ["image_id", "strip"], ["i"], label, schema), "strips")
     last = local.filter(F.col("y") % STRIP == STRIP - 1).select("image_id", "x", (F.col("y") + 1).alias("y"), F.col("local").alias("v"), *[F.col(c).alias(f"_{c}") for c in values])
     first = local.filter(F.col("y") % STRIP == 0).select("image_id", "x", "y", F.col("local").alias("u"), *values)
     if limit is None:
@@ -98,7 +99,10 @@ def components(cells: DataFrame, values: list[str], limit: float | None = None)
             alike = alike & (F.col(c) == F.col(f"_{c}"))
     else:
         alike = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in values), F.lit(0.0)) < limit
-    roots = star_components(first.join(last, ["image_id", "x", "y"]).filter(alike).select("image_id", "u", "v"))
+    across = materialize(first.join(last, ["image_id", "x", "y"]).filter(alike).select("image_id", "u", "v"), "across")
+    if across.isEmpty():  # no image is higher than a strip, or nothing goes on
+        return local.withColumnRenamed("local", "comp").select(*cells.columns, "comp")
+    roots = star_components(across)
     roots = small(materialize(roots.withColumnRenamed("node", "local"), "roots"), 100_000)
     return local.join(roots, ["image_id", "local"], "left").withColumn("comp", F.coalesce("root", "local")).select(*cells.columns, "comp")
 
@@ -133,41 +137,70 @@ def dominant_border(labelled: DataFrame) -> DataFrame:
     return border_tally(labelled).groupBy("image_id", "comp").agg(F.max_by("pid", F.struct("n", -F.col("pid"))).alias("pid"))
 
 
-def despeckle(cells: DataFrame, min_region: int) -> DataFrame:
+def despeckle(cells: DataFrame, min_region: int | DataFrame) -> DataFrame:
     """``cells(image_id, i, x, y, pid)`` with components of ``min_region`` pixels or fewer repainted.
 
-    A small component takes the dominant colour around it. Small components
-    that touch each other depend on each other in scan order, so every island
-    of them is resolved in order by a kernel; islands are independent. What an
-    island needs is its own border counts, not pixels.
+    ``min_region`` is a number, or ``(image_id, min_region)`` by image. A small
+    component takes the dominant colour around it, the lower of ties, as it is
+    by then: small components are taken in scan order, so one depends on those
+    small neighbours that come before it. The dependencies run from strip to
+    strip of the image only downwards, so a round resolves, in every strip at
+    once, what waits for nothing outside it; the next goes on from there. What
+    a component needs is its own border counts, not pixels.
     """
-    labelled = materialize(components(cells.select("image_id", "i", "x", "y", "pid"), ["pid"]), "labelled")
-    sizes = labelled.groupBy("image_id", "comp").agg(F.count("*").alias("n"), F.first("pid").alias("pid"))
-    small = materialize(sizes.filter(F.col("n") <= min_region).select("image_id", "comp", "pid"), "small")
-    own = labelled.select("image_id", "x", "y", "comp").join(small.select("image_id", "comp"), ["image_id", "comp"])
     from pixelweave.operators.stencil import FOUR, shifted
 
+    labelled = materialize(components(cells.select("image_id", "i", "x", "y", "pid"), ["pid"]), "labelled")
+    sizes = labelled.groupBy("image_id", "comp").agg(F.count("*").alias("n"), F.floor(F.min(F.struct("i", "y"))["y"] / STRIP).alias("strip"))
+    tiny = sizes.filter(F.col("n") <= min_region) if isinstance(min_region, int) else sizes.join(min_region, "image_id").filter(F.col("n") <= F.col("min_region"))
+    tiny = materialize(tiny.select("image_id", "comp", "strip"), "tiny")
+    own = labelled.select("image_id", "x", "y", "comp").join(tiny, ["image_id", "comp"])
     other = labelled.select("image_id", "x", "y", F.col("comp").alias("beside"), F.col("pid").alias("color"))
-    touch = shifted(own, FOUR).drop("d").join(other, ["image_id", "x", "y"]).filter("comp <> beside").groupBy("image_id", "comp", "beside", "color").agg(F.count("*").alias("n"))
-    touch = materialize(touch, "touch")
-    pairs = touch.join(small.select("image_id", F.col("comp").alias("beside")), ["image_id", "beside"]).select("image_id", F.col("comp").alias("u"), F.col("beside").alias("v"))
-    islands = star_components(pairs)
-    grouped = touch.join(islands.withColumnRenamed("node", "comp"), ["image_id", "comp"], "left").withColumn("island", F.coalesce("root", "comp"))
+    met = shifted(own, FOUR).drop("d").join(other, ["image_id", "x", "y"]).filter("comp <> beside").groupBy("image_id", "strip", "comp", "beside", "color").agg(F.count("*").alias("n"))
+    before = tiny.select("image_id", F.col("comp").alias("beside"), F.lit(True).alias("tiny"))
+    waits = F.coalesce(F.col("tiny"), F.lit(False)) & (F.col("beside") < F.col("comp"))
+    todo = materialize(met.join(before, ["image_id", "beside"], "left").select("image_id", "strip", "comp", "beside", "color", "n", waits.alias("waits")), "touch")
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        now: dict[int, int] = {}
+        """The colours of the components that can be told now; null for the others."""
+        made: dict[tuple[int, int], int | None] = {}
         tally: dict[int, int] = {}
-        last = None
-        for comp, beside, color, n in zip(*(pdf[c].tolist() for c in ("comp", "beside", "color", "n"))):
-            if comp != last and last is not None:
-                now[last] = min(tally, key=lambda c: (-tally[c], c))  # noqa: B023
-                tally = {}
-            last = comp
-            color = now.get(beside, color)
-            tally[color] = tally.get(color, 0) + n
-        now[last] = min(tally, key=lambda c: (-tally[c], c))
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "comp": list(now), "painted": list(now.values())})
-
-    painted = by_group(grouped.select("image_id", "island", "comp", "beside", "color", "n"), ["image_id", "island"], ["comp"], resolve, "image_id long, comp long, painted int")
-    out = labelled.join(painted, ["image_id", "comp"], "left").withColumn("pid", F.coalesce("painted", "pid"))
+        last, ready = None, True
+
+        def settle() -> None:
+            made[last] = min(tally, key=lambda c: (-tally[c], c)) if ready else None
+
+        for image, comp, beside, color, n, waits in zip(*(pdf[c].tolist() for c in ("image_id", "comp", "beside", "color", "n", "waits"))):
+            if (image, comp) != last:
+                if last is not None:
+                    settle()
+                last, ready, tally = (image, comp), True, {}
+            if waits:
+                color = made.get((image, beside))
+            if color is None:
+                ready = False
+            else:
+                tally[color] = tally.get(color, 0) + n
+        settle()
+        images, comps = zip(*made)
+        return pd.DataFrame({"image_id": images, "comp": comps, "painted": pd.Series(list(made.values()), dtype="Int32")})
+
+    done, tables = None, []
+    while True:
+        told = materialize(by_batch(todo, ["image_id", "strip"], ["comp"], resolve, "image_id long, comp long, painted int"), "painted")
+        tables.append(told.filter("painted is not null"))
+        open_ = told.filter("painted is null").select("image_id", "comp")
+        if open_.isEmpty():
+            break
+        # What waited for a component that is told now sees its colour; the others wait on.
+        known = tables[-1].select("image_id", F.col("comp").alias("beside"), "painted")
+        left = todo.join(open_, ["image_id", "comp"], "left_semi").join(known, ["image_id", "beside"], "left")
+        seen = F.col("waits") & F.col("painted").isNotNull()
+        left = materialize(left.select("image_id", "strip", "comp", "beside", F.when(seen, F.col("painted")).otherwise(F.col("color")).alias("color"), "n", (F.col("waits") & ~seen).alias("waits")), "touch")
+        discard(todo)
+        todo = left
+    done = tables[0]
+    for more in tables[1:]:
+        done = done.unionByName(more)
+    out = labelled.join(done, ["image_id", "comp"], "left").withColumn("pid", F.coalesce("painted", "pid"))
     return out.select("image_id", "i", "x", "y", "pid")

@@ -1,14 +1,12 @@
 """Linear gradient detection in regions: aggregates, a window over bins, and gates.
 
-All steps but the greedy choice of stops are relational over
-``region(image_id, comp, i, x, y, l, oa, ob)``; stops work on 64 bins of a region.
+All steps are relational over ``region(image_id, comp, i, x, y, l, oa, ob)``; the
+greedy choice of stops works on an array of the region's 64 bins.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions.color import hex_color, oklab_to_bytes, squared_distance
@@ -84,23 +82,40 @@ def gates(binned: DataFrame) -> DataFrame:
     return both.select(*REGION, "span", "max_step", "residual", passed.alias("accepted"))
 
 
-def at_offset(stops: list[tuple[float, np.ndarray]], off: float) -> np.ndarray:
-    """Piecewise-linear OKLab between stops; outside them the nearest one."""
-    offs = [s for s, _ in stops]
-    return np.array([np.interp(off, offs, [c[k] for _, c in stops]) for k in range(3)])
+def at_offset(stops: Column, off: Column) -> dict[str, Column]:
+    """Piecewise-linear OKLab between the stops around an offset."""
+    low = F.array_max(F.filter(stops, lambda s: s["off"] <= off))
+    high = F.array_min(F.filter(stops, lambda s: s["off"] >= off))
+    share = F.when(high["off"] > low["off"], (off - low["off"]) / (high["off"] - low["off"])).otherwise(0.0)
+    return {c: low[c] + (high[c] - low[c]) * share for c in LAB}
 
 
-def choose_stops(bins: np.ndarray, colors: np.ndarray) -> list[tuple[float, np.ndarray]]:
-    """End colours, then the worst bin each time (the first of ties), to tolerance or the limit."""
-    stops = [(0.0, colors[0]), (1.0, colors[-1])]
-    offs = (bins + 0.5) / BINS
-    while len(stops) < MOST_STOPS:
-        errors = np.array([np.sqrt(((c - at_offset(stops, o)) ** 2).sum()) for o, c in zip(offs, colors)])
-        worst = int(errors.argmax())
-        if errors[worst] <= STOP_TOLERANCE:
-            break
-        stops = sorted([*stops, (float(offs[worst]), colors[worst])], key=lambda s: s[0])
-    return stops
+def worst_bin(bins: Column, stops: Column) -> Column:
+    """``(error, -bin, off, l, oa, ob)`` of the bin that the stops fit worst, the first of ties."""
+
+    def told(b: Column) -> Column:
+        off = (b["bin"] + 0.5) / BINS
+        fit = at_offset(stops, off)
+        error = F.round(F.sqrt(squared_distance([b[c] for c in LAB], [fit[c] for c in LAB])), 9)
+        return F.struct(error.alias("error"), (-b["bin"]).alias("before"), off.alias("off"), *[b[c].alias(c) for c in LAB])
+
+    return F.array_max(F.transform(bins, told))
+
+
+def chosen_stops(means: DataFrame) -> DataFrame:
+    """``(image_id, comp, stops)`` of profiles: the end colours, then greedily the worst bin, to tolerance or the limit.
+
+    A region's profile is one array of at most ``BINS`` bins, so each choice is
+    an expression on its own row.
+    """
+    point = lambda off, b: F.struct(F.lit(off).cast("double").alias("off"), *[b[c].alias(c) for c in LAB])
+    out = means.groupBy(*REGION).agg(F.array_sort(F.collect_list(F.struct("bin", *LAB))).alias("bins"))
+    out = out.withColumn("stops", F.array(point(0.0, F.element_at("bins", 1)), point(1.0, F.element_at("bins", -1))))
+    for _ in range(MOST_STOPS - 2):
+        out = out.withColumn("worst", worst_bin(F.col("bins"), F.col("stops")))
+        more = F.array_sort(F.array_append("stops", F.struct("worst.off", *[F.col(f"worst.{c}").alias(c) for c in LAB])))
+        out = out.withColumn("stops", F.when(F.col("worst.error") > STOP_TOLERANCE, more).otherwise(F.col("stops")))
+    return out.select(*REGION, "stops")
 
 
 def detect(region: DataFrame) -> DataFrame:
@@ -108,16 +123,8 @@ def detect(region: DataFrame) -> DataFrame:
     axis = axes(normal_equations(region))
     binned = projected(region, axis)
     good = gates(binned).filter("accepted").select(*REGION)
-    means = profile(binned).join(good, REGION)
-
-    def stops(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        found = choose_stops(pdf["bin"].to_numpy(), pdf[list(LAB)].to_numpy())
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "comp": pdf["comp"].iloc[0], "k": np.arange(len(found)), "off": [o for o, _ in found], **{c: [v[j] for _, v in found] for j, c in enumerate(LAB)}})
-
-    each = means.groupBy(*REGION).applyInPandas(stops, "image_id long, comp long, k int, off double, l double, oa double, ob double")
-    color = hex_color(*oklab_to_bytes(*[F.col(c) for c in LAB]))
-    ordered = each.groupBy(*REGION).agg(F.array_sort(F.collect_list(F.struct("k", "off", color.alias("color")))).alias("s"))
+    color = lambda s: hex_color(*oklab_to_bytes(*[s[c] for c in LAB]))
+    stops = chosen_stops(profile(binned).join(good, REGION)).withColumn("stops", F.transform("stops", lambda s: F.struct(s["off"].alias("off"), color(s).alias("color"))))
     ends = binned.groupBy(*REGION).agg(*[F.first(c).alias(c) for c in ("cx", "cy", "ux", "uy", "t0", "t1")])
     point = lambda t: F.struct((F.col("cx") + F.col(t) * F.col("ux")).alias("x"), (F.col("cy") + F.col(t) * F.col("uy")).alias("y"))
-    return ordered.join(ends, REGION).select(*REGION, point("t0").alias("p0"), point("t1").alias("p1"), F.transform("s", lambda s: F.struct(s["off"].alias("off"), s["color"].alias("color"))).alias("stops"))
+    return stops.join(ends, REGION).select(*REGION, point("t0").alias("p0"), point("t1").alias("p1"), "stops")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions.color import hex_color, oklab, oklab_to_bytes, squared_distance, with_oklab
-from pixelweave.functions.shared import materialize, numbered, small
+from pixelweave.functions.shared import by_batch, changes, materialize, numbered, small
 
 SAMPLE, ROUNDS = 20_000, 8
 LAB = ("l", "oa", "ob")
@@ -100,55 +100,102 @@ def lloyd(colors: DataFrame, palette: DataFrame, rounds: int = ROUNDS) -> DataFr
     return palette
 
 
-# --- the derived palette: sequential by nature, on a bounded sample per image ---
+# --- the derived palette: many images at a time, on a bounded sample of each ---
 
+#: Errors are compared at so many places, so that equal ones tie whatever the order of a sum.
+PLACES = 9
 
-def cut_boxes(colors: np.ndarray, target: int) -> list[np.ndarray]:
-    """Median cut until there are ``target`` boxes; the last of the worst boxes is cut, its place taken by the last box."""
-    error = lambda m: float(((colors[m] - colors[m].mean(axis=0)) ** 2).sum())
-    boxes = [(error(np.arange(len(colors))), np.arange(len(colors)))]
-    while len(boxes) < target:
-        able = [(e, k) for k, (e, m) in enumerate(boxes) if len(m) > 1]
-        if not able:
+
+def box_errors(colors: np.ndarray, rows: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Summed squared distance of each box's colours from their mean; a box is a run of ``rows``."""
+    run = np.cumsum(length) - length
+    held = colors[rows[np.repeat(start - run, length) + np.arange(int(length.sum()))]]
+    off = held - np.repeat(np.add.reduceat(held, run) / length[:, None], length, axis=0)
+    return np.round(np.add.reduceat((off * off).sum(axis=1), run), PLACES)
+
+
+def cut_boxes(colors: np.ndarray, starts: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Median cut of all images at once: the rows in box order, and the boxes' starts and lengths, by image and position.
+
+    In a round every image that has too few boxes cuts its worst one, the last
+    of equal ones: by the widest axis, below and from the median. The place of
+    the cut box is taken by the image's last box, the halves go to the end.
+    """
+    n_images, rows = len(starts), np.arange(len(colors))
+    most = int(targets.max())
+    begin, size, error = (np.zeros((n_images, most), kind) for kind in (np.int64, np.int64, float))
+    begin[:, 0], size[:, 0] = starts, np.diff(np.append(starts, len(colors)))
+    error[:, 0] = box_errors(colors, rows, begin[:, 0], size[:, 0])
+    held = np.ones(n_images, np.int64)
+    for _ in range(most - 1):
+        able = size > 1
+        image = np.flatnonzero((held < targets) & able.any(axis=1))
+        if not len(image):
             break
-        _, k = max(able)
-        members = boxes[k][1]
-        boxes[k] = boxes[-1]
-        boxes.pop()
-        spread = np.ptp(colors[members], axis=0)
-        members = members[np.argsort(colors[members, int(spread.argmax())], kind="stable")]
-        half = len(members) // 2
-        boxes += [(error(m), m) for m in (members[:half], members[half:])]
-    return [m for _, m in boxes]
-
-
-def refine(colors: np.ndarray, centers: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+        value = np.where(able[image], error[image], -1.0)
+        worst = most - 1 - np.argmax(value[:, ::-1], axis=1)
+        a, n = begin[image, worst], size[image, worst]
+        run = np.cumsum(n) - n
+        place = np.repeat(a - run, n) + np.arange(int(n.sum()))
+        own = colors[rows[place]]
+        axis = np.argmax(np.maximum.reduceat(own, run) - np.minimum.reduceat(own, run), axis=1)
+        box = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((own[np.arange(len(own)), axis[box]], box))
+        rows[place] = rows[place[order]]
+        last = held[image] - 1
+        for table in (begin, size, error):
+            table[image, worst] = table[image, last]
+        half = n // 2
+        for at, start, length in ((last, a, half), (last + 1, a + half, n - half)):
+            begin[image, at], size[image, at] = start, length
+            error[image, at] = box_errors(colors, rows, start, length)
+        held[image] += 1
+    used = np.arange(most)[None, :] < held[:, None]
+    return rows, begin[used], size[used]
+
+
+def refine(colors: np.ndarray, image: np.ndarray, centers: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """``centers[image, pid]`` (infinite where an image has fewer) moved to the means of their members, ``rounds`` times."""
+    n_images, most = centers.shape[:2]
     for _ in range(rounds):
-        near = ((colors[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1) if len(centers) <= 16 else nearest_of(colors, centers)
-        n = np.bincount(near, minlength=len(centers))
-        sums = np.stack([np.bincount(near, weights=colors[:, c], minlength=len(centers)) for c in range(3)], axis=1)
-        centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
+        near = np.concatenate([nearest_of(colors[k : k + 4096], centers[image[k : k + 4096]]) for k in range(0, len(colors), 4096)])
+        cell = image * most + near
+        n = np.bincount(cell, minlength=n_images * most)
+        sums = np.stack([np.bincount(cell, weights=colors[:, c], minlength=n_images * most) for c in range(3)], axis=1)
+        means = np.round(sums / np.maximum(n, 1)[:, None], PLACES + 3).reshape(centers.shape)
+        centers = np.where((n > 0).reshape(n_images, most, 1), means, centers)
     return centers
 
 
-def nearest_of(colors: np.ndarray, centers: np.ndarray, block: int = 4096) -> np.ndarray:
-    return np.concatenate([((colors[k : k + block, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1) for k in range(0, len(colors), block)])
+def nearest_of(colors: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The nearest of each colour's own centers, the first of ties."""
+    off = np.where(np.isinf(centers), 1e6, colors[:, None, :] - np.where(np.isinf(centers), 0.0, centers))
+    return np.round((off * off).sum(axis=2), PLACES + 3).argmin(axis=1)
 
 
 def quantize(colors: DataFrame, k: DataFrame) -> DataFrame:
     """``palette(image_id, pid, l, oa, ob)`` from opaque ``colors(image_id, i, l, oa, ob)`` and ``k(image_id, k)``.
 
-    One kernel call per image on its stride sample (under twice ``SAMPLE``
-    rows): median cut, then ``ROUNDS`` refinements. ``k`` is clamped to
-    [1, sample size]; duplicate and empty entries stay, as positions are keys.
+    On each image's stride sample (under twice ``SAMPLE`` rows): median cut,
+    then ``ROUNDS`` refinements; the images of a batch go through every round
+    together. ``k`` is clamped to [1, sample size]; duplicate and empty entries
+    stay, as positions are keys.
     """
-    sample = stride_sample(colors).join(k, "image_id").select("image_id", "i", *LAB, "k")
+    sample = stride_sample(colors).join(small(k), "image_id").select("image_id", "i", *LAB, "k")
 
     def derive(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        values = pdf[list(LAB)].to_numpy()
-        boxes = cut_boxes(values, min(max(int(pdf["k"].iloc[0]), 1), len(values)))
-        centers = refine(values, np.stack([values[m].mean(axis=0) for m in boxes]))
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "pid": np.arange(len(centers)), **{c: centers[:, j] for j, c in enumerate(LAB)}})
-
-    return sample.groupBy("image_id").applyInPandas(derive, "image_id long, pid int, l double, oa double, ob double")
+        starts = changes(pdf, ["image_id"])
+        n = np.diff(np.append(starts, len(pdf)))
+        values, image = pdf[list(LAB)].to_numpy(), np.repeat(np.arange(len(starts)), n)
+        targets = np.minimum(np.maximum(pdf["k"].to_numpy(np.int64)[starts], 1), n)
+        rows, begin, size = cut_boxes(values, starts, targets)
+        order = np.argsort(begin, kind="stable")  # boxes cover all rows
+        mean = np.zeros((len(begin), 3))
+        mean[order] = np.add.reduceat(values[rows], begin[order]) / size[order, None]
+        centers = np.full((len(starts), int(targets.max()), 3), np.inf)
+        of, pid = image[begin], np.concatenate([np.arange(t) for t in np.bincount(image[begin], minlength=len(starts))])
+        centers[of, pid] = np.round(mean, PLACES + 3)
+        found = refine(values, image, centers)[of, pid]
+        return pd.DataFrame({"image_id": pdf["image_id"].to_numpy()[starts][of], "pid": pid, **{c: found[:, j] for j, c in enumerate(LAB)}})
+
+    return by_batch(sample, ["image_id"], ["i"], derive, "image_id long, pid int, l double, oa double, ob double")

@@ -8,7 +8,7 @@ pixels are rows too, so a raster is dense.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions.color import luma, oklab, squared_distance
@@ -32,11 +32,13 @@ def image_sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
 
 
-def bilateral(pixels: DataFrame, sigma: float) -> DataFrame:
+def bilateral(pixels: DataFrame, sigma: float | Column) -> DataFrame:
     """3 x 3 bilateral filter: weights are alpha times a Gaussian of the OKLab distance, means are of bytes.
 
     Transparent pixels stay and have no weight; images under 3 x 3 stay.
+    ``sigma`` may be a column of the pixels, by image.
     """
+    sigma = sigma if isinstance(sigma, Column) else F.lit(sigma)
     l, a, b = oklab(F.col("r"), F.col("g"), F.col("b"))
     met = neighbours(pixels, {"r": F.col("r"), "g": F.col("g"), "b": F.col("b"), "a": F.col("a"), "l": l, "oa": a, "ob": b}).join(image_sizes(pixels), "image_id")
     own = F.get("at", 4)

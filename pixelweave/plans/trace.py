@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions import params, text
-from pixelweave.functions.color import hex_color, luma, oklab_to_bytes, reduce_bits, with_oklab
-from pixelweave.functions.shared import materialize
+from pixelweave.functions.color import hex_color, luma, oklab, oklab_to_bytes, reduce_bits, with_oklab
+from pixelweave.functions.shared import materialize, small
 from pixelweave.operators import classify, components, contour, gradient, palette, stencil
 from pixelweave.plans.layers import layers_from_svg
 from pixelweave.sources import rasters
 
-RESULT = "image_id long, svg string, stats struct<path_count:int,path_count_distinct:int,palette:array<string>,classified_as:string,est_bytes:long>"
 
 
-def preclean(pixels: DataFrame, classes: DataFrame, detail: float) -> DataFrame:
-    """Fewer bits per channel; then, for images that are no logos and below the detail limit, the bilateral filter."""
-    bits = 5 + round(2 * min(max(detail, 0.0), 1.0) + 1e-12)
-    reduced = pixels.withColumns({c: reduce_bits(F.col(c), bits) for c in "rgb"})
-    if detail >= params.DENOISE_BELOW:
-        return reduced
-    logos = classes.filter("class = 'Logo'").select("image_id")
-    noisy = reduced.join(logos, "image_id", "left_anti")
-    return reduced.join(logos, "image_id", "left_semi").unionByName(stencil.bilateral(noisy, 0.16 - 0.12 * min(max(detail, 0.0), 1.0)))
+#: The options of each image: a table with a row per image.
+SETTINGS = ("image_id", "class_override", "k", "lock_palette", "bw_mode", "detail", "gradients")
+
+
+def setting_values(options: params.Options) -> list[Column]:
+    """The options as columns."""
+    lock = F.lit(None) if options.lock_palette is None else F.array(*[F.struct(*[F.lit(int(v)).alias(c) for c, v in zip("rgb", rgb)]) for rgb in options.lock_palette])
+    made = {"class_override": F.lit(options.class_override).cast("string"), "k": F.lit(options.k).cast("int"), "lock_palette": lock.cast("array<struct<r:int,g:int,b:int>>"), "bw_mode": F.lit(options.bw_mode), "detail": F.lit(min(max(float(options.detail), 0.0), 1.0)), "gradients": F.lit(options.gradients)}
+    return [c.alias(n) for n, c in made.items()]
+
+
+def preclean(pixels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Fewer bits per channel; then, for images that are no logos and below the detail limit, the bilateral filter.
+
+    ``classes(image_id, class, detail)`` says how for each image.
+    """
+    each = classes.select("image_id", params.significant_bits(F.col("detail")).alias("bits"), params.denoises(F.col("class"), F.col("detail")).alias("noisy"), params.sigma_color(F.col("detail")).alias("sigma"))
+    reduced = pixels.join(small(each, 100_000), "image_id").withColumns({c: reduce_bits(F.col(c), F.col("bits")) for c in "rgb"})
+    smooth = stencil.bilateral(reduced.filter("noisy").drop("bits", "noisy"), F.col("sigma"))
+    return reduced.filter("not noisy").select(*pixels.columns).unionByName(smooth.select(*pixels.columns))
 
 
 def gradient_regions(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,12 +67,12 @@ def paths_of(rings: DataFrame, keys: list[str]) -> DataFrame:
     return pieces.select(*keys, F.array_join(F.transform("p", lambda p: p["d"]), "").alias("d"))
 
 
-def flat_paths(cells: DataFrame, order: DataFrame, least: DataFrame) -> DataFrame:
+def flat_paths(cells: DataFrame, order: DataFrame, least: DataFrame, epsilon: float = contour.EPSILON) -> DataFrame:
     """``(image_id, z, comp, markup)`` of the regions of equal ``pid`` with at least ``least(image_id, least)`` pixels."""
     labelled = materialize(components.components(cells.select("image_id", "i", "x", "y", "pid"), ["pid"]), "regions")
     drawn = labelled.groupBy("image_id", "comp", "pid").agg(F.count("*").alias("n")).join(least, "image_id").filter(F.col("n") >= F.col("least")).drop("least")
     region = labelled.join(drawn.select("image_id", "comp"), ["image_id", "comp"])
-    outlines = paths_of(contour.trace_rings(region.select("image_id", "comp", "x", "y"), ["image_id", "comp"]), ["image_id", "comp"])
+    outlines = paths_of(contour.trace_rings(region.select("image_id", "comp", "x", "y"), ["image_id", "comp"], epsilon), ["image_id", "comp"])
     shapes = outlines.join(drawn, ["image_id", "comp"]).join(order.select("image_id", "pid", "z", "color"), ["image_id", "pid"])
     return shapes.select("image_id", "z", "comp", text.shape_markup(F.col("d"), F.lit(""), F.col("color")).alias("markup"))
 
@@ -83,20 +96,19 @@ def with_stats(svgs: DataFrame, colors: DataFrame, classes: DataFrame, extra: Da
     return out.select("image_id", "svg", stats.alias("stats"))
 
 
-def trace_bw(pixels: DataFrame, least: int = 1) -> DataFrame:
+def trace_bw(pixels: DataFrame, least: int = 1, epsilon: float = contour.EPSILON) -> DataFrame:
     """Dark opaque pixels in black; palette and class are fixed."""
     sides = stencil.image_sizes(pixels)
     dark = pixels.filter((F.col("a") != 0) & (luma(F.col("r"), F.col("g"), F.col("b")) < 128)).withColumn("pid", F.lit(0))
     order = sides.select("image_id", F.lit(0).alias("pid"), F.lit(0).alias("z"), F.lit("#000000").alias("color"))
     fixed = sides.select("image_id", F.array(F.lit("#000000")).alias("colors"), F.lit("Logo").alias("class"))
-    return with_stats(document(sides, flat_paths(dark, order, sides.select("image_id", F.lit(least).alias("least")))), fixed.select("image_id", "colors"), fixed.select("image_id", "class"))
+    return with_stats(document(sides, flat_paths(dark, order, sides.select("image_id", F.lit(least).alias("least")), epsilon)), fixed.select("image_id", "colors"), fixed.select("image_id", "class"))
 
 
-def locked_palettes(spark: SparkSession, images: DataFrame, options: params.Options) -> DataFrame:
-    one = palette.locked(spark, options.lock_palette).drop("image_id")
-    rows = one.agg(F.array_sort(F.collect_list(F.struct("pid", "l", "oa", "ob"))).alias("p")).first()["p"]  # the caller's own list
-    entries = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in rows])
-    return images.select("image_id", F.inline(entries))
+def locked_palettes(settings: DataFrame) -> DataFrame:
+    """``palette(image_id, pid, l, oa, ob)`` of the images whose settings lock one."""
+    entries = settings.select("image_id", F.posexplode("lock_palette").alias("pid", "c"))
+    return entries.select("image_id", "pid", *[c.alias(n) for c, n in zip(oklab(F.col("c.r"), F.col("c.g"), F.col("c.b")), palette.LAB)])
 
 
 def bounded(pixels: DataFrame, longest: int = rasters.LONGEST_EDGE) -> DataFrame:
@@ -109,62 +121,83 @@ def bounded(pixels: DataFrame, longest: int = rasters.LONGEST_EDGE) -> DataFrame
     return materialize(pixels.join(over, "image_id", "left_anti").unionByName(large), "bounded")
 
 
-def trace(pixels: DataFrame, options: params.Options = params.DEFAULT) -> DataFrame:
-    """``(image_id, svg, stats)`` of every image of the pixel relation.
+def trace(pixels: DataFrame, options: params.Options = params.DEFAULT, epsilon: float = contour.EPSILON) -> DataFrame:
+    """``(image_id, svg, stats)`` of every image of the pixel relation, all under the same options."""
+    pixels = bounded(pixels)
+    return trace_each(pixels, pixels.select("image_id").distinct().select("image_id", *setting_values(options)), epsilon=epsilon)
+
 
-    Images beyond ``LONGEST_EDGE`` are brought down to it first.
-    With an empty ``lock_palette`` nothing is quantized: every pixel keeps its
-    colour. Images without an opaque pixel give an SVG without a path.
+def trace_each(pixels: DataFrame, settings: DataFrame, measured: DataFrame | None = None, epsilon: float = contour.EPSILON) -> DataFrame:
+    """``(image_id, svg, stats)`` of every image under its own options, in one plan.
+
+    ``settings`` has ``SETTINGS`` for each image, ``measured`` its
+    ``(image_id, effective, class)`` if that is known. No image is beyond
+    ``LONGEST_EDGE``. With an empty ``lock_palette`` nothing is quantized:
+    every pixel keeps its colour. Images without an opaque pixel give an SVG
+    without a path.
     """
-    spark = pixels.sparkSession
-    pixels = bounded(pixels)
-    if options.bw_mode:
-        return trace_bw(pixels)
-    detail = min(max(options.detail, 0.0), 1.0)
+    settings = materialize(settings.select(*SETTINGS), "settings")
+    kinds = {c: F.coalesce(F.bool_or(e), F.lit(False)).alias(c) for c, e in {"dark": F.col("bw_mode"), "color": ~F.col("bw_mode"), "gradients": ~F.col("bw_mode") & F.col("gradients"), "guess": ~F.col("bw_mode") & F.col("class_override").isNull(), "free": ~F.col("bw_mode") & (F.size("lock_palette") == 0), "lock": ~F.col("bw_mode") & (F.size("lock_palette") > 0), "derive": ~F.col("bw_mode") & F.col("lock_palette").isNull()}.items()}
+    some = settings.agg(*kinds.values()).first()
+    only = lambda df, images: df.join(images.select("image_id"), "image_id", "left_semi")
+    dark = trace_bw(only(pixels, small(settings.filter("bw_mode"), 100_000)), epsilon=epsilon) if some["dark"] else None
+    if not some["color"]:
+        return dark if dark is not None else with_stats(document(stencil.image_sizes(pixels), flat_paths(pixels.withColumn("pid", F.lit(0)), settings.selectExpr("image_id", "0 pid", "0 z", "'' color"), settings.selectExpr("image_id", "1 least"))), settings.selectExpr("image_id", "cast(array() as array<string>) colors"), settings.selectExpr("image_id", "class_override class"))
+    settings = settings.filter("not bw_mode")
+    if dark is not None:
+        pixels = only(pixels, small(settings, 100_000))
     sides = materialize(stencil.image_sizes(pixels), "sides")
-    effective = classify.effective_colors(pixels)
-    classes = effective.withColumn("class", F.lit(options.class_override)) if options.class_override else classify.classify(pixels)
-    classes = materialize(classes.select("image_id", "effective", "class"), "classes")
-    clean = materialize(preclean(pixels, classes, detail), "clean")
+    if measured is None:
+        measured = classify.classify(pixels) if some["guess"] else classify.effective_colors(pixels).withColumn("class", F.lit(None).cast("string"))
+    told = measured.select("image_id", "effective", F.col("class").alias("guessed")).join(settings, "image_id")
+    classes = small(materialize(told.withColumn("class", F.coalesce("class_override", "guessed")).drop("guessed"), "classes"), 100_000)
+    clean = materialize(preclean(pixels, classes.select("image_id", "class", "detail")), "clean")
     fitted = None
-    if options.gradients:
-        fitted, clean = gradient_regions(clean)
-        fitted, clean = materialize(fitted, "gradients"), materialize(clean, "punched")
-    if options.lock_palette == ():
-        opaque = clean.filter("a <> 0")
+    if some["gradients"]:
+        with_gradients = classes.filter("gradients")
+        fitted, punched = gradient_regions(only(clean, with_gradients))
+        fitted = materialize(fitted, "gradients")
+        clean = materialize(punched.unionByName(clean.join(with_gradients.select("image_id"), "image_id", "left_anti")), "punched")
+    cells, orders, colors = [], [], []
+    if some["free"]:
+        opaque = only(clean.filter("a <> 0"), classes.filter("size(lock_palette) = 0"))
         own = hex_color(F.col("r"), F.col("g"), F.col("b"))
-        entries = opaque.select("image_id", own.alias("color")).distinct()
-        order = entries.select("image_id", F.conv(F.substring("color", 2, 6), 16, 10).cast("int").alias("pid"), F.lit(0).alias("z"), "color")
-        cells = opaque.withColumn("pid", F.conv(F.substring(own, 2, 6), 16, 10).cast("int"))
-        used = sides.select("image_id", F.array().cast("array<string>").alias("colors"))
-    else:
-        if options.lock_palette is not None:
-            made = locked_palettes(spark, sides, options)
-        else:
-            k = classes.select("image_id", params.effective_k(F.col("class"), F.lit(detail), F.col("effective"), F.lit(options.k).cast("int")).alias("k"))
-            made = palette.quantize(with_oklab(clean.filter("a <> 0")).select("image_id", "i", "l", "oa", "ob"), k)
+        number = (F.col("r") * 256 + F.col("g")) * 256 + F.col("b")
+        cells.append(opaque.select("image_id", "i", "x", "y", number.cast("int").alias("pid")))
+        orders.append(opaque.select("image_id", number.cast("int").alias("pid"), F.lit(0).alias("z"), own.alias("color")).distinct())
+    if some["lock"] or some["derive"]:
+        kept = only(clean, classes.filter("lock_palette is null or size(lock_palette) > 0")) if some["free"] else clean
+        made = locked_palettes(settings)
+        if some["derive"]:
+            k = classes.filter("lock_palette is null").select("image_id", params.effective_k(F.col("class"), F.col("detail"), F.col("effective"), F.col("k")).alias("k"))
+            made = made.unionByName(palette.quantize(with_oklab(only(kept, k).filter("a <> 0")).select("image_id", "i", "l", "oa", "ob"), k))
         made = materialize(made, "palette")
-        assigned = palette.assign(clean, made)
-        sentinel = F.lit(-1)
-        full = clean.select("image_id", "i", "x", "y").join(assigned.select("image_id", "i", "pid"), ["image_id", "i"], "left").withColumn("pid", F.coalesce("pid", sentinel))
-        # The sentinel sorts after every colour where ties go to the lower one.
-        full = materialize(full.withColumn("pid", F.when(F.col("pid") == -1, 1 << 20).otherwise(F.col("pid"))), "full")
-        smooth = components.despeckle(full, 8 - round(7 * detail + 1e-12)).withColumnRenamed("pid", "painted")
-        joined = full.join(smooth.select("image_id", "i", "painted"), ["image_id", "i"]).filter(F.col("pid") != 1 << 20)
-        cells = materialize(joined.withColumn("pid", F.when(F.col("painted") == 1 << 20, F.col("pid")).otherwise(F.col("painted"))).drop("painted"), "cells")
-        order = palette.order_by_area(cells, made)
-        color = hex_color(*oklab_to_bytes(F.col("l"), F.col("oa"), F.col("ob")))
-        used = made.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("pid", color.alias("c")))).alias("s")).select("image_id", F.transform("s", lambda s: s["c"]).alias("colors"))
-    speckle = params.tracer_settings(F.col("class"), F.lit(detail))["filter_speckle"]
-    least = classes.select("image_id", (speckle * speckle).alias("least"))
-    svgs = document(sides, flat_paths(cells, order, least))
+        assigned = palette.assign(kept, made)
+        # The sentinel of transparent pixels sorts after every colour where ties go to the lower one.
+        none = F.lit(1 << 20)
+        full = kept.select("image_id", "i", "x", "y").join(assigned.select("image_id", "i", "pid"), ["image_id", "i"], "left").withColumn("pid", F.coalesce("pid", none))
+        full = materialize(full, "full")
+        smooth = components.despeckle(full, classes.select("image_id", params.min_region(F.col("detail")).alias("min_region"))).withColumnRenamed("pid", "painted")
+        joined = full.join(smooth.select("image_id", "i", "painted"), ["image_id", "i"]).filter(F.col("pid") != none)
+        painted = materialize(joined.withColumn("pid", F.when(F.col("painted") == none, F.col("pid")).otherwise(F.col("painted"))).drop("painted"), "cells")
+        cells.append(painted)
+        orders.append(palette.order_by_area(painted, made).select("image_id", "pid", "z", "color"))
+        color = hex_color(*oklab_to_bytes(*[F.col(c) for c in palette.LAB]))
+        colors.append(made.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("pid", color.alias("c")))).alias("s")).select("image_id", F.transform("s", lambda s: s["c"]).alias("colors")))
+    union = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    nothing = F.array().cast("array<string>")
+    used = sides.join(union(colors), "image_id", "left").select("image_id", F.coalesce("colors", nothing).alias("colors")) if colors else sides.select("image_id", nothing.alias("colors"))
+    speckle = params.tracer_settings(F.col("class"), F.col("detail"))["filter_speckle"]
+    svgs = document(sides, flat_paths(union(cells), union(orders), classes.select("image_id", (speckle * speckle).alias("least")), epsilon))
     if fitted is None:
-        return with_stats(svgs, used, classes)
-    extra = fitted.groupBy("image_id").agg(F.count("*").cast("int").alias("again"), F.array_sort(F.collect_list(F.struct("z", "definition", "path", "colors"))).alias("s"))
-    pieces = lambda c: F.array_join(F.transform("s", lambda s: s[c]), "")
-    spliced = svgs.join(extra.select("image_id", "s"), "image_id", "left").select("image_id", F.when(F.col("s").isNull(), F.col("svg")).otherwise(text.splice(F.col("svg"), pieces("definition"), pieces("path"))).alias("svg"))
-    both = used.join(extra.select("image_id", F.flatten(F.transform("s", lambda s: s["colors"])).alias("more")), "image_id", "left").select("image_id", F.concat("colors", F.coalesce("more", F.array().cast("array<string>"))).alias("colors"))
-    return with_stats(spliced, both, classes, extra.select("image_id", "again"))
+        out = with_stats(svgs, used, classes)
+    else:
+        extra = fitted.groupBy("image_id").agg(F.count("*").cast("int").alias("again"), F.array_sort(F.collect_list(F.struct("z", "definition", "path", "colors"))).alias("s"))
+        pieces = lambda c: F.array_join(F.transform("s", lambda s: s[c]), "")
+        spliced = svgs.join(extra.select("image_id", "s"), "image_id", "left").select("image_id", F.when(F.col("s").isNull(), F.col("svg")).otherwise(text.splice(F.col("svg"), pieces("definition"), pieces("path"))).alias("svg"))
+        both = used.join(extra.select("image_id", F.flatten(F.transform("s", lambda s: s["colors"])).alias("more")), "image_id", "left").select("image_id", F.concat("colors", F.coalesce("more", nothing)).alias("colors"))
+        out = with_stats(spliced, both, classes, extra.select("image_id", "again"))
+    return out if dark is None else out.unionByName(dark)
 
 
 def web_stats(results: DataFrame, sides: DataFrame) -> DataFrame:
@@ -182,30 +215,80 @@ def variation_specs(base: params.Options = params.EDITOR) -> list[tuple[str, dic
     return [(name, {"detail": detail, "k": k}) for name, detail, k in spread] + forced
 
 
-def sweep(pixels: DataFrame, options: params.Options = params.EDITOR, variations=None) -> DataFrame:
-    """Traces under every variation: ``(variant, name, image_id, svg, stats, error)``.
+def variation_table(bases: DataFrame) -> DataFrame:
+    """``bases(…, detail)`` once per variation of the editor at that detail: ``(…, variant, name, detail, k, class_override)``."""
+    others = [F.col(c) for c in bases.columns if c != "detail"]
+    rows = []
+    for n, (name, patch) in enumerate(variation_specs()):
+        fixed = patch["class_override"] != "Illustration" if "class_override" in patch else True
+        detail = F.lit(float(patch.get("detail", params.EDITOR.detail))) if fixed and "detail" in patch else params.unit(F.col("detail")) if not fixed else F.col("detail")
+        rows.append(F.struct(F.lit(n).alias("variant"), F.lit(name).alias("name"), detail.alias("detail"), F.lit(patch.get("k")).cast("int").alias("k"), F.lit(patch.get("class_override")).cast("string").alias("class_override")))
+    return bases.select(*others, F.inline(F.array(*rows)))
 
-    Every image has a row per variation. A patch that does not fit gives rows
-    with its ``error`` and no SVG; if all are such, it is raised. Pixels are
-    read, bounded and classified once for all variations.
-    """
-    from dataclasses import replace
 
-    changed, wrong = {}, {}
-    named = list(variations or variation_specs(options))
-    for n, (name, patch) in enumerate(named):
+#: Columns of an options table besides ``variant`` and ``name``; all may be null.
+OPTION_COLUMNS = "class_override string, k int, lock_palette array<struct<r:int,g:int,b:int>>, bw_mode boolean, photo_mode string, detail double, gradients boolean"
+
+
+def option_rows(spark: SparkSession, options: params.Options, variations) -> DataFrame:
+    """An options table ``(variant, name, error, …)`` from names and patches; a patch that does not fit has its ``error``."""
+    rows = []
+    for n, (name, patch) in enumerate(variations):
         try:
-            changed[n] = replace(options, **patch)
+            o, error = replace(options, **patch), None
         except (TypeError, ValueError) as e:
-            wrong[n] = str(e)
-    if not changed:
-        raise ValueError("; ".join(wrong.values()))
+            o, error = options, str(e)
+        rows.append((n, name, error, o.class_override, o.k, None if o.lock_palette is None else [list(c) for c in o.lock_palette], o.bw_mode, o.photo_mode, float(o.detail), o.gradients))
+    return spark.createDataFrame(rows, f"variant int, name string, error string, {OPTION_COLUMNS}")
+
+
+def checked_options(table: DataFrame, base: params.Options = params.EDITOR) -> DataFrame:
+    """An options table with nulls filled in from ``base`` and an ``error`` where a value is not allowed."""
+    have = {c.split()[0]: c.split()[1] for c in OPTION_COLUMNS.replace(", ", ",").replace(",g:", ";g:").replace(",b:", ";b:").split(",")}
+    kinds = {k: v.replace(";", ",") for k, v in have.items()}
+    out = table
+    for c, kind in kinds.items():
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast(kind))
+    plain = {"photo_mode": base.photo_mode, "bw_mode": base.bw_mode, "detail": base.detail, "gradients": base.gradients}
+    out = out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in plain.items()})
+    bad = F.array_compact(F.array(
+        F.when(~F.col("class_override").isin(*params.CLASSES), F.concat(F.lit("invalid options: class "), "class_override")),
+        F.when(~F.col("photo_mode").isin(*params.PHOTO_MODES), F.concat(F.lit("invalid options: photo mode "), "photo_mode")),
+        F.when(F.col("k") < 0, F.concat(F.lit("invalid options: k "), F.col("k").cast("string"))),
+        F.when(F.isnan("detail"), F.lit("invalid options: detail")),
+        F.when(F.exists("lock_palette", lambda c: F.coalesce(~(c["r"].between(0, 255) & c["g"].between(0, 255) & c["b"].between(0, 255)), F.lit(True))), F.lit("invalid options: palette")),
+    ))
+    found = F.when(F.size(bad) > 0, F.array_join(bad, "; "))
+    error = F.coalesce(F.col("error"), found) if "error" in table.columns else found
+    return out.withColumn("error", error).select("variant", "name", "error", *kinds)
+
+
+def sweep(pixels: DataFrame, options: params.Options = params.EDITOR, variations=None, epsilon: float = contour.EPSILON) -> DataFrame:
+    """Traces under every variation: ``(variant, name, image_id, svg, stats, error)``.
+
+    ``variations`` are names and patches of ``options``, or an options table
+    ``(variant, name, …)``. Every image has a row per variation; one that does
+    not fit gives rows with its ``error`` and no SVG; if all are such, that is
+    raised. It is one job: images meet the options table, each pair is an image
+    of its own with its own settings, and all go through the trace together.
+    Pixels are bounded and classified once.
+    """
+    spark = pixels.sparkSession
+    if not isinstance(variations, DataFrame):
+        variations = option_rows(spark, options, list(variations or variation_specs(options)))
+    table = materialize(checked_options(variations, options), "options")
+    if table.filter("error is null").isEmpty():
+        raise ValueError("; ".join(r["error"] for r in table.select("error").limit(20).collect()) or "no variations")
     shared = materialize(bounded(pixels), "sweep-pixels")
-    images = shared.select("image_id").distinct()
-    rows = [trace(shared, o).select(F.lit(n).alias("variant"), "image_id", "svg", "stats", F.lit(None).cast("string").alias("error")) for n, o in changed.items()]
-    empty = RESULT.split("stats ")[1]
-    rows += [images.select(F.lit(n).alias("variant"), "image_id", F.lit(None).cast("string").alias("svg"), F.lit(None).cast(empty).alias("stats"), F.lit(e).alias("error")) for n, e in wrong.items()]
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("name", F.element_at(F.array(*[F.lit(name) for name, _ in named]), F.col("variant") + 1)).select("variant", "name", "image_id", "svg", "stats", "error")
+    measured = materialize(classify.classify(shared).select(F.col("image_id").alias("of"), "effective", "class"), "measured")
+    # One row per image and option; the options of an editor are few.
+    numbers = [r["variant"] for r in table.select("variant").collect()]
+    asked = measured.withColumn("variant", F.explode(F.array(*map(F.lit, numbers)))).join(small(table), "variant")
+    pairs = materialize(asked.withColumn("image_id", F.monotonically_increasing_id()), "pairs")
+    good = pairs.filter("error is null")
+    each = shared.withColumnRenamed("image_id", "of").join(small(good.select("of", "image_id"), 100_000), "of").select(*shared.columns)
+    settings = good.select("image_id", *SETTINGS[1:]).withColumn("detail", params.unit(F.col("detail")))
+    made = trace_each(each, settings, good.select("image_id", "effective", "class"), epsilon)
+    out = pairs.select("variant", "name", F.col("of"), "error", "image_id").join(made, "image_id", "left")
+    return out.select("variant", "name", F.col("of").alias("image_id"), "svg", "stats", "error")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.functions import color, params, text
+from pixelweave.functions import color, params, shared, text
 from pixelweave.operators import classify, components, contour, gradient, palette, stencil
-from pixelweave.plans import layers, trace
+from pixelweave.plans import draw, layers, trace
 from pixelweave.sources import rasters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,20 +125,21 @@ CURVE = f"CAST({class_case(params.PALETTE_SIZE, 0)} + round(({class_case(params.
 
 
 @query(
-    f"""WITH g AS (SELECT class, CAST(s AS INT) AS step, least(greatest((s - 2) / CAST(16.0 AS DOUBLE), 0), 1) AS t, CAST(s * 3 AS INT) AS effective
-      FROM (VALUES ('Logo'), ('Illustration'), ('Photo')) c(class), range(21) r(s))
-    SELECT class, step, {CURVE} AS detail_k, CASE WHEN class = 'Photo' THEN {CURVE} ELSE least({CURVE}, greatest(effective, 2)) END AS effective_k,
+    f"""WITH g AS (SELECT o_orderkey, ['Logo', 'Illustration', 'Photo'][o_orderkey % 3 + 1] AS class, least(greatest((o_custkey % 21 - 2) / CAST(16.0 AS DOUBLE), 0), 1) AS t, CAST(o_orderkey % 64 AS INT) AS effective, CASE WHEN o_orderstatus = 'P' THEN CAST(o_custkey % 40 AS INT) END AS k FROM orders)
+    SELECT o_orderkey, class, {CURVE} AS detail_k, coalesce(k, CASE WHEN class = 'Photo' THEN {CURVE} ELSE least({CURVE}, greatest(effective, 2)) END) AS effective_k,
       CAST(round(2 * t) + 5 AS INT) AS bits, round({num(0.16)} - {num(0.12)} * t, 6) AS sigma, class <> 'Logo' AND t < 0.85 AS denoise,
       CAST(8 - round(7 * t) AS INT) AS min_region, CAST(greatest(floor(effective * 1000 * {num(0.02)}), 256) AS INT) AS min_area,
       {falling_sql(params.SPECKLE)} AS filter_speckle, {falling_sql(params.CORNER)} AS corner_threshold,
       CAST(round(4 + 4 * t) AS INT) AS path_precision, CAST(least(greatest(round(64 - 56 * t), 4), 64) AS INT) AS layer_difference FROM g"""
 )
 def param_curves(spark, sf_dir):
-    kinds = F.explode(F.array(*map(F.lit, params.CLASSES)))
-    g = spark.range(21).select(kinds.alias("class"), F.col("id").cast("int").alias("step"), ((F.col("id") - 2) / 16.0).alias("t"), (F.col("id") * 3).cast("int").alias("effective"))
+    """Every parameter of each order taken as an image: its class, detail, colours and, for some, its palette size."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    kinds = F.element_at(F.array(*map(F.lit, params.CLASSES)), (key % 3 + 1).cast("int"))
+    g = rasters.table(spark, sf_dir, "orders").select(key, kinds.alias("class"), ((customer % 21 - 2) / 16.0).alias("t"), (key % 64).cast("int").alias("effective"), F.when(F.col("o_orderstatus") == "P", (customer % 40).cast("int")).alias("k"))
     kind, t = F.col("class"), F.col("t")
-    made = {"detail_k": params.detail_k(kind, t), "effective_k": params.effective_k(kind, t, F.col("effective"), F.lit(None).cast("int")), "bits": params.significant_bits(t), "sigma": F.round(params.sigma_color(t), 6), "denoise": params.denoises(kind, t), "min_region": params.min_region(t), "min_area": params.min_area(F.col("effective") * 1000), **params.tracer_settings(kind, t)}
-    return g.select("class", "step", *[c.alias(n) for n, c in made.items()])
+    made = {"detail_k": params.detail_k(kind, t), "effective_k": params.effective_k(kind, t, F.col("effective"), F.col("k")), "bits": params.significant_bits(t), "sigma": F.round(params.sigma_color(t), 6), "denoise": params.denoises(kind, t), "min_region": params.min_region(t), "min_area": params.min_area(F.col("effective") * 1000), **params.tracer_settings(kind, t)}
+    return g.select("o_orderkey", "class", *[c.alias(n) for n, c in made.items()])
 
 
 # --- classification ---
@@ -233,7 +234,28 @@ def stride_sample(spark, sf_dir):
     return palette.stride_sample(rasters.order_pixels(spark, sf_dir).filter("a <> 0"), 500).select("i")
 
 
-@query()
+def cut_sql(boxes: int) -> str:
+    """CTEs that cut the worst of ``boxes`` boxes of every image: rows of ``b{n}`` have their box and their order in it."""
+    n = boxes
+    w = lambda c: f"(max({c}) - min({c}))"
+    axis = f"CASE WHEN {w('l')} >= {w('oa')} AND {w('l')} >= {w('ob')} THEN 0 WHEN {w('oa')} >= {w('ob')} THEN 1 ELSE 2 END"
+    return f"""m{n} AS (SELECT image_id, box, count(*) AS n, avg(l) AS ml, avg(oa) AS ma, avg(ob) AS mb, {axis} AS axis FROM b{n} GROUP BY 1, 2),
+    s{n} AS (SELECT m.image_id, m.box, any_value(n) AS n, any_value(axis) AS axis, round(sum((l - ml) * (l - ml) + (oa - ma) * (oa - ma) + (ob - mb) * (ob - mb)), 9) AS error FROM b{n} b JOIN m{n} m USING (image_id, box) GROUP BY 1, 2),
+    w{n} AS (SELECT image_id, arg_max(box, (error, box)) AS worst, arg_max(n, (error, box)) AS n, arg_max(axis, (error, box)) AS axis FROM s{n} WHERE n > 1 GROUP BY 1),
+    r{n} AS (SELECT b.*, w.worst, w.n, row_number() OVER (PARTITION BY b.image_id, box ORDER BY CASE axis WHEN 0 THEN l WHEN 1 THEN oa ELSE ob END, place) AS rank FROM b{n} b LEFT JOIN w{n} w USING (image_id)),
+    b{n + 1} AS (SELECT image_id, i, l, oa, ob, CASE WHEN box = worst THEN CASE WHEN rank <= n // 2 THEN {n - 1} ELSE {n} END WHEN box = {n - 1} AND worst IS NOT NULL THEN worst ELSE box END AS box, CASE WHEN box = worst THEN rank ELSE place END AS place FROM r{n})"""
+
+
+def means_sql(rounds: int, start: str) -> str:
+    """CTEs that move the palette ``p0`` of every image ``rounds`` times."""
+    return start + "".join(f", a{k} AS (SELECT c.image_id, c.i, arg_min(p.pid, (round({DIST}, 12), p.pid)) AS pid FROM cs c JOIN p{k - 1} p USING (image_id) GROUP BY 1, 2), p{k} AS (SELECT p.image_id, p.pid, coalesce(m.l, p.l) AS l, coalesce(m.oa, p.oa) AS oa, coalesce(m.ob, p.ob) AS ob FROM p{k - 1} p LEFT JOIN (SELECT image_id, pid, round(avg(l), 12) AS l, round(avg(oa), 12) AS oa, round(avg(ob), 12) AS ob FROM a{k} JOIN cs USING (image_id, i) GROUP BY 1, 2) m USING (image_id, pid))" for k in range(1, rounds + 1))
+
+
+@query(
+    f"WITH px AS ({EMB}), {lab_ctes('px', 'cs')}, b1 AS (SELECT image_id, i, l, oa, ob, 0 AS box, i AS place FROM cs), {', '.join(map(cut_sql, range(1, 6)))}, "
+    + means_sql(8, "p0 AS (SELECT image_id, box AS pid, round(avg(l), 12) AS l, round(avg(oa), 12) AS oa, round(avg(ob), 12) AS ob FROM b6 GROUP BY 1, 2)")
+    + " SELECT image_id, CAST(pid AS INT) AS pid, round(l, 6) AS l, round(oa, 6) AS oa, round(ob, 6) AS ob FROM p8"
+)
 def quantize_palette(spark, sf_dir):
     pixels = rasters.embedding_pixels(spark, sf_dir)
     k = pixels.select("image_id").distinct().withColumn("k", F.lit(6))
@@ -286,7 +308,15 @@ def despeckle_isolated(spark, sf_dir):
     return components.despeckle(cells.withColumn("pid", pid), 4).select("i", "pid")
 
 
-@query()
+@query(
+    recursive(LEVELS, "SELECT * FROM lv", "p.pid = q.pid")
+    + f""", tiny AS (SELECT comp FROM comp GROUP BY 1 HAVING count(*) <= 4),
+    touch AS (SELECT c.comp, k.comp AS beside, q.pid AS color, k.comp < c.comp AND k.comp IN (FROM tiny) AS waits, count(*) AS n FROM comp c JOIN lv p USING (i) JOIN {FOUR_SQL} ON true JOIN lv q ON q.x = p.x + dx AND q.y = p.y + dy JOIN comp k ON k.i = q.i WHERE k.comp <> c.comp AND c.comp IN (FROM tiny) GROUP BY ALL),
+    done(comp, paint) USING KEY (comp) AS (SELECT comp, arg_max(color, (n, -color)) FROM (SELECT comp, color, sum(n) AS n, FROM touch GROUP BY 1, 2) WHERE comp NOT IN (SELECT comp FROM touch WHERE waits) GROUP BY 1
+      UNION SELECT comp, arg_max(color, (n, -color)) FROM (SELECT t.comp, coalesce(d.paint, t.color) AS color, sum(n) AS n FROM touch t LEFT JOIN recurring.done d ON t.waits AND d.comp = t.beside GROUP BY 1, 2)
+        WHERE comp NOT IN (SELECT comp FROM recurring.done) AND comp NOT IN (SELECT comp FROM touch WHERE waits AND beside NOT IN (SELECT comp FROM recurring.done)) AND EXISTS (FROM done) GROUP BY 1)
+    SELECT i, CAST(coalesce(paint, pid) AS INT) AS pid FROM lv JOIN comp USING (i) LEFT JOIN done USING (comp)"""
+)
 def despeckle_islands(spark, sf_dir):
     return components.despeckle(rasters.order_levels(spark, sf_dir), 4).select("i", "pid")
 
@@ -362,9 +392,29 @@ def gradient_gates(spark, sf_dir):
     return gradient.gates(two_binned(spark, sf_dir)).select("image_id", *rounded("span", "max_step", "residual", places=4), "accepted")
 
 
-@query()
+GATED = "st AS (SELECT *, lag(l) OVER w AS pl, lag(oa) OVER w AS pa, lag(ob) OVER w AS pb FROM pf WINDOW w AS (PARTITION BY image_id ORDER BY bin)), ms AS (SELECT image_id, coalesce(max(sqrt(pow(l - pl, 2) + pow(oa - pa, 2) + pow(ob - pb, 2))), 0) AS max_step, sqrt(pow(arg_min(l, bin) - arg_max(l, bin), 2) + pow(arg_min(oa, bin) - arg_max(oa, bin), 2) + pow(arg_min(ob, bin) - arg_max(ob, bin), 2)) AS span FROM st GROUP BY 1), rs AS (SELECT image_id, sqrt(avg(pow(bn.l - pf.l, 2) + pow(bn.oa - pf.oa, 2) + pow(bn.ob - pf.ob, 2))) AS residual FROM bn JOIN pf USING (image_id, bin) GROUP BY 1), ok AS (SELECT image_id FROM ms JOIN rs USING (image_id) WHERE span >= 0.06 AND max_step <= 0.4 * span AND residual <= 0.02)"
+
+
+def stop_sql(k: int) -> str:
+    """CTEs that add to the stops ``s{k}`` the bin that they fit worst."""
+    lows = ", ".join(f"arg_max(s.{c}, s.off) FILTER (s.off <= o) AS l_{c}, arg_min(s.{c}, s.off) FILTER (s.off >= o) AS h_{c}" for c in gradient.LAB)
+    off = " + ".join(f"pow({c} - (l_{c} + (h_{c} - l_{c}) * share), 2)" for c in gradient.LAB)
+    return f"""f{k} AS (SELECT g.image_id, g.bin, o, any_value(g.l) AS l, any_value(g.oa) AS oa, any_value(g.ob) AS ob, {lows}, max(s.off) FILTER (s.off <= o) AS low, min(s.off) FILTER (s.off >= o) AS high FROM gp g JOIN s{k} s USING (image_id) GROUP BY 1, 2, 3),
+    e{k} AS (SELECT *, round(sqrt({off}), 9) AS error FROM (SELECT *, CASE WHEN high > low THEN (o - low) / (high - low) ELSE 0 END AS share FROM f{k})),
+    s{k + 1} AS (FROM s{k} UNION ALL SELECT image_id, arg_max(o, (error, -bin)), arg_max(l, (error, -bin)), arg_max(oa, (error, -bin)), arg_max(ob, (error, -bin)) FROM e{k} GROUP BY 1 HAVING max(error) > {num(gradient.STOP_TOLERANCE)})"""
+
+
+@query(
+    f"""WITH {REGIONS}, {BINNED}, {GATED}, gp AS (SELECT pf.*, (bin + CAST(0.5 AS DOUBLE)) / 64 AS o FROM pf JOIN ok USING (image_id)),
+    s0 AS (SELECT image_id, CAST(0 AS DOUBLE) AS off, arg_min(l, bin) AS l, arg_min(oa, bin) AS oa, arg_min(ob, bin) AS ob FROM gp GROUP BY 1 UNION ALL SELECT image_id, CAST(1 AS DOUBLE), arg_max(l, bin), arg_max(oa, bin), arg_max(ob, bin) FROM gp GROUP BY 1), {', '.join(map(stop_sql, range(3)))}, {rgb_ctes('s3', 'sb')},
+    tx AS (SELECT image_id, count(*) AS n_stops, string_agg(CAST(round(off * 128) AS INT) || ':' || printf('#%02x%02x%02x', pr, pg, pb), ' ' ORDER BY off) AS stops FROM sb GROUP BY 1)
+    SELECT image_id, round(any_value(cx + t0 * ux), 4) AS x0, round(any_value(cy + t0 * uy), 4) AS y0, round(any_value(cx + t1 * ux), 4) AS x1, round(any_value(cy + t1 * uy), 4) AS y1, CAST(any_value(n_stops) AS INT) AS n_stops, any_value(stops) AS stops FROM ax JOIN sp USING (image_id) JOIN tx USING (image_id) GROUP BY 1"""
+)
 def gradient_fit(spark, sf_dir):
-    return gradient.detect(two_regions(spark, sf_dir))
+    """End points, and stops as places in 128ths with their colours."""
+    told = F.transform("stops", lambda s: F.concat(F.round(s["off"] * 128).cast("int").cast("string"), F.lit(":"), s["color"]))
+    ends = [F.round(F.col(f"{p}.{c}"), 4).alias(f"{c}{p[1]}") for p in ("p0", "p1") for c in "xy"]
+    return gradient.detect(two_regions(spark, sf_dir)).select("image_id", *ends, F.size("stops").alias("n_stops"), F.array_join(told, " ").alias("stops"))
 
 
 @query(f"WITH {PX}, m AS (SELECT DISTINCT px.x + dx AS x, px.y + dy AS y FROM px, (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) d(dx, dy) WHERE r > 200) SELECT i FROM px WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.x = px.x AND m.y = px.y)")
@@ -574,24 +624,81 @@ def layer_list_topk(spark, sf_dir):
     return layers.listing(model(spark, sf_dir).layers, " 00", True, 3).select("svg_id", "layer_id", "count", "rank", "matched", "hidden")
 
 
-@query("SELECT * FROM (VALUES ('Low detail · 8', CAST(0.3 AS DOUBLE), 8, NULL), ('Medium · 16', 0.55, 16, NULL), ('High detail · 32', 0.8, 32, NULL), ('Max · 64', 1.0, 64, NULL), ('As logo', 0.6, NULL, 'Logo'), ('As illustration', 0.6, NULL, 'Illustration')) v(name, detail, k, class_override)")
+@query("WITH b AS (SELECT c_custkey, c_acctbal / 5000 AS t FROM customer) SELECT c_custkey, CAST(variant AS INT) AS variant, name, CAST(coalesce(v.detail, CASE variant WHEN 4 THEN t ELSE least(greatest(t, 0), 1) END) AS DOUBLE) AS detail, v.k, v.class_override FROM b, (VALUES (0, 'Low detail · 8', 0.3, 8, NULL), (1, 'Medium · 16', 0.55, 16, NULL), (2, 'High detail · 32', 0.8, 32, NULL), (3, 'Max · 64', 1.0, 64, NULL), (4, 'As logo', NULL, NULL, 'Logo'), (5, 'As illustration', NULL, NULL, 'Illustration')) v(variant, name, detail, k, class_override)")
 def sweep_specs(spark, sf_dir):
-    rows = [(name, float(p.get("detail", params.EDITOR.detail)), p.get("k"), p.get("class_override")) for name, p in trace.variation_specs()]
-    return spark.createDataFrame(rows, "name string, detail double, k int, class_override string")
+    """The variations of every customer taken as an editor with a detail of its own."""
+    return trace.variation_table(rasters.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 5000).alias("detail")))
 
 
 # --- contours and whole traces, which SQL cannot express ---
 
 
-@query()
+def simplified_sql(source: str, keys: str, epsilon: float) -> str:
+    """CTEs from ``source(keys, p)``, rings as lists of points, to ``out(keys, p)`` simplified: all segments of all rings split level by level."""
+    far = lambda k: f"list_transform(p, lambda v: (v.x - p[{k}].x) * (v.x - p[{k}].x) + (v.y - p[{k}].y) * (v.y - p[{k}].y))"
+    gap = "CASE WHEN len < 1e-6 THEN sqrt(pow(q[k + 1].x - u.x, 2) + pow(q[k + 1].y - u.y, 2)) ELSE abs((v.x - u.x) * (q[k + 1].y - u.y) - (v.y - u.y) * (q[k + 1].x - u.x)) / len END"
+    return f"""far1 AS (SELECT {keys}, p, len(p) AS n, list_position({far(1)}, list_max({far(1)})) AS a FROM {source}), far2 AS (SELECT *, list_position({far('a')}, list_max({far('a')})) AS b FROM far1),
+    open_ AS (SELECT {keys}, p, n, greatest(a, b) - least(a, b) AS h, list_transform(range(0, n + 1), lambda k: p[CAST((least(a, b) - 1 + k) % n + 1 AS INT)]) AS q FROM far2),
+    seg AS (SELECT {keys}, q, CAST(0 AS BIGINT) AS a, CAST(h AS BIGINT) AS b FROM open_ UNION ALL SELECT {keys}, q, CAST(h AS BIGINT), CAST(n AS BIGINT) FROM open_
+      UNION ALL SELECT {keys}, q, unnest([a, m]), unnest([m, b]) FROM (SELECT *, a + list_position(d, list_max(d)) AS m FROM (SELECT *, list_transform(range(a + 1, b), lambda k: {gap}) AS d FROM (SELECT *, q[a + 1] AS u, q[b + 1] AS v, sqrt(pow(q[b + 1].x - q[a + 1].x, 2) + pow(q[b + 1].y - q[a + 1].y, 2)) AS len FROM seg WHERE b - a > 1)) WHERE list_max(d) > {epsilon})),
+    kept AS (SELECT {keys}, list(q[a + 1] ORDER BY a) AS s FROM (SELECT DISTINCT {keys}, a, q FROM seg) GROUP BY {keys}),
+    out AS (SELECT {keys}, CASE WHEN n < 4 OR len(s) < 3 THEN p ELSE s END AS p FROM open_ JOIN kept USING ({keys}))"""
+
+
+PATH = f"'M' || array_to_string(list_transform(p, lambda v: {FMT.format(v='v.x')} || ' ' || {FMT.format(v='v.y')}), 'L') || 'Z'"
+#: Directions right, down, left, up: the cell beyond, the start corner, the cell ahead.
+WAYS = "(VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 0, 1), (2, 0, 1, 1, 1, -1, 0), (3, -1, 0, 0, 1, 0, -1)) ways(w, vx, vy, dx, dy, ax, ay)"
+LINKED = f"""cl AS (SELECT comp, x, y FROM comp JOIN levels USING (i)),
+    ed AS (SELECT c.comp, (c.y + dy) * 1000000 + c.x + dx AS corner, w, (c.y + dy + ay) * 1000000 + c.x + dx + ax AS target, CASE WHEN s.comp IS NULL THEN 1 WHEN t.comp IS NULL THEN 0 ELSE 3 END AS turn
+      FROM cl c JOIN {WAYS} ON true LEFT JOIN cl n ON n.comp = c.comp AND n.x = c.x + vx AND n.y = c.y + vy LEFT JOIN cl s ON s.comp = c.comp AND s.x = c.x + ax AND s.y = c.y + ay LEFT JOIN cl t ON t.comp = c.comp AND t.x = c.x + ax + vx AND t.y = c.y + ay + vy WHERE n.comp IS NULL),
+    en AS (SELECT comp, corner * 4 + w AS e, target * 4 + (w + turn) % 4 AS f FROM ed),
+    walk AS (SELECT comp, e AS start, e AS cur, f AS goes, CAST(0 AS BIGINT) AS k FROM en UNION ALL SELECT w.comp, w.start, n.e, n.f, k + 1 FROM walk w JOIN en n ON n.comp = w.comp AND n.e = w.goes WHERE w.goes > w.start),
+    ring AS (SELECT * FROM walk SEMI JOIN (SELECT comp, start FROM walk WHERE goes = start) USING (comp, start)),
+    trn AS (SELECT *, coalesce(lag(cur) OVER o, last_value(cur) OVER (PARTITION BY comp, start ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) % 4 <> cur % 4 AS turns FROM ring WINDOW o AS (PARTITION BY comp, start ORDER BY k)),
+    crn AS (SELECT comp, start, list({{'x': CAST(cur // 4 % 1000000 AS DOUBLE), 'y': CAST(cur // 4000000 AS DOUBLE)}} ORDER BY k DESC) AS p FROM trn WHERE turns GROUP BY 1, 2),
+    shp AS (SELECT comp, start, p, list_sum(list_transform(range(1, len(p) + 1), lambda k: p[k].x * p[CAST(k % len(p) + 1 AS INT)].y - p[CAST(k % len(p) + 1 AS INT)].x * p[k].y)) / 2 AS area FROM crn)"""
+
+
+@query(recursive(f"{MASK}, levels AS (SELECT i, x, y FROM mask WHERE \"on\")", "SELECT * FROM levels", "true") + f", {LINKED}, {simplified_sql('shp', 'comp, start', contour.EPSILON)} SELECT comp, CAST(row_number() OVER (PARTITION BY comp ORDER BY area > 0, start) - 1 AS INT) AS ring_id, area > 0 AS is_hole, area, {PATH.replace('p,', 'out.p,', 1)} AS d FROM out JOIN shp USING (comp, start)")
 def trace_rings(spark, sf_dir):
-    mask = rasters.event_mask(spark, sf_dir).filter("on")
-    return contour.trace_rings(components.components(mask, ["on"]), ["image_id", "comp"])
+    """The rings of every region: holes or not, their area as linked, their path as simplified."""
+    mask = components.components(rasters.event_mask(spark, sf_dir).filter("on"), ["on"])
+    rings = contour.trace_rings(mask, ["image_id", "comp"])
+    exact = contour.trace_rings(mask, ["image_id", "comp"], epsilon=0.0).select("comp", "ring_id", contour.ring_area(F.col("pts")).alias("area"))
+    return rings.join(exact, ["comp", "ring_id"]).select("comp", "ring_id", "is_hole", "area", text.subpath(F.col("pts")).alias("d"))
 
 
-@query()
+@query(f"WITH RECURSIVE {RINGS}, src AS (SELECT ring, pts AS p FROM rings), {simplified_sql('src', 'ring', contour.EPSILON)} SELECT ring, CAST(len(p) AS INT) AS n_points, {PATH} AS d FROM out")
 def simplified_rings(spark, sf_dir):
-    return contour.simplify_rings(ring_rows(spark, sf_dir))
+    return contour.simplify_rings(ring_rows(spark, sf_dir)).select("ring", F.size("pts").alias("n_points"), text.subpath(F.col("pts")).alias("d"))
+
+
+EXACT = params.Options(class_override="Logo", detail=1.0, lock_palette=())
+
+
+@query(f"WITH px AS ({THREE[7:-1]}) SELECT image_id, i, CASE WHEN a = 0 THEN 0 ELSE r - r % 2 END AS r, CASE WHEN a = 0 THEN 0 ELSE g - g % 2 END AS g, CASE WHEN a = 0 THEN 0 ELSE b - b % 2 END AS b, a FROM px")
+def redrawn_trace(spark, sf_dir):
+    """Traced without simplification or quantizing, the SVG drawn again has every pixel of the image."""
+    traced = trace.trace(three_images(spark, sf_dir), EXACT, epsilon=0.0)
+    return draw.draw(traced.select(F.col("image_id").alias("svg_id"), "svg")).select("image_id", "i", "r", "g", "b", "a")
+
+
+POLYGONS = f"pg AS (SELECT ring, k, [{{'x': 0.0, 'y': 0.0}}, {{'x': w, 'y': h / 3}}, {{'x': w / 2, 'y': h}}, {{'x': w, 'y': 0.5}}, {{'x': 0.25, 'y': h}}] AS p FROM (SELECT c_custkey AS ring, CAST(c_custkey % 17 + 2 AS DOUBLE) AS w, CAST(c_custkey % 13 + 2 AS DOUBLE) AS h, k FROM customer, range(5) t(k)))"
+
+
+@query(
+    f"""WITH {POLYGONS}, eg AS (SELECT ring, p[k + 1].x AS x0, p[k + 1].y AS y0, p[CAST((k + 1) % 5 + 1 AS INT)].x AS x1, p[CAST((k + 1) % 5 + 1 AS INT)].y AS y1 FROM pg),
+    px AS (SELECT c_custkey AS ring, x, y FROM customer, range(19) a(x), range(15) b(y) WHERE x < c_custkey % 17 + 2 AND y < c_custkey % 13 + 2)
+    SELECT px.ring, CAST(px.x AS INT) AS x, CAST(px.y AS INT) AS y FROM px JOIN eg ON eg.ring = px.ring AND least(y0, y1) <= px.y + 0.5 AND px.y + 0.5 < greatest(y0, y1) AND x0 + (px.y + CAST(0.5 AS DOUBLE) - y0) * (x1 - x0) / (y1 - y0) <= px.x + 0.5 GROUP BY ALL HAVING count(*) % 2 = 1"""
+)
+def fill_polygons(spark, sf_dir):
+    """Self-crossing polygons filled by the even-odd rule: a middle with an odd number of crossings to its left is inside."""
+    key = F.col("c_custkey")
+    w, h = (key % 17 + 2).cast("double"), (key % 13 + 2).cast("double")
+    point = lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string"))
+    d = F.concat(F.lit("M"), F.concat_ws("L", point(F.lit(0.0), F.lit(0.0)), point(w, h / 3), point(w / 2, h), point(w, F.lit(0.5)), point(F.lit(0.25), h)), F.lit("Z"))
+    shapes = rasters.table(spark, sf_dir, "customer").select(key.alias("svg_id"), F.lit(0).alias("seq"), d.alias("d"), w.alias("width"), h.alias("height"))
+    return draw.painted(shapes, shapes).select(F.col("svg_id").alias("ring"), "x", "y")
 
 
 @query()
@@ -615,7 +722,7 @@ LOCKED = ((40, 40, 40), (200, 200, 200))
 def lock_palette_areas(spark, sf_dir):
     """Area of each colour of a locked palette in every tile."""
     tiles = rasters.embedding_pixels(spark, sf_dir)
-    locked = trace.locked_palettes(spark, tiles.select("image_id").distinct(), params.Options(lock_palette=LOCKED))
+    locked = trace.locked_palettes(tiles.select("image_id").distinct().select("image_id", *trace.setting_values(params.Options(lock_palette=LOCKED))))
     return palette.assign(tiles, locked).groupBy("image_id", "pid").agg(F.count("*").alias("area"))
 
 
@@ -627,6 +734,19 @@ def sweep_rows(spark, sf_dir):
     return out.select("variant", "name", "image_id", (F.col("svg").isNull() & F.col("error").isNotNull()).alias("failed"))
 
 
+@query(
+    f"""WITH e AS ({EMB}), v AS (SELECT CAST(r_regionkey AS INT) AS variant, r_name AS name FROM region), x AS (SELECT variant, name, image_id, i, CASE variant WHEN 0 THEN 0 ELSE r - r % 2 END AS c, CASE WHEN variant = 3 THEN NULL WHEN variant = 0 AND NOT ({sum_sql(color.LUMA, 'rgb')} < 128) THEN 0 ELSE 1 END AS shown FROM e, v)
+    SELECT variant, name, image_id, variant = 3 AS failed, CAST(sum(shown) AS BIGINT) AS painted, CAST(sum(CASE WHEN shown = 1 THEN c * (i + 1) END) AS BIGINT) AS ink FROM x GROUP BY ALL"""
+)
+def sweep_redrawn(spark, sf_dir):
+    """A sweep under an options table made of the regions, each variant drawn again: one in black and white, one that does not fit, the others exact."""
+    key = F.col("r_regionkey")
+    options = rasters.table(spark, sf_dir, "region").select(key.cast("int").alias("variant"), F.col("r_name").alias("name"), F.when(key == 3, "Cat").otherwise("Logo").alias("class_override"), F.array().cast("array<struct<r:int,g:int,b:int>>").alias("lock_palette"), (key == 0).alias("bw_mode"), F.lit(1.0).alias("detail"))
+    swept = shared.materialize(trace.sweep(rasters.embedding_pixels(spark, sf_dir), variations=options, epsilon=0.0).withColumn("svg_id", F.monotonically_increasing_id()), "swept")
+    dots = draw.draw(swept.filter("svg is not null").select("svg_id", "svg")).groupBy(F.col("image_id").alias("svg_id")).agg(F.sum((F.col("a") > 0).cast("int")).alias("painted"), F.sum(F.when(F.col("a") > 0, F.col("r") * (F.col("i") + 1))).alias("ink"))
+    return swept.join(dots, "svg_id", "left").select("variant", "name", "image_id", F.col("error").isNotNull().alias("failed"), "painted", "ink")
+
+
 @query()
 def trace_black_white(spark, sf_dir):
     return trace.trace(rasters.embedding_pixels(spark, sf_dir), params.Options(bw_mode=True))
