@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pixelweave.llm.common import forget, limited, materialize, small_batches
+from pixelweave.llm.common import blank, discard, forget, limited, materialize, small_batches
 
 ORDER, UNIT_BITS = 4, 16
 #: Weight of the estimate from reference texts.
@@ -43,6 +43,8 @@ SHARD_ROWS = 4_000_000
 #: N-grams that a task holds before it passes counts on.
 HELD_ROWS = 2_000_000
 SYMBOLS = b"#*$%&|<>"
+#: Places of a log perplexity, which sums in another order do not change, and of those that medians are taken from.
+PLACES, MEDIAN_PLACES = 6, 4
 UNSEEN = np.float32(-UNIT_BITS * np.log(2))
 
 
@@ -134,7 +136,7 @@ def discounts(counts: DataFrame) -> DataFrame:
         y = F.col(f"{c}1") / F.greatest(F.col(f"{c}1") + 2 * F.col(f"{c}2"), F.lit(1.0))
         return F.greatest(F.lit(0.05), F.least(F.lit(k * 0.95), F.lit(float(k)) - (k + 1) * y * F.col(f"{c}{k + 1}") / F.greatest(F.col(f"{c}{k}"), F.lit(1.0))))
 
-    return of.select("of", *[cut(c, k).alias(f"{c}_d{k}") for c in "nr" for k in (1, 2, 3)])
+    return limited(materialize(of.select("of", *[cut(c, k).alias(f"{c}_d{k}") for c in "nr" for k in (1, 2, 3)]), "discounts"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -163,9 +165,16 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             d = F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, F.col(f"{c}_d1")).when(F.col(c) == 2, F.col(f"{c}_d2")).otherwise(F.col(f"{c}_d3"))
             total = F.sum(c).over(context)
             rows = rows.withColumn("d", d).withColumn(f"p_{c}", F.when(total > 0, (F.col(c) - F.col("d") + F.sum("d").over(context) * F.col(f"p_{c}")) / total).otherwise(F.col(f"p_{c}")))
-        lower = materialize(rows.select("of", "key", "p_n", "p_r"), f"order{order}")
+        shorter, lower = lower, materialize(rows.select("of", "key", "p_n", "p_r"), f"order{order}")
+        if order < ORDER:
+            discard(tables[order])
+        if shorter is not None:
+            discard(shorter)
     taught = counts.groupBy("of").agg(F.lit(TRUST).alias("trust"), F.sum("r").alias("seen")).select("of", F.when(F.col("seen") > 0, F.col("trust")).otherwise(0.0).alias("trust"))
-    return lower.join(taught, "of").select("of", "key", F.log(F.col("p_n") * (1 - F.col("trust")) + F.col("p_r") * F.col("trust")).cast("float").alias("logp"))
+    taught = limited(materialize(taught, "trusts"))
+    out = materialize(lower.join(taught, "of").select("of", "key", F.log(F.col("p_n") * (1 - F.col("trust")) + F.col("p_r") * F.col("trust")).cast("float").alias("logp")), "ngram-probabilities")
+    discard(lower)
+    return out
 
 
 # --- the stored model ---
@@ -187,7 +196,9 @@ def seed_of(of: str) -> np.uint64:
 def fit(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The model of ``docs(of, text)``: ``(shard, hashes, logp)``, a row per shard, both arrays sorted by hash."""
     counts = materialize(count_ngrams(docs), "ngrams")
-    made = materialize(kneser_ney(counts).select(F.xxhash64("of").alias("seed"), "key", "logp"), "ngram-probabilities")
+    model = kneser_ney(counts)
+    discard(counts)
+    made = model.select(F.xxhash64("of").alias("seed"), "key", "logp")
     shards = max(1, -(-made.count() // shard_rows))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -195,7 +206,9 @@ def fit(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         order = np.argsort(hashes)
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "hashes": [hashes[order].tobytes()], "logp": [pdf["logp"].to_numpy(np.float32)[order].tobytes()]})
 
-    return materialize(made.withColumn("shard", F.pmod(F.xxhash64("seed", "key"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(packed, "shard int, hashes binary, logp binary"), "ngram-model")
+    out = materialize(made.withColumn("shard", F.pmod(F.xxhash64("seed", "key"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(packed, "shard int, hashes binary, logp binary"), "ngram-model")
+    discard(model)
+    return out
 
 
 class SortedModel:
@@ -306,16 +319,23 @@ def measure(docs: DataFrame, model: DataFrame, carried: str) -> DataFrame:
             sums = sums.unionByName(materialize(part.select("row_no", "logp", "met"), f"measured-{k}"))
         found = found.drop("logp", "met").join(sums.groupBy("row_no").agg(F.sum("logp").alias("logp"), F.sum("met").alias("met")), "row_no")
     logp = F.col("logp") + (F.col("n_grams") - F.col("met")) * F.lit(float(UNSEEN))
-    return found.select(carried, "of", *FEATURES, F.when(F.col("n_grams") > 0, F.round(-logp / F.col("n_grams"), 6)).otherwise(F.lit(float("nan"))).alias("log_perplexity"))
+    return found.select(carried, "of", *FEATURES, F.when(F.col("n_grams") > 0, F.round(-logp / F.col("n_grams"), PLACES)).otherwise(F.lit(float("nan"))).alias("log_perplexity"))
+
+
+def median(rows: DataFrame, value: F.Column) -> DataFrame:
+    """``(of, median)``, exact over values to four places: a language has a row per value, some 100,000 at most."""
+    counted = rows.groupBy("of", F.round(value, MEDIAN_PLACES).alias("value")).agg(F.count("*").alias("n"))
+    return limited(materialize(counted.groupBy("of").agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("median")), "medians"))
 
 
 def bands(measured: DataFrame, width: float, least_width: float) -> DataFrame:
     """``(of, low, high)`` of the log perplexity: median and robust deviation over all sound documents."""
     sound = measured.filter(~F.col("base_failed") & ~F.isnan("log_perplexity"))
-    mid = sound.groupBy("of").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))
-    off = sound.join(limited(materialize(mid, "medians")), "of").groupBy("of").agg(F.first("mid").alias("mid"), F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("mid")), 0.5, 10000).alias("off"))
-    reach = F.greatest(F.col("off") * (1.4826 * width), F.lit(least_width))
-    return limited(materialize(off.select("of", (F.col("mid") - reach).alias("low"), (F.col("mid") + reach).alias("high")), "bands"))
+    mid = median(sound, F.col("log_perplexity"))
+    off = median(sound.join(mid.withColumnRenamed("median", "mid"), "of"), F.abs(F.col("log_perplexity") - F.col("mid")))
+    reach = F.greatest(F.col("median") * (1.4826 * width), F.lit(least_width))
+    both = mid.withColumnRenamed("median", "mid").join(off, "of")
+    return limited(materialize(both.select("of", (F.col("mid") - reach).alias("low"), (F.col("mid") + reach).alias("high")), "bands"))
 
 
 def judge(docs: DataFrame, width: float = 8.0, least_width: float = 0.2, carried: str = "doc_id", lang: str = "lang", text: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -332,15 +352,26 @@ def judge(docs: DataFrame, width: float = 8.0, least_width: float = 0.2, carried
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col(carried), language(F.col(lang)).alias("of"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    measured = measure(own, fit(own, shard_rows), carried)
+    model = fit(own, shard_rows)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    measured = materialize(measured.withColumn("base_failed", failed), "quality")
+    measured = materialize(measure(own, model, carried).withColumn("base_failed", failed), "quality")
+    discard(model)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     judged = measured.join(bands(measured, width, least_width), "of", "left").withColumn("kept", ~F.col("base_failed") & inside)
     return judged.select(carried, *FEATURES, "base_failed", "kept", F.exp("log_perplexity").alias("perplexity"), F.expr("nullif(of, '')").substr(2, 1 << 30).alias("lang"))
 
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:
-    """The documents, with all their columns, that :func:`judge` keeps."""
-    row = docs.select(F.struct("*").alias("row"), "lang", "text")
-    return judge(row, carried="row", **how).filter("kept").select("row.*")
+    """The documents, with all their columns, that :func:`judge` keeps.
+
+    A verdict follows from text and language alone, so rows are judged under
+    two hashes of their text, and only the verdicts of those that go meet the
+    rows again, by broadcast behind a count.
+    """
+    mark = F.struct(F.xxhash64(blank(F.col("text"))).alias("x"), F.hash(blank(F.col("text"))).alias("y"))
+    own = docs.select(mark.alias("mark"), "lang", "text")
+    bad = judge(own, carried="mark", **how).filter("not kept").select("mark.x", "mark.y", language(F.col("lang")).alias("of")).distinct()
+    bad = limited(materialize(bad, "rejected"), 300_000)
+    rows = docs.select(F.struct("*").alias("row"), mark.alias("mark"), language(F.col("lang")).alias("own"))
+    same = (F.col("mark.x") == F.col("x")) & (F.col("mark.y") == F.col("y")) & (F.col("own") == F.col("of"))
+    return rows.join(bad, same, "left_anti").select("row.*")

@@ -79,13 +79,14 @@ class WordEncoder:
     of its words in turn, so a word is encoded once and remembered. A new word
     of Latin letters goes straight to the model, the marks behind it are a
     piece of their own; other new words are encoded together, with a digit
-    between them that marks where each ends. :meth:`fits` and :meth:`check`
-    hold this to the tokenizer on samples; where they differ, whole texts are encoded.
+    between them that marks where each ends. :meth:`fits` says whether a
+    tokenizer is of that kind, on fixed samples; whole texts are encoded where
+    it is not. :meth:`check` holds real texts to the tokenizer.
     Words that differ in the case of A-Z share their ids, except where a
     combining mark may compose with a letter of one case only.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, by_word: bool | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -96,7 +97,7 @@ class WordEncoder:
         self.spelling = byte_letters()
         digit = self.encode("0")
         self.mark = int(digit[0]) if len(digit) == 1 else None
-        self.by_word = self.fits()
+        self.by_word = self.fits() if by_word is None else by_word
 
     def encode(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -119,10 +120,10 @@ class WordEncoder:
         return all(self.plain(m) == self.packed(self.encode(m[0])) for m in plain)
 
     def check(self, texts: list[str]) -> None:
-        """Hold the way by words to the tokenizer on real texts; where they differ, whole texts are encoded from here on."""
+        """Hold the way by words to the tokenizer on real texts; a difference is an error, as earlier ids would be wrong too."""
         for text in [t for t in texts if len(t) <= 5000][:SAMPLES]:
             if self.by_word and self.ids(text).tolist() != self.encode(text):
-                self.by_word = False
+                raise ValueError("this tokenizer's pieces depend on what stands around a word; encode with by_word=False")
 
     def plain(self, word: re.Match) -> bytes:
         stem, tail = word[1], word[2]
@@ -188,9 +189,9 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder_for(path: str) -> WordEncoder:
+def encoder_for(path: str, by_word: bool | None = None) -> WordEncoder:
     """One encoder per Python worker, which keeps its words from task to task."""
-    return WordEncoder(path)
+    return WordEncoder(path, by_word)
 
 
 HELD.append(encoder_for)
@@ -279,14 +280,14 @@ def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 FIELDS = ["kind", "k", "n", "payload", "doc_id", "n_tokens", "names", "lengths"]
 
 
-def encoded_rows(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> DataFrame:
-    """Chunk rows, a chunk once per task at most, and a recipe row per document."""
+def encoded_rows(docs: DataFrame, tokenizer: str, id_col: str, text: str, by_word: bool) -> DataFrame:
+    """Chunk rows, a chunk once per task at most, and a recipe row per document; every task encodes ``by_word`` or none does."""
     own = docs.select(F.col(id_col).alias("doc_id"), blank(F.col(text)).alias("text"))
     schema = f"kind string, k binary, n int, payload binary, doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, names binary, lengths binary"
 
     def rows(batches):
         give_back()
-        encoder, seen = encoder_for(tokenizer), set()
+        encoder, seen = encoder_for(tokenizer, by_word), set()
         end_id, width = np.array([END_ID], encoder.dtype), encoder.dtype.itemsize
         digest = hashlib.blake2b
         for batch in batches:
@@ -333,13 +334,19 @@ def encoded_rows(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> Dat
     return own.mapInArrow(rows, schema)
 
 
-def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text") -> str:
-    """Encode ``docs`` and write the store; its path. Null texts are empty and hold the end id alone."""
+def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", by_word: bool | None = None) -> str:
+    """Encode ``docs`` and write the store; its path. Null texts are empty and hold the end id alone.
+
+    Whether texts are encoded by way of their words is decided here, once for
+    all tasks, unless ``by_word`` says it.
+    """
     spark = docs.sparkSession
     small_batches(spark, 1000)
     path = path or fresh_path(spark, "token-store")
-    rows = encoded_rows(docs, tokenizer or default_tokenizer(), id_col, text)
-    bucket = F.when(F.col("k").isNull(), F.xxhash64("doc_id", "names")).otherwise(F.xxhash64("k"))
+    tokenizer = tokenizer or default_tokenizer()
+    rows = encoded_rows(docs, tokenizer, id_col, text, WordEncoder(tokenizer).by_word if by_word is None else by_word)
+    # Recipes are dealt out one by one, whatever they hold; only chunks of one name have to meet.
+    bucket = F.when(F.col("k").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("k"))
     before = F.lag("k").over(Window.partitionBy("kind", "bucket").orderBy("k"))  # equal names are neighbours; recipes have none
     dealt = rows.withColumn("bucket", bucket).withColumn("before", before).filter("k is null or before is null or k <> before").drop("bucket", "before")
     dealt.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
