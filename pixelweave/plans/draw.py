@@ -13,24 +13,18 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.functions.paths import path_rings
 from pixelweave.plans.layers import Model, parse_layers, svg_size
 from pixelweave.sources import rasters
 
 
-def path_points(d: Column) -> Column:
-    """The rings of a path of absolute ``M``, ``L`` and ``Z`` commands, as arrays of points."""
-    number = lambda t, k: F.element_at(F.split(F.trim(t), r"[\s,]+"), k).cast("double")
-    rings = F.filter(F.split(F.regexp_replace(d, "[Zz]", ""), "M"), lambda s: F.trim(s) != "")
-    return F.transform(rings, lambda s: F.transform(F.split(s, "L"), lambda p: F.struct(number(p, 1).alias("x"), number(p, 2).alias("y"))))
-
-
 def path_edges(shapes: DataFrame) -> DataFrame:
     """``shapes(…, d)`` as one row per edge ``(…, x0, y0, x1, y1)``; rings are closed."""
     others = [c for c in shapes.columns if c != "d"]
-    rings = shapes.select(*others, F.explode(path_points(F.col("d"))).alias("ring"))
+    rings = shapes.select(*others, F.explode(path_rings(F.col("d"))).alias("ring"))
     onward = lambda i: F.get("ring", (i + 1) % F.size("ring"))
     each = rings.select(*others, F.explode(F.transform("ring", lambda p, i: F.struct(p["x"].alias("x0"), p["y"].alias("y0"), onward(i)["x"].alias("x1"), onward(i)["y"].alias("y1")))).alias("e"))
     return each.select(*others, "e.*")

@@ -26,10 +26,6 @@ class Model:
     layers: DataFrame
 
 
-def attribute(tag, name: str):
-    return F.regexp_extract(tag, rf'\s{name}="([^"]*)"', 1)
-
-
 def layers_from_svg(svgs: DataFrame) -> DataFrame:
     """``(svg_id, layer_id, color, path_count)`` of the hex fills of ``svgs(svg_id, svg)``, in first-seen order."""
     fills = svgs.select("svg_id", F.posexplode(F.regexp_extract_all("svg", F.lit(f'fill="({HEX_FILL})"'), F.lit(1))).alias("at", "fill"))
@@ -38,12 +34,29 @@ def layers_from_svg(svgs: DataFrame) -> DataFrame:
     return counts.select("svg_id", F.concat(F.lit("layer-"), rank.cast("string")).alias("layer_id"), "color", "path_count")
 
 
+def well_formed(svg):
+    """Whether a text is XML; only such texts may meet the functions below."""
+    return F.coalesce(F.from_xml(svg, "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].isNull() & F.contains(svg, F.lit("<")), F.lit(False))
+
+
+#: The first SVG element of a document, and a path anywhere below it, whatever prefix they have.
+ROOT, ANY_PATH = "(//*[local-name()='svg'])[1]", "//*[local-name()='path']"
+
+
+def path_attribute(svg, name: str):
+    """The attribute of every path in document order; null where a path lacks it, so that attributes stay aligned."""
+    return F.xpath(svg, F.lit(f"{ROOT}{ANY_PATH}/@{name} | {ROOT}{ANY_PATH}[not(@{name})]"))
+
+
 def svg_size(svgs: DataFrame) -> DataFrame:
-    """``(svg_id, width, height)`` from the attributes, else from the viewBox, else 0."""
-    tag = F.regexp_extract("svg", r"(<svg[^>]*>)", 1)
-    box = F.regexp_extract(tag, r'viewBox="\s*[-0-9.]+[\s,]+[-0-9.]+[\s,]+([0-9.]+)[\s,]+([0-9.]+)', 1), F.regexp_extract(tag, r'viewBox="\s*[-0-9.]+[\s,]+[-0-9.]+[\s,]+([0-9.]+)[\s,]+([0-9.]+)', 2)
-    side = lambda name, k: F.coalesce(F.nullif(F.regexp_extract(attribute(tag, name), r"^([0-9]+\.?[0-9]*)", 1), F.lit("")).cast("double"), F.nullif(box[k], F.lit("")).cast("double"), F.lit(0.0)).alias(name)
-    return svgs.select("svg_id", side("width", 0), side("height", 1))
+    """``(svg_id, width, height)`` from the attributes, else from the viewBox, else 0; 0 for what is no XML."""
+    own = lambda name: F.when(well_formed(F.col("svg")), F.xpath_string("svg", F.lit(f"{ROOT}/@{name}")))
+    number = lambda text, k: F.nullif(F.regexp_extract(text, k, 1), F.lit("")).cast("double")
+    box = r"^\s*[-+.0-9eE]+[\s,]+[-+.0-9eE]+[\s,]+"
+    places = {"width": box + r"([.0-9]+)", "height": box + r"[.0-9]+[\s,]+([.0-9]+)"}
+    positive = lambda v: F.when(v > 0, v)
+    read = svgs.select("svg_id", *[own(n).alias(n) for n in ("width", "height", "viewBox")])
+    return read.select("svg_id", *[F.coalesce(positive(number(F.col(n), r"^\s*([0-9]*\.?[0-9]+)")), number(F.col("viewBox"), places[n]), F.lit(0.0)).alias(n) for n in ("width", "height")])
 
 
 def recount(layers: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -52,9 +65,15 @@ def recount(layers: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def parse_layers(svgs: DataFrame) -> Model:
-    """Paths with a hex fill and a non-empty ``d``; others are dropped. Layers by first-seen colour."""
-    tags = svgs.select("svg_id", F.posexplode(F.regexp_extract_all("svg", F.lit(r"(<path\b[^>]*>)"), F.lit(1))).alias("at", "tag"))
-    found = tags.select("svg_id", "at", attribute(F.col("tag"), "d").alias("d"), attribute(F.col("tag"), "transform").alias("transform"), normalize_hex(attribute(F.col("tag"), "fill")).alias("color")).filter("color is not null and d <> ''")
+    """Paths with a hex fill and a non-empty ``d``, at any depth of any SVG; others are dropped. Layers by first-seen colour.
+
+    Attributes may stand in any order and in either quotes, and their entities
+    are read; comments and character data hold no paths. A text that is not
+    XML, or has no SVG element, has no shapes.
+    """
+    each = F.arrays_zip(*[path_attribute(F.col("svg"), n).alias(n) for n in ("d", "transform", "fill")])
+    read = svgs.filter(well_formed(F.col("svg"))).select("svg_id", F.posexplode(F.when(well_formed(F.col("svg")), each)).alias("at", "p"))
+    found = read.select("svg_id", "at", F.col("p.d").alias("d"), F.coalesce("p.transform", F.lit("")).alias("transform"), normalize_hex(F.col("p.fill")).alias("color")).filter("color is not null and d <> ''")
     first = found.withColumn("first", F.min("at").over(Window.partitionBy("svg_id", "color")))
     numbered = first.select("svg_id", (F.row_number().over(Window.partitionBy("svg_id").orderBy("at")) - 1).alias("seq"), "d", "transform", (F.dense_rank().over(Window.partitionBy("svg_id").orderBy("first")) - 1).alias("pos"), "color")
     named = numbered.withColumn("layer_id", F.concat(F.lit("layer-"), F.col("pos").cast("string")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.functions import color, params, shared, text
+from pixelweave.functions import color, params, paths, shared, text
 from pixelweave.operators import classify, components, contour, gradient, palette, stencil
 from pixelweave.plans import draw, layers, trace
 from pixelweave.sources import rasters
@@ -550,6 +550,26 @@ def parse_layers(spark, sf_dir):
     return model(spark, sf_dir).shapes
 
 
+@query(
+    "WITH o AS (SELECT o_orderkey AS svg_id, o_orderkey % 5 AS k, o_custkey % 90 + 10 AS w, '#' || printf('%06x', o_custkey * 7919 % 16777216) AS own FROM orders) SELECT svg_id, CASE k WHEN 4 THEN 0 ELSE w END AS width, CASE k WHEN 3 THEN 'M1 1&\"Z' ELSE 'M0 0Z' END AS d, CASE k WHEN 1 THEN 'scale(2)' ELSE '' END AS transform, own AS color, CAST(CASE k WHEN 2 THEN 2 ELSE 1 END AS BIGINT) AS n FROM o WHERE k <> 4"
+)
+def foreign_svgs(spark, sf_dir):
+    """SVGs as others write them: either quotes, any order, groups, prefixes, entities, comments; and one that is no XML."""
+    key, w = F.col("o_orderkey"), (F.col("o_custkey") % 90 + 10).cast("string")
+    own = F.format_string("#%06x", F.col("o_custkey") * 7919 % 16777216)
+    written = (
+        F.when(key % 5 == 0, F.concat(F.lit("<?xml version='1.0'?><!-- <path d='M9' fill='#000000'/> --><svg height='7' width='"), w, F.lit("'><g><g><path fill='"), F.upper(own), F.lit("' stroke='none' d='M0 0Z'/></g></g></svg>")))
+        .when(key % 5 == 1, F.concat(F.lit('<svg viewBox="0 0 '), w, F.lit(' 8"><path transform="scale(2)" d="M0 0Z"\n fill=" '), own, F.lit(' "/><path d="M5" fill="none"/></svg>')))
+        .when(key % 5 == 2, F.concat(F.lit('<v:svg xmlns:v="http://www.w3.org/2000/svg" width="'), w, F.lit('px"><v:path d="M0 0Z" fill="'), own, F.lit('"/><v:path d="" fill="#123456"/><v:path d="M0 0Z" fill="'), own, F.lit('"/></v:svg>')))
+        .when(key % 5 == 3, F.concat(F.lit('<svg width="'), w, F.lit('"><path d="M1 1&amp;&quot;Z" fill="'), own, F.lit('"/></svg>')))
+        .otherwise(F.lit('<svg width="5"><path d="M0 0Z" fill="#112233"'))
+    )
+    svgs = rasters.table(spark, sf_dir, "orders").select(key.alias("svg_id"), written.alias("svg"))
+    m = layers.parse_layers(svgs)
+    each = m.shapes.join(m.layers, ["svg_id", "layer_id"]).groupBy("svg_id", "d", "transform", "color").agg(F.count("*").alias("n"))
+    return each.join(layers.svg_size(svgs), "svg_id").select("svg_id", F.col("width").cast("long").alias("width"), "d", "transform", "color", "n")
+
+
 @query(f"WITH {SHAPES} SELECT svg_id, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"640\" height=\"480\" viewBox=\"0 0 640 480\">' || string_agg({MARKUP}, '' ORDER BY seq) || '</svg>' AS svg FROM sh GROUP BY 1")
 def serialize_layers(spark, sf_dir):
     return layers.serialize_layers(model(spark, sf_dir), layers.svg_size(svg_texts(spark, sf_dir)))
@@ -673,14 +693,22 @@ def simplified_rings(spark, sf_dir):
     return contour.simplify_rings(ring_rows(spark, sf_dir)).select("ring", F.size("pts").alias("n_points"), text.subpath(F.col("pts")).alias("d"))
 
 
+@query(f"WITH {RINGS} SELECT ring, 'M' || array_to_string(list_transform(pts, lambda p: {FMT.format(v='p.x')} || ' ' || {FMT.format(v='p.y')}), 'L') || 'Z' AS d, true AS shorter FROM rings")
+def optimize_paths(spark, sf_dir):
+    """A path at its shortest reads as the points that it was made of."""
+    made = ring_rows(spark, sf_dir).select("ring", text.subpath(F.col("pts")).alias("own"))
+    read = made.withColumn("short", paths.optimized_path(F.col("own"))).withColumn("points", F.get(paths.path_rings(F.col("short")), 0))
+    return read.select("ring", text.subpath(F.col("points")).alias("d"), (F.length("short") < F.length("own")).alias("shorter"))
+
+
 EXACT = params.Options(class_override="Logo", detail=1.0, lock_palette=())
 
 
 @query(f"WITH px AS ({THREE[7:-1]}) SELECT image_id, i, CASE WHEN a = 0 THEN 0 ELSE r - r % 2 END AS r, CASE WHEN a = 0 THEN 0 ELSE g - g % 2 END AS g, CASE WHEN a = 0 THEN 0 ELSE b - b % 2 END AS b, a FROM px")
 def redrawn_trace(spark, sf_dir):
-    """Traced without simplification or quantizing, the SVG drawn again has every pixel of the image."""
+    """Traced without simplification or quantizing, the optimized SVG drawn again has every pixel of the image."""
     traced = trace.trace(three_images(spark, sf_dir), EXACT, epsilon=0.0)
-    return draw.draw(traced.select(F.col("image_id").alias("svg_id"), "svg")).select("image_id", "i", "r", "g", "b", "a")
+    return draw.draw(traced.select(F.col("image_id").alias("svg_id"), paths.optimized_svg(F.col("svg")).alias("svg"))).select("image_id", "i", "r", "g", "b", "a")
 
 
 POLYGONS = f"pg AS (SELECT ring, k, [{{'x': 0.0, 'y': 0.0}}, {{'x': w, 'y': h / 3}}, {{'x': w / 2, 'y': h}}, {{'x': w, 'y': 0.5}}, {{'x': 0.25, 'y': h}}] AS p FROM (SELECT c_custkey AS ring, CAST(c_custkey % 17 + 2 AS DOUBLE) AS w, CAST(c_custkey % 13 + 2 AS DOUBLE) AS h, k FROM customer, range(5) t(k)))"
