@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions import color, params, paths, shared, text
 from pixelweave.operators import classify, components, contour, gradient, palette, stencil
-from pixelweave.plans import draw, layers, trace
+from pixelweave.plans import draw, edits, layers, trace
 from pixelweave.sources import rasters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -625,6 +625,23 @@ def edits_in_sequence(spark, sf_dir):
     return edited.shapes.select("svg_id", "seq", "d", "layer_id")
 
 
+#: The steps of every SVG's log, each for the SVGs whose number the given one divides.
+LOG = ((1, "recolor", "layer-0", "#ABCDEF", 1), (2, "hide", "layer-1", None, 1), (3, "undo", None, None, 1), (4, "redo", None, None, 1), (5, "undo", None, None, 1), (6, "remove", "layer-2", None, 1), (7, "redo", None, None, 1), (8, "recolor", "layer-0", "red", 1), (9, "undo", None, None, 2), (10, "undo", None, None, 2), (11, "undo", None, None, 2), (12, "redo", None, None, 6), (13, "solo", "layer-1", None, 5), (14, "merge", "layer-3", "layer-0", 5))
+
+
+@query(
+    f"""WITH {SHAPES}, s AS (SELECT svg_id, layer_id, color, svg_id % 2 <> 0 OR svg_id % 6 = 0 AS painted, svg_id % 2 <> 0 AS removed, svg_id % 5 = 0 AS five FROM sh)
+    SELECT svg_id, CASE WHEN five AND layer_id = 'layer-3' THEN 'layer-0' ELSE layer_id END AS layer_id, any_value(CASE layer_id WHEN 'layer-0' THEN CASE WHEN painted THEN '#abcdef' ELSE color END ELSE color END) FILTER (NOT five OR layer_id <> 'layer-3') AS color, any_value(CASE WHEN five THEN layer_id = 'layer-1' ELSE true END) FILTER (NOT five OR layer_id <> 'layer-3') AS visible, count(*) AS count
+    FROM s WHERE NOT (removed AND layer_id = 'layer-2') GROUP BY 1, 2"""
+)
+def edit_log(spark, sf_dir):
+    """Every SVG's own log of edits, undo and redo, replayed: the layers that it ends with."""
+    m = model(spark, sf_dir)
+    rows = F.array(*[F.struct(F.lit(step).alias("step"), F.lit(op).alias("op"), F.lit(layer).cast("string").alias("layer"), F.lit(value).cast("string").alias("value"), F.lit(every).alias("every")) for step, op, layer, value, every in LOG])
+    log = m.layers.select("svg_id").distinct().select("svg_id", F.inline(rows)).filter(F.col("svg_id") % F.col("every") == 0).drop("every")
+    return edits.replay(m, log).layers.select("svg_id", "layer_id", "color", "visible", "count")
+
+
 @query(f"WITH {SHAPES} SELECT svg_id, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"640\" height=\"480\" viewBox=\"0 0 640 480\">' || string_agg({MARKUP}, '' ORDER BY seq) || '</svg>' AS svg FROM sh WHERE layer_id <> 'layer-2' GROUP BY 1")
 def serialize_hidden_layer(spark, sf_dir):
     """Shapes of a hidden layer are not painted."""
