@@ -18,6 +18,8 @@ COMMAND = re.compile("([A-DF-Za-df-z])([^A-DF-Za-df-z]*)")
 NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 #: How many numbers a step takes.
 TAKES = {"M": 2, "L": 2, "H": 1, "V": 1}
+#: Lines that a cubic is read as.
+FLAT = 8
 #: Paths that may be rewritten: closed rings of moves and lines.
 RINGS_ONLY = re.compile(r"\s*(?:[Mm][^A-Za-z]*(?:[LlHhVv][^A-Za-z]*)*[Zz]\s*)+")
 
@@ -26,7 +28,8 @@ def read_path(d: str) -> list[list[tuple[float, float]]]:
     """The rings of a path, as lists of points.
 
     A ring begins at each move, or where a line follows a close; further pairs
-    behind a move are lines. Curves and arcs are passed over.
+    behind a move are lines. A cubic becomes ``FLAT`` lines; other curves and
+    arcs are passed over.
     """
     rings: list[list[tuple[float, float]]] = []
     x = y = sx = sy = 0.0
@@ -35,6 +38,17 @@ def read_path(d: str) -> list[list[tuple[float, float]]]:
         kind, relative = letter.upper(), letter.islower()
         if kind == "Z":
             x, y, closed = sx, sy, True
+        if kind == "C" and rings:
+            numbers = [float(t) for t in NUMBER.findall(rest)]
+            for k in range(0, len(numbers) - 5, 6):
+                c = [(a + x * relative, b + y * relative) for a, b in zip(numbers[k : k + 6 : 2], numbers[k + 1 : k + 6 : 2])]
+                if closed:
+                    rings.append([(sx, sy)])
+                for j in range(1, FLAT + 1):
+                    t, u = j / FLAT, 1 - j / FLAT
+                    w = (u * u * u, 3 * u * u * t, 3 * u * t * t, t * t * t)
+                    rings[-1].append(tuple(w[0] * at + w[1] * c[0][n] + w[2] * c[1][n] + w[3] * c[2][n] for n, at in enumerate((x, y))))
+                (x, y), closed = c[2], False
         if kind not in TAKES:
             continue
         numbers, takes = [float(t) for t in NUMBER.findall(rest)], TAKES[kind]

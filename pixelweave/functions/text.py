@@ -18,6 +18,14 @@ def subpath(points: Column) -> Column:
     return F.when(F.size(points) == 0, F.lit("")).otherwise(F.concat(F.lit("M"), F.array_join(pairs, "L"), F.lit("Z")))
 
 
+def curved_subpath(points: Column, sides: Column) -> Column:
+    """A ring's ``M``, then a line or a cubic per side (see ``contour.curve_commands``), then ``Z``; a plain path where there are no sides."""
+    pair = lambda p: F.concat(coordinate(p["x"]), F.lit(" "), coordinate(p["y"]))
+    pieces = F.transform(sides, lambda s: F.when(s["corner"], F.concat(F.lit("L"), pair(s["p"]))).otherwise(F.concat(F.lit("C"), pair(s["c1"]), F.lit(" "), pair(s["c2"]), F.lit(" "), pair(s["p"]))))
+    first = F.get(points, F.lit(0))
+    return F.when(F.size(sides) == 0, subpath(points)).otherwise(F.concat(F.lit("M"), pair(first), F.array_join(pieces, ""), F.lit("Z")))
+
+
 def escape_attribute(text: Column) -> Column:
     out = text
     for plain, entity in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;")):

@@ -358,3 +358,31 @@ def oriented(points, outer) -> F.Column:
     """Outer rings with negative area, holes with positive."""
     area = ring_area(points)
     return F.when((outer & (area > 0)) | (~outer & (area < 0)), F.reverse(points)).otherwise(points)
+
+
+def curve_commands(points: str, threshold) -> F.Column:
+    """``(corner, c1, c2, p)`` per side of a closed ring in column ``points``: control points and end of a cubic.
+
+    A point is a corner where the ring turns by ``threshold`` degrees or more.
+    A smooth point's tangent is half the way between its neighbours, a corner
+    has those of its own sides; controls lie a third of a tangent away. A side
+    between two corners stays straight (``corner``).
+    """
+    n, at = F.size(points), lambda i: F.get(points, F.pmod(i, F.size(points)))
+    less = lambda a, b: (a["x"] - b["x"], a["y"] - b["y"])
+
+    def turns(i):
+        (ax, ay), (bx, by) = less(at(i), at(i - 1)), less(at(i + 1), at(i))
+        angle = F.degrees(F.abs(F.atan2(ax * by - ay * bx, ax * bx + ay * by)))
+        return F.round(angle, 6) >= threshold
+
+    def side(i):
+        p, q = at(i), at(i + 1)
+        own, next_ = turns(i), turns(i + 1)
+        straight = less(q, p)
+        out = [F.when(own, s).otherwise(t / 2) for s, t in zip(straight, less(q, at(i - 1)))]
+        into = [F.when(next_, s).otherwise(t / 2) for s, t in zip(straight, less(at(i + 2), p))]
+        point = lambda x, y, name: F.struct(x.alias("x"), y.alias("y")).alias(name)
+        return F.struct((own & next_).alias("corner"), point(p["x"] + out[0] / 3, p["y"] + out[1] / 3, "c1"), point(q["x"] - into[0] / 3, q["y"] - into[1] / 3, "c2"), point(q["x"], q["y"], "p"))
+
+    return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 1), side)).otherwise(F.filter(F.transform(F.sequence(F.lit(0), F.lit(0)), side), lambda _: F.lit(False)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions.color import hex_color, oklab, oklab_to_bytes, squared_distance, with_oklab
-from pixelweave.functions.shared import by_batch, changes, materialize, numbered, small
+from pixelweave.functions.shared import by_batch, changes, discard, materialize, numbered, small
 
 SAMPLE, ROUNDS = 20_000, 8
 LAB = ("l", "oa", "ob")
@@ -45,15 +45,16 @@ def median_cut_step(colors: DataFrame) -> DataFrame:
     return ranked.withColumn("half", F.when(F.col("rank") < F.floor(F.col("n") / 2), 0).otherwise(1)).drop("axis", "n", "rank", "value")
 
 
-def with_nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:
+def with_nearest(colors: DataFrame, palette: DataFrame, few: bool | None = None) -> DataFrame:
     """``colors`` with the ``pid`` of the closest palette entry, the lowest of ties.
 
     A palette has 256 rows at most and becomes one array per image, so the
     colours are read once and not multiplied by the palette. Colours of images
-    without a palette are dropped.
+    without a palette are dropped. ``few`` says that there are few palettes
+    where that has been counted already.
     """
     entries = palette.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("pid", *LAB))).alias("entries"))
-    entries = small(materialize(entries, "palettes"))
+    entries = small(materialize(entries, "palettes")) if few is None else F.broadcast(entries) if few else entries
     d = lambda e: squared_distance([F.col(c) for c in LAB], [e[c] for c in LAB])
     least = F.array_min(F.transform("entries", lambda e: F.struct(d(e).alias("d"), e["pid"].alias("pid"))))
     return colors.join(entries, "image_id").withColumn("pid", least["pid"]).drop("entries")
@@ -88,15 +89,21 @@ def order_by_area(assigned: DataFrame, palette: DataFrame) -> DataFrame:
     return rows.select("image_id", (F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "pid")) - 1).alias("z"), "pid", "area", "color")
 
 
-def lloyd_round(colors: DataFrame, palette: DataFrame) -> DataFrame:
+def lloyd_round(colors: DataFrame, palette: DataFrame, few: bool | None = None) -> DataFrame:
     """One refinement: means of the members, an empty entry keeps its place."""
-    means = with_nearest(colors, palette).groupBy("image_id", "pid").agg(*[F.avg(c).alias(f"m_{c}") for c in LAB])
+    means = with_nearest(colors, palette, few).groupBy("image_id", "pid").agg(*[F.avg(c).alias(f"m_{c}") for c in LAB])
     return palette.join(means, ["image_id", "pid"], "left").select("image_id", "pid", *[F.coalesce(f"m_{c}", c).alias(c) for c in LAB])
 
 
 def lloyd(colors: DataFrame, palette: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``rounds`` refinements; colours are computed once, palettes counted once, a round is one written table of a few rows."""
+    colors = materialize(colors.select("image_id", *LAB), "lloyd-colors")
+    palette = materialize(palette, "lloyd")
+    few = palette.select("image_id").distinct().limit(2001).count() <= 2000
     for _ in range(rounds):
-        palette = materialize(lloyd_round(colors, palette), "lloyd")  # a round must not be computed again in the next
+        before, palette = palette, materialize(lloyd_round(colors, palette, few), "lloyd")
+        discard(before)
+    discard(colors)
     return palette
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pixelweave.functions import params, text
 from pixelweave.functions.color import hex_color, luma, oklab, oklab_to_bytes, reduce_bits, with_oklab
 from pixelweave.functions.shared import materialize, small
-from pixelweave.operators import classify, components, contour, gradient, palette, stencil
+from pixelweave.operators import blend, classify, components, contour, gradient, palette, stencil
 from pixelweave.plans.layers import layers_from_svg
 from pixelweave.sources import rasters
 
@@ -62,17 +62,42 @@ def gradient_regions(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def paths_of(rings: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, d)``: the rings of a region as one path."""
-    pieces = rings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ring_id", text.subpath(F.col("pts")).alias("d")))).alias("p"))
+    """``(keys, d)``: the rings of a region as one path; of curves if the rings have a ``corner_threshold``."""
+    d = text.curved_subpath(F.col("pts"), contour.curve_commands("pts", F.col("corner_threshold"))) if "corner_threshold" in rings.columns else text.subpath(F.col("pts"))
+    pieces = rings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ring_id", d.alias("d")))).alias("p"))
     return pieces.select(*keys, F.array_join(F.transform("p", lambda p: p["d"]), "").alias("d"))
 
 
-def flat_paths(cells: DataFrame, order: DataFrame, least: DataFrame, epsilon: float = contour.EPSILON) -> DataFrame:
-    """``(image_id, z, comp, markup)`` of the regions of equal ``pid`` with at least ``least(image_id, least)`` pixels."""
+def blended(cells: DataFrame, order: DataFrame, limits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cells`` and ``order`` after touching regions closer than ``limits(image_id, layer_difference)`` are merged.
+
+    A merged region has its mean colour, whose number is its ``pid``, and the
+    paint order of the colours that it is made of: its smallest.
+    """
+    labelled = materialize(components.components(cells.select("image_id", "i", "x", "y", "pid"), ["pid"]), "regions")
+    channel = lambda k: F.conv(F.substring("color", 2 + 2 * k, 2), 16, 10).cast("int")
+    colors = order.select("image_id", "pid", "z", *[channel(k).alias(c) for k, c in enumerate("rgb")])
+    painted = labelled.join(colors, ["image_id", "pid"])
+    ends = materialize(blend.merge_regions(painted.select("image_id", "x", "y", "comp", "r", "g", "b"), limits), "blended")
+    number = (F.col("r") * 256 + F.col("g")) * 256 + F.col("b")
+    own = painted.select("image_id", "i", "x", "y", "comp", "z").join(ends.withColumn("pid", number), ["image_id", "comp"])
+    made = own.groupBy("image_id", "pid").agg(F.min("z").alias("z"), F.first(hex_color(F.col("r"), F.col("g"), F.col("b"))).alias("color"))
+    return own.select("image_id", "i", "x", "y", "pid"), made
+
+
+def flat_paths(cells: DataFrame, order: DataFrame, least: DataFrame, epsilon: float = contour.EPSILON, corners: DataFrame | None = None) -> DataFrame:
+    """``(image_id, z, comp, markup)`` of the regions of equal ``pid`` with at least ``least(image_id, least)`` pixels.
+
+    With ``corners(image_id, corner_threshold)`` outlines are curves that keep
+    corners of so many degrees or more.
+    """
     labelled = materialize(components.components(cells.select("image_id", "i", "x", "y", "pid"), ["pid"]), "regions")
     drawn = labelled.groupBy("image_id", "comp", "pid").agg(F.count("*").alias("n")).join(least, "image_id").filter(F.col("n") >= F.col("least")).drop("least")
     region = labelled.join(drawn.select("image_id", "comp"), ["image_id", "comp"])
-    outlines = paths_of(contour.trace_rings(region.select("image_id", "comp", "x", "y"), ["image_id", "comp"], epsilon), ["image_id", "comp"])
+    rings = contour.trace_rings(region.select("image_id", "comp", "x", "y"), ["image_id", "comp"], epsilon)
+    if corners is not None:
+        rings = rings.join(small(corners, 100_000), "image_id")
+    outlines = paths_of(rings, ["image_id", "comp"])
     shapes = outlines.join(drawn, ["image_id", "comp"]).join(order.select("image_id", "pid", "z", "color"), ["image_id", "pid"])
     return shapes.select("image_id", "z", "comp", text.shape_markup(F.col("d"), F.lit(""), F.col("color")).alias("markup"))
 
@@ -121,13 +146,13 @@ def bounded(pixels: DataFrame, longest: int = rasters.LONGEST_EDGE) -> DataFrame
     return materialize(pixels.join(over, "image_id", "left_anti").unionByName(large), "bounded")
 
 
-def trace(pixels: DataFrame, options: params.Options = params.DEFAULT, epsilon: float = contour.EPSILON) -> DataFrame:
+def trace(pixels: DataFrame, options: params.Options = params.DEFAULT, epsilon: float = contour.EPSILON, **how) -> DataFrame:
     """``(image_id, svg, stats)`` of every image of the pixel relation, all under the same options."""
     pixels = bounded(pixels)
-    return trace_each(pixels, pixels.select("image_id").distinct().select("image_id", *setting_values(options)), epsilon=epsilon)
+    return trace_each(pixels, pixels.select("image_id").distinct().select("image_id", *setting_values(options)), epsilon=epsilon, **how)
 
 
-def trace_each(pixels: DataFrame, settings: DataFrame, measured: DataFrame | None = None, epsilon: float = contour.EPSILON) -> DataFrame:
+def trace_each(pixels: DataFrame, settings: DataFrame, measured: DataFrame | None = None, epsilon: float = contour.EPSILON, blend_layers: bool = False, curves: bool = False) -> DataFrame:
     """``(image_id, svg, stats)`` of every image under its own options, in one plan.
 
     ``settings`` has ``SETTINGS`` for each image, ``measured`` its
@@ -135,6 +160,10 @@ def trace_each(pixels: DataFrame, settings: DataFrame, measured: DataFrame | Non
     ``LONGEST_EDGE``. With an empty ``lock_palette`` nothing is quantized:
     every pixel keeps its colour. Images without an opaque pixel give an SVG
     without a path.
+
+    ``blend_layers`` merges touching regions closer than the layer difference
+    of the image's class and detail, ``curves`` draws outlines as curves that
+    keep corners from its corner threshold on; both are our own contract.
     """
     settings = materialize(settings.select(*SETTINGS), "settings")
     kinds = {c: F.coalesce(F.bool_or(e), F.lit(False)).alias(c) for c, e in {"dark": F.col("bw_mode"), "color": ~F.col("bw_mode"), "gradients": ~F.col("bw_mode") & F.col("gradients"), "guess": ~F.col("bw_mode") & F.col("class_override").isNull(), "free": ~F.col("bw_mode") & (F.size("lock_palette") == 0), "lock": ~F.col("bw_mode") & (F.size("lock_palette") > 0), "derive": ~F.col("bw_mode") & F.col("lock_palette").isNull()}.items()}
@@ -187,8 +216,12 @@ def trace_each(pixels: DataFrame, settings: DataFrame, measured: DataFrame | Non
     union = lambda tables: functools.reduce(DataFrame.unionByName, tables)
     nothing = F.array().cast("array<string>")
     used = sides.join(union(colors), "image_id", "left").select("image_id", F.coalesce("colors", nothing).alias("colors")) if colors else sides.select("image_id", nothing.alias("colors"))
-    speckle = params.tracer_settings(F.col("class"), F.col("detail"))["filter_speckle"]
-    svgs = document(sides, flat_paths(union(cells), union(orders), classes.select("image_id", (speckle * speckle).alias("least")), epsilon))
+    tracer = params.tracer_settings(F.col("class"), F.col("detail"))
+    flat, order = union(cells), union(orders)
+    if blend_layers:
+        flat, order = blended(flat, order, small(classes.select("image_id", tracer["layer_difference"].alias("layer_difference")), 100_000))
+    corners = classes.select("image_id", tracer["corner_threshold"].alias("corner_threshold")) if curves else None
+    svgs = document(sides, flat_paths(flat, order, classes.select("image_id", (tracer["filter_speckle"] * tracer["filter_speckle"]).alias("least")), epsilon, corners))
     if fitted is None:
         out = with_stats(svgs, used, classes)
     else:

@@ -718,6 +718,20 @@ def optimize_paths(spark, sf_dir):
     return read.select("ring", text.subpath(F.col("points")).alias("d"), (F.length("short") < F.length("own")).alias("shorter"))
 
 
+TURN = "round(degrees(abs(atan2((p[{i}].x - p[{h}].x) * (p[{j}].y - p[{i}].y) - (p[{i}].y - p[{h}].y) * (p[{j}].x - p[{i}].x), (p[{i}].x - p[{h}].x) * (p[{j}].x - p[{i}].x) + (p[{i}].y - p[{h}].y) * (p[{j}].y - p[{i}].y)))), 6) >= 60"
+
+
+@query(
+    f"""WITH {RINGS}, k AS (SELECT ring, pts AS p, CAST(k AS INT) AS k, CAST((k + 3) % 5 + 1 AS INT) AS h, CAST(k % 5 + 1 AS INT) AS j, CAST((k + 1) % 5 + 1 AS INT) AS m FROM rings, range(1, 6) t(k)),
+    c AS (SELECT *, {TURN.format(h='h', i='k', j='j')} AS own, {TURN.format(h='k', i='j', j='m')} AS next FROM k),
+    s AS (SELECT ring, k, p, own AND next AS line, {', '.join(f"p[k].{a} + CASE WHEN own THEN p[j].{a} - p[k].{a} ELSE (p[j].{a} - p[h].{a}) / 2 END / 3 AS o{a}, p[j].{a} - CASE WHEN next THEN p[j].{a} - p[k].{a} ELSE (p[m].{a} - p[k].{a}) / 2 END / 3 AS i{a}, p[j].{a} AS e{a}" for a in 'xy')} FROM c)
+    SELECT ring, 'M' || {FMT.format(v='any_value(p[1].x)')} || ' ' || {FMT.format(v='any_value(p[1].y)')} || string_agg(CASE WHEN line THEN 'L' ELSE 'C' || {" || ' ' || ".join(FMT.format(v=v) for v in ('ox', 'oy', 'ix', 'iy'))} || ' ' END || {FMT.format(v='ex')} || ' ' || {FMT.format(v='ey')}, '' ORDER BY k) || 'Z' AS d FROM s GROUP BY 1"""
+)
+def curved_paths(spark, sf_dir):
+    """Rings as curves that keep corners of 60 degrees or more."""
+    return ring_rows(spark, sf_dir).select("ring", text.curved_subpath(F.col("pts"), contour.curve_commands("pts", F.lit(60))).alias("d"))
+
+
 EXACT = params.Options(class_override="Logo", detail=1.0, lock_palette=())
 
 

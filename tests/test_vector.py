@@ -85,7 +85,7 @@ def test_paths_are_read():
     assert paths.read_path("M1 2L3 4 5,6Z") == [[(1, 2), (3, 4), (5, 6)]]
     assert paths.read_path("m1 1l2 0 0 2-2 0zl5 5") == [[(1, 1), (3, 1), (3, 3), (1, 3)], [(1, 1), (6, 6)]]
     assert paths.read_path("M0-.5.25.75h1e1v-2H3V4z") == [[(0, -0.5), (0.25, 0.75), (10.25, 0.75), (10.25, -1.25), (3, -1.25), (3, 4)]]
-    assert paths.read_path("M1 1C2 2 3 3 4 4L5 5") == [[(1, 1), (5, 5)]] and paths.read_path("") == [] and paths.read_path("M 3") == []
+    assert paths.read_path("M1 1S2 2 3 3L5 5") == [[(1, 1), (5, 5)]] and len(paths.read_path("M1 1C2 2 3 3 4 4L5 5")[0]) == 10 and paths.read_path("") == [] and paths.read_path("M 3") == []
 
 
 def test_short_paths_keep_the_geometry():
@@ -217,3 +217,71 @@ def test_foreign_svgs(spark):
     assert sorted((r["svg_id"], r["d"]) for r in got.shapes.collect()) == [(0, "M0"), (5, "M1 <")]
     assert sorted((r["svg_id"], r["width"], r["height"]) for r in layers.svg_size(svgs).collect()) == [(0, 3, 0), (1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 0, 0), (5, 7.5, 9)]
     assert re.fullmatch("#[0-9a-f]{6}", got.layers.filter("svg_id = 0").first()["color"])
+
+
+# --- blending and curves ---
+
+
+def brute_blend(grid, colors, limit):
+    """Rounds of merging mutual nearest neighbours, over a dict of regions."""
+    h, w = len(grid), len(grid[0])
+    comp, members = {}, {}
+    for y in range(h):
+        for x in range(w):
+            if (x, y) not in comp:
+                root, stack = y * w + x, [(x, y)]
+                comp[x, y] = root
+                while stack:
+                    a, b = stack.pop()
+                    members.setdefault(root, []).append((a, b))
+                    for q in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
+                        if 0 <= q[0] < w and 0 <= q[1] < h and q not in comp and grid[q[1]][q[0]] == grid[b][a]:
+                            comp[q] = root
+                            stack.append(q)
+    mean = {k: np.array(colors[grid[m[0][1]][m[0][0]]], float) for k, m in members.items()}
+    size = {k: len(m) for k, m in members.items()}
+    near = {tuple(sorted((comp[p], comp[q]))) for p in comp for q in ((p[0] + 1, p[1]), (p[0], p[1] + 1)) if q in comp and comp[p] != comp[q]}
+    root = {k: k for k in members}
+    while True:
+        open_ = [(round(float(np.sqrt(((mean[u] - mean[v]) ** 2).sum())), 6), u, v) for u, v in near]
+        best = {}
+        for e in sorted(e for e in open_ if e[0] < limit):
+            for k in e[1:]:
+                best.setdefault(k, e)
+        pairs = {e for e in best.values() if best[e[1]] == e and best[e[2]] == e}
+        if not pairs:
+            return {p: (root[k], tuple(int(np.floor(v + 0.5)) for v in mean[root[k]])) for p, k in comp.items()}
+        into = {v: u for _, u, v in pairs}
+        for v, u in into.items():
+            mean[u] = (mean[u] * size[u] + mean[v] * size[v]) / (size[u] + size[v])
+            size[u] += size[v]
+        root = {k: into.get(r, r) for k, r in root.items()}
+        near = {tuple(sorted((into.get(u, u), into.get(v, v)))) for u, v in near}
+        near = {e for e in near if e[0] != e[1]}
+
+
+def test_near_regions_merge_as_by_hand(spark):
+    from pixelweave.operators import blend
+
+    r = random.Random(6)
+    colors = [(0, 0, 0), (20, 10, 0), (60, 60, 60), (90, 70, 70), (250, 250, 250)]
+    grids = [[[r.randrange(5) for _ in range(9)] for _ in range(8)] for _ in range(2)]
+    rows = [(k, y * 9 + x, x, y, *colors[g[y][x]], g[y][x]) for k, g in enumerate(grids) for y in range(8) for x in range(9)]
+    cells = spark.createDataFrame(rows, "image_id long, i long, x int, y int, r int, g int, b int, pid int")
+    labelled = components.components(cells, ["pid"])
+    limits = spark.createDataFrame([(0, 60), (1, None)], "image_id long, layer_difference int")
+    ends = blend.merge_regions(labelled, limits)
+    got = {(x["image_id"], x["x"], x["y"]): (x["root"], (x["mr"], x["mg"], x["mb"])) for x in labelled.join(ends.withColumnsRenamed({"r": "mr", "g": "mg", "b": "mb"}), ["image_id", "comp"]).collect()}
+    for k, limit in ((0, 60), (1, 0)):
+        want = brute_blend(grids[k], colors, limit)
+        assert all(got[k, x, y] == want[x, y] for x, y in want)
+
+
+def test_settings_shape_the_trace(spark):
+    rows = [(0, y * 24 + x, x, y, *((200, 40 + 12 * (x // 8), 40) if (x - 12) ** 2 + (y - 12) ** 2 < 90 else (30, 30, 30)), 255) for y in range(24) for x in range(24)]
+    pixels = spark.createDataFrame(rows, PIXELS)
+    plain, merged, curved = (trace.trace(pixels, params.Options(class_override="Logo", detail=0.5, lock_palette=()), **how).first() for how in ({}, {"blend_layers": True}, {"curves": True}))
+    assert merged["stats"]["path_count"] < plain["stats"]["path_count"] == curved["stats"]["path_count"]
+    assert "C" in re.sub("[^A-Z]", "", curved["svg"].split("viewBox")[1]) and "C" not in re.sub('="#\\w+"', "", plain["svg"].split("viewBox")[1])
+    drawn = [{(r["x"], r["y"]) for r in draw.draw(spark.createDataFrame([(0, x["svg"])], "svg_id long, svg string")).filter("r > 100").collect()} for x in (plain, curved)]
+    assert len(drawn[0] ^ drawn[1]) < 0.15 * len(drawn[0])
