@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import limited, materialize, small_batches
@@ -25,6 +25,8 @@ ROUNDS = 8
 SLACK = 0.02
 #: Centroids that a text is compared with at a time.
 BLOCK = 1024
+#: Centroids that are broadcast at once (16 kB each); a model of more is compared part by part.
+PART = 2048
 
 
 def letter_table() -> np.ndarray:
@@ -97,7 +99,7 @@ def cluster(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray,
 
 
 class Model:
-    """IDF, and unit centroids with the language and rejection distance of each."""
+    """IDF, and unit centroids with the language and rejection distance of each: a model, or a part of one."""
 
     def __init__(self, idf: np.ndarray, centers: np.ndarray, langs: list[str], reach: np.ndarray) -> None:
         self.idf, self.centers, self.langs, self.reach = idf, centers, langs, reach
@@ -120,48 +122,95 @@ class Model:
         return pd.DataFrame({"lang_pred": langs, "score": score, "rejected": blank | (1 - score > self.reach[best] + SLACK)})
 
 
-def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model:
+class WrittenModel:
+    """IDF, and a written table ``(part, lang, center, reach)`` of parts of ``PART`` centroids at most."""
+
+    def __init__(self, idf: np.ndarray, table: DataFrame, parts: int) -> None:
+        self.idf, self.table, self.parts = idf, table, parts
+
+    def part(self, k: int) -> Model:
+        rows = sorted(self.table.filter(F.col("part") == k).select("lang", "center", "reach").collect(), key=lambda r: (r["lang"], r["center"]))  # PART rows at most
+        return Model(self.idf, np.array([r["center"] for r in rows], np.float32).reshape(-1, FEATURES), [r["lang"] for r in rows], np.array([r["reach"] for r in rows]))
+
+
+def fit_table(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> WrittenModel:
     """Learn from ``training(key, text, lang)``; rows with a null language teach nothing.
 
-    Every language gets up to ``centroids`` centroids, 16 kB each on the driver
-    and in the broadcast. Each language's fit draws ``sample`` texts in the mean
-    by the hash of the key and takes twice that at most.
+    Every language gets up to ``centroids`` centroids, 16 kB each. Each
+    language's fit draws ``sample`` texts in the mean by the hash of the key and
+    takes twice that at most. Languages are dealt into parts in the order of
+    their names.
     """
     spark = training.sparkSession
     training = training.filter("lang is not null")
     idf = inverse_frequencies(training)
-    shares = training.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    shares = materialize(training.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share")), "language-shares")
     draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    picked = training.join(limited(materialize(shares, "language-shares")), "lang").filter(draw < F.col("share"))
+    picked = training.join(limited(shares), "lang").filter(draw < F.col("share"))
 
     def clustered(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "text"], na_position="last").head(2 * sample)  # the draw has `sample` in the mean
         centers, reach = cluster(vectors(pdf["text"].tolist(), idf), centroids)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "center": list(centers), "reach": reach})
 
-    made = picked.select("key", "lang", "text").groupBy("lang").applyInPandas(clustered, "lang string, center array<float>, reach double").collect()
-    made = sorted(made, key=lambda r: (r["lang"], r["center"]))
-    return Model(idf, np.array([r["center"] for r in made], np.float32).reshape(-1, FEATURES), [r["lang"] for r in made], np.array([r["reach"] for r in made]))
+    made = materialize(picked.select("key", "lang", "text").groupBy("lang").applyInPandas(clustered, "lang string, center array<float>, reach double"), "centroids")
+    held = made.groupBy("lang").agg(F.count("*").alias("held"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if made.count() <= PART:
+        return WrittenModel(idf, made.withColumn("part", F.lit(0)), 1)
+    # More languages than a part holds: names are cut into ranges, numbered within each, and ranges are added up.
+    ranged = materialize(held.repartitionByRange(n, "lang").withColumn("range_no", F.spark_partition_id()), "language-ranges")
+    own = Window.partitionBy("range_no").orderBy("lang").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy("range_no").agg(F.sum("held").alias("held"))
+    before = sums.select("range_no", (F.sum("held").over(Window.orderBy("range_no")) - F.col("held")).alias("before"))  # a row per range
+    step = PART - centroids + 1  # the last language of a part may reach beyond its last place
+    placed = ranged.withColumn("at", F.sum("held").over(own) - F.col("held")).join(F.broadcast(before), "range_no").select("lang", F.floor((F.col("at") + F.col("before")) / step).cast("int").alias("part"))
+    table = materialize(made.join(limited(materialize(placed, "language-parts")), "lang"), "centroid-parts")
+    return WrittenModel(idf, table, (table.agg(F.max("part")).first()[0] or 0) + 1)
+
 
+def fit(training: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model:
+    """The whole model of :func:`fit_table` on the driver, for few languages; more than ``PART`` centroids are refused."""
+    made = fit_table(training, centroids, sample)
+    if made.parts > 1:
+        raise ValueError(f"the model has {made.parts} parts; use fit_table")
+    return made.part(0)
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+
+def predict(docs: DataFrame, model: Model | WrittenModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, lang_pred, score, rejected)`` of every document, from its text alone.
 
     ``und`` (score 0, rejected) where the text is null or has no letter, or if
     nothing was learned; of centroids that are equally near the first language
     by name wins. A very long text is read whole. Repeated rows get a row each,
-    an empty table an empty table. Other columns are not read.
+    an empty table an empty table. Other columns are not read. A model of
+    several parts is broadcast part by part; each adds a pass over the texts,
+    and a text keeps its best.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
-    shared = spark.sparkContext.broadcast(model)
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def rows(batches):
-        for pdf in batches:
-            yield pd.concat([pdf[[id_col]].reset_index(drop=True), shared.value.predict(pdf["text"].tolist())], axis=1)
+    def passed(part: Model, carried: list[str]):
+        shared = spark.sparkContext.broadcast(part)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text).alias("text")).mapInPandas(rows, f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
+        def rows(batches):
+            for pdf in batches:
+                yield pd.concat([pdf[carried].reset_index(drop=True), shared.value.predict(pdf["text"].tolist())], axis=1)
+
+        return rows
+
+    made = "lang_pred string, score double, rejected boolean"
+    if isinstance(model, Model) or model.parts == 1:
+        one = model if isinstance(model, Model) else model.part(0)
+        return docs.select(id_col, F.col(text).alias("text")).mapInPandas(passed(one, [id_col]), f"{id_col} {kind}, {made}")
+    numbered = materialize(docs.select(id_col, F.col(text).alias("text")).withColumn("row_no", F.monotonically_increasing_id()), "numbered-texts")
+    found = None
+    for k in range(model.parts):
+        told = materialize(numbered.mapInPandas(passed(model.part(k), [id_col, "row_no"]), f"{id_col} {kind}, row_no long, {made}").withColumn("part", F.lit(k)), f"languages-{k}")
+        found = told if found is None else found.unionByName(told)
+    best = found.groupBy("row_no").agg(F.max_by(F.struct(id_col, "lang_pred", "score", "rejected"), F.struct("score", -F.col("part"))).alias("b"))
+    return best.select("b.*")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -178,5 +227,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ties, repeated rows and empty tables.
     """
     small_batches(docs.sparkSession, 1000)
-    model = fit(docs.filter(~held_out(id_col)).select(F.col(id_col).alias("key"), "text", "lang"))
+    model = fit_table(docs.filter(~held_out(id_col)).select(F.col(id_col).alias("key"), "text", "lang"))
     return predict(docs, model, id_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score", "rejected")

@@ -96,6 +96,21 @@ def test_language_predictions_match_brute_force(spark, monkeypatch):
         assert got[x["doc_id"]]["lang_pred"] in {model.langs[k] for k, c in enumerate(cosines) if c > best - 1e-4}
 
 
+def test_a_model_in_parts_predicts_as_one(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit("-x"))).otherwise(F.col("lang")))
+    training = docs.selectExpr("doc_id key", "text", "lang")
+    whole = language_id.fit_table(training)
+    want = {x["doc_id"]: x for x in language_id.predict(docs, whole).collect()}
+    monkeypatch.setattr(language_id, "PART", 6)
+    parts = language_id.fit_table(training)
+    assert parts.parts > 2 and max(r["count"] for r in parts.table.groupBy("part").count().collect()) <= 6
+    got = {x["doc_id"]: x for x in language_id.predict(docs, parts).collect()}
+    assert all(got[i]["lang_pred"] == x["lang_pred"] and abs(got[i]["score"] - x["score"]) < 1e-6 and got[i]["rejected"] == x["rejected"] for i, x in want.items())
+    with pytest.raises(ValueError):
+        language_id.fit(training)
+
+
 def test_empty_tables_and_very_long_texts(spark):
     none = frame(spark, [])
     assert language_id.identify(none).count() == 0
