@@ -297,6 +297,28 @@ def checked_options(table: DataFrame, base: params.Options = params.EDITOR) -> D
     return out.withColumn("error", error).select("variant", "name", "error", *kinds)
 
 
+def options_from_json(texts: DataFrame, column: str, base: params.Options = params.DEFAULT) -> DataFrame:
+    """``texts(variant, name, <column>)`` as an options table: a JSON object each, missing fields from ``base``.
+
+    What is no such object, or has a value that is not allowed, gets an
+    ``error``; unknown fields are passed over.
+    """
+    schema = OPTION_COLUMNS.replace("array<struct<r:int,g:int,b:int>>", "array<array<int>>") + ", _bad string"
+    read = texts.withColumn("o", F.from_json(F.col(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    shape = F.exists("o.lock_palette", lambda c: F.coalesce(F.size(c) != 3, F.lit(True)))
+    error = F.when(F.col("o").isNull() | F.col("o._bad").isNotNull() | F.col(column).isNull(), "invalid options: not an object of options").when(shape, "invalid options: palette")
+    lock = F.transform("o.lock_palette", lambda c: F.struct(F.get(c, 0).alias("r"), F.get(c, 1).alias("g"), F.get(c, 2).alias("b")))
+    names = [c.split()[0] for c in OPTION_COLUMNS.split(", ")]
+    return checked_options(read.select("variant", "name", error.alias("error"), *[(lock if n == "lock_palette" else F.col(f"o.{n}")).alias(n) for n in names]), base)
+
+
+def options_from_editor(rows: DataFrame) -> DataFrame:
+    """``rows(variant, name, class, colors, bw, detail, gradients)``, with the names of an editor, as an options table; ``auto`` is null."""
+    kind = F.when(F.col("class") != "auto", F.initcap("class"))
+    count = F.when(F.col("colors") != "auto", F.col("colors").cast("int"))
+    return checked_options(rows.select("variant", "name", kind.alias("class_override"), count.alias("k"), F.col("bw").alias("bw_mode"), "detail", "gradients"), params.EDITOR)
+
+
 def sweep(pixels: DataFrame, options: params.Options = params.EDITOR, variations=None, epsilon: float = contour.EPSILON) -> DataFrame:
     """Traces under every variation: ``(variant, name, image_id, svg, stats, error)``.
 

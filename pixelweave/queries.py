@@ -142,6 +142,38 @@ def param_curves(spark, sf_dir):
     return g.select("o_orderkey", "class", *[c.alias(n) for n, c in made.items()])
 
 
+@query(
+    """SELECT CAST(c_custkey AS INT) AS variant, CASE k WHEN 1 THEN 'Logo' WHEN 2 THEN 'Cat' END AS class_override, CAST(CASE k WHEN 1 THEN c_custkey WHEN 5 THEN -1 END AS INT) AS k, CAST(CASE k WHEN 4 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS detail, k = 4 AS bw_mode, CAST(CASE k WHEN 4 THEN 2 END AS INT) AS locked,
+      CASE k WHEN 2 THEN 'invalid options: class Cat' WHEN 3 THEN 'invalid options: not an object of options' WHEN 5 THEN 'invalid options: k -1' WHEN 6 THEN 'invalid options: palette' END AS error FROM (SELECT c_custkey, c_custkey % 7 AS k FROM customer)"""
+)
+def options_from_json(spark, sf_dir):
+    """Options of every customer, as JSON: none, some, wrong ones, and what is no JSON."""
+    key = F.col("c_custkey")
+    texts = ["{}", None, '{"class_override": "Cat"}', '{"k": ', '{"detail": 0.25, "bw_mode": true, "lock_palette": [[1, 2, 3], [0, 0, 255]], "other": [1]}', '{"k": -1}', '{"lock_palette": [[1, 2, 300]]}']
+    text_of = F.coalesce(F.element_at(F.array(*map(F.lit, texts)), (key % 7 + 1).cast("int")), F.concat(F.lit('{"class_override": "Logo", "k": '), key.cast("string"), F.lit("}")))
+    made = trace.options_from_json(rasters.table(spark, sf_dir, "customer").select(key.cast("int").alias("variant"), F.col("c_name").alias("name"), text_of.alias("t")), "t")
+    return made.select("variant", "class_override", "k", "detail", "bw_mode", F.when(F.col("lock_palette").isNotNull() & (F.col("variant") % 7 == 4), F.size("lock_palette")).alias("locked"), "error")
+
+
+@query("SELECT CAST(o_orderkey AS INT) AS variant, CASE o_orderkey % 3 WHEN 1 THEN 'Logo' WHEN 2 THEN 'Photo' END AS class_override, CAST(CASE WHEN o_custkey % 2 = 0 THEN 8 << (o_custkey % 6) END AS INT) AS k, o_orderstatus = 'O' AS bw_mode, CASE WHEN o_orderkey % 4 = 0 THEN CAST(0.6 AS DOUBLE) ELSE o_custkey % 10 / 10 END AS detail, CAST(NULL AS VARCHAR) AS error FROM orders")
+def options_from_editor(spark, sf_dir):
+    """Options of every order by the names of an editor: automatic ones are null, missing details are the editor's."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    rows = rasters.table(spark, sf_dir, "orders").select(key.cast("int").alias("variant"), F.lit("x").alias("name"), F.element_at(F.array(*map(F.lit, ("auto", "logo", "photo"))), (key % 3 + 1).cast("int")).alias("class"), F.when(customer % 2 == 0, (F.lit(8) * F.pow(F.lit(2.0), customer % 6)).cast("int").cast("string")).otherwise("auto").alias("colors"), (F.col("o_orderstatus") == "O").alias("bw"), F.when(key % 4 != 0, customer % 10 / 10).alias("detail"), F.lit(False).alias("gradients"))
+    return trace.options_from_editor(rows).select("variant", "class_override", "k", "bw_mode", "detail", "error")
+
+
+DROPS = "SELECT o_custkey AS drop_id, o_orderkey AS place, 'f' || o_orderkey || '.x' AS name, ['image/png', 'text/plain', 'image/webp', 'application/pdf'][o_orderkey % 4 + 1] AS mime FROM orders"
+
+
+@query(f"SELECT drop_id, arg_min(name, place) AS name, arg_min(mime, place) AS mime FROM ({DROPS}) GROUP BY 1 HAVING arg_min(mime, place) LIKE 'image/%'")
+def dropped_files(spark, sf_dir):
+    """The orders of a customer taken as files dropped together: the first counts, if it is an image."""
+    key = F.col("o_orderkey")
+    mime = F.element_at(F.array(*map(F.lit, ("image/png", "text/plain", "image/webp", "application/pdf"))), (key % 4 + 1).cast("int"))
+    return rasters.first_images(rasters.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("drop_id"), key.alias("place"), F.concat(F.lit("f"), key.cast("string"), F.lit(".x")).alias("name"), mime.alias("mime")))
+
+
 # --- classification ---
 
 THREE = f"px AS ({EMB} UNION ALL {ORD.format(id=-1)} UNION ALL {SYN.format(id=-2)})"
@@ -229,6 +261,15 @@ def median_cut_step(spark, sf_dir):
     return palette.median_cut_step(color.with_oklab(rasters.order_pixels(spark, sf_dir).filter("a <> 0"))).select("i", "half")
 
 
+@query(
+    f"""WITH px AS ({EMB}), {lab_ctes('px', 'cs')}, m AS (SELECT image_id, count(*) AS n, avg(l) AS ml, avg(oa) AS ma, avg(ob) AS mb, max(l) - min(l) AS wl, max(oa) - min(oa) AS wa, max(ob) - min(ob) AS wb FROM cs GROUP BY 1)
+    SELECT image_id, any_value(n) AS n, round(any_value(ml), 6) AS m_l, round(any_value(ma), 6) AS m_oa, round(any_value(mb), 6) AS m_ob, any_value(CASE WHEN wl >= wa AND wl >= wb THEN 'l' WHEN wa >= wb THEN 'oa' ELSE 'ob' END) AS axis, round(sum(pow(l - ml, 2) + pow(oa - ma, 2) + pow(ob - mb, 2)), 6) AS error FROM cs JOIN m USING (image_id) GROUP BY 1"""
+)
+def box_statistics(spark, sf_dir):
+    """Centroid, widest axis and error of each tile taken as a box."""
+    return palette.box_statistics(color.with_oklab(rasters.embedding_pixels(spark, sf_dir)), ["image_id"]).select("image_id", "n", *rounded("m_l", "m_oa", "m_ob"), "axis", *rounded("error"))
+
+
 @query(f"WITH {PX}, o AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS k, count(*) OVER () AS n FROM px WHERE a <> 0) SELECT i FROM o WHERE k % greatest(n // 500, 1) = 0")
 def stride_sample(spark, sf_dir):
     return palette.stride_sample(rasters.order_pixels(spark, sf_dir).filter("a <> 0"), 500).select("i")
@@ -447,6 +488,13 @@ def ring_dedup_collinear(spark, sf_dir):
     return kept.select("ring", F.size("p").cast("long").alias("n_points"), F.round(F.aggregate("p", F.lit(0.0), lambda acc, p: acc + p["x"]), 6).alias("sum_x"))
 
 
+@query(f"WITH {RINGS} SELECT ring, round(CASE WHEN ring % 2 = 0 THEN -1 ELSE 1 END * abs(list_sum(list_transform(range(1, 6), lambda k: pts[k].x * pts[k % 5 + 1].y - pts[k % 5 + 1].x * pts[k].y)) / 2), 6) AS area FROM rings")
+def oriented_rings(spark, sf_dir):
+    """Every other ring as a hole: outer rings turn one way, holes the other."""
+    turned = contour.oriented(F.col("pts"), F.col("ring") % 2 == 0)
+    return ring_rows(spark, sf_dir).select("ring", turned.alias("pts")).select("ring", F.round(contour.ring_area(F.col("pts")), 6).alias("area"))
+
+
 FMT = "CASE WHEN abs({v} - round({v})) < 1e-4 THEN CAST(CAST(round({v}) AS BIGINT) AS VARCHAR) ELSE printf('%.2f', {v}) END"
 
 
@@ -806,6 +854,8 @@ def sweep_redrawn(spark, sf_dir):
     return swept.join(dots, "svg_id", "left").select("variant", "name", "image_id", F.col("error").isNotNull().alias("failed"), "painted", "ink")
 
 
-@query()
+@query(f"WITH px AS ({EMB}) SELECT image_id, i, 0 AS r, CASE WHEN {sum_sql(color.LUMA, 'rgb')} < 128 THEN 255 ELSE 0 END AS a FROM px")
 def trace_black_white(spark, sf_dir):
-    return trace.trace(rasters.embedding_pixels(spark, sf_dir), params.Options(bw_mode=True))
+    """Dark pixels traced in black, without simplification, and drawn again."""
+    traced = trace.trace(rasters.embedding_pixels(spark, sf_dir), params.Options(bw_mode=True), epsilon=0.0)
+    return draw.draw(traced.select(F.col("image_id").alias("svg_id"), "svg")).select("image_id", "i", "r", "a")

@@ -25,7 +25,7 @@ def explode_rasters(rasters: DataFrame) -> DataFrame:
 
 
 def collect_rasters(pixels: DataFrame) -> DataFrame:
-    """The inverse of :func:`explode_rasters`: one buffer per image (bounded by ``LONGEST_EDGE`` squared)."""
+    """The inverse of :func:`explode_rasters`: one buffer per image, which a row has to hold; bring larger images down first."""
     two = lambda c: F.lpad(F.hex(F.col(c)), 2, "0")
     quads = F.array_sort(F.collect_list(F.struct("i", F.concat(*map(two, "rgba")).alias("q"))))
     joined = F.unhex(F.array_join(F.transform(quads, lambda q: q["q"]), ""))
@@ -52,6 +52,12 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.xxhash64("origin").alias("image_id"), F.element_at(F.split("origin", "/"), -1).alias("name"), "width", "height", data.alias("data"))
 
 
+def first_images(files: DataFrame) -> DataFrame:
+    """The file that counts of each drop of ``files(drop_id, place, name, mime)``: its first, if that is an image; else none."""
+    first = files.groupBy("drop_id").agg(F.min_by(F.struct("name", "mime"), "place").alias("f"))
+    return first.filter(F.startswith(F.col("f.mime"), F.lit("image/"))).select("drop_id", "f.name", "f.mime")
+
+
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     """``(name, width, height)`` of encoded images; the bytes are pruned from the result."""
     rows = spark.read.format("image").option("dropInvalid", True).load(path)
