@@ -12,6 +12,7 @@ number per bucket, whatever the size of the corpus.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import zlib
 
@@ -26,30 +27,44 @@ from pixelweave.llm.common import discard, forget, give_back, materialize, small
 WORD_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 25, 7
 #: Features and documents of a block, words of a document counted at a time, words remembered: bounds on memory.
-BLOCK_FEATURES, BLOCK_DOCS, SLICE, CACHE = 1_000_000, 4096, 500_000, 500_000
+BLOCK_FEATURES, BLOCK_DOCS, SLICE, CACHE = 500_000, 4096, 250_000, 300_000
 
 
 class Sums(dict):
-    """CRC-32 of a word with ``behind`` it, remembered."""
-
-    def __init__(self, behind: bytes) -> None:
-        super().__init__()
-        self.behind = behind
+    """CRC-32 of a word, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
+        if len(self) >= CACHE:
             self.clear()
-        self[word] = out = zlib.crc32(word + self.behind)
+        self[word] = out = zlib.crc32(word)
         return out
 
 
-def features(words: list[bytes], alone: Sums, ahead: Sums) -> np.ndarray:
+def byte_table() -> np.ndarray:
+    """CRC-32 steps of each byte."""
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, (out >> 1) ^ np.uint32(0xEDB88320), out >> 1)
+    return out
+
+
+TABLE = byte_table()
+
+
+def with_space(crc: np.ndarray) -> np.ndarray:
+    """The checksums of texts from which ``crc`` are, with a space behind them."""
+    state = ~crc
+    return ~(TABLE[(state ^ np.uint32(32)) & np.uint32(255)] ^ (state >> np.uint32(8)))
+
+
+def features(words: list[bytes], known: Sums) -> np.ndarray:
     """CRC-32 of every word and of every two neighbours joined by a space; a CRC goes on where that of the first word ended."""
     n = len(words)
-    out = np.fromiter(map(alone.__getitem__, words), np.uint32, n)
+    out = np.fromiter(map(known.__getitem__, words), np.uint32, n)
     if n < 2:
         return out
-    return np.concatenate([out, np.fromiter(map(zlib.crc32, words[1:], map(ahead.__getitem__, words)), np.uint32, n - 1)])
+    ahead = with_space(out[:-1]).tolist()
+    return np.concatenate([out, np.fromiter(map(zlib.crc32, itertools.islice(words, 1, None), ahead), np.uint32, n - 1)])
 
 
 def csr_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -65,7 +80,7 @@ def csr_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", buck
 
     def rows(batches):
         forget()
-        alone, ahead = Sums(b""), Sums(b" ")
+        known = Sums()
         ids, n_words, keys, held, size, ids_type = [], [], [], [], 0, None
 
         def block():
@@ -93,16 +108,16 @@ def csr_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", buck
                 words = (t or b"").translate(WORD_BYTES).split()
                 at = len(ids) * buckets
                 if len(words) <= SLICE:
-                    found = features(words, alone, ahead) if words else np.zeros(0, np.uint32)
+                    found = features(words, known) if words else np.zeros(0, np.uint32)
                     keys.append((found % np.uint32(buckets)).astype(np.int64) + at)
                     size += len(found)
                 else:
                     total = np.zeros(buckets, np.int64)
                     for k in range(0, len(words), SLICE):  # a slice reaches one word into the next, which counts there alone
-                        part = features(words[k : k + SLICE + 1], alone, ahead)
+                        part = features(words[k : k + SLICE + 1], known)
                         total += np.bincount(part % np.uint32(buckets), minlength=buckets)
                         if k + SLICE < len(words):
-                            total[alone[words[k + SLICE]] % buckets] -= 1
+                            total[known[words[k + SLICE]] % buckets] -= 1
                     there = np.flatnonzero(total)
                     held.append((there + at, total[there]))
                     size += len(there)
@@ -179,7 +194,7 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", buckets
     only id and text are read, of ``target`` only the text.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000)
     blocks = materialize(csr_blocks(docs, id_col, buckets=buckets), "csr")
     wanted = materialize(csr_blocks(target.select(F.lit(0).alias("id"), "text"), "id", buckets=buckets), "csr-target")
     gain = gains(column_sums(blocks, buckets), column_sums(wanted, buckets))
