@@ -2,17 +2,17 @@
 
 Every text is cut into words once; what is kept of it is a small number per
 word, 0 for all words that no template has. Document frequencies of the
-template words are counted over every document. The index holds a template's
-postings (word, offset) under the key-phrase word of the highest IDF, which a
-file with that phrase cannot lack. A file's own licence words are looked up in
-it; a file that lacks a word of the key phrase is out at once. Of the others the
-places of the rarest word are intersected with those of the next rare words by
-relative position, and what aligns is verified word by word over the mandatory
-key phrase. All this happens within a file's array of numbers.
+template words are counted over every document. The index holds the rarer half
+of each notice's words with their offsets. A file's own licence words of the
+highest IDF are looked up in it; the postings that they meet are intersected by
+relative position, that is by where the notice would begin, and what aligns is
+verified word by word over the mandatory key phrase. All this happens within a
+file's array of numbers.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -41,14 +41,14 @@ TEMPLATES = (
     Template("apache-2", "apache license version 2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", "cc by nc", True),
     Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "you may not use this file except in compliance with the license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission is hereby granted free of charge"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "permission is hereby granted free of charge"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistribution and use in source and binary forms"),
     Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
     Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license"),
     Template("cc-by-sa", "licensed under the creative commons attribution sharealike license", "creative commons attribution sharealike"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software"),
-    Template("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "permission is granted to anyone to use this software for any purpose"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", "permission to use copy modify and or distribute this software"),
+    Template("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution", "permission is granted to anyone to use this software for any purpose"),
     Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free and unencumbered software released into the public domain"),
 )
 
@@ -73,56 +73,105 @@ def document_frequencies(rows: DataFrame, vocabulary: list[str]) -> tuple[int, d
     return found.pop(0, 0), {vocabulary[k - 1]: n for k, n in found.items()}
 
 
-def rare_words(template: Template, n_docs: int, frequency: dict[str, int], most: int) -> list[tuple[str, int]]:
-    """The key phrase's ``most`` words of highest IDF, with their offsets in the notice."""
-    notice, key = template.notice.split(), template.key.split()
-    at = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
-    idf = lambda w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1))
-    first = {w: i for i, w in reversed(list(enumerate(key)))}
-    return [(w, at + first[w]) for w in sorted(first, key=lambda w: (-idf(w), w))[:most]]
+def by_idf(vocabulary: list[str], n_docs: int, frequency: dict[str, int]) -> list[str]:
+    """The template words by falling IDF."""
+    return sorted(vocabulary, key=lambda w: (-math.log((n_docs + 1) / (frequency.get(w, 0) + 1)), w))
 
 
-def postings(templates, vocabulary: list[str], n_docs: int, frequency: dict[str, int], rare: int) -> list[tuple]:
-    """The index: rows of :data:`POSTINGS`, a row per template."""
-    number, rows = {w: k for k, w in enumerate(vocabulary, 1)}, []
+def postings(templates, vocabulary: list[str], order: list[str]) -> list[tuple]:
+    """The positional index as rows of :data:`POSTINGS`, one per template.
+
+    ``posted`` has the rarer half of a notice's words, two at least, and
+    ``needed`` all words of its key phrase; each word with its offsets in the
+    notice, the rarest word first.
+    """
+    number, rank, rows = {w: k for k, w in enumerate(vocabulary, 1)}, {w: k for k, w in enumerate(order)}, []
     for k, t in enumerate(templates):
-        notice, key = [number[w] for w in t.notice.split()], [number[w] for w in t.key.split()]
-        (word, offset), *others = rare_words(t, n_docs, frequency, rare)
+        notice, key = t.notice.split(), t.key.split()
         begin = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
-        rows.append((number[word], k, offset, notice, sorted(set(key)), begin, begin + len(key), [(number[w], o) for w, o in others]))
+        rarest = lambda found: sorted(set(found), key=rank.__getitem__)
+        offsets = lambda found, at: [(number[w], [at + i for i, x in enumerate(found) if x == w]) for w in rarest(found)]
+        posted = offsets(notice, 0)
+        rows.append((k, [number[w] for w in notice], begin, begin + len(key), posted[: max(2, len(posted) // 2)], offsets(key, begin)))
     return rows
 
 
-POSTINGS = "rare short, template int, offset int, notice array<short>, needed array<short>, begin int, end int, others array<struct<word:short,offset:int>>"
+POSTINGS = "template int, notice array<short>, begin int, end int, posted array<struct<word:short,offsets:array<int>>>, needed array<struct<word:short,offsets:array<int>>>"
+
+
+def fixed(value, kind: str) -> F.Column:
+    """A constant of any type."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, rare: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def let(value, body) -> F.Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def looked_up(rows: DataFrame, listed: list[tuple], vocabulary: list[str], order: list[str], rare: int) -> DataFrame:
+    """``rows`` with ``template`` and ``wanted``: for each template that a file's rare words point at, the words looked up.
+
+    These are the file's ``rare`` indexed words of the highest IDF, and further
+    down as many as the key phrase of each template asks for whose words the
+    file all has, so that none of those is missed. A template is pointed at by
+    two of the words, or by all words of its key phrase being there.
+    """
+    number = {w: k for k, w in enumerate(vocabulary, 1)}
+    place = {number[w]: k for k, w in enumerate(order)}
+    templates_of: list[list[int]] = [[] for _ in range(len(vocabulary) + 1)]
+    for template, _, _, _, posted, _ in listed:
+        for word, _ in posted:
+            templates_of[word].append(template)
+    ranks = fixed([-1, *[place[k] for k in range(1, len(vocabulary) + 1)]], "array<int>")
+    numbers = fixed([number[w] for w in order], "array<short>")
+    indexed = fixed([k for k, found in enumerate(templates_of) if found], "array<short>")
+    index = fixed(templates_of, "array<array<int>>")
+    phrases = fixed([{"template": x[0], "words": [w for w, _ in x[5]]} for x in listed], "array<struct<template:int,words:array<short>>>")
+
+    rarest = F.transform(F.array_sort(F.transform(F.array_intersect("known", indexed), lambda k: F.get(ranks, k))), lambda r: F.get(numbers, r))
+    able = F.filter(phrases, lambda t: F.forall(t["words"], lambda w: F.array_contains("known", w)))
+    wanted = lambda able: F.array_distinct(F.concat(F.slice(rarest, 1, rare), F.flatten(F.transform(able, lambda t: F.slice(t["words"], 1, 2)))))
+    pointed = lambda words: F.flatten(F.transform(words, lambda w: F.get(index, w)))
+    twice = lambda at: F.filter(F.array_distinct(at), lambda k: F.size(F.filter(at, lambda other: other == k)) > 1)
+    met = lambda able, words: F.array_distinct(F.concat(F.transform(able, lambda t: t["template"]), let(pointed(words), twice)))
+    found = let(able, lambda able: let(wanted(able), lambda words: F.struct(words.alias("wanted"), met(able, words).alias("templates"))))
+    return rows.select("*", found.alias("found")).select("*", "found.wanted", F.explode("found.templates").alias("template")).drop("found")
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, rare: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, n_words, hits)`` of every document; a hit is ``struct<at, template, verified, share>``.
 
-    ``at`` is where the notice begins (words from 0), ``share`` the part of its
-    words that stand in place. Hits that fail their key phrase stay with
-    ``verified`` false. A null text is empty and has no words; a very long text
-    is one row of two bytes a word. Repeated rows get a row each: hits belong to
-    an id and its text. An empty table gives an empty table. Other columns are
-    not read.
+    ``at`` is where the notice begins (words from 0; below 0 if its beginning
+    is cut off), ``share`` the part of its words that stand in place. A hit is a
+    place at which two of the file's looked-up words agree on where the notice
+    begins; it is verified if the whole key phrase stands there. No place of a
+    key phrase is missed. A null text is empty and has no words; a very long
+    text is one row of two bytes a word. Repeated rows get a row each: hits
+    belong to an id and its text. Words of equal IDF are taken by their
+    spelling. An empty table gives an empty table. Other columns are not read.
     """
     often = Counter(w for t in templates for w in t.notice.split())
     vocabulary = sorted(often, key=lambda w: (-often[w], w))  # the usual words first: numbers are found in this order
     rows = numbered(docs, vocabulary, id_col, text)
-    listed = postings(templates, vocabulary, *document_frequencies(rows, vocabulary), rare)
+    order = by_idf(vocabulary, *document_frequencies(rows, vocabulary))
+    listed = postings(templates, vocabulary, order)
     index = docs.sparkSession.createDataFrame(listed, POSTINGS)
-    anchors = F.array(*[F.lit(k) for k in sorted({x[0] for x in listed})]).cast("array<short>")
-    looked_up = rows.select("id", "mark", "known", "numbers", F.explode(F.array_intersect("known", anchors)).alias("rare"))
-    met = looked_up.join(F.broadcast(index), "rare").filter(F.size(F.array_except("needed", "known")) == 0)  # the index is fixed by TEMPLATES
+    met = looked_up(rows.select("id", "mark", "known", "numbers"), listed, vocabulary, order, rare).join(F.broadcast(index), "template")  # the index is fixed by TEMPLATES
     word_at = lambda i: F.when(i >= 0, F.get("numbers", i))
-    places = F.filter(F.sequence(F.lit(0), F.size("numbers") - 1), lambda i: F.get("numbers", i) == F.col("rare"))
-    starts = F.transform(places, lambda p: p - F.col("offset"))
-    aligned = F.filter(starts, lambda at: F.forall("others", lambda o: F.coalesce(word_at(at + o["offset"]) == o["word"], F.lit(False))))
+    places = lambda word: F.filter(F.sequence(F.lit(0), F.size("numbers") - 1), lambda i: F.get("numbers", i) == word)
+    starts = lambda x: F.flatten(F.transform(places(x["word"]), lambda p: F.transform(x["offsets"], lambda o: p - o)))
+    agrees = lambda at, x: F.exists(x["offsets"], lambda o: F.coalesce(word_at(at + o) == x["word"], F.lit(False)))
+    # Of the key phrase all words looked up have to agree, of the rest of the notice two.
+    able = F.forall("needed", lambda x: F.array_contains("known", x["word"]))
+    by_key = F.when(able, F.filter(starts(F.get("needed", F.lit(0))), lambda at: F.forall(F.slice("needed", 1, 2), lambda x: agrees(at, x)))).otherwise(F.array().cast("array<int>"))
+    present = F.filter("posted", lambda x: F.array_contains("wanted", x["word"]))
+    in_notice = let(present, lambda found: F.filter(F.array_distinct(F.flatten(F.transform(found, starts))), lambda at: F.size(F.filter(found, lambda x: agrees(at, x))) > 1))
     same = lambda at, i: F.coalesce(word_at(at + i) == F.get("notice", i), F.lit(False))
     verified = lambda at: F.forall(F.sequence("begin", F.col("end") - 1), lambda i: same(at, i))
     share = lambda at: F.size(F.filter(F.sequence(F.lit(0), F.size("notice") - 1), lambda i: same(at, i))) / F.size("notice")
-    found = met.select("id", "mark", "template", "begin", "end", "notice", "numbers", aligned.alias("aligned")).filter(F.size("aligned") > 0)
-    hits = found.select("id", "mark", F.transform("aligned", lambda at: F.struct(at.alias("at"), F.col("template"), verified(at).alias("verified"), share(at).alias("share"))).alias("hits"))
+    hit = lambda at: F.struct(at.alias("at"), F.col("template"), verified(at).alias("verified"), share(at).alias("share"))
+    hits = met.select("id", "mark", F.transform(F.array_union(by_key, in_notice), hit).alias("hits")).filter(F.size("hits") > 0)
     per_doc = hits.groupBy(F.col("id").alias("of"), F.col("mark").alias("of_mark")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
     both = rows.select("id", "mark", "n_words").join(per_doc, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
     return both.select("id", "n_words", F.coalesce("hits", F.array().cast("array<struct<at:int,template:int,verified:boolean,share:double>>")).alias("hits"))

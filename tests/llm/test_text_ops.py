@@ -109,6 +109,40 @@ def test_license_places_match_brute_force(spark):
     assert all(0 <= r["score"] <= 1 and (r["score"] > 0) >= bool(r["labels"]) for r in rows)
 
 
+def brute_hits(t, order, templates, rare):
+    """Every place where two of the looked-up words of a notice, or the rarest two of a key phrase, agree on its beginning."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_az(t))
+    rank, notices = {x: k for k, x in enumerate(order)}, [tpl.notice.split() for tpl in templates]
+    half = [sorted(set(n), key=rank.get) for n in notices]
+    half = [x[: max(2, len(x) // 2)] for x in half]
+    known = sorted(set(w) & {x for found in half for x in found}, key=rank.get)[:rare]
+    keys = [sorted(set(tpl.key.split()), key=rank.get) for tpl in templates]
+    wanted = set(known).union(*[key[:2] for key in keys if set(key) <= set(w)])
+    out = []
+    for k, (tpl, notice) in enumerate(zip(templates, notices)):
+        key, at_word = tpl.key.split(), lambda at, o: at + o >= 0 and at + o < len(w) and w[at + o] == notice[o]
+        begin = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+        for at in range(-len(notice), len(w)):
+            there = [o for o in range(len(notice)) if at_word(at, o)]
+            of_key = {notice[o] for o in there if begin <= o < begin + len(key)}
+            if len({notice[o] for o in there} & set(half[k]) & wanted) > 1 or set(keys[k]) <= set(w) and set(keys[k][:2]) <= of_key:
+                out.append((at, k, all(at_word(at, begin + i) for i in range(len(key))), len(there) / len(notice)))
+    return sorted(out)
+
+
+def test_license_hits_match_brute_force(spark):
+    whole = {tpl.label: tpl.notice for tpl in license_scan.TEMPLATES}
+    texts = [(i, t) for i, t in LICENSES if i is not None and i != 9] + [(20, whole["mit"]), (21, "x " + whole["isc"].replace("negligence", "neglect") + " y"), (22, whole["zlib"][60:] + " " + whole["mit"]), (23, "merchantability and fitness in no event shall the author"), (24, "source " * 50 + "redistribution and use in binary forms " * 3)]
+    rows = license_scan.scan(frame(spark, texts)).collect()
+    often = Counter(w for tpl in license_scan.TEMPLATES for w in tpl.notice.split())
+    docs = [set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_az(t))) for _, t in texts]
+    order = sorted(often, key=lambda w: (sum(w in d for d in docs), w))
+    want = sorted((i, len(hits), hits) for i, t in texts for hits in [brute_hits(t, order, license_scan.TEMPLATES, 4)])
+    got = sorted((r["id"], len(r["hits"]), [(h["at"], h["template"], h["verified"], h["share"]) for h in r["hits"]]) for r in rows)
+    assert got == want
+    assert max(h[3] for i, _, hits in got if i == 20 for h in hits) == 1.0 and max(h[3] for i, _, hits in got if i == 22 for h in hits if not h[2]) > 0.8  # a notice without its beginning
+
+
 def documents():
     import pyarrow.parquet as pq
 
