@@ -1,6 +1,6 @@
 """Mixing sources to target weights by repetition rates.
 
-Everything is an aggregate, a window over one row per source, or an
+Everything is an aggregate, a running sum over ranges of the sources, or an
 expression on the document's own row; no row-level shuffle is needed.
 
 A document of a source with rate ``r`` is emitted ``floor(r)`` times, plus
@@ -26,6 +26,21 @@ def uniform(seed, key) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def sums_before(rows: DataFrame, order: list, sums: dict[str, str], name: str) -> DataFrame:
+    """``rows`` with, for each new column of ``sums``, the sum of an old one over all rows that stand before in ``order``.
+
+    Rows are dealt into ranges of the order and written; a range is summed on
+    its own and begins with the totals of the ranges before it, a row each.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(rows.repartitionByRange(n, *order).withColumn("range_no", F.spark_partition_id()), name)
+    totals = ranged.groupBy(F.col("range_no").alias("of_range")).agg(*[F.sum(old).alias(new) for new, old in sums.items()])
+    earlier, inside = Window.orderBy("of_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    begun = totals.select("of_range", *[F.coalesce(F.sum(new).over(earlier), F.lit(0)).alias(f"{new}_begun") for new in sums])
+    joined = ranged.join(F.broadcast(begun), F.col("range_no") == F.col("of_range"))  # a row per range
+    return joined.select(*rows.columns, *[(F.col(f"{new}_begun") + F.coalesce(F.sum(old).over(inside), F.lit(0))).alias(new) for new, old in sums.items()])
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``(source, source_size, target)`` from ``(source, source_size)``.
 
@@ -33,19 +48,21 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     all sizes is dealt out by weight; no target exceeds ``most`` times its
     source's size, and what is above is dealt to the others by weight, until
     none is above. In closed form: ``target = min(cap, level * weight)``, where
-    the level follows from the sources sorted by ``cap / weight``.
+    the level follows from the sources sorted by ``cap / weight``. Both orders
+    are dealt into ranges, so there may be any number of sources. An empty table
+    gives an empty table.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    capped = ranked.withColumn("weight", pick).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    leveled = capped.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-    first = leveled.withColumn("at", F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("rank"), F.col("level")))).over(every))
-    done = F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("at.level") * F.col("weight")))
-    return first.select("source", "source_size", done.alias("target"))
+    one = sizes.select("source", "source_size", F.lit(1).alias("one"))
+    ranked = sums_before(one, [F.col("source").asc_nulls_last()], {"rank": "one"}, "sources")
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    capped = ranked.drop("one").withColumn("weight", pick).withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    filled = sums_before(capped, ["ratio", "rank"], {"cap_before": "cap", "weight_before": "weight"}, "caps")
+    every = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float(share)) * F.lit(every["size"] or 0) - F.col("cap_before")) / (F.lit(every["weight"] or 0.0) - F.col("weight_before"))
+    opened = filled.withColumn("level", level).filter(F.col("level") * F.col("weight") <= F.col("cap"))
+    first = opened.agg(F.min(F.struct("ratio", "rank", "level"))["level"].alias("level")).first()["level"]
+    done = F.col("cap") if first is None else F.least("cap", F.lit(first) * F.col("weight"))
+    return filled.select("source", "source_size", done.alias("target"))
 
 
 def rates(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seeds: int = SEEDS) -> DataFrame:

@@ -351,6 +351,16 @@ def test_mixing_targets_and_draws(spark):
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed(frame(spark, [])).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    r = random.Random(5)
+    sizes = {f"host-{i}": int(r.paretovariate(0.6)) % 10**7 for i in range(3000)} | {None: 12, "": 0, "hot": 10**7}
+    for share in (1.5, 0.2, 1.99):
+        got = {x["source"]: (x["source_size"], x["target"]) for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), share=share).collect()}
+        want = brute_targets(sizes, share=share)
+        assert len(got) == len(sizes) and all(got[s][0] == n and math.isclose(got[s][1], want[s], rel_tol=1e-9, abs_tol=1e-6) for s, n in sizes.items())
+    assert mixing.targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
+
+
 # --- token store ---
 
 TOKEN_TEXTS = [None, "", "hello world", "Hello  World\n", "it's 2024, isn't it? we're <|endoftext|> here <|ENDOFTEXT|>", "é É ß ﬁ İ K", "😀😀 ok", "a" * 30_000, "word. " * 5000, "0 00 1a a1 ٣ x٣", "\x00 \x1c   x y", "don't DON'T 'S"]
