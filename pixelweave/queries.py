@@ -854,6 +854,24 @@ def sweep_redrawn(spark, sf_dir):
     return swept.join(dots, "svg_id", "left").select("variant", "name", "image_id", F.col("error").isNotNull().alias("failed"), "painted", "ink")
 
 
+TILES = f"levels AS MATERIALIZED (SELECT i + 64 * image_id AS i, x + 9 * image_id AS x, y, r >= 128 AS pid FROM ({EMB}))"
+#: The path of a ring of a tile; tiles lie beside each other, nine cells apart.
+TILE_PATH = f"'M' || array_to_string(list_transform(out.p, lambda v: {FMT.format(v='(v.x - 9 * (comp // 64))')} || ' ' || {FMT.format(v='v.y')}), 'L') || 'Z'"
+
+
+@query(
+    recursive(TILES, "SELECT * FROM levels", "abs(CAST(p.pid AS INT) - CAST(q.pid AS INT)) < 1").replace("edges AS (", "edges AS MATERIALIZED (")
+    + f""", {LINKED}, {simplified_sql('shp', 'comp, start', contour.EPSILON)}, rg AS (SELECT comp, string_agg({TILE_PATH}, '' ORDER BY area > 0, start) AS d FROM out JOIN shp USING (comp, start) GROUP BY 1), co AS (SELECT comp, any_value(pid) AS pid FROM comp JOIN levels USING (i) GROUP BY 1),
+    sv AS (SELECT comp // 64 AS image_id, '<svg viewBox="0 0 8 8" xmlns="http://www.w3.org/2000/svg" width="8" height="8">' || string_agg('<path d="' || d || '" fill="' || CASE WHEN pid THEN '#c8c8c8' ELSE '#282828' END || '"/>', '' ORDER BY comp) || '</svg>' AS svg, CAST(count(*) AS INT) AS path_count FROM co JOIN rg USING (comp) GROUP BY 1)
+    SELECT image_id, svg, path_count, path_count AS path_count_distinct, CAST(0 AS INT) AS n_palette, 'Logo' AS classified_as, CAST(strlen(svg) AS BIGINT) AS est_bytes FROM sv"""
+)
+def traced_svgs(spark, sf_dir):
+    """The whole SVG text and the statistics of every tile in two greys: regions, rings with holes, simplified paths, paint order."""
+    level = F.when(F.col("r") >= 128, 200).otherwise(40)
+    traced = trace.trace(rasters.embedding_pixels(spark, sf_dir).withColumns({c: level for c in "rgb"}), EXACT)
+    return traced.select("image_id", "svg", "stats.path_count", "stats.path_count_distinct", F.size("stats.palette").alias("n_palette"), "stats.classified_as", "stats.est_bytes")
+
+
 @query(f"WITH px AS ({EMB}) SELECT image_id, i, 0 AS r, CASE WHEN {sum_sql(color.LUMA, 'rgb')} < 128 THEN 255 ELSE 0 END AS a FROM px")
 def trace_black_white(spark, sf_dir):
     """Dark pixels traced in black, without simplification, and drawn again."""
