@@ -9,27 +9,42 @@ LONGEST_EDGE = 2000
 FORMATS = ("png", "jpg", "jpeg", "gif", "bmp")
 
 
+def depth_of(rasters: DataFrame):
+    """Bytes of a channel: the column ``depth`` (1, or 4 for signed big-endian channels), else 1."""
+    return F.col("depth") if "depth" in rasters.columns else F.lit(1)
+
+
 def validated(rasters: DataFrame) -> DataFrame:
     """``rasters(image_id, width, height, data)`` with ``error``: null, or what is wrong with the buffer."""
-    bad = F.when((F.col("width") <= 0) | (F.col("height") <= 0), "empty image").when(F.coalesce(F.length("data"), F.lit(-1)) != F.col("width").cast("long") * F.col("height") * 4, "buffer does not match dimensions")
+    expected = F.col("width").cast("long") * F.col("height") * 4 * depth_of(rasters)
+    bad = F.when((F.col("width") <= 0) | (F.col("height") <= 0), "empty image").when(F.coalesce(F.length("data"), F.lit(-1)) != expected, "buffer does not match dimensions")
     return rasters.withColumn("error", bad)
 
 
 def explode_rasters(rasters: DataFrame) -> DataFrame:
     """Pixels of all valid row-major RGBA buffers, with JVM functions only; invalid ones give none."""
-    good = validated(rasters).filter("error is null")
-    each = good.select("image_id", "width", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") * F.col("height") - 1)).alias("i"))
-    quad = F.hex(F.substring("data", (F.col("i") * 4 + 1).cast("int"), F.lit(4)))
-    channel = lambda k: F.conv(F.substring(quad, 2 * k + 1, 2), 16, 10).cast("int")
+    good = validated(rasters).filter("error is null").withColumn("depth", depth_of(rasters))
+    each = good.select("image_id", "width", "data", "depth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") * F.col("height") - 1)).alias("i"))
+    size = F.col("depth") * 4
+    quad = F.hex(F.substring("data", (F.col("i") * size + 1).cast("int"), size))
+    told = lambda k: F.conv(F.substring(quad, F.col("depth") * (2 * k) + 1, F.col("depth") * 2), 16, 10).cast("long")
+    channel = lambda k: F.when(told(k) < 1 << 31, told(k)).otherwise(told(k) - (1 << 32)).cast("int")
     return each.select("image_id", "i", (F.col("i") % F.col("width")).cast("int").alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), *[channel(k).alias(c) for k, c in enumerate("rgba")])
 
 
 def collect_rasters(pixels: DataFrame) -> DataFrame:
-    """The inverse of :func:`explode_rasters`: one buffer per image, which a row has to hold; bring larger images down first."""
-    two = lambda c: F.lpad(F.hex(F.col(c)), 2, "0")
-    quads = F.array_sort(F.collect_list(F.struct("i", F.concat(*map(two, "rgba")).alias("q"))))
-    joined = F.unhex(F.array_join(F.transform(quads, lambda q: q["q"]), ""))
-    return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), joined.alias("data"))
+    """The inverse of :func:`explode_rasters`: one buffer per image, which a row has to hold; bring larger images down first.
+
+    ``depth`` is 1, or 4 for an image with a channel that is no byte, so that
+    every channel comes back as it was.
+    """
+    digits = lambda c, n: F.lpad(F.hex(F.col(c).cast("long").bitwiseAND(F.lit((1 << 32) - 1))), n, "0")
+    bytes_ = F.greatest(*[F.col(c) for c in "rgba"]).between(0, 255) & F.least(*[F.col(c) for c in "rgba"]).between(0, 255)
+    own = pixels.withColumn("q", F.when(bytes_, F.concat(*[digits(c, 2) for c in "rgba"])).otherwise(F.concat(*[digits(c, 8) for c in "rgba"])))
+    wide = lambda q: F.when(F.length(q) == 8, F.concat(*[p for k in range(4) for p in (F.lit("000000"), F.substring(q, 2 * k + 1, 2))])).otherwise(q)
+    made = own.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.array_sort(F.collect_list(F.struct("i", "q"))).alias("quads"), F.when(F.max(F.length("q")) > 8, 4).otherwise(1).alias("depth"))
+    text = F.when(F.col("depth") == 1, F.array_join(F.transform("quads", lambda q: q["q"]), "")).otherwise(F.array_join(F.transform("quads", lambda q: wide(q["q"])), ""))
+    return made.select("image_id", "width", "height", F.unhex(text).alias("data"), "depth")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
