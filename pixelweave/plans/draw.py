@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.functions.color import channels_of
 from pixelweave.functions.paths import path_rings
 from pixelweave.plans.layers import Model, parse_layers, svg_size
 from pixelweave.sources import rasters
@@ -49,16 +50,20 @@ def painted(shapes: DataFrame, sizes: DataFrame) -> DataFrame:
     return dots.groupBy("svg_id", "x", "y").agg(F.max("seq").alias("seq"))
 
 
-def draw_model(model: Model, sizes: DataFrame) -> DataFrame:
-    """``pixels(image_id, i, x, y, r, g, b, a)`` of the visible layers; what no shape paints is transparent."""
-    colors = model.layers.filter("visible").select("svg_id", "layer_id", "color")
-    shapes = model.shapes.join(colors, ["svg_id", "layer_id"])
+def draw_shapes(shapes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``pixels(image_id, i, x, y, r, g, b, a)`` of ``shapes(svg_id, seq, d, color)``; what no shape paints is transparent."""
     top = painted(shapes, sizes).join(shapes.select("svg_id", "seq", "color"), ["svg_id", "seq"])
     blank = sizes.filter("width >= 1 and height >= 1").select("svg_id", F.col("width").cast("int").alias("w"), F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1)).alias("y"))
     blank = blank.select("svg_id", "w", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
-    channel = lambda k: F.coalesce(F.conv(F.substring("color", 2 + 2 * k, 2), 16, 10).cast("int"), F.lit(0))
     joined = blank.join(top, ["svg_id", "x", "y"], "left")
-    return joined.select(F.col("svg_id").alias("image_id"), (F.col("y").cast("long") * F.col("w") + F.col("x")).alias("i"), "x", "y", *[channel(k).alias(c) for k, c in enumerate("rgb")], F.when(F.col("color").isNull(), 0).otherwise(255).alias("a"))
+    channels = [F.coalesce(v, F.lit(0)).alias(c) for v, c in zip(channels_of(F.col("color")), "rgb")]
+    return joined.select(F.col("svg_id").alias("image_id"), (F.col("y").cast("long") * F.col("w") + F.col("x")).alias("i"), "x", "y", *channels, F.when(F.col("color").isNull(), 0).otherwise(255).alias("a"))
+
+
+def draw_model(model: Model, sizes: DataFrame) -> DataFrame:
+    """:func:`draw_shapes` of the visible layers."""
+    colors = model.layers.filter("visible").select("svg_id", "layer_id", "color")
+    return draw_shapes(model.shapes.join(colors, ["svg_id", "layer_id"]), sizes)
 
 
 def draw(svgs: DataFrame) -> DataFrame:
@@ -75,13 +80,14 @@ def png_bytes(width: int, height: int, data: bytes) -> bytes:
 
 
 def png(images: DataFrame) -> DataFrame:
-    """``rasters(image_id, width, height, data)`` with ``png``; null where a buffer does not fit its sides."""
+    """``rasters(image_id, width, height, data)`` with ``png``; null where a buffer does not fit its sides or has channels that are no bytes."""
 
     @F.pandas_udf("binary")
     def packed(width: pd.Series, height: pd.Series, data: pd.Series, error: pd.Series) -> pd.Series:
         return pd.Series([None if e is not None else png_bytes(int(w), int(h), d) for w, h, d, e in zip(width, height, data, error)])
 
-    return rasters.validated(images).withColumn("png", packed("width", "height", "data", "error")).drop("error")
+    deep = F.when(rasters.depth_of(images) != 1, "channels are no bytes")
+    return rasters.validated(images).withColumn("png", packed("width", "height", "data", F.coalesce("error", deep))).drop("error")
 
 
 def render_png(svgs: DataFrame) -> DataFrame:

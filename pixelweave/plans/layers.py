@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.functions.color import normalize_hex
+from pixelweave.functions.color import normalize_fill, normalize_hex
 from pixelweave.functions.text import shape_markup
 
 HEX_FILL = "#[0-9a-fA-F]{6}"
@@ -73,7 +73,7 @@ def parse_layers(svgs: DataFrame) -> Model:
     """
     each = F.arrays_zip(*[path_attribute(F.col("svg"), n).alias(n) for n in ("d", "transform", "fill")])
     read = svgs.filter(well_formed(F.col("svg"))).select("svg_id", F.posexplode(F.when(well_formed(F.col("svg")), each)).alias("at", "p"))
-    found = read.select("svg_id", "at", F.col("p.d").alias("d"), F.coalesce("p.transform", F.lit("")).alias("transform"), normalize_hex(F.col("p.fill")).alias("color")).filter("color is not null and d <> ''")
+    found = read.select("svg_id", "at", F.col("p.d").alias("d"), F.coalesce("p.transform", F.lit("")).alias("transform"), normalize_fill(F.col("p.fill")).alias("color")).filter("color is not null and d <> ''")
     first = found.withColumn("first", F.min("at").over(Window.partitionBy("svg_id", "color")))
     numbered = first.select("svg_id", (F.row_number().over(Window.partitionBy("svg_id").orderBy("at")) - 1).alias("seq"), "d", "transform", (F.dense_rank().over(Window.partitionBy("svg_id").orderBy("first")) - 1).alias("pos"), "color")
     named = numbered.withColumn("layer_id", F.concat(F.lit("layer-"), F.col("pos").cast("string")))

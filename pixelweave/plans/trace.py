@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions import params, text
-from pixelweave.functions.color import hex_color, luma, oklab, oklab_to_bytes, reduce_bits, with_oklab
+from pixelweave.functions.color import channels_of, color_number, fill_color, hex_color, luma, oklab, oklab_to_bytes, reduce_bits, with_oklab
 from pixelweave.functions.shared import materialize, small
 from pixelweave.operators import blend, classify, components, contour, gradient, palette, stencil
 from pixelweave.plans.layers import layers_from_svg
@@ -75,18 +75,17 @@ def blended(cells: DataFrame, order: DataFrame, limits: DataFrame) -> tuple[Data
     paint order of the colours that it is made of: its smallest.
     """
     labelled = materialize(components.components(cells.select("image_id", "i", "x", "y", "pid"), ["pid"]), "regions")
-    channel = lambda k: F.conv(F.substring("color", 2 + 2 * k, 2), 16, 10).cast("int")
-    colors = order.select("image_id", "pid", "z", *[channel(k).alias(c) for k, c in enumerate("rgb")])
+    colors = order.select("image_id", "pid", "z", *[v.alias(c) for v, c in zip(channels_of(F.col("color")), "rgb")])
     painted = labelled.join(colors, ["image_id", "pid"])
     ends = materialize(blend.merge_regions(painted.select("image_id", "x", "y", "comp", "r", "g", "b"), limits), "blended")
-    number = (F.col("r") * 256 + F.col("g")) * 256 + F.col("b")
+    number = color_number(F.col("r"), F.col("g"), F.col("b"))
     own = painted.select("image_id", "i", "x", "y", "comp", "z").join(ends.withColumn("pid", number), ["image_id", "comp"])
-    made = own.groupBy("image_id", "pid").agg(F.min("z").alias("z"), F.first(hex_color(F.col("r"), F.col("g"), F.col("b"))).alias("color"))
+    made = own.groupBy("image_id", "pid").agg(F.min("z").alias("z"), F.first(fill_color(F.col("r"), F.col("g"), F.col("b"))).alias("color"))
     return own.select("image_id", "i", "x", "y", "pid"), made
 
 
 def flat_paths(cells: DataFrame, order: DataFrame, least: DataFrame, epsilon: float = contour.EPSILON, corners: DataFrame | None = None) -> DataFrame:
-    """``(image_id, z, comp, markup)`` of the regions of equal ``pid`` with at least ``least(image_id, least)`` pixels.
+    """``(image_id, z, comp, d, color)`` of the regions of equal ``pid`` with at least ``least(image_id, least)`` pixels.
 
     With ``corners(image_id, corner_threshold)`` outlines are curves that keep
     corners of so many degrees or more.
@@ -99,12 +98,13 @@ def flat_paths(cells: DataFrame, order: DataFrame, least: DataFrame, epsilon: fl
         rings = rings.join(small(corners, 100_000), "image_id")
     outlines = paths_of(rings, ["image_id", "comp"])
     shapes = outlines.join(drawn, ["image_id", "comp"]).join(order.select("image_id", "pid", "z", "color"), ["image_id", "pid"])
-    return shapes.select("image_id", "z", "comp", text.shape_markup(F.col("d"), F.lit(""), F.col("color")).alias("markup"))
+    return shapes.select("image_id", "z", "comp", "d", "color")
 
 
 def document(sides: DataFrame, body: DataFrame) -> DataFrame:
-    """``(image_id, svg)`` from sizes and ``(image_id, z, comp, markup)`` in paint order."""
-    parts = body.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("z", "comp", "markup"))).alias("p"))
+    """``(image_id, svg)`` from sizes and ``(image_id, z, comp, d, color)`` in paint order."""
+    markup = text.shape_markup(F.col("d"), F.lit(""), F.col("color")).alias("markup")
+    parts = body.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("z", "comp", markup))).alias("p"))
     inner = F.coalesce(F.array_join(F.transform("p", lambda p: p["markup"]), ""), F.lit(""))
     w, h = F.col("w").cast("string"), F.col("h").cast("string")
     head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), w, F.lit('" height="'), h, F.lit('">'))
@@ -152,7 +152,18 @@ def trace(pixels: DataFrame, options: params.Options = params.DEFAULT, epsilon:
     return trace_each(pixels, pixels.select("image_id").distinct().select("image_id", *setting_values(options)), epsilon=epsilon, **how)
 
 
-def trace_each(pixels: DataFrame, settings: DataFrame, measured: DataFrame | None = None, epsilon: float = contour.EPSILON, blend_layers: bool = False, curves: bool = False) -> DataFrame:
+def trace_paths(pixels: DataFrame, options: params.Options = params.DEFAULT, epsilon: float = contour.EPSILON, **how) -> DataFrame:
+    """``(image_id, z, comp, d, color)``: the flat paths of every image in the order ``(z, comp)``, at its own size.
+
+    Images are not brought down and no row holds a whole SVG, so they may be
+    of any size where nothing is quantized; ``bw_mode`` and ``gradients`` have no such form.
+    """
+    if options.bw_mode or options.gradients:
+        raise ValueError("paths are told of flat colours only")
+    return trace_each(pixels, pixels.select("image_id").distinct().select("image_id", *setting_values(options)), epsilon=epsilon, whole=False, **how)
+
+
+def trace_each(pixels: DataFrame, settings: DataFrame, measured: DataFrame | None = None, epsilon: float = contour.EPSILON, blend_layers: bool = False, curves: bool = False, whole: bool = True) -> DataFrame:
     """``(image_id, svg, stats)`` of every image under its own options, in one plan.
 
     ``settings`` has ``SETTINGS`` for each image, ``measured`` its
@@ -164,12 +175,15 @@ def trace_each(pixels: DataFrame, settings: DataFrame, measured: DataFrame | Non
     ``blend_layers`` merges touching regions closer than the layer difference
     of the image's class and detail, ``curves`` draws outlines as curves that
     keep corners from its corner threshold on; both are our own contract.
+    Without ``whole`` the flat paths are given as :func:`trace_paths` has them.
     """
     settings = materialize(settings.select(*SETTINGS), "settings")
     kinds = {c: F.coalesce(F.bool_or(e), F.lit(False)).alias(c) for c, e in {"dark": F.col("bw_mode"), "color": ~F.col("bw_mode"), "gradients": ~F.col("bw_mode") & F.col("gradients"), "guess": ~F.col("bw_mode") & F.col("class_override").isNull(), "free": ~F.col("bw_mode") & (F.size("lock_palette") == 0), "lock": ~F.col("bw_mode") & (F.size("lock_palette") > 0), "derive": ~F.col("bw_mode") & F.col("lock_palette").isNull()}.items()}
     some = settings.agg(*kinds.values()).first()
     only = lambda df, images: df.join(images.select("image_id"), "image_id", "left_semi")
     dark = trace_bw(only(pixels, small(settings.filter("bw_mode"), 100_000)), epsilon=epsilon) if some["dark"] else None
+    if not some["color"] and not whole:  # no image
+        return flat_paths(pixels.withColumn("pid", F.lit(0)), settings.selectExpr("image_id", "0 pid", "0 z", "'' color"), settings.selectExpr("image_id", "1 least"))
     if not some["color"]:
         return dark if dark is not None else with_stats(document(stencil.image_sizes(pixels), flat_paths(pixels.withColumn("pid", F.lit(0)), settings.selectExpr("image_id", "0 pid", "0 z", "'' color"), settings.selectExpr("image_id", "1 least"))), settings.selectExpr("image_id", "cast(array() as array<string>) colors"), settings.selectExpr("image_id", "class_override class"))
     settings = settings.filter("not bw_mode")
@@ -190,10 +204,10 @@ def trace_each(pixels: DataFrame, settings: DataFrame, measured: DataFrame | Non
     cells, orders, colors = [], [], []
     if some["free"]:
         opaque = only(clean.filter("a <> 0"), classes.filter("size(lock_palette) = 0"))
-        own = hex_color(F.col("r"), F.col("g"), F.col("b"))
-        number = (F.col("r") * 256 + F.col("g")) * 256 + F.col("b")
-        cells.append(opaque.select("image_id", "i", "x", "y", number.cast("int").alias("pid")))
-        orders.append(opaque.select("image_id", number.cast("int").alias("pid"), F.lit(0).alias("z"), own.alias("color")).distinct())
+        own = fill_color(F.col("r"), F.col("g"), F.col("b"))
+        number = color_number(F.col("r"), F.col("g"), F.col("b"))
+        cells.append(opaque.select("image_id", "i", "x", "y", number.alias("pid")))
+        orders.append(opaque.select("image_id", number.alias("pid"), F.lit(0).alias("z"), own.alias("color")).distinct())
     if some["lock"] or some["derive"]:
         kept = only(clean, classes.filter("lock_palette is null or size(lock_palette) > 0")) if some["free"] else clean
         made = locked_palettes(settings)
@@ -221,7 +235,10 @@ def trace_each(pixels: DataFrame, settings: DataFrame, measured: DataFrame | Non
     if blend_layers:
         flat, order = blended(flat, order, small(classes.select("image_id", tracer["layer_difference"].alias("layer_difference")), 100_000))
     corners = classes.select("image_id", tracer["corner_threshold"].alias("corner_threshold")) if curves else None
-    svgs = document(sides, flat_paths(flat, order, classes.select("image_id", (tracer["filter_speckle"] * tracer["filter_speckle"]).alias("least")), epsilon, corners))
+    body = flat_paths(flat, order, classes.select("image_id", (tracer["filter_speckle"] * tracer["filter_speckle"]).alias("least")), epsilon, corners)
+    if not whole:
+        return body
+    svgs = document(sides, body)
     if fitted is None:
         out = with_stats(svgs, used, classes)
     else:
