@@ -10,11 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions.color import hex_color, oklab_to_bytes, squared_distance
+from pixelweave.functions.shared import materialize, small
 
 MIN_PIXELS, MIN_RANGE, MIN_SPAN, MAX_STEP, MAX_RESIDUAL = 256, 0.02, 0.06, 0.4, 0.02
 BINS, STOP_TOLERANCE, MOST_STOPS = 64, 0.02, 5
 LAB = ("l", "oa", "ob")
 REGION = ["image_id", "comp"]
+#: Regions whose rows are broadcast to their pixels, and rows of their bins.
+REGIONS, BIN_ROWS = 20_000, 200_000
+
+
+def told(table: DataFrame, name: str, rows: int = REGIONS) -> DataFrame:
+    """A table of a few rows per region, written and broadcast behind a count: pixels meet it where they lie, so a region may hold any share of them."""
+    return small(materialize(table, name), rows)
 
 
 def normal_equations(region: DataFrame) -> DataFrame:
@@ -54,8 +62,8 @@ def axes(sums: DataFrame) -> DataFrame:
 def projected(region: DataFrame, axis: DataFrame) -> DataFrame:
     """Region pixels with ``bin`` 0..63 along their axis, and the region's ``t0`` and ``t1``."""
     t = (F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy")
-    along = region.join(axis, REGION).withColumn("t", t)
-    span = along.groupBy(*REGION).agg(F.min("t").alias("t0"), F.max("t").alias("t1")).filter(F.col("t1") - F.col("t0") >= 1e-3)
+    along = region.join(told(axis, "axes"), REGION).withColumn("t", t)
+    span = told(along.groupBy(*REGION).agg(F.min("t").alias("t0"), F.max("t").alias("t1")).filter(F.col("t1") - F.col("t0") >= 1e-3), "spans")
     share = F.round((F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")), 9)
     return along.join(span, REGION).withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int"))
 
@@ -69,9 +77,9 @@ def distance(p: str, q: str) -> F.Column:
     return F.sqrt(squared_distance([F.col(f"{p}{c}") for c in LAB], [F.col(f"{q}{c}") for c in LAB]))
 
 
-def gates(binned: DataFrame) -> DataFrame:
-    """``(image_id, comp, span, max_step, residual, accepted)`` of each projected region."""
-    means = profile(binned)
+def gates(binned: DataFrame, means: DataFrame | None = None) -> DataFrame:
+    """``(image_id, comp, span, max_step, residual, accepted)`` of each projected region; ``means`` is its profile if that is written already."""
+    means = told(profile(binned), "profile", BIN_ROWS) if means is None else means
     order = Window.partitionBy(*REGION).orderBy("bin")
     steps = means.withColumns({f"b_{c}": F.lag(c).over(order) for c in LAB})
     steps = steps.groupBy(*REGION).agg(F.coalesce(F.max(distance("", "b_")), F.lit(0.0)).alias("max_step"), *[F.min_by(c, "bin").alias(f"f_{c}") for c in LAB], *[F.max_by(c, "bin").alias(f"e_{c}") for c in LAB])
@@ -93,13 +101,13 @@ def at_offset(stops: Column, off: Column) -> dict[str, Column]:
 def worst_bin(bins: Column, stops: Column) -> Column:
     """``(error, -bin, off, l, oa, ob)`` of the bin that the stops fit worst, the first of ties."""
 
-    def told(b: Column) -> Column:
+    def fitted(b: Column) -> Column:
         off = (b["bin"] + 0.5) / BINS
         fit = at_offset(stops, off)
         error = F.round(F.sqrt(squared_distance([b[c] for c in LAB], [fit[c] for c in LAB])), 9)
         return F.struct(error.alias("error"), (-b["bin"]).alias("before"), off.alias("off"), *[b[c].alias(c) for c in LAB])
 
-    return F.array_max(F.transform(bins, told))
+    return F.array_max(F.transform(bins, fitted))
 
 
 def chosen_stops(means: DataFrame) -> DataFrame:
@@ -122,9 +130,10 @@ def detect(region: DataFrame) -> DataFrame:
     """``fits(image_id, comp, p0, p1, stops)`` of the regions that are linear gradients; stops are ``(off, color)``."""
     axis = axes(normal_equations(region))
     binned = projected(region, axis)
-    good = gates(binned).filter("accepted").select(*REGION)
+    means = told(profile(binned), "profile", BIN_ROWS)
+    good = told(gates(binned, means).filter("accepted").select(*REGION), "accepted")
     color = lambda s: hex_color(*oklab_to_bytes(*[s[c] for c in LAB]))
-    stops = chosen_stops(profile(binned).join(good, REGION)).withColumn("stops", F.transform("stops", lambda s: F.struct(s["off"].alias("off"), color(s).alias("color"))))
+    stops = chosen_stops(means.join(good, REGION)).withColumn("stops", F.transform("stops", lambda s: F.struct(s["off"].alias("off"), color(s).alias("color"))))
     ends = binned.groupBy(*REGION).agg(*[F.first(c).alias(c) for c in ("cx", "cy", "ux", "uy", "t0", "t1")])
     point = lambda t: F.struct((F.col("cx") + F.col(t) * F.col("ux")).alias("x"), (F.col("cy") + F.col(t) * F.col("uy")).alias("y"))
     return stops.join(ends, REGION).select(*REGION, point("t0").alias("p0"), point("t1").alias("p1"), "stops")

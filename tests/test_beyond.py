@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.operators import stencil
+from pixelweave.operators import components, gradient, stencil
 from pixelweave.plans import draw, trace
 from pixelweave.queries import EXACT, ORACLE, QUERIES, rounded
 
@@ -46,3 +46,11 @@ def test_halves_at_the_last_place_round_as_in_sql(spark):
     want = [r[0] for r in duckdb.sql(f"SELECT round(unnest({values!r}::DOUBLE[]), 6)").fetchall()]
     made = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
     assert [r["v"] for r in made.select("k", *rounded("v")).orderBy("k").collect()] == want
+
+
+def test_pixels_of_a_region_are_not_brought_together(spark):
+    region = spark.range(4000).selectExpr("0L AS image_id", "0L AS comp", "id AS i", "CAST(id % 80 AS INT) AS x", "CAST(id div 80 AS INT) AS y", "id % 80 / 100D AS l", "0D AS oa", "0D AS ob")
+    binned = gradient.projected(region, gradient.axes(gradient.normal_equations(region)))
+    plan = binned._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert gradient.gates(binned).first()["accepted"]
