@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pixelweave.functions.shared import by_batch, changes, discard, materialize, small
 
 STRIP = 256
+#: Places of an image's scan whose small components are resolved in one task.
+SHARE = 1 << 17
 SIMILAR = 0.045
 
 
@@ -137,70 +139,74 @@ def dominant_border(labelled: DataFrame) -> DataFrame:
     return border_tally(labelled).groupBy("image_id", "comp").agg(F.max_by("pid", F.struct("n", -F.col("pid"))).alias("pid"))
 
 
-def despeckle(cells: DataFrame, min_region: int | DataFrame) -> DataFrame:
+def despeckle(cells: DataFrame, min_region: int | DataFrame, share: int = SHARE) -> DataFrame:
     """``cells(image_id, i, x, y, pid)`` with components of ``min_region`` pixels or fewer repainted.
 
     ``min_region`` is a number, or ``(image_id, min_region)`` by image. A small
     component takes the dominant colour around it, the lower of ties, as it is
     by then: small components are taken in scan order, so one depends on those
-    small neighbours that come before it. The dependencies run from strip to
-    strip of the image only downwards, so a round resolves, in every strip at
-    once, what waits for nothing outside it; the next goes on from there. What
-    a component needs is its own border counts, not pixels.
+    small neighbours that come before it. They are dealt into shares of
+    ``share`` places of the scan. All shares are resolved at once, with a guess
+    at what they wait for in earlier ones (at first the colours as they were);
+    shares whose guess was not what came out are resolved again, until every
+    guess holds. That has one outcome, that of the scan, after as many rounds
+    as a colour is handed on from share to share: never more than there are
+    shares, and few in practice. What a component needs is its own border
+    counts, not pixels.
     """
     from pixelweave.operators.stencil import FOUR, shifted
 
+    part = lambda c: F.floor(F.col(c) / share)
     labelled = materialize(components(cells.select("image_id", "i", "x", "y", "pid"), ["pid"]), "labelled")
-    sizes = labelled.groupBy("image_id", "comp").agg(F.count("*").alias("n"), F.floor(F.min(F.struct("i", "y"))["y"] / STRIP).alias("strip"))
+    sizes = labelled.groupBy("image_id", "comp").agg(F.count("*").alias("n"))
     tiny = sizes.filter(F.col("n") <= min_region) if isinstance(min_region, int) else sizes.join(min_region, "image_id").filter(F.col("n") <= F.col("min_region"))
-    tiny = materialize(tiny.select("image_id", "comp", "strip"), "tiny")
+    tiny = materialize(tiny.select("image_id", "comp"), "tiny")
     own = labelled.select("image_id", "x", "y", "comp").join(tiny, ["image_id", "comp"])
     other = labelled.select("image_id", "x", "y", F.col("comp").alias("beside"), F.col("pid").alias("color"))
-    met = shifted(own, FOUR).drop("d").join(other, ["image_id", "x", "y"]).filter("comp <> beside").groupBy("image_id", "strip", "comp", "beside", "color").agg(F.count("*").alias("n"))
+    met = shifted(own, FOUR).drop("d").join(other, ["image_id", "x", "y"]).filter("comp <> beside").groupBy("image_id", "comp", "beside", "color").agg(F.count("*").alias("n"))
     before = tiny.select("image_id", F.col("comp").alias("beside"), F.lit(True).alias("tiny"))
     waits = F.coalesce(F.col("tiny"), F.lit(False)) & (F.col("beside") < F.col("comp"))
-    todo = materialize(met.join(before, ["image_id", "beside"], "left").select("image_id", "strip", "comp", "beside", "color", "n", waits.alias("waits")), "touch")
+    inside = part("beside") == part("comp")
+    todo = met.join(before, ["image_id", "beside"], "left").select("image_id", part("comp").alias("part"), "comp", "beside", "color", "n", (waits & inside).alias("waits"), (waits & ~inside).alias("outer"))
+    todo = materialize(todo, "touch")
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The colours of the components that can be told now; null for the others."""
-        made: dict[tuple[int, int], int | None] = {}
+        """The colours of the small components of whole shares."""
+        made: dict[tuple[int, int], int] = {}
+        parts: list[int] = []
         tally: dict[int, int] = {}
-        last, ready = None, True
-
-        def settle() -> None:
-            made[last] = min(tally, key=lambda c: (-tally[c], c)) if ready else None
-
-        for image, comp, beside, color, n, waits in zip(*(pdf[c].tolist() for c in ("image_id", "comp", "beside", "color", "n", "waits"))):
+        last = None
+        for image, of, comp, beside, color, n, waits in zip(*(pdf[c].tolist() for c in ("image_id", "part", "comp", "beside", "color", "n", "waits"))):
             if (image, comp) != last:
                 if last is not None:
-                    settle()
-                last, ready, tally = (image, comp), True, {}
+                    made[last] = min(tally, key=lambda c: (-tally[c], c))
+                last, tally = (image, comp), {}
+                parts.append(of)
             if waits:
-                color = made.get((image, beside))
-            if color is None:
-                ready = False
-            else:
-                tally[color] = tally.get(color, 0) + n
-        settle()
+                color = made[image, beside]
+            tally[color] = tally.get(color, 0) + n
+        made[last] = min(tally, key=lambda c: (-tally[c], c))
         images, comps = zip(*made)
-        return pd.DataFrame({"image_id": images, "comp": comps, "painted": pd.Series(list(made.values()), dtype="Int32")})
+        return pd.DataFrame({"image_id": images, "part": parts, "comp": comps, "painted": list(made.values())})
 
-    done, tables = None, []
+    resolved = lambda rows: materialize(by_batch(rows, ["image_id", "part"], ["comp"], resolve, "image_id long, part long, comp long, painted int"), "painted")
+    done = resolved(todo)
+    guesses = materialize(todo.filter("outer").select("image_id", "part", "comp", "beside", F.col("color").alias("guess")), "guesses")
     while True:
-        told = materialize(by_batch(todo, ["image_id", "strip"], ["comp"], resolve, "image_id long, comp long, painted int"), "painted")
-        tables.append(told.filter("painted is not null"))
-        open_ = told.filter("painted is null").select("image_id", "comp")
-        if open_.isEmpty():
+        came = done.select("image_id", F.col("comp").alias("beside"), "painted")
+        seen = materialize(guesses.join(came, ["image_id", "beside"]).withColumn("wrong", F.col("painted") != F.col("guess")), "guesses")
+        discard(guesses)
+        guesses = seen.select("image_id", "part", "comp", "beside", F.col("painted").alias("guess"))
+        guesses.written_to = seen.written_to
+        again = small(materialize(seen.filter("wrong").select("image_id", "part").distinct(), "again"), 100_000)
+        if again.isEmpty():
             break
-        # What waited for a component that is told now sees its colour; the others wait on.
-        known = tables[-1].select("image_id", F.col("comp").alias("beside"), "painted")
-        left = todo.join(open_, ["image_id", "comp"], "left_semi").join(known, ["image_id", "beside"], "left")
-        seen = F.col("waits") & F.col("painted").isNotNull()
-        left = materialize(left.select("image_id", "strip", "comp", "beside", F.when(seen, F.col("painted")).otherwise(F.col("color")).alias("color"), "n", (F.col("waits") & ~seen).alias("waits")), "touch")
-        discard(todo)
-        todo = left
-    done = tables[0]
-    for more in tables[1:]:
-        done = done.unionByName(more)
-    out = labelled.join(done, ["image_id", "comp"], "left").withColumn("pid", F.coalesce("painted", "pid"))
+        told = guesses.withColumn("outer", F.lit(True))
+        rows = todo.join(again, ["image_id", "part"], "left_semi").join(told, ["image_id", "part", "comp", "beside", "outer"], "left")
+        more = resolved(rows.withColumn("color", F.coalesce("guess", "color")).drop("guess", "outer"))
+        now = materialize(done.join(again, ["image_id", "part"], "left_anti").unionByName(more), "painted")
+        discard(done, more)
+        done = now
+    discard(todo, guesses)
+    out = labelled.join(done.drop("part"), ["image_id", "comp"], "left").withColumn("pid", F.coalesce("painted", "pid"))
     return out.select("image_id", "i", "x", "y", "pid")
