@@ -12,18 +12,24 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.functions.shared import by_batch, materialize
+from pixelweave.functions.shared import materialize
 from pixelweave.plans.layers import Model, recount
 
 MOST = 100
 HEX = re.compile("#[0-9a-f]{6}")
+#: Shapes that are Python objects at a time while logs are replayed.
+AT_ONCE = 20_000
+REPLAYED = [("layers", pa.list_(pa.struct([("layer_id", pa.string()), ("color", pa.string()), ("visible", pa.bool_())]))), ("shapes", pa.list_(pa.struct([("of", pa.int32()), ("layer_id", pa.string())])))]
 
 
 @dataclass(frozen=True)
@@ -108,16 +114,29 @@ def replay(model: Model, edits: DataFrame) -> Model:
     asked = edits.groupBy("svg_id").agg(F.array_sort(F.collect_list(F.struct("step", "op", "layer", "value"))).alias("edits"))
     joined = listed.join(painted, "svg_id", "left").join(asked, "svg_id", "left")
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for svg_id, layers, shapes, log in zip(pdf["svg_id"], pdf["layers"], pdf["shapes"], pdf["edits"]):
-            first = Document(tuple((x["layer_id"], x["color"], x["visible"]) for x in layers), tuple((x["seq"], x["layer_id"]) for x in ([] if shapes is None else shapes)))
-            last = Versions(first, first).replayed((x["op"], x["layer"], x["value"]) for x in ([] if log is None else log)).present
-            rows.append((svg_id, [{"layer_id": i, "color": c, "visible": v} for i, c, v in last.layers], [{"of": n, "layer_id": i} for n, i in last.shapes]))
-        return pd.DataFrame(rows, columns=["svg_id", "layers", "shapes"])
-
     kind = model.shapes.schema["svg_id"].dataType.simpleString()
-    made = materialize(by_batch(joined, ["svg_id"], [], kernel, f"svg_id {kind}, layers array<struct<layer_id:string,color:string,visible:boolean>>, shapes array<struct<of:int,layer_id:string>>"), "edited")
+    schema = f"svg_id {kind}, layers array<struct<layer_id:string,color:string,visible:boolean>>, shapes array<struct<of:int,layer_id:string>>"
+
+    at_once = AT_ONCE
+
+    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches stay in columns; only ``at_once`` shapes or so, and one SVG at least, are objects at a time."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shapes = batch.column("shapes")
+            share = (np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(shapes), 0), np.int64)) - 1).clip(0) // at_once
+            starts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(starts, starts[1:]):
+                rows = []
+                for row in batch.slice(start, stop - start).to_pylist():
+                    first = Document(tuple((x["layer_id"], x["color"], x["visible"]) for x in row["layers"]), tuple((x["seq"], x["layer_id"]) for x in row["shapes"] or []))
+                    last = Versions(first, first).replayed((x["op"], x["layer"], x["value"]) for x in row["edits"] or []).present
+                    rows.append({"svg_id": row["svg_id"], "layers": [{"layer_id": i, "color": c, "visible": v} for i, c, v in last.layers], "shapes": [{"of": n, "layer_id": i} for n, i in last.shapes]})
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("svg_id", batch.schema.field("svg_id").type), *REPLAYED]))
+
+    n = int(edits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = materialize(joined.repartition(n, "svg_id").mapInArrow(replayed, schema), "edited")
     order = made.select("svg_id", F.posexplode("shapes").alias("seq", "s")).select("svg_id", "seq", F.col("s.of").alias("of"), F.col("s.layer_id").alias("layer_id"))
     own = model.shapes.select("svg_id", F.col("seq").alias("of"), "d", "transform")
     shapes = order.join(own, ["svg_id", "of"]).select("svg_id", "seq", "d", "transform", "layer_id")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelweave.operators import components, gradient, stencil
-from pixelweave.plans import draw, trace
+from pixelweave.plans import draw, edits, layers, trace
 from pixelweave.queries import EXACT, ORACLE, QUERIES, rounded
 
 
@@ -54,3 +54,32 @@ def test_pixels_of_a_region_are_not_brought_together(spark):
     plan = binned._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
     assert gradient.gates(binned).first()["accepted"]
+
+
+def test_despeckling_in_shares_is_that_of_one_scan(spark):
+    cells = spark.range(40 * 60).selectExpr("0L AS image_id", "id AS i", "CAST(id % 40 AS INT) AS x", "CAST(id div 40 AS INT) AS y", "CAST(pmod(xxhash64(id), 6) AS INT) AS pid")
+    one, many = (sorted(map(tuple, components.despeckle(cells, 4, share=n).collect())) for n in (1 << 17, 64))
+    assert one == many and len(one) == 40 * 60
+
+
+def test_a_chain_down_the_whole_image_is_handed_on(spark):
+    """A column of single cells, each of which waits for the one above, over more shares than were rounds allowed for."""
+    pid = "CASE WHEN id % 3 = 1 THEN 10 + id div 3 % 2 WHEN id < 3 THEN 5 ELSE CASE WHEN id % 3 = 0 THEN 6 ELSE 7 END END"
+    cells = spark.range(3 * 40).selectExpr("0L AS image_id", "id AS i", "CAST(id % 3 AS INT) AS x", "CAST(id div 3 AS INT) AS y", f"CAST({pid} AS INT) AS pid")
+    one, many = (sorted(map(tuple, components.despeckle(cells, 1, share=n).collect())) for n in (1 << 17, 3))
+    assert one == many
+
+
+def test_replaying_holds_a_bounded_number_of_shapes(spark):
+    shapes = spark.range(60).selectExpr("id div 20 AS svg_id", "CAST(id % 20 AS INT) AS seq", "'M0 0Z' AS d", "'' AS transform", "CONCAT('layer-', id % 2) AS layer_id")
+    listed = spark.range(6).selectExpr("id div 2 AS svg_id", "CAST(id % 2 AS INT) AS pos", "CONCAT('layer-', id % 2) AS layer_id", "'#000000' AS color", "true AS visible", "10L AS count")
+    log = spark.range(3).selectExpr("id AS svg_id", "1 AS step", "'remove' AS op", "'layer-1' AS layer", "CAST(null AS string) AS value").filter("svg_id <> 1")
+    held = []
+    before = edits.AT_ONCE
+    try:
+        for edits.AT_ONCE in (before, 1, 25):
+            out = edits.replay(layers.Model(shapes, listed), log)
+            held.append((sorted(map(tuple, out.layers.collect())), sorted(map(tuple, out.shapes.collect()))))
+    finally:
+        edits.AT_ONCE = before
+    assert held[0] == held[1] == held[2] and len(held[0][1]) == 40
