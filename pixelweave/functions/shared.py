@@ -23,8 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: How much larger than their files written tables are taken to be when Spark chooses a join by size: numbers of
+#: images and components, sorted and in few bits, take a twentieth of a row in memory and less, and a broadcast
+#: is made of rows, in the driver.
+COMPRESSED = "spark.sql.sources.fileCompressionFactor"
+FACTOR = 20.0
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again, which cuts its lineage."""
+    """Write ``df`` as Parquet into the shared folder and read it again, which cuts its lineage.
+
+    Where the session has no other, its factor from files to rows is set to
+    ``FACTOR``, so that no join broadcasts a table because its file is small.
+    """
+    conf = df.sparkSession.conf
+    if float(conf.get(COMPRESSED, "1.0")) == 1.0:
+        conf.set(COMPRESSED, str(FACTOR))
     path = f"{shared_dir(df.sparkSession)}/pixelweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

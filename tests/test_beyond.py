@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from pixelweave.functions import shared
 from pixelweave.operators import components, gradient, stencil
 from pixelweave.plans import draw, edits, layers, trace
 from pixelweave.queries import EXACT, ORACLE, QUERIES, rounded
@@ -83,3 +84,10 @@ def test_replaying_holds_a_bounded_number_of_shapes(spark):
     finally:
         edits.AT_ONCE = before
     assert held[0] == held[1] == held[2] and len(held[0][1]) == 40
+
+
+def test_a_written_table_is_not_broadcast_for_its_small_file(spark):
+    many = spark.range(1_000_000).selectExpr("pmod(xxhash64(id), 1000) AS k", "pmod(xxhash64(id, 1), 7) AS v")
+    left, right = shared.materialize(many, "left"), shared.materialize(many.withColumnRenamed("v", "w"), "right")
+    plan = left.join(right, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
