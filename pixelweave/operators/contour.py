@@ -368,21 +368,29 @@ def curve_commands(points: str, threshold) -> F.Column:
     has those of its own sides; controls lie a third of a tangent away. A side
     between two corners stays straight (``corner``).
     """
-    n, at = F.size(points), lambda i: F.get(points, F.pmod(i, F.size(points)))
+    n = F.size(points)
     less = lambda a, b: (a["x"] - b["x"], a["y"] - b["y"])
 
-    def turns(i):
-        (ax, ay), (bx, by) = less(at(i), at(i - 1)), less(at(i + 1), at(i))
+    def turned(p, i):
+        """A point with whether it is a corner, so that this is told once per point."""
+        back, on = F.get(points, F.pmod(i - 1, n)), F.get(points, F.pmod(i + 1, n))
+        (ax, ay), (bx, by) = less(p, back), less(on, p)
         angle = F.degrees(F.abs(F.atan2(ax * by - ay * bx, ax * bx + ay * by)))
-        return F.round(angle, 6) >= threshold
-
-    def side(i):
-        p, q = at(i), at(i + 1)
-        own, next_ = turns(i), turns(i + 1)
-        straight = less(q, p)
-        out = [F.when(own, s).otherwise(t / 2) for s, t in zip(straight, less(q, at(i - 1)))]
-        into = [F.when(next_, s).otherwise(t / 2) for s, t in zip(straight, less(at(i + 2), p))]
-        point = lambda x, y, name: F.struct(x.alias("x"), y.alias("y")).alias(name)
-        return F.struct((own & next_).alias("corner"), point(p["x"] + out[0] / 3, p["y"] + out[1] / 3, "c1"), point(q["x"] - into[0] / 3, q["y"] - into[1] / 3, "c2"), point(q["x"], q["y"], "p"))
-
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 1), side)).otherwise(F.filter(F.transform(F.sequence(F.lit(0), F.lit(0)), side), lambda _: F.lit(False)))
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), (F.round(angle, 6) >= threshold).alias("turns"))
+
+    def sides(marked):
+        at = lambda i: F.get(marked, F.pmod(i, n))
+
+        def side(p, i):
+            q = at(i + 1)
+            straight = less(q, p)
+            out = [F.when(p["turns"], s).otherwise(t / 2) for s, t in zip(straight, less(q, at(i - 1)))]
+            into = [F.when(q["turns"], s).otherwise(t / 2) for s, t in zip(straight, less(at(i + 2), p))]
+            point = lambda x, y, name: F.struct(x.alias("x"), y.alias("y")).alias(name)
+            return F.struct((p["turns"] & q["turns"]).alias("corner"), point(p["x"] + out[0] / 3, p["y"] + out[1] / 3, "c1"), point(q["x"] - into[0] / 3, q["y"] - into[1] / 3, "c2"), point(q["x"], q["y"], "p"))
+
+        return F.transform(marked, side)
+
+    kept = F.when(n >= 3, F.col(points)).otherwise(F.slice(points, 1, 0))
+    # An array of one array binds the marked points to a name, so that they are made once.
+    return F.get(F.transform(F.array(F.transform(kept, turned)), sides), 0)
