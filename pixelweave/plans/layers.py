@@ -50,12 +50,15 @@ def path_attribute(svg, name: str):
 
 def svg_size(svgs: DataFrame) -> DataFrame:
     """``(svg_id, width, height)`` from the attributes, else from the viewBox, else 0; 0 for what is no XML."""
-    own = lambda name: F.when(well_formed(F.col("svg")), F.xpath_string("svg", F.lit(f"{ROOT}/@{name}")))
+    # All three in one text, so that the SVG is read once for them; no attribute holds the character between.
+    names = ("width", "height", "viewBox")
+    told = F.xpath_string("svg", F.lit("concat(" + ", '\x7f', ".join(f"{ROOT}/@{n}" for n in names) + ")"))
+    own = svgs.select("svg_id", F.split(F.when(well_formed(F.col("svg")), told), "\x7f").alias("own"))
     number = lambda text, k: F.nullif(F.regexp_extract(text, k, 1), F.lit("")).cast("double")
     box = r"^\s*[-+.0-9eE]+[\s,]+[-+.0-9eE]+[\s,]+"
     places = {"width": box + r"([.0-9]+)", "height": box + r"[.0-9]+[\s,]+([.0-9]+)"}
     positive = lambda v: F.when(v > 0, v)
-    read = svgs.select("svg_id", *[own(n).alias(n) for n in ("width", "height", "viewBox")])
+    read = own.select("svg_id", *[F.get("own", k).alias(n) for k, n in enumerate(names)])
     return read.select("svg_id", *[F.coalesce(positive(number(F.col(n), r"^\s*([0-9]*\.?[0-9]+)")), number(F.col("viewBox"), places[n]), F.lit(0.0)).alias(n) for n in ("width", "height")])
 
 

@@ -43,7 +43,7 @@ def test_an_image_over_the_longest_edge_is_drawn_whole(spark):
 
 
 def test_halves_at_the_last_place_round_as_in_sql(spark):
-    values = [k / 10_000_000 for k in range(1_000_005, 1_004_000, 10)]
+    values = [k / 10_000_000 for k in range(5_000_005, 5_008_000, 10)]
     want = [r[0] for r in duckdb.sql(f"SELECT round(unnest({values!r}::DOUBLE[]), 6)").fetchall()]
     made = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
     assert [r["v"] for r in made.select("k", *rounded("v")).orderBy("k").collect()] == want
@@ -91,3 +91,9 @@ def test_a_written_table_is_not_broadcast_for_its_small_file(spark):
     left, right = shared.materialize(many, "left"), shared.materialize(many.withColumnRenamed("v", "w"), "right")
     plan = left.join(right, "k")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_sizes_of_svgs_with_some_attributes(spark):
+    svgs = spark.createDataFrame([(1, '<svg width="3px" viewBox="0 0 9 8"/>'), (2, "<svg"), (3, '<v:svg xmlns:v="u" viewBox="0 0 9 8.5" height="2"/>'), (4, None)], "svg_id int, svg string")
+    sizes = layers.svg_size(svgs)
+    assert sorted(map(tuple, sizes.collect())) == [(1, 3.0, 8.0), (2, 0.0, 0.0), (3, 9.0, 2.0), (4, 0.0, 0.0)]
