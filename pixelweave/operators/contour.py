@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.functions.paths import ring_array
 from pixelweave.functions.shared import by_batch, changes, discard, materialize
 
 EPSILON, STRAIGHT = 0.75, 1e-3
@@ -271,10 +273,8 @@ def corner_rings(mask: DataFrame, keys: list[str], tile: int = TILE, cross: bool
     return whole.unionByName(joined.select(*keys, F.flatten(F.transform("p", lambda p: p["corners"])).alias("corners")))
 
 
-def finished(corners: list[np.ndarray], epsilon: float) -> pd.DataFrame:
-    """``start``, ``is_hole`` and ``pts`` of rings of corner numbers: from their smallest corner, turned round, simplified."""
-    lengths = np.array([len(c) for c in corners], np.int64)
-    number = np.concatenate(corners).astype(np.int64) if len(corners) else np.zeros(0, np.int64)
+def finished(number: np.ndarray, lengths: np.ndarray, epsilon: float) -> list[pa.Array]:
+    """``start``, ``is_hole`` and ``pts`` of rings of corner numbers, one behind the other: from their smallest corner, turned round, simplified."""
     starts = np.cumsum(lengths) - lengths
     step = np.arange(len(number)) - np.repeat(starts, lengths)
     least, at = first_largest(-number, starts, lengths) if len(number) else (number, number)
@@ -293,9 +293,7 @@ def finished(corners: list[np.ndarray], epsilon: float) -> pd.DataFrame:
     on[starts + lengths - 1] = starts
     area = np.add.reduceat(p[:, 0] * p[on, 1] - p[on, 0] * p[:, 1], starts) if len(p) else np.zeros(0)
     p, sizes = simplify_all(p, lengths, epsilon)
-    points = [{"x": a, "y": b} for a, b in p.tolist()]
-    ends = np.cumsum(sizes)
-    return pd.DataFrame({"start": -least, "is_hole": area > 0, "pts": pd.Series([points[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())], dtype=object)})
+    return [pa.array(-least), pa.array(area > 0), ring_array(p.reshape(-1, 2), sizes)]
 
 
 def trace_rings(mask: DataFrame, keys: list[str], epsilon: float = EPSILON, tile: int = TILE, cross: bool = False) -> DataFrame:
@@ -307,12 +305,13 @@ def trace_rings(mask: DataFrame, keys: list[str], epsilon: float = EPSILON, tile
     kinds = ", ".join(f"{k} {mask.schema[k].dataType.simpleString()}" for k in keys)
 
     def rows(batches):
-        for pdf in batches:
-            if len(pdf):
-                out = finished(pdf["corners"].tolist(), epsilon)
-                yield pd.concat([pdf[keys].reset_index(drop=True), out], axis=1)
+        for batch in batches:
+            if batch.num_rows:
+                corners = batch.column("corners")
+                made = finished(corners.flatten().to_numpy(), corners.value_lengths().to_numpy().astype(np.int64), epsilon)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *made], names=[*keys, "start", "is_hole", "pts"])
 
-    rings = corner_rings(mask, keys, tile, cross).mapInPandas(rows, f"{kinds}, start long, is_hole boolean, pts {RING}")
+    rings = corner_rings(mask, keys, tile, cross).mapInArrow(rows, f"{kinds}, start long, is_hole boolean, pts {RING}")
     order = Window.partitionBy(*keys).orderBy("is_hole", "start")
     return rings.withColumn("ring_id", F.row_number().over(order) - 1).select(*keys, "ring_id", "is_hole", "pts")
 

@@ -48,18 +48,37 @@ def path_attribute(svg, name: str):
     return F.xpath(svg, F.lit(f"{ROOT}{ANY_PATH}/@{name} | {ROOT}{ANY_PATH}[not(@{name})]"))
 
 
-def svg_size(svgs: DataFrame) -> DataFrame:
-    """``(svg_id, width, height)`` from the attributes, else from the viewBox, else 0; 0 for what is no XML."""
+def read_svgs(svgs: DataFrame) -> DataFrame:
+    """``(svg_id, width, height, paths)`` of ``svgs(svg_id, svg)``: size and paths, with all their attributes.
+
+    Sizes are told by the attributes, else by the viewBox, else 0. A text that
+    is not XML has no size and no paths. Whether it is XML is told once, and
+    nothing is left out before that, so that the plan has no second reading.
+    """
     # All three in one text, so that the SVG is read once for them; no attribute holds the character between.
     names = ("width", "height", "viewBox")
     told = F.xpath_string("svg", F.lit("concat(" + ", '\x7f', ".join(f"{ROOT}/@{n}" for n in names) + ")"))
-    own = svgs.select("svg_id", F.split(F.when(well_formed(F.col("svg")), told), "\x7f").alias("own"))
+    # An attribute's name stands as it is in the text; where it is nowhere, no path has it, and shorter arrays are filled up with nulls.
+    rare = F.when(F.contains("svg", F.lit("transform")), path_attribute(F.col("svg"), "transform")).otherwise(F.array().cast("array<string>"))
+    each = F.arrays_zip(path_attribute(F.col("svg"), "d").alias("d"), rare.alias("transform"), path_attribute(F.col("svg"), "fill").alias("fill"))
+    own = svgs.select("svg_id", "svg", well_formed(F.col("svg")).alias("good")).select("svg_id", F.split(F.when(F.col("good"), told), "\x7f").alias("own"), F.when(F.col("good"), each).alias("paths"))
     number = lambda text, k: F.nullif(F.regexp_extract(text, k, 1), F.lit("")).cast("double")
     box = r"^\s*[-+.0-9eE]+[\s,]+[-+.0-9eE]+[\s,]+"
     places = {"width": box + r"([.0-9]+)", "height": box + r"[.0-9]+[\s,]+([.0-9]+)"}
     positive = lambda v: F.when(v > 0, v)
-    read = own.select("svg_id", *[F.get("own", k).alias(n) for k, n in enumerate(names)])
-    return read.select("svg_id", *[F.coalesce(positive(number(F.col(n), r"^\s*([0-9]*\.?[0-9]+)")), number(F.col("viewBox"), places[n]), F.lit(0.0)).alias(n) for n in ("width", "height")])
+    read = own.select("svg_id", *[F.get("own", k).alias(n) for k, n in enumerate(names)], "paths")
+    return read.select("svg_id", *[F.coalesce(positive(number(F.col(n), r"^\s*([0-9]*\.?[0-9]+)")), number(F.col("viewBox"), places[n]), F.lit(0.0)).alias(n) for n in ("width", "height")], "paths")
+
+
+def svg_size(svgs: DataFrame) -> DataFrame:
+    """``(svg_id, width, height)`` from the attributes, else from the viewBox, else 0; 0 for what is no XML."""
+    return read_svgs(svgs).drop("paths")
+
+
+def paths_read(read: DataFrame) -> DataFrame:
+    """``(svg_id, at, d, transform, color)`` of the paths of :func:`read_svgs` with a hex fill and a non-empty ``d``, and their place."""
+    each = read.select("svg_id", F.posexplode("paths").alias("at", "p"))
+    return each.select("svg_id", "at", F.col("p.d").alias("d"), F.coalesce("p.transform", F.lit("")).alias("transform"), normalize_fill(F.col("p.fill")).alias("color")).filter("color is not null and d <> ''")
 
 
 def recount(layers: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -74,9 +93,7 @@ def parse_layers(svgs: DataFrame) -> Model:
     are read; comments and character data hold no paths. A text that is not
     XML, or has no SVG element, has no shapes.
     """
-    each = F.arrays_zip(*[path_attribute(F.col("svg"), n).alias(n) for n in ("d", "transform", "fill")])
-    read = svgs.filter(well_formed(F.col("svg"))).select("svg_id", F.posexplode(F.when(well_formed(F.col("svg")), each)).alias("at", "p"))
-    found = read.select("svg_id", "at", F.col("p.d").alias("d"), F.coalesce("p.transform", F.lit("")).alias("transform"), normalize_fill(F.col("p.fill")).alias("color")).filter("color is not null and d <> ''")
+    found = paths_read(read_svgs(svgs).drop("width", "height"))
     first = found.withColumn("first", F.min("at").over(Window.partitionBy("svg_id", "color")))
     numbered = first.select("svg_id", (F.row_number().over(Window.partitionBy("svg_id").orderBy("at")) - 1).alias("seq"), "d", "transform", (F.dense_rank().over(Window.partitionBy("svg_id").orderBy("first")) - 1).alias("pos"), "color")
     named = numbered.withColumn("layer_id", F.concat(F.lit("layer-"), F.col("pos").cast("string")))

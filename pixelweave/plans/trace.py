@@ -123,7 +123,7 @@ def with_stats(svgs: DataFrame, colors: DataFrame, classes: DataFrame, extra: Da
 
 def trace_bw(pixels: DataFrame, least: int = 1, epsilon: float = contour.EPSILON) -> DataFrame:
     """Dark opaque pixels in black; palette and class are fixed."""
-    sides = stencil.image_sizes(pixels)
+    sides = materialize(stencil.image_sizes(pixels), "sides")
     dark = pixels.filter((F.col("a") != 0) & (luma(F.col("r"), F.col("g"), F.col("b")) < 128)).withColumn("pid", F.lit(0))
     order = sides.select("image_id", F.lit(0).alias("pid"), F.lit(0).alias("z"), F.lit("#000000").alias("color"))
     fixed = sides.select("image_id", F.array(F.lit("#000000")).alias("colors"), F.lit("Logo").alias("class"))
@@ -179,9 +179,11 @@ def trace_each(pixels: DataFrame, settings: DataFrame, measured: DataFrame | Non
     """
     settings = materialize(settings.select(*SETTINGS), "settings")
     kinds = {c: F.coalesce(F.bool_or(e), F.lit(False)).alias(c) for c, e in {"dark": F.col("bw_mode"), "color": ~F.col("bw_mode"), "gradients": ~F.col("bw_mode") & F.col("gradients"), "guess": ~F.col("bw_mode") & F.col("class_override").isNull(), "free": ~F.col("bw_mode") & (F.size("lock_palette") == 0), "lock": ~F.col("bw_mode") & (F.size("lock_palette") > 0), "derive": ~F.col("bw_mode") & F.col("lock_palette").isNull()}.items()}
-    some = settings.agg(*kinds.values()).first()
+    some = settings.agg(*kinds.values(), F.bool_and(F.coalesce("bw_mode", F.lit(False))).alias("all_dark")).first()
     only = lambda df, images: df.join(images.select("image_id"), "image_id", "left_semi")
-    dark = trace_bw(only(pixels, small(settings.filter("bw_mode"), 100_000)), epsilon=epsilon) if some["dark"] else None
+    # Where all images are such, no pixel has to meet the settings, which are no small table then.
+    meant = pixels.filter("image_id is not null") if some["all_dark"] else only(pixels, small(settings.filter("bw_mode"), 100_000))
+    dark = trace_bw(meant, epsilon=epsilon) if some["dark"] else None
     if not some["color"] and not whole:  # no image
         return flat_paths(pixels.withColumn("pid", F.lit(0)), settings.selectExpr("image_id", "0 pid", "0 z", "'' color"), settings.selectExpr("image_id", "1 least"))
     if not some["color"]:
