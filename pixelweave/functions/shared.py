@@ -87,7 +87,10 @@ def by_batch(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[
 
     Groups are dealt out over all shuffle partitions, so that a CPU-bound
     kernel is not run in one task because its bytes are few. What is in memory
-    is an Arrow batch, or one group where that is larger.
+    is an Arrow batch, or one group where that is larger. They are dealt out by
+    a hash of the keys: a shuffle by the keys themselves is left out behind a
+    join by the same keys, and where that join becomes a broadcast in the run,
+    its shuffle is read in other pieces, which cut groups.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,7 +98,7 @@ def by_batch(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[
         for pdf in whole_groups(batches, keys):
             yield kernel(pdf)
 
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInPandas(rows, schema)
+    return df.repartition(n, F.hash(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(rows, schema)
 
 
 def by_group(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -97,3 +97,11 @@ def test_sizes_of_svgs_with_some_attributes(spark):
     svgs = spark.createDataFrame([(1, '<svg width="3px" viewBox="0 0 9 8"/>'), (2, "<svg"), (3, '<v:svg xmlns:v="u" viewBox="0 0 9 8.5" height="2"/>'), (4, None)], "svg_id int, svg string")
     sizes = layers.svg_size(svgs)
     assert sorted(map(tuple, sizes.collect())) == [(1, 3.0, 8.0), (2, 0.0, 0.0), (3, 9.0, 2.0), (4, 0.0, 0.0)]
+
+
+def test_groups_stay_whole_behind_a_join_that_becomes_a_broadcast(spark):
+    """The join is planned as one of two shuffles, as its sides could be large, and turns into a broadcast."""
+    cells = spark.range(0, 40_000_000, 1, 8).filter("id % 40 = 3").selectExpr("id div 40 % 500 AS k", "id AS i")
+    few = spark.range(5_000_000).filter("id % 10000 = 7").selectExpr("id div 10000 AS k", "id AS of")
+    counted = shared.by_batch(cells.join(few, "k"), ["k"], ["i"], lambda pdf: pdf.groupby("k", as_index=False).agg(n=("of", "count")), "k long, n long")
+    assert sorted(map(tuple, counted.collect())) == [(k, 2000) for k in range(500)]
