@@ -44,14 +44,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
+#: Writer's option for rows of some hundred kilobytes: so many make a row group. A task holds a group's pages and columns
+#: at once, and by default a group's size is first looked at when it has 100 rows.
+WIDE_ROWS = {"parquet.block.row.count.limit": 16}
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None, **options) -> DataFrame:
+    """Write ``df`` as Parquet, with a writer's ``options``, into the shared folder and read it again.
 
     It cuts the lineage like a checkpoint: what is lost with an executor is
     read again from the shared files.
     """
     path = path or fresh_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

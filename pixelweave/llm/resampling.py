@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import discard, forget, give_back, materialize, small_batches
+from pixelweave.llm.common import WIDE_ROWS, discard, forget, give_back, materialize, small_batches
 
 #: A-Z become a-z; ASCII letters, digits and all beyond ASCII make words.
 WORD_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 25, 7
 #: Features and documents of a block, words of a document counted at a time, words remembered: bounds on memory.
-BLOCK_FEATURES, BLOCK_DOCS, SLICE, CACHE = 500_000, 4096, 250_000, 300_000
+BLOCK_FEATURES, BLOCK_DOCS, SLICE, CACHE = 100_000, 4096, 250_000, 300_000
 
 
 class Sums(dict):
@@ -195,8 +195,8 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", buckets
     """
     spark = docs.sparkSession
     small_batches(spark, 1000)
-    blocks = materialize(csr_blocks(docs, id_col, buckets=buckets), "csr")
-    wanted = materialize(csr_blocks(target.select(F.lit(0).alias("id"), "text"), "id", buckets=buckets), "csr-target")
+    blocks = materialize(csr_blocks(docs, id_col, buckets=buckets), "csr", **WIDE_ROWS)
+    wanted = materialize(csr_blocks(target.select(F.lit(0).alias("id"), "text"), "id", buckets=buckets), "csr-target", **WIDE_ROWS)
     gain = gains(column_sums(blocks, buckets), column_sums(wanted, buckets))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("n_words") < least_words, F.desc("score"), F.col("id").asc_nulls_last(), F.col("n_features")]

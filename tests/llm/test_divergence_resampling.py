@@ -1,5 +1,6 @@
 """Source divergence and importance resampling against brute force, with nulls, repeats, hot terms and several shards."""
 
+import glob
 import hashlib
 import math
 import random
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import pyarrow.parquet as pq
 import pytest
 
 from pixelweave.llm import divergence, resampling
@@ -174,3 +176,13 @@ def test_csr_blocks_hold_the_matrix(spark):
                 seen.append((i, sorted(zip(columns[begin:end].tolist(), counts[begin:end].tolist()))))
     want = [(i, sorted(Counter(zlib.crc32(g.encode()) % 10_000 for g in brute_features(t)[0]).items())) for i, t, _, _ in rows]
     assert sorted(seen, key=str) == sorted(want, key=str)
+
+
+def test_a_task_holds_little_of_the_matrix_at_once(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(resampling, "discard", lambda *t: tables.extend(t))
+    docs = spark.range(0, 800, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 3000), k -> hex(pmod(xxhash64(id, k), 1000000))), ' ') AS text")
+    assert resampling.resample(docs, docs.limit(1)).count() == 800
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(tables[0].written_to.removeprefix("file://") + "/*.parquet")]
+    sizes = [m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)]
+    assert sum(sizes) > 16 << 20 and max(sizes) < 10 << 20
