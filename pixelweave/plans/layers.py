@@ -8,8 +8,12 @@ every SVG in the tables that has the layer named.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from xml.parsers import expat
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,39 +38,65 @@ def layers_from_svg(svgs: DataFrame) -> DataFrame:
     return counts.select("svg_id", F.concat(F.lit("layer-"), rank.cast("string")).alias("layer_id"), "color", "path_count")
 
 
-def well_formed(svg):
-    """Whether a text is XML; only such texts may meet the functions below."""
-    return F.coalesce(F.from_xml(svg, "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].isNull() & F.contains(svg, F.lit("<")), F.lit(False))
+#: What is read of a path, and of the first SVG element.
+PATH_ATTRIBUTES, SIZE_ATTRIBUTES = ("d", "transform", "fill"), ("width", "height", "viewBox")
 
 
-#: The first SVG element of a document, and a path anywhere below it, whatever prefix they have.
-ROOT, ANY_PATH = "(//*[local-name()='svg'])[1]", "//*[local-name()='path']"
+def told(svg: bytes | None) -> tuple[list, list[list]] | None:
+    """The size attributes of the first SVG element of a text, and the attributes of the paths anywhere below it; null for what is no XML.
 
-
-def path_attribute(svg, name: str):
-    """The attribute of every path in document order; null where a path lacks it, so that attributes stay aligned."""
-    return F.xpath(svg, F.lit(f"{ROOT}{ANY_PATH}/@{name} | {ROOT}{ANY_PATH}[not(@{name})]"))
+    Elements may have any prefix. What is missing is null.
+    """
+    depth, root, size, each = 0, None, [None] * len(SIZE_ATTRIBUTES), []
+
+    def start(name: str, attributes: dict) -> None:
+        nonlocal depth, root, size
+        depth += 1
+        local = name.partition(":")[2] or name
+        if root is None and local == "svg":
+            root, size = depth, [attributes.get(a) for a in SIZE_ATTRIBUTES]
+        elif root and local == "path":
+            each.append([attributes.get(a) for a in PATH_ATTRIBUTES])
+
+    def end(name: str) -> None:
+        nonlocal depth, root
+        if depth == root:
+            root = 0
+        depth -= 1
+
+    parser = expat.ParserCreate("utf-8")
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    try:
+        parser.Parse(svg or b"", True)
+    except expat.ExpatError:
+        return None
+    return size, each
 
 
 def read_svgs(svgs: DataFrame) -> DataFrame:
     """``(svg_id, width, height, paths)`` of ``svgs(svg_id, svg)``: size and paths, with all their attributes.
 
     Sizes are told by the attributes, else by the viewBox, else 0. A text that
-    is not XML has no size and no paths. Whether it is XML is told once, and
-    nothing is left out before that, so that the plan has no second reading.
+    is not XML has no size and no paths. Each text is read once, by a parser
+    without a document tree.
     """
-    # All three in one text, so that the SVG is read once for them; no attribute holds the character between.
-    names = ("width", "height", "viewBox")
-    told = F.xpath_string("svg", F.lit("concat(" + ", '\x7f', ".join(f"{ROOT}/@{n}" for n in names) + ")"))
-    # An attribute's name stands as it is in the text; where it is nowhere, no path has it, and shorter arrays are filled up with nulls.
-    rare = F.when(F.contains("svg", F.lit("transform")), path_attribute(F.col("svg"), "transform")).otherwise(F.array().cast("array<string>"))
-    each = F.arrays_zip(path_attribute(F.col("svg"), "d").alias("d"), rare.alias("transform"), path_attribute(F.col("svg"), "fill").alias("fill"))
-    own = svgs.select("svg_id", "svg", well_formed(F.col("svg")).alias("good")).select("svg_id", F.split(F.when(F.col("good"), told), "\x7f").alias("own"), F.when(F.col("good"), each).alias("paths"))
+    kind = svgs.schema["svg_id"].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [told(x) for x in batch.column("svg").to_pylist()]
+            sizes = [[x and x[0][k] for x in found] for k in range(len(SIZE_ATTRIBUTES))]
+            each = [p for x in found if x for p in x[1]]
+            ends = np.cumsum([0, *[len(x[1]) if x else 0 for x in found]])
+            starts = pa.array(ends, pa.int32(), mask=np.array([*[x is None for x in found], False]))
+            paths = pa.StructArray.from_arrays([pa.array([p[k] for p in each], pa.string()) for k in range(len(PATH_ATTRIBUTES))], PATH_ATTRIBUTES)
+            yield pa.RecordBatch.from_arrays([batch.column("svg_id"), *[pa.array(s, pa.string()) for s in sizes], pa.ListArray.from_arrays(starts, paths)], ["svg_id", *SIZE_ATTRIBUTES, "paths"])
+
+    read = svgs.select("svg_id", F.col("svg").cast("binary").alias("svg")).mapInArrow(rows, f"svg_id {kind}, {', '.join(f'{a} string' for a in SIZE_ATTRIBUTES)}, paths array<struct<{','.join(f'{a}:string' for a in PATH_ATTRIBUTES)}>>")
     number = lambda text, k: F.nullif(F.regexp_extract(text, k, 1), F.lit("")).cast("double")
     box = r"^\s*[-+.0-9eE]+[\s,]+[-+.0-9eE]+[\s,]+"
     places = {"width": box + r"([.0-9]+)", "height": box + r"[.0-9]+[\s,]+([.0-9]+)"}
     positive = lambda v: F.when(v > 0, v)
-    read = own.select("svg_id", *[F.get("own", k).alias(n) for k, n in enumerate(names)], "paths")
     return read.select("svg_id", *[F.coalesce(positive(number(F.col(n), r"^\s*([0-9]*\.?[0-9]+)")), number(F.col("viewBox"), places[n]), F.lit(0.0)).alias(n) for n in ("width", "height")], "paths")
 
 
@@ -93,7 +123,12 @@ def parse_layers(svgs: DataFrame) -> Model:
     are read; comments and character data hold no paths. A text that is not
     XML, or has no SVG element, has no shapes.
     """
-    found = paths_read(read_svgs(svgs).drop("width", "height"))
+    return layers_read(read_svgs(svgs).drop("width", "height"))
+
+
+def layers_read(read: DataFrame) -> Model:
+    """:func:`parse_layers` of what :func:`read_svgs` gives."""
+    found = paths_read(read)
     first = found.withColumn("first", F.min("at").over(Window.partitionBy("svg_id", "color")))
     numbered = first.select("svg_id", (F.row_number().over(Window.partitionBy("svg_id").orderBy("at")) - 1).alias("seq"), "d", "transform", (F.dense_rank().over(Window.partitionBy("svg_id").orderBy("first")) - 1).alias("pos"), "color")
     named = numbered.withColumn("layer_id", F.concat(F.lit("layer-"), F.col("pos").cast("string")))

@@ -219,6 +219,21 @@ def test_foreign_svgs(spark):
     assert re.fullmatch("#[0-9a-f]{6}", got.layers.filter("svg_id = 0").first()["color"])
 
 
+def test_each_svg_is_parsed_once_and_without_a_tree(spark):
+    texts = [
+        "<svg width='3'/>and more",
+        '<!DOCTYPE svg [<!ENTITY c "#aabbcc">]><svg width="1"><path d="M0" fill="&c;"/></svg>',
+        '<g><svg height="4"><svg width="9"/><path d="M1" fill="#000001"/></svg><path d="M2" fill="#000002"/><svg><path d="M3" fill="#000003"/></svg></g>',
+        '<?xml version="1.0" encoding="latin-1"?><a:svg xmlns:a="u" width="2"><a:g><a:path fill="#000004" d="M é"/></a:g></a:svg>',
+        '<svg><path d="&no;" fill="#000000"/></svg>',
+    ]
+    read = layers.read_svgs(spark.createDataFrame(list(enumerate(texts)), "svg_id long, svg string"))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "xpath" not in plan and "from_xml" not in plan
+    assert sorted(map(tuple, read.drop("paths").collect())) == [(0, 0, 0), (1, 1, 0), (2, 0, 4), (3, 2, 0), (4, 0, 0)]
+    assert sorted((r["svg_id"], r["d"], r["color"]) for r in layers.paths_read(read).collect()) == [(1, "M0", "#aabbcc"), (2, "M1", "#000001"), (3, "M é", "#000004")]
+
+
 # --- blending and curves ---
 
 
